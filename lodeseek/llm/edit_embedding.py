@@ -192,7 +192,9 @@ def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"))
     base = docs.select(place.alias("place"), text_of().alias("text"))
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) or []))
+    shares = [i / n for i in range(1, n)]
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 5 * n)).first()[0] if shares else None
+    cuts = sorted(set(found or []))
     # ranges are numbered downwards: 0 has the largest ids, the last one the null ids as well
     at = F.expr("array(" + ",".join(f"{int(c)}L" for c in cuts) + ")") if cuts else F.array().cast("array<bigint>")
     number = F.lit(len(cuts)).cast("long") - F.coalesce(F.aggregate(at, F.lit(0).cast("long"), lambda a, c: a + F.when(F.col("place.doc_id") >= c, 1).otherwise(0)), F.lit(0).cast("long"))
