@@ -324,7 +324,12 @@ def validate(node: Node, index: Index) -> None:
     elif node.kind in ("empty", "isnull"):
         need(node.args[0])
     elif node.kind in ("any", "all"):
-        f = need(node.args[0])
+        inside = node.args[2].args[0].path
+        f = index.at(node.args[0])
+        if f is None or not f.complex or not inside:
+            need(node.args[0])
+        elif index.at(f"{node.args[0]}/{inside}"):
+            need(f"{node.args[0]}/{inside}")
         if not multi(node.args[0]):
             raise invalid(f"{node.args[0]} is no collection")
         left, op, value = node.args[2].args
