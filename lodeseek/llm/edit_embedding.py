@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, table, text_of
+from ._cells import forest, groups, parted
+from ._common import lookup, materialise, table, text_of
+from ._graph import components
 
 SAMPLES, PERIOD, CLASSES = 256, 4096, 64
 #: Written steps for each character that are sampled; a walk writes two on average.
@@ -136,48 +138,66 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-BANDS, BAND = 24, 6
+BANDS, BAND, CELL_ROWS = 24, 6, 1024
 
 
-def near(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicate candidates by bit-sampled banding, verified by likeness.
+def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, fingerprint, class_id, group_id for each row: near-duplicates by bit-sampled banding and verification.
 
-    Returns (members, pairs): members has doc_id, fingerprint and class_id for each row (class_id:
-    the smallest doc_id with that fingerprint), pairs has a, b (class ids, a < b), likeness.
-    A band is BAND samples at the positions with the lowest hashes of a level; each text is banded
-    at its own level and the next coarser one. In a band the class with the smallest id is paired
-    with every other one; what a band leaves open is left to the other bands.
+    class_id is the smallest doc_id with the fingerprint. A band is BAND samples, taken by hash from
+    those of a level; each class is banded at its own level and the next coarser one. Classes that
+    share a band are linked if at the band's level their likeness is least or more; group_id is the
+    smallest doc_id that links reach. Every two classes of a band are compared; a band yields a
+    spanning forest. Fingerprints without any doc_id have null ids; the empty text has no band.
     """
     members = materialise(fingerprints(docs), "edit-fingerprints")
-    classes = materialise(members.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).where("class_id IS NOT NULL"), "edit-classes")
+    classes = materialise(members.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "edit-classes")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for cid, fp in zip(b.column("class_id").to_pylist(), b.column("fingerprint").to_pylist()):
+            for fp in b.column("fingerprint").to_pylist():
                 own = int(fp.split(".")[1])
                 for level in (own, own + 1):
                     where, value = _at_level(fp, level)
+                    # whether a position is in a band depends on it alone, so that texts of other lengths band alike
                     rank = np.argsort(_mixed(where, 77), kind="stable")
                     for k in range(BANDS):
-                        pick = rank[k * BAND : (k + 1) * BAND]
+                        pick = np.sort(rank[k * BAND : (k + 1) * BAND])
                         if len(pick) == BAND:
-                            pick = np.sort(pick)
-                            rows.append((f"{level}.{k}." + ".".join(f"{w}{chr(v)}" for w, v in zip(where[pick].tolist(), value[pick].tolist())), cid, fp))
+                            text = f"{level}.{k}." + ".".join(f"{w}{chr(v)}" for w, v in zip(where[pick].tolist(), value[pick].tolist()))
+                            rows.append((int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little", signed=True), level, fp))
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], names=["band", "class_id", "fingerprint"])
-
-    banded = materialise(classes.mapInArrow(bands, "band string, class_id long, fingerprint string"), "edit-bands")
-    first = banded.groupBy("band").agg(F.min(F.struct("class_id", "fingerprint")).alias("low"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(first, "band").where("class_id > low.class_id").select(F.col("low.class_id").alias("a"), F.col("class_id").alias("b"), F.col("low.fingerprint").alias("fa"), F.col("fingerprint").alias("fb"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            like = pa.array([likeness(x, y) for x, y in zip(b.column("fa").to_pylist(), b.column("fb").to_pylist())], pa.float64())
-            yield pa.record_batch([b.column("a"), b.column("b"), like], names=["a", "b", "likeness"])
-
-    verified = pairs.dropDuplicates(["a", "b"]).mapInArrow(verify, "a long, b long, likeness double").where(F.col("likeness") >= least)
-    return members.join(classes, "fingerprint", "left").select("doc_id", "fingerprint", "class_id"), verified
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], names=["cell", "level", "fingerprint"])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["cell", "level", "part"]):
+            fps, level = t.column("fingerprint").to_pylist(), t.column("level")[0].as_py()
+            values = [_at_level(fp, level)[1] for fp in fps]
+            size = np.array([len(v) for v in values])
+            grid = np.zeros((len(fps), size.max()), dtype=np.uint8)
+            for i, v in enumerate(values):
+                grid[i, : len(v)] = v
+
+            def near(at: int, to: int) -> np.ndarray:
+                out = np.zeros((to - at, len(fps)), dtype=bool)
+                for i in range(at, to):
+                    same = ((grid[i] == grid) & (grid != 0)).sum(axis=1)
+                    out[i - at] = same >= least * np.maximum(size[i], size)
+                return out
+
+            away, root = forest(len(fps), near)
+            if len(away):
+                yield pa.record_batch([pa.array([fps[i] for i in x.tolist()], pa.string()) for x in (away, root)], names=["fa", "fb"])
+
+    cells = classes.select("fingerprint").mapInArrow(bands, "cell long, level long, fingerprint string")
+    linked = parted(cells, ["cell", "level"], "fingerprint", CELL_ROWS).mapInArrow(edges, "fa string, fb string").distinct()
+    # fingerprints stand for themselves under a 64-bit name; equal names would only join two groups
+    roots = components(linked.select(F.xxhash64("fa").alias("a"), F.xxhash64("fb").alias("b")), "edit-groups")
+    named = classes.withColumn("node", F.xxhash64("fingerprint")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    keyed = materialise(named.join(lowest, "root").join(members.groupBy("fingerprint").agg(F.count("*").alias("n")), "fingerprint").select("fingerprint", "class_id", "group_id", "n"), "edit-named")
+    return lookup(members, keyed, "fingerprint", "n").select("doc_id", "fingerprint", "class_id", "group_id")
 
 
 def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._cells import forest, groups, parted
 from ._common import lookup, materialise, table, text_of
 from ._graph import components
 
@@ -81,63 +82,27 @@ def _masks() -> list[int]:
 
 def _forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links among fp."""
-    n = len(fp)
     half = fp >> np.uint64(1)
     low = np.uint64(LOW)
     point = ((fp & half & low) << np.uint64(1)) | ((fp ^ half) & low)
-    root = np.arange(n)
 
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    step = max(1, (1 << 21) // n)
-    for at in range(0, n, step):
-        z = point[at : at + step, None] ^ point[None, :]
+    def near(at: int, to: int) -> np.ndarray:
+        z = point[at:to, None] ^ point[None, :]
         lo, hi = z & low, (z >> np.uint64(1)) & low
-        near = np.bitwise_count(lo).astype(np.int16) + 2 * np.bitwise_count(hi & ~lo) <= RADIUS
-        i, j = np.nonzero(near)
-        i += at
-        i, j = i[i > j], j[i > j]
-        ok = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
-        i, j = i[ok], j[ok]
-        while len(i):
-            for a, b in {(x, y) for x, y in zip(root[i[:4096]].tolist(), root[j[:4096]].tolist()) if x != y}:
-                a, b = top(a), top(b)
-                root[max(a, b)] = min(a, b)
-            i, j = i[4096:], j[4096:]
-            while (flat := root[root] != root).any():
-                root = root[root]
-            open_ = root[i] != root[j]
-            i, j = i[open_], j[open_]
-    away = np.nonzero(root != np.arange(n))[0]
-    return fp[away], fp[root[away]]
+        found = np.bitwise_count(lo).astype(np.int16) + 2 * np.bitwise_count(hi & ~lo) <= RADIUS
+        i, j = np.nonzero(found)
+        found[i, j] = np.bitwise_count(fp[at + i] ^ fp[j]) <= RADIUS
+        return found
+
+    away, root = forest(len(fp), near)
+    return fp[away], fp[root]
 
 
 def _cell_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by cell; a cell may go on in the next batch."""
-    keys, fps = np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.uint64)
-
-    def edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        start, stop = np.r_[0, cut], np.r_[cut, len(keys)]
-        found = [_forest(np.unique(fps[s:e])) for s, e in zip(start, stop) if e - s > 1]
-        a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.uint64)]) for k in (0, 1))
-        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    for x in batches:
-        if not x.num_rows:
-            continue
-        keys = np.vstack([keys, np.column_stack([x.column(c).to_numpy() for c in ("mask", "cell", "part")])])
-        fps = np.r_[fps, x.column("fp").to_numpy().view(np.uint64)]
-        last = int(np.flatnonzero((keys != keys[-1]).any(axis=1)).max(initial=-1)) + 1
-        if last:
-            yield edges(keys[:last], fps[:last])
-            keys, fps = keys[last:], fps[last:]
-    if len(fps):
-        yield edges(keys, fps)
+    for t in groups(batches, ["mask", "cell", "part"]):
+        a, b = _forest(np.unique(t.column("fp").to_numpy().view(np.uint64)))
+        if len(a):
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -145,19 +110,10 @@ def links(distinct: DataFrame) -> DataFrame:
     point = _counts(F.col("fp"))
     cells = distinct.select("fp", F.posexplode(F.array(*[point.bitwiseAND(m) for m in _masks()])).alias("mask", "cell"))
     cells = cells.select(F.col("mask").cast("long").alias("mask"), "cell", "fp")
-    large = materialise(cells.groupBy("mask", "cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS), "large-cells")
-    parts = cells.withColumn("part", F.lit(0).cast("long"))
-    if not large.isEmpty():
-        blocks = F.ceil(F.col("n") / CELL_ROWS)
-        dealt = cells.join(large, ["mask", "cell"]).withColumn("blocks", blocks.cast("long")).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(o, F.col("mine")) * F.col("blocks") + F.greatest(o, F.col("mine")))
-        dealt = dealt.select("mask", "cell", "fp", F.explode(pairs).alias("part"))
-        parts = parts.join(large.select("mask", "cell"), ["mask", "cell"], "left_anti").unionByName(dealt)
-    keys = ("mask", "cell", "part")
-    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cell_edges, "a long, b long").distinct()
-
-
-def groups(docs: DataFrame) -> DataFrame:
+    return parted(cells, ["mask", "cell"], "fp", CELL_ROWS).mapInArrow(_cell_edges, "a long, b long").distinct()
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, fp, component_id, stays for each row of docs.
 
     component_id is the smallest doc_id of all documents that links of at most RADIUS bits
@@ -179,10 +135,10 @@ def groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each group, with all its columns; of repeated rows one."""
     names = [F.col(f"`{c}`") for c in docs.columns]
-    stay = groups(docs).where("stays").select(F.col("row_key").alias("__key")).distinct()
+    stay = near_groups(docs).where("stays").select(F.col("row_key").alias("__key")).distinct()
     return docs.withColumn("__key", row_key()).join(stay.hint("merge"), "__key").dropDuplicates(["__key"]).select(*names)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = groups(table(spark, sf_dir, "documents"))
+    found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

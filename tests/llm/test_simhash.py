@@ -58,12 +58,12 @@ def test_no_link_is_lost(spark, monkeypatch):
 
 def test_groups(odd, clashing, none):
     for docs in (odd, clashing):
-        got = {(r["doc_id"], r["fp"]): r["component_id"] for r in sh.groups(docs).collect()}
+        got = {(r["doc_id"], r["fp"]): r["component_id"] for r in sh.near_groups(docs).collect()}
         by = {i: c for (i, _), c in got.items()}
         assert by[1] == by[2] == by[None] == 1 and by[3] == by[4] == by[8] == 3 and by[5] == by[10] == 5
         kept = sh.keep_one(docs)
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 6, 7, 9]
-    assert sh.groups(none).collect() == [] and sh.keep_one(none).collect() == []
+    assert sh.near_groups(none).collect() == [] and sh.keep_one(none).collect() == []
 
 
 def test_components_of_a_long_path(spark):

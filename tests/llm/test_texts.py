@@ -94,6 +94,16 @@ def test_edited_takes_odd_rows(odd, clashing):
         assert ee.edited(docs).count() == len(ROWS)
 
 
+def test_near_groups(spark, odd, none):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(60, 900))) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t[:40] + "qq" + t[41:]) for i, t in enumerate(texts)] + [(200 + i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in ee.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 90 and all(got[200 + i]["class_id"] == i == got[200 + i]["group_id"] for i in range(30))
+    assert sum(got[100 + i]["group_id"] == i for i in range(30)) >= 27
+    assert ee.near_groups(odd).count() == len(ROWS) and ee.near_groups(none).collect() == []
+
+
 def test_quality_on_held_out_rows(spark, sf_dir, none):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     found = nbsvm.op9_quality(spark, sf_dir)
