@@ -210,3 +210,24 @@ def test_semantic_search(spark):
     assert hit["@search.captions"] and 0 < hit["@search.rerankerScore"] < 1
     with pytest.raises(SearchError):
         e.search("sem", {"search": "x", "queryType": "semantic"})
+
+
+def test_other_stemmers():
+    from lodeseek.functions import stems
+
+    cases = {
+        stems.german: "aufeinander aufeinand kategorien kategori häuser haus freundlichkeit freundlich bedeutung bedeut", stems.spanish: "chicas chic torneados torn cheques chequ rápidamente rapid",
+        stems.swedish: "jakten jakt", stems.norwegian: "havnedistriktene havnedistrikt", stems.danish: "undersøgelse undersøg indtage indtag",
+    }
+    for stem, words in cases.items():
+        words = words.split()
+        assert [stem(w) for w in words[::2]] == words[1::2]
+
+
+def test_ranks_are_dense_and_ordered(spark):
+    from lodeseek.operators import ranking
+
+    rows = [(str(i), float((i * 7) % 50) / 7) for i in range(500)]
+    got = {r["__key"]: r["rank"] for r in ranking.numbered(spark.createDataFrame(rows, "__key string, __score double").repartition(7)).collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == [k for k, _ in sorted(rows, key=lambda x: (-x[1], x[0]))]
+    assert sorted(got.values()) == list(range(1, 501))
