@@ -24,9 +24,9 @@ LONGEST = 40  # bytes; longer tokens are dropped
 GRAMS = 15
 _alnum, _cjk = re.compile(r"[^\W_]+"), re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]+")
 
-ENGLISH = {"standard", "standard.lucene", "standardasciifolding.lucene", "simple", "classic", "stop", "english", "en.lucene", "en.microsoft"}
-LATIN = {"latin", "thai", "vietnamese", "th.lucene", "th.microsoft", "vi.microsoft"}
-CJK = {"chinese", "japanese", "korean", "zh-Hans.lucene", "zh-Hans.microsoft", "zh-Hant.lucene", "zh-Hant.microsoft", "ja.lucene", "ja.microsoft", "ko.lucene", "ko.microsoft"}
+#: Language codes, before the dot of an analyzer's name, that are split without stems, or by pairs of characters.
+LATIN = {"latin", "thai", "vietnamese", "th", "vi"}
+CJK = {"chinese", "japanese", "korean", "zh-Hans", "zh-Hant", "ja", "ko"}
 
 
 def kind(name: str | None) -> str:
@@ -34,15 +34,15 @@ def kind(name: str | None) -> str:
     name = name or "english"
     if name in ("keyword", "whitespace", "alphanum"):
         return name
-    if name in LATIN:
+    code = name.split(".")[0]
+    if code in LATIN:
         return "latin"
-    if name in CJK:
+    if code in CJK:
         return "cjk"
     if name.lower().startswith("edgengram"):
         return "edge"
     if name.lower().startswith("ngram"):
         return "ngram"
-    code = name.split(".")[0]
     return code if code in LANGUAGES and code != "en" else "en"
 
 

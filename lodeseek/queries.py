@@ -201,7 +201,7 @@ _add("a05_latin", _analyzed("p_type", "latin"), _token_sql("regexp_extract_all(l
 _add("a06_ngram", _analyzed("p_brand", "ngram"), _token_sql("flatten(list_transform(range(1, length(p_brand) + 1), lambda i: list_transform(range(1, least(15, length(p_brand) - i + 1) + 1), lambda g: lower(substring(p_brand, i, g)))))"))
 _add("a07_edge_ngram", _analyzed("p_name", "edgeNGram_v2"), _token_sql("list_transform(range(1, least(15, length(p_name)) + 1), lambda n: lower(p_name[1:n]))"))
 _add("a08_cjk", _analyzed("p_name", "chinese"), _token_sql("regexp_extract_all(p_name, '[\\p{L}\\p{N}]+')"))
-_add("a09_language", _analyzed("p_name", "fr.microsoft"), _token_sql("regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')"))
+_add("a09_language", _analyzed("p_name", "fr"), _token_sql("regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')"))
 
 # vectors
 QUERY = [((i * 37) % 19 - 9) / 10 for i in range(64)]
