@@ -48,7 +48,8 @@ class DigestIndex:
         """Appends the digests of rows (doc_id, row_id, digest) that the index hasn't; returns the batch's name."""
         batch = uuid.uuid4().hex
         best = F.max(F.struct("doc_id", F.negative("row_id").alias("r")))
-        mine = rows.groupBy("digest").agg(best.alias("m"), F.count("*").alias("group_size"))
+        # written first: else the anti-join would be pushed below the aggregate, and a hot digest's rows would meet in one task
+        mine = materialise(rows.groupBy("digest").agg(best.alias("m"), F.count("*").alias("group_size")), "batch-digests")
         fresh = mine.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         out = fresh.select("digest", F.col("m.doc_id").alias("keep_id"), F.negative("m.r").alias("keep_row"), "group_size", F.lit(batch).alias("batch"))
         out.repartition(self.buckets, "digest").write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
