@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -206,38 +207,44 @@ def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     The next document is the one with the next smaller doc_id (null ids come last, equal ids in the
     order of their texts' hashes); after the last comes the first. Rows are dealt to ranges of
     doc_id; the last row of a range's predecessor needs the range's first row, so each range's
-    first row goes to the range before too, and no order needs one task. One document is its own next.
+    first row goes to the range before too, and no order needs one task. One document is its own next; null texts count as empty; no rows give none.
     """
     spark = docs.sparkSession
     n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"))
-    base = docs.select(place.alias("place"), text_of().alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    base = docs.select(doc_id.alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
     shares = [i / n for i in range(1, n)]
-    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 5 * n)).first()[0] if shares else None
-    cuts = sorted(set(found or []))
-    # ranges are numbered downwards: 0 has the largest ids, the last one the null ids as well
-    at = F.expr("array(" + ",".join(f"{int(c)}L" for c in cuts) + ")") if cuts else F.array().cast("array<bigint>")
-    number = F.lit(len(cuts)).cast("long") - F.coalesce(F.aggregate(at, F.lit(0).cast("long"), lambda a, c: a + F.when(F.col("place.doc_id") >= c, 1).otherwise(0)), F.lit(0).cast("long"))
-    rows = base.withColumn("range", number)
-    firsts = {r["range"]: r["first"] for r in rows.groupBy("range").agg(F.max("place").alias("first")).collect()}  # a row a range
-    order = sorted(firsts)
-    before = {b: a for a, b in zip(order, order[1:])} | ({order[0]: order[-1]} if order else {})
-    look = [F.when((F.col("range") == r) & (F.col("place") == _literal(firsts[r])), F.lit(before[r])) for r in order]
-    ahead = F.coalesce(*look) if look else F.lit(None).cast("long")
-    copies = F.array(F.struct("range", F.lit(False).alias("ahead")), F.struct(ahead.cast("long").alias("range"), F.lit(True).alias("ahead")))
-    dealt = rows.select("place", "text", F.explode(F.filter(copies, lambda x: x["range"].isNotNull())).alias("to")).select("to.range", "to.ahead", "place", "text")
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range", "ahead", F.desc("place"))
+    found = docs.agg(F.percentile_approx(doc_id, shares, 5 * n)).first()[0] if shares else None
+    cuts = np.array(sorted(set(found or [])), dtype=np.int64)
+
+    def number(ids: pd.Series, none: pd.Series, hashes: pd.Series) -> pd.Series:
+        """Ranges count downwards: 0 has the largest ids; after them come 64 ranges of null ids, by falling hash."""
+        some = len(cuts) - np.searchsorted(cuts, ids.to_numpy(np.int64), side="right")
+        return pd.Series(np.where(none.to_numpy(bool), len(cuts) + 32 - (hashes.to_numpy(np.int64) >> 58), some))
+
+    numbered = F.pandas_udf(number, "long")(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "h")  # no nulls: they would make floats of the ids
+    rows = base.withColumn("range", numbered)
+    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h")
+    narrow = docs.select(doc_id.alias("doc_id"), F.xxhash64(text_of()).alias("h"))
+    firsts = narrow.withColumn("range", numbered).groupBy("range").agg(F.max(place).alias("first")).orderBy("range").collect()  # a row a range
+    look = [(r["range"], r["first"]["doc_id"], r["first"]["h"], firsts[k - 1]["range"]) for k, r in enumerate(firsts)]
+    ahead = F.broadcast(spark.createDataFrame(look, "range long, first_id long, first_h long, before long"))
+    hit = (rows["range"] == ahead["range"]) & rows["doc_id"].eqNullSafe(ahead["first_id"]) & (rows["h"] == ahead["first_h"])
+    marked = rows.join(ahead, hit, "left").select(rows["range"], "doc_id", "h", "text", "before")
+    copies = F.array(F.struct("range", F.lit(False).alias("ahead")), F.struct(F.col("before").alias("range"), F.lit(True).alias("ahead")))
+    dealt = marked.select("doc_id", "h", "text", F.explode(F.filter(copies, lambda x: x["range"].isNotNull())).alias("to")).select("to.range", "to.ahead", "doc_id", "h", "text")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range", "ahead", F.desc_nulls_last("doc_id"), F.desc("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
             out = []
-            for r, a, p, t in zip(b.column("range").to_pylist(), b.column("ahead").to_pylist(), b.column("place").to_pylist(), b.column("text")):
+            for r, a, i, t in zip(b.column("range").to_pylist(), b.column("ahead").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
                 if last and last[0] == r and not last[1]:
                     out.append(_compare(last[2], last[3], last[4], last[5], t.as_py(), *(own := _own(t.as_py()))))
                 else:
                     own = _own(t.as_py())
-                last = (r, a, p["doc_id"], t.as_py(), *own)
+                last = (r, a, i, t.as_py(), *own)
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -248,10 +255,6 @@ def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _literal(place):
-    return F.struct(F.lit(place["some"]).alias("some"), F.lit(place["doc_id"]).cast("long").alias("doc_id"), F.lit(place["h"]).cast("long").alias("h"))
-
-
 def _own(text: str) -> tuple[Walk, str]:
     w = Walk(text)
     return w, w.fingerprint()
