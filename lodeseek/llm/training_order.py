@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import new_path, table, text_of
-from ._tokens import ids_of
+from ._tokens import encoder
 
 STRIDE, SHARD, END, KEY = 256, 8192, 0, 20240229
 VOCABULARY = "byte_bpe_50k.json"
@@ -67,14 +68,6 @@ class Permutation:
         return self._walk(slot, self.keys[::-1]) if len(slot) else np.zeros(0, np.int64)
 
 
-def _sequences(b: pa.RecordBatch, path: str, stride: int) -> Iterator[tuple[int | None, int, int, bytes]]:
-    for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-        ids = ids_of(path, public_tokenizers.PATTERN, text.as_py(), END).astype("<u2")
-        for s in range(0, len(ids), stride):
-            part = ids[s : s + stride]
-            yield doc_id, s, len(part), part.tobytes()
-
-
 def write(docs: DataFrame, path: str, out: str, stride: int = STRIDE, shard: int = SHARD, key: int = KEY) -> DataFrame:
     """Writes the shards into the folder out and returns a row for each sequence.
 
@@ -87,7 +80,8 @@ def write(docs: DataFrame, path: str, out: str, stride: int = STRIDE, shard: int
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(1 for b in batches for _ in _sequences(b, path, stride))
+        encode = encoder(path, public_tokenizers.PATTERN).encode_ordinary
+        n = sum(len(encode(t.as_py())) // stride + 1 for b in batches for t in b.column("text"))  # the end id comes on top
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["part", "n"])
 
     counts = {r["part"]: r["n"] for r in kept.mapInArrow(count, "part long, n long").collect()}  # two numbers a partition
@@ -98,71 +92,80 @@ def write(docs: DataFrame, path: str, out: str, stride: int = STRIDE, shard: int
     order, size = Permutation(total, key), stride * 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path, public_tokenizers.PATTERN).encode_ordinary
         part = TaskContext.get().partitionId()
-        at, held, seen = first.get(part, 0), [], 0
+        at, seen, held, heads, bodies = first.get(part, 0), 0, 0, [], []
 
         def flush() -> pa.RecordBatch:
-            slots = order.slots(np.arange(at, at + len(held)))
-            by, rows = np.argsort(slots, kind="stable"), []
-            cuts = np.flatnonzero(np.diff(slots[by] // shard)) + 1
-            for group in np.split(by, cuts):
-                head = np.array([(-1 if held[k][0] is None else held[k][0], held[k][0] is None, held[k][1], held[k][2], slots[k]) for k in group], dtype="<i8")
-                blob = head.tobytes() + b"".join(held[k][3].ljust(size, b"\0") for k in group)
-                rows.append((int(slots[group[0]] // shard), len(group), zstandard.compress(blob, 3)))
+            head, body = np.concatenate(heads), np.concatenate(bodies)
+            head[:, 4] = order.slots(np.arange(at + seen, at + seen + held))
+            by = np.argsort(head[:, 4])
+            cuts = np.flatnonzero(np.diff(head[by, 4] // shard)) + 1
+            pack = zstandard.ZstdCompressor(level=1).compress
+            rows = [(int(head[g[0], 4] // shard), len(g), pack(head[g].tobytes() + body[g].tobytes())) for g in np.split(by, cuts)]
             return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["shard", "n", "blob"])
 
         for b in batches:
-            for x in _sequences(b, path, stride):
-                held.append(x)
-                if len(held) == GATHER:
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                ids = array("H", encode(text.as_py()))
+                ids.append(END)
+                n = -(-len(ids) // stride)
+                body = np.zeros((n, stride), dtype="<u2")
+                body.reshape(-1)[: len(ids)] = ids
+                head = np.zeros((n, 5), dtype="<i8")
+                head[:, 0], head[:, 1] = doc_id or 0, doc_id is None
+                head[:, 2] = np.arange(0, n * stride, stride)
+                head[:, 3] = np.minimum(len(ids) - head[:, 2], stride)
+                heads.append(head)
+                bodies.append(body)
+                held += n
+                if held >= GATHER:
                     yield flush()
-                    at, seen, held = at + len(held), seen + len(held), []
+                    seen, held, heads, bodies = seen + held, 0, [], []
         if held:
             yield flush()
-        if seen + len(held) != counts.get(part, 0):
+        if seen + held != counts.get(part, 0):
             raise RuntimeError("the input's partitions changed between two reads")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(out)
-        held: list[tuple[np.ndarray, bytes]] = []
-        now = None
 
-        def flush() -> pa.RecordBatch:
-            data, heads = bytearray(min(shard, total - now * shard) * size), []
-            crc = []
-            for head, body in held:
-                for k, h in enumerate(head):
-                    piece = body[k * size : (k + 1) * size]
-                    o = int(h[4] % shard) * size
-                    data[o : o + size] = piece
-                    crc.append(zlib.crc32(piece[: int(h[3]) * 2]))
+        def flush(now: int, blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            data, heads, crc = np.zeros((min(shard, total - now * shard), stride), dtype="<u2"), [], []
+            for n, blob in blobs:
+                raw = memoryview(zstandard.decompress(blob))
+                head, body = np.frombuffer(raw[: n * 40], dtype="<i8").reshape(n, 5), raw[n * 40 :]
+                data[head[:, 4] % shard] = np.frombuffer(body, dtype="<u2").reshape(n, stride)
+                crc += [zlib.crc32(body[k * size : k * size + 2 * m]) for k, m in enumerate(head[:, 3].tolist())]
                 heads.append(head)
-            name = f"{folder}/shard-{now:08d}.bin"
             with store.open_output_stream(own := f"{folder}/.{uuid.uuid4().hex}") as f:
-                f.write(bytes(data))
-            store.move(own, name)
+                f.write(data.tobytes())
+            store.move(own, f"{folder}/shard-{now:08d}.bin")
             h = np.concatenate(heads)
-            ids = pa.array(h[:, 0], pa.int64(), mask=h[:, 1].astype(bool))
-            cols = [ids, pa.array(h[:, 2]), pa.array(h[:, 3]), pa.array(h[:, 4]), pa.array(np.full(len(h), now)), pa.array(h[:, 4] % shard * size), pa.array(crc, pa.int64())]
+            ids = pa.array(h[:, 0].copy(), pa.int64(), mask=h[:, 1].astype(bool))
+            cols = [ids, *(pa.array(h[:, k].copy()) for k in (2, 3, 4)), pa.array(np.full(len(h), now)), pa.array(h[:, 4] % shard * size), pa.array(crc, pa.int64())]
             return pa.record_batch(cols, names=["doc_id", "start", "length", "slot", "shard", "byte_offset", "ids_crc32"])
 
+        now, held = None, []
         for b in batches:
             for s, n, blob in zip(*(b.column(c).to_pylist() for c in ("shard", "n", "blob"))):
-                if now is not None and s != now:
-                    yield flush()
+                if held and s != now:
+                    yield flush(now, held)
                     held = []
                 now = s
-                raw = zstandard.decompress(blob)
-                held.append((np.frombuffer(raw[: n * 40], dtype="<i8").reshape(n, 5), raw[n * 40 :]))
+                held.append((n, blob))
         if held:
-            yield flush()
+            yield flush(now, held)
 
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(out)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
     dealt = kept.mapInArrow(deal, "shard long, n long, blob binary")
-    sorted_ = dealt.repartitionByRange(max(1, -(-total // shard)), "shard").sortWithinPartitions("shard")
+    # ranges of shards are known beforehand, so no pass is spent on sampling them
+    files = max(1, -(-total // shard))
+    parts = min(files, max(int(spark.conf.get("spark.sql.shuffle.partitions")), files // 4))
+    sorted_ = dealt.repartitionById(parts, F.floor(F.col("shard") * parts / files).cast("int")).sortWithinPartitions("shard")
     return sorted_.mapInArrow(shards, "doc_id long, start long, length long, slot long, shard long, byte_offset long, ids_crc32 long")
 
 
