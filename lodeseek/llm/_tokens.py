@@ -8,7 +8,7 @@ from functools import lru_cache
 import regex
 
 #: Pre-tokens that a worker remembers; the oldest half goes when there are more.
-CACHE = 400_000
+CACHE = 600_000
 #: Longer pre-tokens aren't remembered.
 CACHE_CHARS = 64
 
@@ -22,14 +22,13 @@ class Pieces:
     def of(self, text: str) -> list:
         words = self.split(text)
         known = self.known
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        made = dict(zip(new, self.encode(new)))
-        out = [known[w] if w in known else made[w] for w in words]
-        known.update((w, v) for w, v in made.items() if len(w) <= CACHE_CHARS)
+        new = [w for w in set(words) if w not in known]
+        if new:
+            known.update(zip(new, self.encode(new)))
+        out = [known[w] for w in words]
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del known[w]
         if len(known) > CACHE:
             for w in list(known)[: CACHE // 2]:
                 del known[w]

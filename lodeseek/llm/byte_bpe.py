@@ -13,6 +13,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -67,17 +68,20 @@ class ByteBpe:
         self.tokens = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.tokens))
         self.map = dict(enumerate(byte_characters()))
+        self.ids = list(range(len(self.tokens)))  # one object for each id, however often it is remembered
         self.pieces = Pieces(pattern, self._encode)
 
+    def _mapped(self, word: str) -> str:
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", self.map[32])  # the only one of these that isn't itself
+        return word.encode("utf-8", "replace").decode("latin-1").translate(self.map)
+
     def _encode(self, words: list[str]) -> list[tuple[int, ...]]:
-        mapped = [w.encode("utf-8", "replace").decode("latin-1").translate(self.map) for w in words]
-        return [tuple(x) for x in self.model.encode(mapped, num_threads=1)] if mapped else []
+        one = self.ids.__getitem__
+        return [tuple(map(one, x)) for x in self.model.encode(list(map(self._mapped, words)), num_threads=1)]
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for x in self.pieces.of(text):
-            out += x
-        return out
+        return list(chain.from_iterable(self.pieces.of(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
