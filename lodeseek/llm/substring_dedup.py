@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 from ._common import table, text_of
 
 LINE_WORDS, RUN_WORDS = 5, 25
+SLICE = 2000
 _sentences = re.compile(r"[^\n.!?]+(?:[.!?]+(?=[^\s.!?])[^\n.!?]+)*[.!?]*").finditer
 
 
@@ -61,11 +62,11 @@ def units(text: str) -> list[tuple[int, bytes]]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units of each batch. In a batch only the earliest of equal units stands for them; the others
+    """Units of each SLICE of rows. In a slice only the earliest of equal units stands for them; the others
     are lost already and go on under a digest of their own, so that no common unit meets in one task."""
     import numpy as np
 
-    for b in batches:
+    for b in (x.slice(at, SLICE) for x in batches for at in range(0, x.num_rows, SLICE)):
         first: dict[bytes, tuple] = {}
         rows = []
         for key, doc_id, text in zip(b.column("row_key").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
