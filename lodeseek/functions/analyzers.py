@@ -97,7 +97,7 @@ def _udf(name: str | None) -> Callable:
 def column(col: Column, name: str | None) -> Column:
     """Tokens of a text column, in order; null for null."""
     k = kind(name)
-    alnum = F.regexp_extract_all(col, F.lit(r"([\p{IsAlphabetic}\p{N}]+)"), F.lit(1))
+    alnum = F.regexp_extract_all(col, F.lit(r"[\p{IsAlphabetic}\p{N}]++"), F.lit(0))
     if k == "keyword":
         return F.when(col.isNotNull(), F.array(col))
     if k == "whitespace":
@@ -105,7 +105,7 @@ def column(col: Column, name: str | None) -> Column:
     if k == "alphanum":
         return alnum
     if k == "latin":
-        return F.filter(F.regexp_extract_all(F.lower(col), F.lit(r"([\p{IsAlphabetic}\p{N}]+)"), F.lit(1)), lambda t: F.octet_length(t) < LONGEST)
+        return F.filter(F.regexp_extract_all(F.lower(col), F.lit(r"[\p{IsAlphabetic}\p{N}]++"), F.lit(0)), lambda t: F.octet_length(t) < LONGEST)
     if k == "edge":
         upto = F.least(F.lit(GRAMS), F.char_length(col))
         return F.when(upto > 0, F.transform(F.sequence(F.lit(1), upto), lambda n: F.lower(F.substring(col, F.lit(1), n)))).when(col.isNotNull(), F.array().cast("array<string>"))

@@ -8,6 +8,7 @@ from functools import partial
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import analyzers
 from ..plans.bm25 import B, K1, text_column
@@ -75,8 +76,8 @@ def answers(matched: DataFrame, index: Index, paths: list[str], terms: list[str]
         times = F.size(F.filter("tokens", _is(t)))
         score = score + terms.count(t) * idf * times * (K1 + 1) / (times + K1 * (1 - B + B * F.size("tokens") / mean))
     found = held.select("__key", "order", "field", "at", "text", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "__key", "order", "at").limit(top)
-    best = found.agg(F.max("score").alias("best"))  # one row
-    return found.join(F.broadcast(best)).select("__key", "field", "text", (F.col("score") / F.col("best")).alias("score"))
+    best = F.max("score").over(Window.partitionBy())  # over top rows at most
+    return found.select("__key", "field", "text", (F.col("score") / best).alias("score"))
 
 
 def _is(t: str):

@@ -8,6 +8,7 @@ then are arithmetic in place, without a shuffle. A filter comes after, so it nev
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ class Plan:
                 self.wanted.setdefault((path, t), len(self.wanted))
 
     def _count(self, path: str, token: str) -> Column:
-        return F.size(F.filter(F.col(self.names[path]), lambda t: t == token))
+        return F.col(f"__times{self.wanted[path, token]}")
 
     def scored(self, docs: DataFrame, least: float | None = None) -> DataFrame:
         """docs with __match and __score; statistics cost one pass over the searched columns.
@@ -91,18 +92,23 @@ class Plan:
             return docs.withColumns({"__match": F.lit(True), "__score": F.lit(1.0)})
         if not self.fields and not self.names:
             return docs.withColumns({"__match": F.lit(False), "__score": F.lit(0.0)})
-        held = docs.withColumns({n: F.coalesce(analyzers.column(text_column(self.index, p), self.index.at(p).analyzer), F.array().cast("array<string>")) for p, n in self.names.items()})
+        made = [F.coalesce(analyzers.column(text_column(self.index, p), self.index.at(p).analyzer), F.array().cast("array<string>")).alias(n) for p, n in self.names.items()]
+        # as a row of a generator, tokens are made once; as a column they would be made anew wherever a clause or filter names them
+        held = docs.select("*", F.inline(F.array(F.struct(*made))))
         aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(F.size(n)).alias(f"l{i}") for i, n in enumerate(self.names.values())]
         aggs += [F.sum(F.array_contains(self.names[p], t).cast("long")).alias(f"d{i}") for (p, t), i in self.wanted.items()]
         row = held.agg(*aggs).first()
         self.n = row["n"]
         self.length = {p: row[f"l{i}"] or 0.0 for i, p in enumerate(self.names)}
         self.frequency = {k: row[f"d{i}"] or 0 for k, i in self.wanted.items()}
+        if self.wanted:  # counted once for each row, too; without a lambda, which would not be compiled
+            counted = [(F.size(self.names[p]) - F.size(F.array_remove(self.names[p], t))).alias(f"__times{i}") for (p, t), i in self.wanted.items()]
+            held = held.select("*", F.inline(F.array(F.struct(*counted))))
         match, score = self._eval(self.query)
         if least:
             match = match & self._covered(least)
         out = held.withColumns({"__match": match, "__score": F.when(match, score).otherwise(0.0)})
-        return out.drop(*self.names.values())
+        return out.drop(*self.names.values(), *[f"__times{i}" for i in self.wanted.values()])
 
     def _weight(self, path: str, frequency: float, times: Column) -> Column:
         idf = math.log(1 + (self.n - frequency + 0.5) / (frequency + 0.5))
@@ -148,17 +154,16 @@ class Plan:
     def _phrase(self, path: str, words: list[str]) -> list[tuple[Column, Column]]:
         if not words:
             return []
-        tokens, m = F.col(self.names[path]), len(words)
-        starts = F.when(F.size(tokens) >= m, F.sequence(F.lit(0), F.size(tokens) - m)).otherwise(F.array().cast("array<int>"))
-        times = F.size(F.filter(starts, lambda i: F.slice(tokens, i + 1, m) == F.array(*map(F.lit, words))))
+        tokens = F.col(self.names[path])
+        joined = F.concat(F.lit("\x01"), F.array_join(tokens, "\x01"), F.lit("\x01"))
+        quoted = "".join(re.escape(w) + "\x01" for w in words)
+        times = F.regexp_count(joined, F.lit(f"(?=\x01{quoted})"))  # places may overlap
         idf = sum(math.log(1 + (self.n - self.frequency[path, w] + 0.5) / (self.frequency[path, w] + 0.5)) for w in words)
         mean = self.length[path] or 1.0
         weight = F.lit(idf * (K1 + 1)) * times / (times + F.lit(K1 * (1 - B)) + F.size(tokens) * F.lit(K1 * B / mean))
         return [(times > 0, F.when(times > 0, weight).otherwise(0.0))]
 
     def _test(self, c: Clause):
-        import re
-
         word = c.text.lower()
         if c.kind == "fuzzy":
             return lambda t: near(t, word, c.distance)
