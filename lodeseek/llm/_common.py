@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    return "file://" + os.path.join(tempfile.gettempdir(), "lodeseek-shared")
+    return f"file://{_own_folder()}"
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A folder of this process, which goes when it ends."""
+    path = tempfile.mkdtemp(prefix="lodeseek-shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def new_path(spark: SparkSession, label: str) -> str:
