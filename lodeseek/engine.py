@@ -297,7 +297,7 @@ class SearchEngine:
         page = page.limit(top) if top is not None else page
         hits = page.select(*self._shown(index, request, plan, tree))
         made = {p: facets.counts(matched, index, p, n) for p, n in facets.parse(index, _as_list(request.get("facets") or request.get("facet"))).items()}
-        result = Result(hits, matched, made, debug={"query": tree, "fields": fields})
+        result = Result(hits, matched, made, debug=self._debug(index, tree, fields, rules, queries, filter_text))
         if is_semantic:
             conf = index.semantic[semantic_name]
             terms = semantic.query_terms(text or "")
@@ -308,6 +308,15 @@ class SearchEngine:
             result.next_token = ranking.token({"skip": skip + top, "filter": filter_text, "orderby": orderby, "vectors": ranking.vector_hash(queries)})
         return result
 
+    def _debug(self, index: Index, tree, fields: dict[str, float], rules: dict[str, list[str]], queries: list[dict], filter_text: str | None) -> dict:
+        """What was made of a request: the query tree, boosts, synonyms, vector queries and the filter's tree. Counts are the result's own."""
+        maps = {m for p in fields for m in index.at(p).synonyms}
+        words = {c.text: [w for m in sorted(maps) for w in query_text.synonyms(rules.get(m, []), c.text)] for c in query_text.terms(tree) if c.kind == "term"}
+        return {
+            "query": tree, "fields": fields, "synonyms": {k: v for k, v in words.items() if v}, "filter": filters.parse(filter_text) if filter_text else None,
+            "vectors": [{k: q[k] for k in ("fields", "k", "weight")} for q in queries],
+        }
+
     def _shown(self, index: Index, request: dict, plan: bm25.Plan, tree) -> list[Column]:
         select = [s for s in _list(request.get("select")) if s != "*"]
         for p in select:

@@ -137,3 +137,12 @@ def analyze(text: str, name: str | None) -> list[dict]:
             out.append({"token": t, "startOffset": byte(m.start()), "endOffset": byte(m.end()), "position": position})
         position += 1
     return out
+
+
+def analyzed(col: Column, name: str | None) -> Column:
+    """analyze() of a text column: an array of token, startOffset, endOffset, position."""
+
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else analyze(t, name))
+
+    return F.pandas_udf(of, "array<struct<token:string,startOffset:bigint,endOffset:bigint,position:bigint>>")(col)

@@ -203,6 +203,13 @@ _add("a07_edge_ngram", _analyzed("p_name", "edgeNGram_v2"), _token_sql("list_tra
 _add("a08_cjk", _analyzed("p_name", "chinese"), _token_sql("regexp_extract_all(p_name, '[\\p{L}\\p{N}]+')"))
 _add("a09_language", _analyzed("p_name", "fr"), _token_sql("regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')"))
 
+_add(
+    "a10_analyze", lambda s, d: tables.read(s, d, "part").select("p_partkey", F.inline(analyzers.analyzed(F.col("p_name"), "whitespace"))),
+    """SELECT p_partkey, tok[k] AS token, len(array_to_string(tok[1:k - 1], ' ')) + CASE WHEN k > 1 THEN 1 ELSE 0 END AS "startOffset",
+  len(array_to_string(tok[1:k], ' ')) AS "endOffset", k - 1 AS position
+FROM (SELECT p_partkey, tok, unnest(range(1, len(tok) + 1)) AS k FROM (SELECT p_partkey, string_split(p_name, ' ') AS tok FROM part))""",
+)
+
 # vectors
 QUERY = [((i * 37) % 19 - 9) / 10 for i in range(64)]
 _LIST = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY) + "]"
