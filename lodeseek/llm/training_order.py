@@ -29,7 +29,7 @@ from ._tokens import encoder
 STRIDE, SHARD, END, KEY = 256, 8192, 0, 20240229
 VOCABULARY = "byte_bpe_50k.json"
 #: Sequences that a task gathers before it sends them on.
-GATHER = 1 << 15
+GATHER = 1 << 14
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -97,7 +97,11 @@ def write(docs: DataFrame, path: str, out: str, stride: int = STRIDE, shard: int
         at, seen, held, heads, bodies = first.get(part, 0), 0, 0, [], []
 
         def flush() -> pa.RecordBatch:
-            head, body = np.concatenate(heads), np.concatenate(bodies)
+            body = np.concatenate(bodies)
+            ids, none, size_, n = np.array(heads, dtype="<i8").T
+            head = np.repeat(np.column_stack([ids, none, np.cumsum(n) - n, size_, n]), n, axis=0)
+            head[:, 2] = (np.arange(len(head)) - head[:, 2]) * stride
+            head[:, 3] = np.minimum(head[:, 3] - head[:, 2], stride)
             head[:, 4] = order.slots(np.arange(at + seen, at + seen + held))
             by = np.argsort(head[:, 4])
             cuts = np.flatnonzero(np.diff(head[by, 4] // shard)) + 1
@@ -112,11 +116,7 @@ def write(docs: DataFrame, path: str, out: str, stride: int = STRIDE, shard: int
                 n = -(-len(ids) // stride)
                 body = np.zeros((n, stride), dtype="<u2")
                 body.reshape(-1)[: len(ids)] = ids
-                head = np.zeros((n, 5), dtype="<i8")
-                head[:, 0], head[:, 1] = doc_id or 0, doc_id is None
-                head[:, 2] = np.arange(0, n * stride, stride)
-                head[:, 3] = np.minimum(len(ids) - head[:, 2], stride)
-                heads.append(head)
+                heads.append((doc_id or 0, doc_id is None, len(ids), n))
                 bodies.append(body)
                 held += n
                 if held >= GATHER:
@@ -132,7 +132,7 @@ def write(docs: DataFrame, path: str, out: str, stride: int = STRIDE, shard: int
 
         store, folder = fs.FileSystem.from_uri(out)
 
-        def flush(now: int, blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        def flush(now: int, blobs: list[tuple[int, pa.Buffer]]) -> pa.RecordBatch:
             data, heads, crc = np.zeros((min(shard, total - now * shard), stride), dtype="<u2"), [], []
             for n, blob in blobs:
                 raw = memoryview(zstandard.decompress(blob))
@@ -150,7 +150,7 @@ def write(docs: DataFrame, path: str, out: str, stride: int = STRIDE, shard: int
 
         now, held = None, []
         for b in batches:
-            for s, n, blob in zip(*(b.column(c).to_pylist() for c in ("shard", "n", "blob"))):
+            for s, n, blob in zip(b.column("shard").to_pylist(), b.column("n").to_pylist(), map(pa.BinaryScalar.as_buffer, b.column("blob"))):
                 if held and s != now:
                     yield flush(now, held)
                     held = []
