@@ -6,7 +6,7 @@ of the text, and runs of one to three bytes. An indicator is scaled by the log-c
 two classes, documents are scaled to unit length, and the weights come from dual coordinate
 descent. Margins become probabilities by a logistic fit on documents that the weights didn't see.
 
-The model is fitted on SAMPLE labelled documents at most, the ones whose ids hash lowest; every
+The model is fitted on the SAMPLE labelled documents whose ids hash lowest, or all if they are fewer; every
 document is scored on its whole text. Nothing but the text is an input of a score.
 """
 
@@ -164,21 +164,41 @@ def fold() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def _lowest(keyed: DataFrame, most: int) -> Column:
+    """Whether a row's (h, doc_id) is among the `most` lowest of keyed; h has 63 bits.
+
+    The bucket in which the bound lies is split by the next 9 bits until it has `most` rows or fewer; those are ordered here.
+    """
+    shift, prefix, n = 63, 0, 0
+    while True:
+        shift -= 9
+        inside = keyed.where(F.shiftright("h", shift + 9) == prefix)
+        by = {r["b"]: r["n"] for r in inside.groupBy(F.shiftright("h", shift).alias("b")).agg(F.count("*").alias("n")).collect()}  # 512 numbers at most
+        at, end = prefix << 9, (prefix + 1) << 9
+        while at < end and n + by.get(at, 0) <= most:
+            n += by.get(at, 0)
+            at += 1
+        if at == end:
+            return F.lit(True)
+        if by[at] <= most or not shift:
+            break
+        prefix = at
+    if n == most:
+        return F.shiftright("h", shift) < at
+    h, doc_id = sorted((r["h"], r["doc_id"]) for r in keyed.where(F.shiftright("h", shift) == at).select("h", "doc_id").collect())[most - n - 1]
+    return (F.col("h") < h) | ((F.col("h") == h) & (F.col("doc_id") <= doc_id))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on labelled documents outside fold 0.
 
     Labels that are null or that contradict each other for an id are left out; of repeated ids
-    one document counts. The labels chosen are SAMPLE at most, so they may be broadcast.
+    one document counts. The labels chosen are SAMPLE, or all if they are fewer, so they may be broadcast.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(fold() != 0)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
-    keyed = known.select("doc_id", F.col("lo").alias("quality"), F.pmod(F.xxhash64("doc_id"), 1 << 20).alias("h"))
-    by = {r["b"]: r["n"] for r in keyed.groupBy(F.shiftright("h", 10).alias("b")).agg(F.count("*").alias("n")).collect()}  # 1,024 numbers at most
-    top, n = 0, 0
-    while top < 1024 and n + by.get(top, 0) <= SAMPLE:
-        n += by.get(top, 0)
-        top += 1
-    chosen = F.broadcast(keyed.where(F.shiftright("h", 10) < top).select(F.col("doc_id").alias("id"), "quality", "h"))
+    keyed = known.select("doc_id", F.col("lo").alias("quality"), F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h"))
+    chosen = F.broadcast(keyed.where(_lowest(keyed, SAMPLE)).select(F.col("doc_id").alias("id"), "quality", "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
