@@ -15,6 +15,7 @@ text's is "0.0.".
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -140,13 +141,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 BANDS, BAND, CELL_ROWS = 24, 6, 1024
+#: Ratio of the ranges whose positions are banded.
+RANGE = 1.25
+
+
+@lru_cache(maxsize=1024)
+def _bands(level: int, size: int) -> np.ndarray:
+    """BANDS sets of BAND of the first size positions of a level, by hash; a position is in as few of them as possible."""
+    order = [np.argsort(_mixed(np.arange(size), 77 + (level << 40) + (k << 20)), kind="stable")[: size // BAND * BAND] for k in range(-(-BANDS // (size // BAND)))]
+    found = np.sort(np.concatenate(order).reshape(-1, BAND)[:BANDS], axis=1)
+    return np.unique(found, axis=0)
+
+
+def _ranges(m: int, least: float) -> list[int]:
+    """The largest ranges of at most m positions; of m and least * m or more positions two texts have one in common."""
+    sizes = []
+    while (size := math.ceil(BAND * RANGE ** len(sizes))) <= m:
+        sizes.append(size)
+    return sizes[-1 - math.ceil(math.log(1 / least, RANGE) - 1e-9) :]
 
 
 def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, fingerprint, class_id, group_id for each row: near-duplicates by bit-sampled banding and verification.
 
-    class_id is the smallest doc_id with the fingerprint. A band is BAND samples, taken by hash from
-    those of a level; each class is banded at its own level and the next coarser one. Classes that
+    class_id is the smallest doc_id with the fingerprint. A band is BAND samples at
+    positions that a level and a range of its first positions give, so that longer texts band alike;
+    each class is banded at its own level and the next coarser one, in the largest ranges it fills. Classes that
     share a band are linked if at the band's level their likeness is least or more; group_id is the
     smallest doc_id that links reach. Every two classes of a band are compared; a band yields a
     spanning forest. Fingerprints without any doc_id have null ids; the empty text has no band.
@@ -160,14 +180,11 @@ def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
             for fp in b.column("fingerprint").to_pylist():
                 own = int(fp.split(".")[1])
                 for level in (own, own + 1):
-                    where, value = _at_level(fp, level)
-                    # whether a position is in a band depends on it alone, so that texts of other lengths band alike
-                    rank = np.argsort(_mixed(where, 77), kind="stable")
-                    for k in range(BANDS):
-                        pick = np.sort(rank[k * BAND : (k + 1) * BAND])
-                        if len(pick) == BAND:
-                            text = f"{level}.{k}." + ".".join(f"{w}{chr(v)}" for w, v in zip(where[pick].tolist(), value[pick].tolist()))
-                            rows.append((int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little", signed=True), level, fp))
+                    value = _at_level(fp, level)[1]
+                    for size in _ranges(len(value), least):
+                        for k, pick in enumerate(_bands(level, size)):
+                            text = f"{level}.{size}.{k}.".encode() + value[pick].tobytes()
+                            rows.append((int.from_bytes(hashlib.sha256(text).digest()[:8], "little", signed=True), level, fp))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], names=["cell", "level", "fingerprint"])
 
