@@ -30,8 +30,6 @@ from ._common import lookup, materialise, table, text_of
 from ._graph import components
 
 SAMPLES, PERIOD, CLASSES = 256, 4096, 64
-#: Written steps for each character that are sampled; a walk writes two on average.
-STEPS = 2
 PAD = 16
 
 
@@ -69,11 +67,19 @@ def positions(steps: int, level: int) -> np.ndarray:
     return found[: np.searchsorted(found, steps)]
 
 
-def level_of(n: int) -> int:
+def first_positions(count: int, level: int) -> np.ndarray:
+    """The first sampled positions of a level."""
+    steps = max(1, count) << level
+    while len(found := positions(steps, level)) < count:
+        steps *= 2
+    return found[:count]
+
+
+def level_of(steps: int) -> int:
     level = 0
-    while STEPS * n >> level > SAMPLES:
+    while steps >> level > SAMPLES:
         level += 1
-    while level < 60 and len(positions(STEPS * n, level)) > 2 * SAMPLES:
+    while level < 60 and len(positions(steps, level)) > 2 * SAMPLES:
         level += 1
     return level
 
@@ -101,9 +107,9 @@ class Walk:
         n = len(self.nibbles)
         if not n:
             return "0.0."
-        level = level_of(n)
-        at = np.searchsorted(self.steps, positions(STEPS * n, level), side="right") - 1
-        got = np.where(at < n, self.nibbles[np.minimum(at, n - 1)], 0)
+        end = int(self.steps[-1])  # what a slow walk writes last is sampled as well
+        level = level_of(end)
+        got = self.nibbles[np.searchsorted(self.steps, positions(end, level), side="right") - 1]
         return f"{n}.{level}." + "".join(map("0123456789abcdef".__getitem__, got.tolist()))
 
 
@@ -112,9 +118,9 @@ def fingerprint(text: str) -> str:
 
 
 def _at_level(fp: str, level: int) -> tuple[np.ndarray, np.ndarray]:
-    n, own, digits = fp.split(".")
-    where = positions(STEPS * int(n), int(own))
+    _, own, digits = fp.split(".")
     value = np.frombuffer(digits.encode(), dtype=np.uint8)
+    where = first_positions(len(value), int(own))
     stay = _mixed(where, 5) & np.uint64((1 << level) - 1) == 0
     return where[stay], value[stay]
 
