@@ -5,8 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +14,7 @@ from ..errors import SearchError, invalid
 from ..functions.vectors import METRICS
 from ..paths import resolve
 from ..schema import Index
+from ..storage import materialise
 
 RRF = 60
 
@@ -62,23 +61,13 @@ def best(lists: list[DataFrame]) -> DataFrame:
     return out.groupBy("__key").agg(F.max("__score").alias("__score"))
 
 
-def _stable(df: DataFrame) -> DataFrame:
-    """df as it is now: partition numbers stay the same however often it is read."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "lodeseek-checkpoints"))
-    return df.checkpoint()
-
-
 def numbered(scored: DataFrame) -> DataFrame:
     """__key and rank, from 1 on, by falling score and rising key, without one task for all rows.
 
-    Rows are dealt by ranges of the order, and stay so by a checkpoint; how many rows the ranges before
-    hold comes from a count by range.
+    Scores are made once and written with the number of their range, so ranges stay as they are however
+    often they are read; how many rows the ranges before hold comes from a count by range.
     """
-    dealt = _stable(scored.repartitionByRange(F.desc("__score"), F.asc("__key")).withColumn("part", F.spark_partition_id()))
+    dealt = materialise(scored.repartitionByRange(F.desc("__score"), F.asc("__key")).withColumn("part", F.spark_partition_id()), "ranks")
     local = dealt.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("__score"), F.asc("__key"))))
     sizes = local.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a range
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
