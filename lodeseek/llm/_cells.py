@@ -48,29 +48,68 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield t
 
 
-def forest(n: int, near: Callable[[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, root) of a spanning forest of the links among n members; near(at, to): rows at..to-1 against all."""
+def whole(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 18) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of about rows rows that hold whole groups, with each group's start and stop; rows come sorted by long keys."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def cuts(t: pa.Table) -> np.ndarray:
+        k = np.column_stack([t.column(c).to_numpy() for c in keys])
+        return np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1]
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+        if size >= rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            start = cuts(t)
+            if len(start) > 1:
+                last = int(start[-1])
+                yield t.slice(0, last), start[:-1], start[1:]
+                t = t.slice(last)
+            held, size = t.to_batches(), 0  # a long group is looked at again only when as many rows have come on top
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        start = cuts(t)
+        yield t, start, np.r_[start[1:], t.num_rows]
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links (i, j) among n members."""
     root = np.arange(n)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(i):
+        hi, lo = np.maximum(root[i], root[j]), np.minimum(root[i], root[j])
+        order = np.lexsort((lo, hi))
+        hi, lo = hi[order], lo[order]
+        first = np.r_[True, hi[1:] != hi[:-1]]
+        root[hi[first]] = lo[first]  # each root hooks on a smaller one
+        out.append((hi[first], lo[first]))
+        while (root[root] != root).any():
+            root = root[root]
+        open_ = root[i] != root[j]
+        i, j = i[open_], j[open_]
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
 
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
+def forest(n: int, near: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, root) of a spanning forest of the links among n members; near(rows): links of these members with all.
+
+    Members that the first one links are one component already, so only the others are compared with all: links
+    within the first one's star can't join anything else. A tight group costs little more than a row of its pairs.
+    """
+    star = near(np.zeros(1, dtype=np.int64))[0].copy()
+    star[0] = True
+    linked = np.flatnonzero(star)
+    edges = [(linked, np.zeros(len(linked), dtype=np.int64))]
+    rest = np.flatnonzero(~star)
     step = max(1, (1 << 21) // n)
-    for at in range(0, n, step):
-        i, j = np.nonzero(near(at, min(n, at + step)))
-        i = i + at
-        i, j = i[i > j], j[i > j]
-        while len(i):
-            for a, b in {(x, y) for x, y in zip(root[i[:4096]].tolist(), root[j[:4096]].tolist()) if x != y}:
-                a, b = top(a), top(b)
-                root[max(a, b)] = min(a, b)
-            i, j = i[4096:], j[4096:]
-            while (root[root] != root).any():
-                root = root[root]
-            open_ = root[i] != root[j]
-            i, j = i[open_], j[open_]
-    away = np.nonzero(root != np.arange(n))[0]
-    return away, root[away]
+    for at in range(0, len(rest), step):
+        i, j = np.nonzero(near(rest[at : at + step]))
+        i = rest[at + i]
+        other = i != j
+        edges.append(spanning(n, i[other], j[other]))
+    i, j = (np.concatenate(x) for x in zip(*edges))
+    other = i != j
+    return spanning(n, i[other], j[other])

@@ -1,16 +1,12 @@
-"""What the operators share: the shared folder, written intermediates, skew-safe lookups."""
+"""What the operators share: written intermediates, free names, skew-safe lookups."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import clear, discard, exists, mark, materialise, new_path, read_text, remove, shared_dir, write_text  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: At most this many keys can each hold more than 1/HEAVY_KEYS of the rows, so a
@@ -32,43 +28,12 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    return f"file://{_own_folder()}"
-
-
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    """A folder of this process, which goes when it ends."""
-    path = tempfile.mkdtemp(prefix="lodeseek-shared-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, so a lost
-    executor costs a reread and not the work before it."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._lodeseek_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what materialise() wrote for df; df must not be read afterwards."""
-    jvm, path = df.sparkSession._jvm, df._lodeseek_path
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def free(columns: list[str], wanted: str) -> str:
+    """wanted, or wanted with as many underscores as make it a name that columns don't have."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def lookup(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ The model has one piece for each rank: the token's bytes, each mapped to a print
 character, scored by the negative rank, so that the merge with the lowest rank comes first.
 Its normaliser is the identity. A text is split by the public pattern; each pre-token's UTF-8
 bytes are mapped, encoded, and the piece ids are the ranks. Decoding maps ids back to bytes.
-Nothing is trained. Null and empty texts have no tokens.
+Nothing is trained. Null and empty texts have no tokens; repeated rows come out as often as they go
+in; columns other than doc_id and text are not looked at; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -30,7 +30,8 @@ from ._common import lookup, materialise, table, text_of
 from ._graph import components
 
 SAMPLES, PERIOD, CLASSES = 256, 4096, 64
-PAD = 16
+#: Bytes of text that a task of edited() gets.
+TASK_BYTES = 64_000_000
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -203,11 +204,11 @@ def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
             for i, v in enumerate(values):
                 grid[i, : len(v)] = v
 
-            def near(at: int, to: int) -> np.ndarray:
-                out = np.zeros((to - at, len(fps)), dtype=bool)
-                for i in range(at, to):
+            def near(rows: np.ndarray) -> np.ndarray:
+                out = np.zeros((len(rows), len(fps)), dtype=bool)
+                for k, i in enumerate(rows.tolist()):
                     same = ((grid[i] == grid) & (grid != 0)).sum(axis=1)
-                    out[i - at] = same >= least * np.maximum(size[i], size)
+                    out[k] = same >= least * np.maximum(size[i], size)
                 return out
 
             away, root = forest(len(fps), near)
@@ -230,11 +231,16 @@ def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     The next document is the one with the next smaller doc_id (null ids come last, equal ids in the
     order of their texts' hashes); after the last comes the first. Rows are dealt to ranges of
     doc_id; the last row of a range's predecessor needs the range's first row, so each range's
-    first row goes to the range before too, and no order needs one task. One document is its own next; null texts count as empty; no rows give none.
+    first row goes to the range before too, and no order needs one task. Neighbouring ranges go to a
+    partition until it has its share of all bytes; there are as many partitions as give TASK_BYTES each,
+    or the session's number of shuffle partitions, if that is more. One document is its own next; null texts count as empty; no rows give none.
     """
     spark = docs.sparkSession
-    n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc_id = F.col("doc_id").cast("long")
+    size = F.octet_length(text_of()) + 64
+    total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    n = ranges or 8 * tasks
     base = docs.select(doc_id.alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
     shares = [i / n for i in range(1, n)]
     found = docs.agg(F.percentile_approx(doc_id, shares, 5 * n)).first()[0] if shares else None
@@ -248,15 +254,18 @@ def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     numbered = F.pandas_udf(number, "long")(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "h")  # no nulls: they would make floats of the ids
     rows = base.withColumn("range", numbered)
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h")
-    narrow = docs.select(doc_id.alias("doc_id"), F.xxhash64(text_of()).alias("h"))
-    firsts = narrow.withColumn("range", numbered).groupBy("range").agg(F.max(place).alias("first")).orderBy("range").collect()  # a row a range
-    look = [(r["range"], r["first"]["doc_id"], r["first"]["h"], firsts[k - 1]["range"]) for k, r in enumerate(firsts)]
-    ahead = F.broadcast(spark.createDataFrame(look, "range long, first_id long, first_h long, before long"))
-    hit = (rows["range"] == ahead["range"]) & rows["doc_id"].eqNullSafe(ahead["first_id"]) & (rows["h"] == ahead["first_h"])
-    marked = rows.join(ahead, hit, "left").select(rows["range"], "doc_id", "h", "text", "before")
-    copies = F.array(F.struct("range", F.lit(False).alias("ahead")), F.struct(F.col("before").alias("range"), F.lit(True).alias("ahead")))
-    dealt = marked.select("doc_id", "h", "text", F.explode(F.filter(copies, lambda x: x["range"].isNotNull())).alias("to")).select("to.range", "to.ahead", "doc_id", "h", "text")
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range", "ahead", F.desc_nulls_last("doc_id"), F.desc("h"))
+    narrow = docs.select(doc_id.alias("doc_id"), F.xxhash64(text_of()).alias("h"), size.alias("size"))
+    firsts = narrow.withColumn("range", numbered).groupBy("range").agg(F.max(place).alias("first"), F.sum(F.col("size").cast("long")).alias("size")).orderBy("range").collect()  # a row a range
+    filled = np.cumsum([r["size"] for r in firsts])
+    middle = filled - np.array([r["size"] for r in firsts], dtype=np.int64) / 2 if firsts else filled
+    to = {r["range"]: min(tasks - 1, int(m * tasks / filled[-1])) for r, m in zip(firsts, middle)}
+    look = [(r["range"], r["first"]["doc_id"], r["first"]["h"], firsts[k - 1]["range"], to[r["range"]], to[firsts[k - 1]["range"]]) for k, r in enumerate(firsts)]
+    ahead = F.broadcast(spark.createDataFrame(look, "range long, first_id long, first_h long, before long, task int, task_before int"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    marked = rows.join(ahead, "range").withColumn("before", F.when(is_first, F.col("before")))
+    copies = F.array(F.struct("task", "range", F.lit(False).alias("ahead")), F.struct(F.col("task_before").alias("task"), F.col("before").alias("range"), F.lit(True).alias("ahead")))
+    dealt = marked.select("doc_id", "h", "text", F.explode(F.filter(copies, lambda x: x["range"].isNotNull())).alias("to")).select("to.task", "to.range", "to.ahead", "doc_id", "h", "text")
+    dealt = dealt.repartitionById(tasks, F.col("task")).drop("task").sortWithinPartitions("range", "ahead", F.desc_nulls_last("doc_id"), F.desc("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None

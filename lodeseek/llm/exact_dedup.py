@@ -12,12 +12,13 @@ texts count as empty. Empty tables give empty results; other columns are left al
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lookup, lower_ascii, materialise, new_path, table, text_of
+from ._common import exists, free, lookup, lower_ascii, materialise, new_path, read_text, table, text_of, write_text
 
 
 def digest(column: str = "text"):
@@ -25,21 +26,39 @@ def digest(column: str = "text"):
     return F.unhex(F.sha2(lower_ascii(text_of(column)), 256))
 
 
+#: Holds the number of buckets; readers of the folder skip names with an underscore.
+MANIFEST = "_digest_index.json"
+SCHEMA = "digest BINARY, keep_id BIGINT, keep_row BIGINT, group_size BIGINT, batch STRING"
+
+
 class DigestIndex:
     """Digests seen so far: digest, keep_id, keep_row, group_size, batch; bucketed by digest.
 
-    A path that holds an index is opened again, with the number of buckets it was made with.
+    The number of buckets is stored in the index's folder when it is made. A path that holds an
+    index is opened again with that number, whatever the session's settings; asking for another
+    is an error, and so is a folder of data without the number. close() forgets the session's
+    table; the data stay.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.path = path or new_path(spark, "digest-index")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = (path or new_path(spark, "digest-index")).rstrip("/")
+        made = read_text(spark, f"{self.path}/{MANIFEST}")
+        if made is None:
+            if exists(spark, self.path) and not spark.read.schema(SCHEMA).parquet(self.path).isEmpty():
+                raise ValueError(f"{self.path} holds data but no {MANIFEST}")
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            write_text(spark, f"{self.path}/{MANIFEST}", json.dumps({"buckets": self.buckets}))
+        else:
+            self.buckets = int(json.loads(made)["buckets"])
+            if buckets not in (None, self.buckets):
+                raise ValueError(f"{self.path} has {self.buckets} buckets, not {buckets}")
         self.name = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, keep_row BIGINT, group_size BIGINT, batch STRING) USING parquet "
-            f"OPTIONS (path '{self.path}') CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
-        )
+        spark.sql(f"CREATE TABLE {self.name} ({SCHEMA}) USING parquet OPTIONS (path '{self.path}') CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS")
+
+    def close(self) -> None:
+        """Drops the session's name of the table; DataFrames that were made of it go on."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -62,23 +81,28 @@ def mark(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
     group_size counts the batch that brought the text first.
     """
-    index = index or DigestIndex(docs.sparkSession)
+    own = index or DigestIndex(docs.sparkSession)
     rows = materialise(docs.select("doc_id", digest().alias("digest"), F.monotonically_increasing_id().alias("row_id")), "digests")
-    batch = index.add(rows)
-    found = lookup(rows, index.read(), "digest", "group_size")
+    batch = own.add(rows)
+    found = lookup(rows, own.read(), "digest", "group_size")
+    if not index:
+        own.close()
     kept = (F.col("batch") == batch) & (F.col("row_id") == F.col("keep_row"))
     return found.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
 def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    index = index or DigestIndex(docs.sparkSession)
+    """The rows of docs that stay, with all their columns, whatever these are called."""
+    own = index or DigestIndex(docs.sparkSession)
     names = docs.columns
-    batch = index.add(docs.select("doc_id", digest().alias("digest"), F.lit(0).cast("long").alias("row_id")))
-    keyed = docs.select(digest().alias("__digest"), *[F.col(f"`{c}`") for c in names])
-    ours = index.read().select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"), F.col("batch").alias("__batch"))
-    found = lookup(keyed, ours, "__digest", "__size").where(F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__batch") == batch))
-    return found.dropDuplicates(["__digest"]).select(*[F.col(f"`{c}`") for c in names])
+    batch = own.add(docs.select("doc_id", digest().alias("digest"), F.lit(0).cast("long").alias("row_id")))
+    key, keep, size, brought = (free(names, n) for n in ("__digest", "__keep", "__size", "__batch"))
+    keyed = docs.select(digest().alias(key), *[F.col(f"`{c}`") for c in names])
+    ours = own.read().select(F.col("digest").alias(key), F.col("keep_id").alias(keep), F.col("group_size").alias(size), F.col("batch").alias(brought))
+    found = lookup(keyed, ours, key, size).where(F.col("doc_id").eqNullSafe(F.col(keep)) & (F.col(brought) == batch))
+    if not index:
+        own.close()
+    return found.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ of the text, and runs of one to three bytes. An indicator is scaled by the log-c
 two classes, documents are scaled to unit length, and the weights come from dual coordinate
 descent. Margins become probabilities by a logistic fit on documents that the weights didn't see.
 
-The model is fitted on the SAMPLE labelled documents whose ids hash lowest, or all if they are fewer; every
+The model is fitted on the SAMPLE labelled documents whose ids hash lowest, or all if they are fewer, and on
+the first of these in that order whose feature numbers fill SAMPLE_BYTES, which bounds the driver's memory; every
 document is scored on its whole text. Nothing but the text is an input of a score.
 """
 
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, text_of
+from ._common import free, materialise, table, text_of
 
-#: Labelled documents that the model is fitted on, at most.
-SAMPLE = 12_000
+#: Labelled documents that the model is fitted on, at most, and bytes of their feature numbers.
+SAMPLE, SAMPLE_BYTES = 12_000, 128_000_000
 BITS = 18
 THRESHOLD = 0.3
 FOLDS = 5
@@ -33,10 +34,10 @@ _shapes: dict[str, int] = {}
 
 
 def _shape(word: str) -> int:
-    """16 bits of a hash of the word's kinds of characters, each run of a kind counted once."""
-    kinds = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:256]]
+    """16 bits of a hash of the kinds of all characters of a word, each run of a kind counted once."""
+    kinds = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
     runs = [k for k, last in zip(kinds, ["", *kinds]) if k != last]
-    return zlib.crc32("".join(runs[:8]).encode("utf-8", "replace")) & 0xFFFF
+    return zlib.crc32("".join(runs).encode("utf-8", "replace")) & 0xFFFF
 
 
 def _hash(codes: np.ndarray, kind: int) -> np.ndarray:
@@ -101,18 +102,17 @@ class Model:
 
 
 def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: np.ndarray, passes: int = 12, seed: int = 7) -> np.ndarray:
-    """Dual coordinate descent for the squared hinge loss; rows: (feature numbers, values) of unit length."""
+    """Dual coordinate descent for the hinge loss: a dual variable a row, within 0 and its cost; rows: (feature numbers, values)."""
     w, a = np.zeros(size), np.zeros(len(rows))
-    diagonal = 0.5 / cost
     rng = np.random.default_rng(seed)
     for _ in range(passes):
         moved = 0.0
         for i in rng.permutation(len(rows)):
             f, v = rows[i]
-            g = y[i] * (w[f] @ v) - 1 + diagonal[i] * a[i]
-            if a[i] == 0 and g >= 0:
+            g, norm = y[i] * (w[f] @ v) - 1, v @ v
+            if norm == 0 or a[i] == 0 and g >= 0 or a[i] == cost[i] and g <= 0:
                 continue
-            new = max(a[i] - g / (v @ v + diagonal[i]), 0.0)
+            new = min(max(a[i] - g / norm, 0.0), cost[i])
             w[f] += (new - a[i]) * y[i] * v
             moved = max(moved, abs(new - a[i]))
             a[i] = new
@@ -207,14 +207,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(chosen, F.col("doc_id") == F.col("id"))
     rows = texts.select("id", "h", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(run, "id long, h long, quality int, found binary")
-    got = rows.groupBy("id").agg(F.max(F.struct("h", "quality", "found")).alias("x")).select("id", "x.*").collect()
-    got.sort(key=lambda r: (r["h"], r["id"]))
+    once = materialise(rows.groupBy("id").agg(F.max(F.struct("h", "quality", "found")).alias("x")).select("id", "x.*"), "quality-sample")
+    sizes = sorted((r["h"], r["id"], r["n"]) for r in once.select("h", "id", F.octet_length("found").alias("n")).collect())  # SAMPLE rows at most
+    filled = np.cumsum([n for *_, n in sizes])
+    if len(sizes) and filled[-1] > SAMPLE_BYTES:
+        h, i, _ = sizes[max(0, int(np.searchsorted(filled, SAMPLE_BYTES, side="right")) - 1)]
+        once = once.where((F.col("h") < h) | ((F.col("h") == h) & (F.col("id") <= i)))
+    got = sorted(once.collect(), key=lambda r: (r["h"], r["id"]))
     y = np.array([1 if r["quality"] == 1 else -1 for r in got])
     return fit([np.frombuffer(r["found"], dtype="<i4") for r in got], y)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column __score: higher where label 1 is likelier. Null texts count as empty."""
+def score(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
+    """docs with the column name, which they must not have: higher where label 1 is likelier. Null texts count as empty."""
     sent = docs.sparkSession.sparkContext.broadcast((model.ratio.astype(np.float32), (model.ratio * model.weight).astype(np.float32), model.slope, model.shift))
 
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -227,12 +232,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out[i] = slope * product[f].sum(dtype=np.float64) / max(np.sqrt(r @ r), 1e-12) + shift
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
-    return docs.withColumn("__score", F.pandas_udf(of, "double")(text_of()))
+    return docs.withColumn(name, F.pandas_udf(of, "double")(text_of()))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score is THRESHOLD or more, with all their columns."""
-    return score(docs, train(docs, labels)).where(F.col("__score") >= THRESHOLD).drop("__score")
+    own = free(docs.columns, "__score")
+    return score(docs, train(docs, labels), own).where(F.col(own) >= THRESHOLD).drop(own)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

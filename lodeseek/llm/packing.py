@@ -1,15 +1,17 @@
 """Packs tokenised documents into fixed-length sequences by cutting-stock column generation.
 
 A document's ids are cut into pieces of the whole length, each a sequence of its own, and one
-shorter rest. Rests are counted by length in units of UNIT tokens, rounded up. A linear program
-over patterns (how many rests of each length go in a sequence) is solved on that histogram, of
-at most length / UNIT numbers: its columns are priced by a knapsack dynamic program. Patterns
+shorter rest. Rests are counted in units of UNIT tokens, rounded up; of rests of FINE tokens or less,
+as many of one length go together as fill whole units, so that short ones leave no room unused. A
+linear program over patterns (how many items of each size go in a sequence) is solved on that
+histogram, of at most length / UNIT numbers: its columns are priced by a knapsack dynamic program. Patterns
 are used a rounded-down number of times, what is left goes first-fit in decreasing length.
 Rests are ranked within their length, and each pattern takes the next ranks of its lengths.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +26,9 @@ from pyspark.sql.window import Window
 from ._common import materialise, table, text_of
 from ._tokens import ids_of
 
-LENGTH, UNIT, END = 1024, 8, 0
-#: Ranks within a length are given in so many strands at once.
-STRANDS = 1024
+LENGTH, FINE, UNIT, END = 1024, 64, 8, 0
+#: Ranks within a kind are given in so many strands at once.
+STRANDS = 256
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -128,6 +130,32 @@ def plan(histogram: dict[int, int], room: int) -> Plan:
     return Plan(*(np.array([r[i] for r in rows], dtype=np.int64) for i in range(5)), first)
 
 
+def kind_of(length: Column) -> Column:
+    """Rests that are alike to the plan: those of one length up to FINE, those of as many units above."""
+    return F.when(length <= FINE, length).otherwise(F.ceil(length / UNIT) + FINE).cast("long")
+
+
+def items(counts: dict[int, int], room: int) -> tuple[dict[int, int], np.ndarray]:
+    """Number of items by units, and segments (kind, first rank, rests an item, units, first item); counts: number of rests by kind."""
+    demand: dict[int, int] = {}
+    rows = []
+
+    def add(kind: int, first: int, each: int, units: int, n: int) -> None:
+        if n:
+            rows.append((kind, first, each, units, demand.get(units, 0)))
+            demand[units] = demand.get(units, 0) + n
+
+    for kind, n in sorted(counts.items()):
+        if kind > FINE:
+            add(kind, 0, 1, kind - FINE, n)
+            continue
+        each = UNIT // math.gcd(kind, UNIT)
+        whole = n // each if kind * each // UNIT <= room else 0
+        add(kind, 0, each, kind * each // UNIT, whole)
+        add(kind, whole * each, 1, -(-kind // UNIT), n - whole * each)
+    return demand, np.array(rows, dtype=np.int64).reshape(-1, 5)
+
+
 def cut(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """A row for each piece: uid (unique), doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit)."""
 
@@ -156,30 +184,37 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, payload: Column | Non
     payload is made of a piece's columns before it travels; without it, ids. Null texts count
     as empty (one piece with the end id alone), null doc_ids stay null, repeated rows are packed
     each for itself, an empty table gives no rows. A piece of length is a sequence of its own;
-    sequence ids are unique, not dense.
+    sequence ids are unique, not dense. length is a multiple of UNIT.
     """
+    if length % UNIT:
+        raise ValueError(f"length must be a multiple of {UNIT}")
     spark = docs.sparkSession
     carried = (F.col("ids") if payload is None else payload).alias("payload")
     pieces = materialise(cut(docs, path, length).select("uid", "doc_id", "start", "length", "doc_tokens", carried), "pieces")
     room, columns = length // UNIT, ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "payload")
-    rests = pieces.where(F.col("length") < length).select("uid", "length", F.ceil(F.col("length") / UNIT).cast("long").alias("size"), F.pmod(F.xxhash64("uid"), STRANDS).alias("strand"))
-    strands = rests.groupBy("size", "strand").agg(F.count("*").alias("n"))
-    counts = {int(r["size"]): int(r["n"]) for r in strands.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most room rows
-    made = plan(counts, room)
+    rests = pieces.where(F.col("length") < length).select("uid", "length", kind_of(F.col("length")).alias("kind"), F.pmod(F.xxhash64("uid"), STRANDS).alias("strand"))
+    strands = rests.groupBy("kind", "strand").agg(F.count("*").alias("n"))
+    counts = {int(r["kind"]): int(r["n"]) for r in strands.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # FINE + room rows at most
+    demand, segments = items(counts, room)
+    made = plan(demand, room)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = int(made.stop.max(initial=0)) + 1
         at = made.size * top + made.start
+        most = max(counts.values(), default=0) + 1
+        kinds = segments[:, 0] * most + segments[:, 1]
         for b in batches:
-            size, rank = (b.column(c).to_numpy() for c in ("size", "rank"))
+            kind, rank = (b.column(c).to_numpy() for c in ("kind", "rank"))
+            own = segments[np.searchsorted(kinds, kind * most + rank, side="right") - 1]
+            size, rank = own[:, 3], own[:, 4] + (rank - own[:, 1]) // own[:, 2]
             k = np.searchsorted(at, size * top + rank, side="right") - 1
             seq = made.first[k] + (rank - made.start[k]) // made.each[k]
             yield pa.record_batch([b.column("uid"), b.column("length"), pa.array(seq)], names=["uid", "length", "sequence_id"])
 
-    # room * STRANDS rows at most
-    offsets = F.broadcast(strands.select("size", "strand", (F.sum("n").over(Window.partitionBy("size").orderBy("strand")) - F.col("n")).alias("before")))
-    local = F.row_number().over(Window.partitionBy("size", "strand").orderBy("uid")) - 1
-    ranked = rests.withColumn("local", local).join(offsets, ["size", "strand"]).select("uid", "length", "size", (F.col("local") + F.col("before")).alias("rank"))
+    # (FINE + room) * STRANDS rows at most
+    offsets = F.broadcast(strands.select("kind", "strand", (F.sum("n").over(Window.partitionBy("kind").orderBy("strand")) - F.col("n")).alias("before")))
+    local = F.row_number().over(Window.partitionBy("kind", "strand").orderBy("uid")) - 1
+    ranked = rests.withColumn("local", local).join(offsets, ["kind", "strand"]).select("uid", "length", "kind", (F.col("local") + F.col("before")).alias("rank"))
     placed = ranked.mapInArrow(place, "uid long, length long, sequence_id long")
     before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("uid")) - F.col("length")
     where = placed.select("uid", "sequence_id", before.alias("offset"))

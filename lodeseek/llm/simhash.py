@@ -1,12 +1,20 @@
 """SimHash near-dedup by segment popcounts.
 
-A fingerprint's 32 segments of two bits become a point of 32 bit counts. The Manhattan
-distance of two points is a lower bound of the fingerprints' Hamming distance: one differing
-bit moves one count by one. So fingerprints with at most RADIUS = 3 differing bits lie within
-Manhattan distance 3, and of the BLOCKS = 6 blocks of segments at most three differ. The
-grid's cells are the points' projections on three of the six blocks: each point goes to its
-20 cells, every pair within the range shares a cell, and inside a cell pairs are tested by
-Manhattan distance and then by the fingerprints themselves. No pair is lost.
+A fingerprint's segments of two bits become a point of bit counts. The Manhattan distance of two
+points is a lower bound of the fingerprints' Hamming distance: one differing bit moves one count
+by one. So fingerprints within a radius lie within that Manhattan distance, and a grid over the
+points finds them: points that share a cell are tested by Manhattan distance and then by the
+fingerprints themselves.
+
+NARROW is the operator's own kind: 64 bits of three-word shingles, radius 3. Its cells are the
+points' projections on all but three of a number of blocks; of these at most three differ, so
+every pair within the radius shares a cell and no link is lost. The number of blocks follows the
+number of fingerprints, so that cells stay small.
+
+WIDE is for near copies by the usual measure: five-word shingles, similarity 0.8 or more. A
+fingerprint has 256 bits, as 64 can't tell such pairs from others, and the radius is RADIUS_WIDE. Its
+cells are projections on segments chosen by hash; their number and that of projections follow
+the number of fingerprints, for a chance of WIDE_RECALL or more to meet at a similarity of 0.8.
 
 Only distinct fingerprints are joined, and a cell yields the edges of a spanning forest
 instead of its pairs. A cell of over CELL_ROWS fingerprints is split in blocks by hash, and
@@ -15,7 +23,9 @@ each pair of blocks is a unit of its own, so that no task gets a cell that grows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -24,36 +34,62 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._cells import forest, groups, parted
-from ._common import lookup, materialise, table, text_of
+from ._cells import forest, parted, spanning, whole
+from ._common import free, lookup, materialise, table, text_of
 from ._graph import components
 
-SHINGLE, RADIUS, BLOCKS, SEED = 3, 3, 6, 42
+SEED = 42
 CELL_ROWS = 4096
+#: Groups of at most so many rows are compared shift by shift, many groups at once.
+SMALL = 64
 LOW = 0x5555555555555555
+RADIUS_WIDE, WIDE_RECALL, WIDE_CELL = 44, 0.97, 32
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+@dataclass(frozen=True)
+class Kind:
+    """shingle: words; lanes: 64-bit words of a fingerprint; radius: most differing bits of a link."""
+
+    shingle: int
+    lanes: int
+    radius: int
+
+
+NARROW, WIDE = Kind(3, 1, 3), Kind(5, 4, RADIUS_WIDE)
+
+
+def _lanes(h: np.ndarray, lanes: int) -> Iterator[np.ndarray]:
+    """h itself, then further hashes made of it."""
+    yield h
+    with np.errstate(over="ignore"):
+        for k in range(1, lanes):
+            x = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            yield x ^ (x >> np.uint64(32))
+
+
+def lanes_of(text: str, kind: Kind = NARROW) -> np.ndarray:
     """A bit is 1 if it is set in over half of the shingles' hashes, repeats included; 0 without words."""
     words = text.encode("utf-8", "replace").lower().split()  # ASCII letters and white space only, as bytes have no others
     if not words:
-        return 0
-    if len(words) <= shingle:
+        return np.zeros(kind.lanes, dtype="<u8")
+    if len(words) <= kind.shingle:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     else:
-        shifted = zip(*(words[i:] for i in range(shingle)))
+        shifted = zip(*(words[i:] for i in range(kind.shingle)))
         hashes = [xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in shifted]
-    h = np.array(hashes, dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    out = []
+    for h in _lanes(np.array(hashes, dtype="<u8"), kind.lanes):
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return np.array(out, dtype="<u8")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), dtype="<u8", count=b.num_rows)
-        yield pa.record_batch([b.column("doc_id"), b.column("row_key"), pa.array(found.view("<i8"))], names=["doc_id", "row_key", "fp"])
+def fingerprint(text: str) -> int:
+    """The 64 bits of NARROW."""
+    return int(lanes_of(text)[0])
 
 
 def row_key():
@@ -61,10 +97,17 @@ def row_key():
     return F.xxhash64(F.col("doc_id").cast("long"), text_of())
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key and fp (64 bits as a signed long) for each row; null texts count as empty."""
+def fingerprints(docs: DataFrame, kind: Kind = NARROW) -> DataFrame:
+    """doc_id, row_key and fp (a signed long, or bytes of more lanes than one) for each row; null texts count as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [lanes_of(t.as_py(), kind) for t in b.column("text")]
+            fp = pa.array(np.array(found, dtype="<u8").reshape(-1).view("<i8")) if kind.lanes == 1 else pa.array([x.tobytes() for x in found], pa.binary())
+            yield pa.record_batch([b.column("doc_id"), b.column("row_key"), fp], names=["doc_id", "row_key", "fp"])
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text_of().alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, row_key long, fp long")
+    return rows.mapInArrow(run, f"doc_id long, row_key long, fp {'long' if kind.lanes == 1 else 'binary'}")
 
 
 def _counts(fp):
@@ -73,70 +116,150 @@ def _counts(fp):
     return F.shiftleft(fp.bitwiseAND(half).bitwiseAND(LOW), 1).bitwiseOR(fp.bitwiseXOR(half).bitwiseAND(LOW))
 
 
-def _masks() -> list[int]:
-    edges = [round(i * 32 / BLOCKS) * 2 for i in range(BLOCKS + 1)]
-    blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
-    masks = [sum(x) for x in combinations(blocks, BLOCKS - RADIUS)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def points(fp: np.ndarray) -> np.ndarray:
+    """The same for an array."""
+    half, low = fp >> np.uint64(1), np.uint64(LOW)
+    return ((fp & half & low) << np.uint64(1)) | ((fp ^ half) & low)
 
 
-def _forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links among fp."""
-    half = fp >> np.uint64(1)
-    low = np.uint64(LOW)
-    point = ((fp & half & low) << np.uint64(1)) | ((fp ^ half) & low)
+def blocks_for(n: int, radius: int = NARROW.radius) -> int:
+    """Blocks of segments: the fewest that leave cells of one point or less on average (a segment's count has 1.5 bits), 16 at most."""
+    return next((b for b in range(5, 16) if 48 * (b - radius) / b >= math.log2(max(2, n))), 16)
 
-    def near(at: int, to: int) -> np.ndarray:
-        z = point[at:to, None] ^ point[None, :]
-        lo, hi = z & low, (z >> np.uint64(1)) & low
-        found = np.bitwise_count(lo).astype(np.int16) + 2 * np.bitwise_count(hi & ~lo) <= RADIUS
-        i, j = np.nonzero(found)
-        found[i, j] = np.bitwise_count(fp[at + i] ^ fp[j]) <= RADIUS
-        return found
-
-    away, root = forest(len(fp), near)
-    return fp[away], fp[root]
 
+def _masks(blocks: int, radius: int = NARROW.radius) -> list[int]:
+    edges = [round(i * 32 / blocks) * 2 for i in range(blocks + 1)]
+    parts = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
+    masks = [sum(x) for x in combinations(parts, blocks - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
-def _cell_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in groups(batches, ["mask", "cell", "part"]):
-        a, b = _forest(np.unique(t.column("fp").to_numpy().view(np.uint64)))
-        if len(a):
-            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+def projections_for(n: int, recall: float = WIDE_RECALL) -> tuple[int, int]:
+    """Segments of a cell, and projections, for n fingerprints of WIDE.
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints (fp): a forest with the components of all links of at most RADIUS bits."""
-    point = _counts(F.col("fp"))
-    cells = distinct.select("fp", F.posexplode(F.array(*[point.bitwiseAND(m) for m in _masks()])).alias("mask", "cell"))
-    cells = cells.select(F.col("mask").cast("long").alias("mask"), "cell", "fp")
-    return parted(cells, ["mask", "cell"], "fp", CELL_ROWS).mapInArrow(_cell_edges, "a long, b long").distinct()
+    Counts of two unrelated segments are equal with chance 3/8. At a similarity of 0.8 a bit differs with chance
+    0.15, so a segment's counts are equal with chance 0.85^2 + 0.15^2 / 2. Cells have WIDE_CELL unrelated points at most.
+    """
+    k = max(4, math.ceil(math.log(max(1, n / WIDE_CELL)) / math.log(8 / 3)))
+    meet = (0.85**2 + 0.15**2 / 2) ** k
+    return k, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def _linked(point: np.ndarray, fp: np.ndarray, i, j, radius: int) -> np.ndarray:
+    """Whether members i and j (index arrays that broadcast) are within the radius: Manhattan distance first, then the bits."""
+    low = np.uint64(LOW)
+    far = 0
+    for k in range(fp.shape[1]):
+        z = point[i, k] ^ point[j, k]
+        lo, hi = z & low, (z >> np.uint64(1)) & low
+        far = far + np.bitwise_count(lo).astype(np.int16) + 2 * np.bitwise_count(hi & ~lo)
+    found = far <= radius
+    at = np.nonzero(found)
+    a, b = (np.broadcast_to(x, found.shape)[at] for x in (i, j))
+    found[at] = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= radius
+    return found
+
+
+def _edges(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Fingerprints at both ends of the edges of each cell's spanning forest."""
+    for t, start, stop in whole(batches, ["mask", "cell", "part"]):
+        column = t.column("fp").combine_chunks()
+        if kind.lanes == 1:
+            fp = column.to_numpy().view(np.uint64).reshape(-1, 1)
+        else:
+            fp = np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, kind.lanes)
+        point, size = points(fp), stop - start
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        ends = np.repeat(np.where(size <= SMALL, stop, 0), size)  # of small groups' rows
+        rows = np.flatnonzero(ends)
+        for shift in range(1, min(SMALL, int(size.max(initial=1)))):
+            rows = rows[rows + shift < ends[rows]]
+            if not len(rows):
+                break
+            hit = rows[_linked(point, fp, rows, rows + shift, kind.radius)]
+            found.append((hit, hit + shift))
+        for s, e in zip(start[size > SMALL].tolist(), stop[size > SMALL].tolist()):
+            all_ = np.arange(s, e)
+            away, root = forest(e - s, lambda r: _linked(point, fp, (s + r)[:, None], all_[None, :], kind.radius))
+            found.append((s + away, s + root))
+        if found:
+            i, j = spanning(len(fp), *(np.concatenate(x) for x in zip(*found)))
+            if len(i):
+                yield fp[i], fp[j]
+
+
+def links(distinct: DataFrame, kind: Kind = NARROW, n: int | None = None) -> DataFrame:
+    """Edges (a, b) among distinct fingerprints (fp): a forest with the components of the links of at most radius bits.
+
+    Ends are fingerprints of one lane, or the 64-bit hash of longer ones. n: how many there are.
+    """
+    n = distinct.count() if n is None else n
+    if kind.lanes == 1:
+        point = _counts(F.col("fp"))
+        masks = _masks(blocks_for(n, kind.radius), kind.radius)
+        cells = distinct.select("fp", F.posexplode(F.array(*[point.bitwiseAND(m) for m in masks])).alias("mask", "cell"))
+        cells = cells.select(F.col("mask").cast("long").alias("mask"), "cell", "fp")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for a, b in _edges(batches, kind):
+                yield pa.record_batch([pa.array(a[:, 0].view(np.int64)), pa.array(b[:, 0].view(np.int64))], names=["a", "b"])
+
+        return parted(cells, ["mask", "cell"], "fp", CELL_ROWS).mapInArrow(run, "a long, b long").distinct()
+
+    k, many = projections_for(n)
+    rng = np.random.default_rng(SEED)
+    picks = [np.sort(rng.choice(32 * kind.lanes, min(k, 32 * kind.lanes), replace=False)) for _ in range(many)]
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.column("fp").slice(at, 1024)
+                fp = np.frombuffer(b"".join(part.to_pylist()), dtype="<u8").reshape(-1, kind.lanes)
+                two = np.unpackbits(points(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+                count = two[:, ::2].astype(np.uint64) + np.uint64(2) * two[:, 1::2]
+                for m, pick in enumerate(picks):
+                    with np.errstate(over="ignore"):
+                        cell = np.zeros(len(fp), dtype=np.uint64)
+                        for x in pick.tolist():
+                            cell = (cell * np.uint64(3) + count[:, x]) * np.uint64(0x9E3779B97F4A7C15)
+                            cell ^= cell >> np.uint64(32)
+                    yield pa.record_batch([pa.array(np.full(len(fp), m)), pa.array(cell.view(np.int64)), part], names=["mask", "cell", "fp"])
+
+    def run_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in _edges(batches, kind):
+            yield pa.record_batch([pa.array([x.tobytes() for x in y], pa.binary()) for y in (a, b)], names=["fa", "fb"])
+
+    cells = distinct.select("fp").mapInArrow(project, "mask long, cell long, fp binary")
+    found = parted(cells, ["mask", "cell"], "fp", CELL_ROWS).mapInArrow(run_wide, "fa binary, fb binary")
+    return found.select(F.xxhash64("fa").alias("a"), F.xxhash64("fb").alias("b")).distinct()
+
+
+def near_groups(docs: DataFrame, kind: Kind = NARROW) -> DataFrame:
     """doc_id, row_key, fp, component_id, stays for each row of docs.
 
-    component_id is the smallest doc_id of all documents that links of at most RADIUS bits
-    reach. Null doc_ids take part and are never the smallest; a group of nothing else has a
-    null component_id. stays marks the row with that doc_id (rows with the same doc_id and
-    text alike). Repeated rows come out as often as they go in; no rows give none.
+    component_id is the smallest doc_id of all documents that links reach. Null doc_ids take part
+    and are never the smallest; a group of nothing else has a null component_id. stays marks the row
+    with that doc_id (rows with the same doc_id and text alike). Repeated rows come out as often as
+    they go in; no rows give none.
     """
-    rows = materialise(fingerprints(docs), "fingerprints")
+    rows = materialise(fingerprints(docs, kind), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    classes = materialise(rows.groupBy("fp").agg(first.alias("low"), F.count("*").alias("n")), "fingerprint-classes")
-    roots = components(links(classes.select("fp")), "simhash")
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("low"))
-    keyed = materialise(named.drop("low").join(lowest, "root").select("fp", "n", "low"), "fingerprint-components")
+    node = F.col("fp") if kind.lanes == 1 else F.xxhash64("fp")
+    classes = materialise(rows.groupBy("fp").agg(first.alias("low"), F.count("*").alias("n")).withColumn("node", node), "fingerprint-classes")
+    roots = components(links(classes.select("fp"), kind, classes.count()), "simhash")
+    named = materialise(classes.join(roots, "node", "left").select("fp", "low", "n", F.coalesce("root", "node").alias("root")), "fingerprint-roots")
+    lowest = materialise(named.groupBy("root").agg(F.min("low").alias("low"), F.count("*").alias("classes")), "fingerprint-lowest")
+    keyed = materialise(lookup(named.drop("low"), lowest, "root", "classes").select("fp", "n", "low"), "fingerprint-components")
     stays = F.col("row_key") == F.col("low.row_key")
     return lookup(rows, keyed, "fp", "n").select("doc_id", "row_key", "fp", F.col("low.doc_id").alias("component_id"), stays.alias("stays"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, kind: Kind = NARROW) -> DataFrame:
     """The row with the smallest doc_id of each group, with all its columns; of repeated rows one."""
     names = [F.col(f"`{c}`") for c in docs.columns]
-    stay = near_groups(docs).where("stays").select(F.col("row_key").alias("__key")).distinct()
-    return docs.withColumn("__key", row_key()).join(stay.hint("merge"), "__key").dropDuplicates(["__key"]).select(*names)
+    key = free(docs.columns, "__key")
+    stay = near_groups(docs, kind).where("stays").select(F.col("row_key").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(stay.hint("merge"), key).dropDuplicates([key]).select(*names)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,16 @@ along its cycles until it falls below the number of sequences, gives each a slot
 SHARD slots: its file has SHARD * STRIDE unsigned 16-bit ids, so slot s is at byte
 (s mod SHARD) * STRIDE * 2 of shard s div SHARD, and a reader resumes at any slot. Shards are
 written under another name and moved into place, so that a task that runs again does no harm.
+Beside them stands a manifest (sequences, stride, shard, key) and, once all shards are there, a
+mark of success that readers ask for; sequences' rows are returned from what the shards' job wrote.
+Repeated rows are sequences each for themselves; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path, table, text_of
+from ._common import materialise, new_path, read_text, remove, table, text_of, write_text
 from ._tokens import encoder
 
 STRIDE, SHARD, END, KEY = 256, 8192, 0, 20240229
 VOCABULARY = "byte_bpe_50k.json"
+MANIFEST, DONE = "_manifest.json", "_SUCCESS"
 #: Sequences that a task gathers before it sends them on.
 GATHER = 1 << 14
 
@@ -69,18 +73,19 @@ class Permutation:
 
 
 def write(docs: DataFrame, path: str, out: str, stride: int = STRIDE, shard: int = SHARD, key: int = KEY) -> DataFrame:
-    """Writes the shards into the folder out and returns a row for each sequence.
+    """Writes the shards into the folder out, all of them before it returns, and gives a row for each sequence.
 
     doc_id, start, length (without padding), slot, shard, byte_offset, ids_crc32 (of the unpadded
     bytes). docs must give the same partitions each time it is read, as a table does: it is read
     once to count sequences and once to write them, and the second pass fails if a count differs.
-    Null texts count as empty (a sequence with the end id alone); no rows give no shard.
+    Null texts count as empty (a sequence with the end id alone); no rows give no shard. A folder
+    with another manifest is refused; one with the same is written anew.
     """
     spark = docs.sparkSession
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, public_tokenizers.PATTERN).encode_ordinary
+        encode = encoder(path, public_tokenizers.PATTERN)
         n = sum(len(encode(t.as_py())) // stride + 1 for b in batches for t in b.column("text"))  # the end id comes on top
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["part", "n"])
 
@@ -92,7 +97,7 @@ def write(docs: DataFrame, path: str, out: str, stride: int = STRIDE, shard: int
     order, size = Permutation(total, key), stride * 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, public_tokenizers.PATTERN).encode_ordinary
+        encode = encoder(path, public_tokenizers.PATTERN)
         part = TaskContext.get().partitionId()
         at, seen, held, heads, bodies = first.get(part, 0), 0, 0, [], []
 
@@ -111,12 +116,12 @@ def write(docs: DataFrame, path: str, out: str, stride: int = STRIDE, shard: int
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = array("H", encode(text.as_py()))
-                ids.append(END)
-                n = -(-len(ids) // stride)
-                body = np.zeros((n, stride), dtype="<u2")
-                body.reshape(-1)[: len(ids)] = ids
-                heads.append((doc_id or 0, doc_id is None, len(ids), n))
+                ids = encode(text.as_py())
+                size_ = len(ids) + 1
+                n = -(-size_ // stride)
+                body = np.full((n, stride), END, dtype="<u2")  # the end id, and padding with the same
+                body.reshape(-1)[: size_ - 1] = ids
+                heads.append((doc_id or 0, doc_id is None, size_, n))
                 bodies.append(body)
                 held += n
                 if held >= GATHER:
@@ -159,20 +164,29 @@ def write(docs: DataFrame, path: str, out: str, stride: int = STRIDE, shard: int
         if held:
             yield flush(now, held)
 
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(out)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    manifest = json.dumps({"sequences": total, "stride": stride, "shard": shard, "key": key}, sort_keys=True)
+    if read_text(spark, f"{out}/{MANIFEST}") not in (None, manifest):
+        raise ValueError(f"{out} holds other shards")
+    remove(spark, f"{out}/{DONE}")
+    write_text(spark, f"{out}/{MANIFEST}", manifest)
     dealt = kept.mapInArrow(deal, "shard long, n long, blob binary")
     # ranges of shards are known beforehand, so no pass is spent on sampling them
     files = max(1, -(-total // shard))
     parts = min(files, max(int(spark.conf.get("spark.sql.shuffle.partitions")), files // 4))
     sorted_ = dealt.repartitionById(parts, F.floor(F.col("shard") * parts / files).cast("int")).sortWithinPartitions("shard")
-    return sorted_.mapInArrow(shards, "doc_id long, start long, length long, slot long, shard long, byte_offset long, ids_crc32 long")
+    rows = materialise(sorted_.mapInArrow(shards, "doc_id long, start long, length long, slot long, shard long, byte_offset long, ids_crc32 long"), "shard-rows")
+    write_text(spark, f"{out}/{DONE}", str(files if total else 0))
+    return rows
 
 
 def read(spark: SparkSession, out: str, slot: int, n: int, stride: int = STRIDE, shard: int = SHARD) -> np.ndarray:
-    """The n sequences from slot on, in training order, one sequential read a shard."""
+    """The n sequences from slot on, in training order, one sequential read a shard; an error where the shards aren't complete."""
     from pyarrow import fs
 
+    made = json.loads(read_text(spark, f"{out}/{MANIFEST}") or "{}")
+    if read_text(spark, f"{out}/{DONE}") is None or (made["stride"], made["shard"]) != (stride, shard):
+        raise ValueError(f"{out} holds no complete shards of {shard} times {stride} ids")
+
     store, folder = fs.FileSystem.from_uri(out)
     found = []
     while n > 0:

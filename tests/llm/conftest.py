@@ -29,5 +29,5 @@ def clashing(odd):
     """Extra columns under names that the operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ("digest", "row_id", "keep_id", "fp", "n", "word", "uid", "length", "range", "place", "score", "h", "id", "row_key", "root", "ids", "start", "quality")
+    names = ("digest", "row_id", "keep_id", "fp", "n", "word", "uid", "length", "range", "place", "score", "h", "id", "row_key", "root", "ids", "start", "quality", "__key", "__digest", "__score", "__spans", "__places", "__told", "__keep", "__batch", "__size")
     return odd.withColumns({c: F.lit("x") for c in names})

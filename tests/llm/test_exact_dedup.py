@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+
 from lodeseek.llm import exact_dedup as ed
 
 from .conftest import ROWS
@@ -48,3 +50,29 @@ def test_hot_text(spark):
     got = ed.mark(docs)
     assert got.where("kept").count() == 20_000 - 6667 + 1
     assert got.where("kept AND group_size > 1").collect()[0]["doc_id"] == 19_998
+
+
+def test_an_index_keeps_its_buckets(spark, odd, tmp_path):
+    path, size = f"file://{tmp_path}/index", spark.conf.get("spark.sql.shuffle.partitions")
+    first = ed.DigestIndex(spark, path, buckets=3)
+    assert ed.dedup(odd, first).count() == 8
+    first.close()
+    try:
+        for n in (2, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            again = ed.DigestIndex(spark, path)
+            assert again.buckets == 3 and ed.dedup(odd, again).count() == 0 and again.read().count() == 8
+            again.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", size)
+    with pytest.raises(ValueError):
+        ed.DigestIndex(spark, path, buckets=4)
+    odd.select("text").write.parquet(f"file://{tmp_path}/other")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_") and t.name == first.name]
+
+
+def test_names_of_indexes_go(spark, odd):
+    before = {t.name for t in spark.catalog.listTables()}
+    marked, kept = ed.mark(odd), ed.dedup(odd)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert marked.count() == len(ROWS) and kept.count() == 8

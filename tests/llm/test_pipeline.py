@@ -1,5 +1,7 @@
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline as cp
 from lodeseek.llm import exact_dedup, nbsvm, simhash, substring_dedup
 
@@ -18,17 +20,18 @@ def test_stages_against_plain_python(spark, sf_dir):
     once = {i: good[i] for i in last.values()}
     stage = cp.exact(spark, docs.where(docs["doc_id"].isin(list(good))), sf_dir)
     assert {r["doc_id"] for r in stage.collect()} == set(once)
-    fps = {i: simhash.fingerprint(t) for i, t in once.items()}
-    kept = {}
+    fps = {i: simhash.lanes_of(t, simhash.WIDE) for i, t in once.items()}
     root = {i: i for i in fps}
     for _ in range(5):
         for i in fps:
             for j in fps:
-                if bin(fps[i] ^ fps[j]).count("1") <= 3:
+                if np.bitwise_count(fps[i] ^ fps[j]).sum() <= simhash.RADIUS_WIDE:
                     root[i] = min(root[i], root[j])
     kept = {i for i in fps if root[i] == i}
     stage = cp.near(spark, docs.where(docs["doc_id"].isin(list(once))), sf_dir)
-    assert {r["doc_id"] for r in stage.collect()} == kept
+    got = {r["doc_id"] for r in stage.collect()}
+    assert kept <= got and len(got - kept) <= 0.05 * (len(once) - len(kept))  # links at the edge of the radius meet with a chance
+    kept = got
     stage = cp.passages(spark, docs.where(docs["doc_id"].isin(list(kept))), sf_dir)
     assert stage.columns == docs.columns and stage.count() == len(kept)
     long = Counter(u for r in stage.collect() for u in {line.lower() for line in r["text"].split("\n") if len(line.split()) >= 50})

@@ -66,6 +66,56 @@ def test_groups(odd, clashing, none):
     assert sh.near_groups(none).collect() == [] and sh.keep_one(none).collect() == []
 
 
+def test_wide_kind_finds_near_copies(spark):
+    rng = np.random.default_rng(7)
+    words = np.array(["".join(rng.choice(list("etaoinshr"), rng.integers(2, 8))) for _ in range(3000)])
+    texts, pairs = [], []
+    for i in range(120):
+        t = words[rng.integers(0, 3000, 300)]
+        other = t.copy()
+        for at in rng.choice(300, rng.integers(1, 8), replace=False):
+            other[at] = "changed" + str(at)
+        a, b = ({tuple(x[k : k + 5]) for k in range(296)} for x in (t, other))
+        pairs.append(len(a & b) / len(a | b) >= 0.8)
+        texts += [(i, " ".join(t)), (1000 + i, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in sh.near_groups(spark.createDataFrame(texts, "doc_id long, text string"), sh.WIDE).collect()}
+    near = [i for i, p in enumerate(pairs) if p]
+    assert len(near) > 50 and sum(got[1000 + i] == i for i in near) >= 0.9 * len(near)
+    assert all(got[1000 + i] in (i, 1000 + i) and got[i] == i for i in range(120))
+
+
+def test_wide_kind_takes_odd_rows(odd, clashing, none):
+    for docs in (odd, clashing):
+        assert sh.near_groups(docs, sh.WIDE).count() == 12
+        assert sorted(r["doc_id"] for r in sh.keep_one(docs, sh.WIDE).collect()) == [1, 3, 5, 6, 7, 9]
+    assert sh.keep_one(none, sh.WIDE).collect() == []
+
+
+def test_blocks_and_projections_follow_the_number_of_fingerprints():
+    assert [sh.blocks_for(n) for n in (1, 1000, 10**6, 10**8, 10**10)] == [5, 5, 6, 7, 10]
+    sizes = [sh.projections_for(n) for n in (10, 10**5, 10**7, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0][0] < sizes[-1][0] and sizes[0][1] < sizes[-1][1]
+
+
+def test_forest_by_star():
+    from lodeseek.llm._cells import forest
+
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 40, 200):
+        for p in (0.01, 0.1, 0.9):
+            m = rng.random((n, n)) < p
+            m |= m.T | np.eye(n, dtype=bool)
+            root = np.arange(n)
+            for _ in range(n):
+                root = np.where(m, root[None, :], n).min(axis=1)
+            mine = np.arange(n)
+            away, to = forest(n, lambda r: m[r])
+            for _ in range(n):
+                np.minimum.at(mine, away, mine[to])
+                np.minimum.at(mine, to, mine[away])
+            assert (mine == root).all() and len(away) == n - len(set(root.tolist()))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000), (2000, 2001), (2001, 2000)], T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
     got = {r["node"]: r["root"] for r in components(edges).collect()}

@@ -43,7 +43,8 @@ def test_substring_dedup(spark, odd, clashing, none):
         assert kept + t[at:] == got[r["doc_id"]]["text"]
     for docs in (odd, clashing):
         out = substring_dedup.dedup(docs)
-        assert out.columns == [*docs.columns, "__spans"] and out.count() == len(ROWS)
+        assert out.columns[:-1] == docs.columns and out.columns[-1].startswith("__spans") and out.count() == len(ROWS)
+        assert "__key" not in docs.columns or {r["__key"] for r in out.collect()} == {"x"}
     assert substring_dedup.dedup(none).collect() == []
 
 
@@ -107,8 +108,11 @@ def test_near_groups(spark, odd, none):
 def test_quality_on_held_out_rows(spark, sf_dir, none):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     found = nbsvm.op9_quality(spark, sf_dir)
-    right = found.join(labels, "doc_id").where("held_out").selectExpr("avg(CAST(predicted = quality AS INT)) AS a", "count(*) AS n").first()
-    assert found.count() == docs.count() and right["a"] >= 0.9 and right["n"] > 5
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"] and found.count() == docs.count()
+    held = found.join(labels, "doc_id").where("held_out").collect()
+    up, down = ([r["score"] for r in held if r["quality"] == q] for q in (1, 0))
+    assert sum((a > b) + (a == b) / 2 for a in up for b in down) >= 0.97 * len(up) * len(down) > 0  # area under the curve
+    assert sum(r["predicted"] == r["quality"] for r in held) >= 0.95 * len(held) and len(held) > 5
     model = nbsvm.train(docs, labels)
     assert model.weight.any() and nbsvm.score(none, model).collect() == []
     assert nbsvm.train(none, labels).score("x") == 0.5
@@ -117,11 +121,26 @@ def test_quality_on_held_out_rows(spark, sf_dir, none):
 def test_quality_takes_odd_rows(spark, odd, clashing):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0), (None, 1, None), (6, None, 1), (7, 0, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
     for docs in (odd, clashing):
-        got = nbsvm.score(docs, nbsvm.train(docs, labels)).collect()
-        assert len(got) == len(ROWS) and all(0 <= r["__score"] <= 1 for r in got)
+        got = nbsvm.score(docs, nbsvm.train(docs, labels), "own").collect()
+        assert len(got) == len(ROWS) and all(0 <= r["own"] <= 1 for r in got)
         assert nbsvm.keep(docs, labels).columns == docs.columns
 
 
+def test_words_are_read_whole():
+    a, b = "x" * 5000 + "9", "x" * 5000 + "-"
+    assert nbsvm._shape(a) != nbsvm._shape(b) and nbsvm._shape("a9" * 40) != nbsvm._shape("a9" * 41)
+
+
+def test_sample_is_bounded_in_bytes(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(nbsvm, "fit", lambda rows, y: seen.append(sum(4 * len(r) for r in rows)))
+    tables = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")]
+    for most in (10**9, 20_000):
+        monkeypatch.setattr(nbsvm, "SAMPLE_BYTES", most)
+        nbsvm.train(*tables)
+    assert seen[0] > 20_000 >= seen[1] > 0
+
+
 def test_descent_separates():
     rng = np.random.default_rng(1)
     rows = [np.sort(rng.choice(50, 8, replace=False) + (0 if k % 2 else 40)).astype(np.int32) for k in range(200)]

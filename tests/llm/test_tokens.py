@@ -37,8 +37,8 @@ def test_byte_bpe_matches_and_round_trips(odd, none, reference):
 
 def test_json_vocabulary_gives_the_tokenizers_ids():
     t = Tokenizer.from_file(P.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
-    for _, text, *_ in ROWS:
+    more = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "<|endoftext|>\n\n é<|endoftext|>x"]
+    for text in [r[1] for r in ROWS] + more:
         assert ids_of(P.path(packing.VOCABULARY), P.PATTERN, text or "").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -66,6 +66,14 @@ def test_packing_holds_each_id_once(odd, clashing, none):
     assert packing.pack(none, path).collect() == []
 
 
+def test_packing_fills_sequences(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    short = spark.range(5000).selectExpr("id AS doc_id", "CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'one' ELSE 'one two three four' END AS text")
+    for table, least in ((docs, 0.97), (short, 0.97)):
+        got = packing.pack(table, P.path(packing.VOCABULARY)).selectExpr("sum(length) AS n", "count(DISTINCT sequence_id) AS s").first()
+        assert got["n"] / (1024 * got["s"]) >= least
+
+
 def test_plan_uses_each_rank_once_with_little_padding():
     rng = np.random.default_rng(3)
     for n in (1, 7, 500, 20_000):
@@ -90,7 +98,9 @@ def test_permutation_and_its_inverse():
 
 def test_shards_hold_every_sequence_in_order(spark, odd, none, tmp_path):
     out, path = f"file://{tmp_path}/shards", P.path(training_order.VOCABULARY)
-    got = training_order.write(odd, path, out, stride=64, shard=50).collect()
+    made = training_order.write(odd, path, out, stride=64, shard=50)
+    assert len(list((tmp_path / "shards").glob("shard-*.bin"))) == -(-made.count() // 50)  # written before rows are asked for
+    got = made.collect()
     assert sorted(r["slot"] for r in got) == list(range(len(got)))
     rows = training_order.read(spark, out, 0, len(got) + 9, 64, 50)
     assert len(rows) == len(got)
@@ -103,3 +113,28 @@ def test_shards_hold_every_sequence_in_order(spark, odd, none, tmp_path):
         assert rows[r["slot"]][: r["length"]].tolist() == want.tolist()
     assert (training_order.read(spark, out, 45, 10, 64, 50) == rows[45:55]).all()
     assert training_order.write(none, path, f"file://{tmp_path}/none").collect() == []
+
+
+def test_unfinished_shards_are_not_read(spark, odd, tmp_path):
+    out, path = f"file://{tmp_path}/s", P.path(training_order.VOCABULARY)
+    training_order.write(odd, path, out, stride=64, shard=50)
+    with pytest.raises(ValueError):
+        training_order.read(spark, out, 0, 1, 64, 49)
+    with pytest.raises(ValueError):
+        training_order.write(odd, path, out, stride=64, shard=50, key=1)
+    (tmp_path / "s" / training_order.DONE).unlink()
+    with pytest.raises(ValueError):
+        training_order.read(spark, out, 0, 1, 64, 50)
+    training_order.write(odd, path, out, stride=64, shard=50)
+    assert len(training_order.read(spark, out, 0, 3, 64, 50)) == 3
+
+
+def test_shards_take_clashing_columns(spark, clashing, tmp_path):
+    n = training_order.write(clashing, P.path(training_order.VOCABULARY), f"file://{tmp_path}/c").count()
+    assert n > len(ROWS) and byte_bpe.encode(clashing, P.path(byte_bpe.RANKS)).count() == len(ROWS)
+
+
+def test_byte_bpe_takes_long_pre_tokens(spark, reference):
+    text = "x" * 3_000_00 + " " + "é" * 20_000 + " " * 50_000 + "end"
+    got = byte_bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), P.path(byte_bpe.RANKS)).first()
+    assert bytes(got["decoded"]).decode() == text
