@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm import exact_dedup, nbsvm, packing, simhash, substring_dedup
-from lodeseek.llm._common import materialise, table
+from lodeseek.llm._common import clear, mark, materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +24,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with near fingerprints, the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id."""
+    return simhash.keep_one(docs, simhash.WIDE)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; n_chars counts what stays."""
-    found = substring_dedup.dedup(docs).drop("__spans")
+    found = substring_dedup.dedup(docs)
+    found = found.drop(found.columns[-1])  # the removed spans
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
@@ -46,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote for itself and its predecessor's rows go once its own rows are written."""
     docs = table(spark, sf_dir, "documents")
+    since = mark()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, since, keep=[docs])
     return STAGES[-1][1](spark, docs, sf_dir)
