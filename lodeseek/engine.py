@@ -5,11 +5,14 @@ Requests are compiled on the driver; results are lazy DataFrames that Catalyst p
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schema as schemas
 from .errors import SearchError, invalid
@@ -17,7 +20,10 @@ from .functions import analyzers, filters, vectors
 from .operators import facets, mutate, ranking, semantic, suggest
 from .paths import project
 from .plans import bm25, query_text
+from .plans.postings import TextIndex
 from .schema import Index
+from .sources.buckets import BUCKET, Buckets, bucket_of
+from .storage import materialise, new_path
 
 
 @dataclass
@@ -28,12 +34,34 @@ class Result:
     matched: DataFrame
     facets: dict[str, DataFrame] = field(default_factory=dict)
     answers: DataFrame | None = None
-    next_token: str | None = None
     debug: dict = field(default_factory=dict)
+    _request: dict = field(default_factory=dict)
+    _more: Callable[[], tuple[str, int] | None] = lambda: None
 
     def total(self) -> int:
         return self.matched.count()
 
+    @cached_property
+    def _next(self) -> tuple[str, int] | None:
+        return self._more()
+
+    @property
+    def next_token(self) -> str | None:
+        """Where the next page goes on; null where this one is the last. Looks for one more match when it is first asked for."""
+        return self._next and self._next[0]
+
+    @property
+    def next_page(self) -> dict | None:
+        """The request for the next page: this one with the token and skip."""
+        return self._next and self._request | {"token": self._next[0], "skip": self._next[1]}
+
+    def next_link(self, name: str, version: str | None = None) -> str | None:
+        """The path of the next page, as clients follow it."""
+        if not self._next:
+            return None
+        given = ([f"api-version={version}"] if version else []) + [f"continuation={self._next[0]}"]
+        return f"/indexes('{name}')/docs/search.post.search?{'&'.join(given)}"
+
 
 def _list(value: Any) -> list[str]:
     if value is None:
@@ -58,6 +86,8 @@ class SearchEngine:
         self.spark = spark
         self.indexes: dict[str, Index] = {}
         self.data: dict[str, DataFrame] = {}
+        self.stores: dict[str, Buckets] = {}
+        self.texts: dict[str, TextIndex] = {}
         self.resources: dict[str, dict[str, dict]] = {k: {} for k in ("alias", "synonymMap", "knowledgeSource", "knowledgeBase")}
         self._version = 0
 
@@ -80,6 +110,8 @@ class SearchEngine:
         docs = self.data[new.name]
         keep = schemas.compatible(old, new)
         self.indexes[new.name] = new
+        self.stores.pop(new.name, None)
+        self.texts.pop(new.name, None)
         if keep:
             have = set(docs.columns)
             self._put(new, docs.select(*[F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.spark_type()).alias(f.name) for f in new.fields]))
@@ -90,7 +122,8 @@ class SearchEngine:
     def delete_index(self, name: str) -> None:
         if self.indexes.pop(name, None) is None:
             raise SearchError("IndexNotFound", name)
-        self.data.pop(name)
+        for own in (self.data, self.stores, self.texts):
+            own.pop(name, None)
 
     def reset(self) -> None:
         self.__init__(self.spark)
@@ -127,6 +160,25 @@ class SearchEngine:
     def _put(self, index: Index, docs: DataFrame) -> None:
         self.data[index.name] = docs
 
+    def store(self, name: str, path: str, buckets: int | None = None) -> Buckets:
+        """Keeps the index's documents under path from now on, in buckets of the key: a batch rewrites those that it touches."""
+        index = self.resolve(name)
+        held = Buckets(self.spark, path, index.schema(), buckets)
+        if held.version < 0:
+            held.write(self.data[index.name].withColumn(BUCKET, bucket_of(F.col(f"`{index.key.name}`"), held.n)))
+        self.stores[index.name] = held
+        self._put(index, held.read().drop(BUCKET))
+        return held
+
+    def index_text(self, name: str, path: str | None = None, buckets: int | None = None) -> TextIndex:
+        """Builds the text index, or opens one that path holds; searches then read postings, and batches keep them up to date."""
+        index = self.resolve(name)
+        text = TextIndex(self.spark, index, path or new_path(self.spark, f"text-{index.name}"), buckets)
+        if text.counts.version < 0:
+            text.build(self.documents(name))
+        self.texts[index.name] = text
+        return text
+
     def documents(self, name: str) -> DataFrame:
         """All documents, with the key as text in __key."""
         index = self.resolve(name)
@@ -158,27 +210,41 @@ class SearchEngine:
         return self.documents(name).agg(F.count(F.lit(1)).alias("count"))
 
     def index_documents(self, name: str, actions: list[dict]) -> DataFrame:
-        """Applies a request's actions; returns __seq, key, status."""
+        """Applies a request's actions; returns __seq, key, status. A document that can't be taken is 400 and stops no other."""
         index = self.resolve(name)
-        shape = index.schema()
-        names = [f.name for f in index.fields]
-        rows = []
-        for k, item in enumerate(actions):
-            action, doc = mutate.parse_action(item)
-            unknown = set(doc) - set(names)
-            if unknown:
-                raise SearchError("InvalidDocument", f"no field {sorted(unknown)[0]}")
-            rows.append((*[doc.get(n) for n in names], action, k))
-        from pyspark.sql import types as T
-
-        full = T.StructType([T.StructField(f.name, f.dataType) for f in shape] + [T.StructField("__action", T.StringType()), T.StructField("__seq", T.LongType())])
-        return self.apply_batch(name, self.spark.createDataFrame(rows, full))
+        shape = T.StructType([T.StructField(f.name, f.dataType) for f in index.schema()])
+        full = shape.add("__action", T.StringType()).add("__seq", T.LongType()).add("__given", T.ArrayType(T.StringType())).add("__why", T.StringType())
+        return self.apply_batch(name, self.spark.createDataFrame(mutate.rows(index, actions), full))
 
     def apply_batch(self, name: str, batch: DataFrame) -> DataFrame:
-        """The same for a DataFrame of the index's columns, __action and __seq."""
+        """The same for a DataFrame of the index's columns, __action and __seq; with __given, fields that a merge lays.
+
+        With a store or a text index the batch is written first, and of the documents only the buckets that it touches
+        are read and written. Without them the new state is lazy.
+        """
         index = self.resolve(name)
-        new, results = mutate.apply(self.data[index.name], self._vectorize(index, batch), index)
-        self._put(index, new)
+        made, store, text = self._vectorize(index, batch), self.stores.get(index.name), self.texts.get(index.name)
+        if store is None and text is None:
+            new, results = mutate.apply(self.data[index.name], made, index)
+            self._put(index, new)
+            return results
+        made = materialise(made, "batch")
+        key = F.col(f"`{index.key.name}`")
+
+        def touched(n: int) -> list[int]:
+            return [r[0] for r in made.where(key.isNotNull()).select(bucket_of(key, n)).distinct().collect()]  # n numbers at most
+
+        if store is None:
+            new, results = mutate.apply(self.data[index.name], made, index)
+            self._put(index, new)
+        else:
+            own = touched(store.n)
+            new, results = mutate.apply(store.read(own).drop(BUCKET), made, index)
+            results = materialise(results, "batch-results")
+            store.write(new.withColumn(BUCKET, bucket_of(key, store.n)), own)
+            self._put(index, store.read().drop(BUCKET))
+        if text is not None:
+            text.build(self.documents(name), touched(text.buckets))
         return results
 
     def _vectorize(self, index: Index, batch: DataFrame) -> DataFrame:
@@ -262,7 +328,7 @@ class SearchEngine:
         fields = self._fields(index, request)
         text = request.get("search")
         tree = query_text.full(text, mode, index.searchable()) if full else query_text.simple(text, mode)
-        keep = filters.compile_filter(filter_text, index, docs.schema, check=not state) if filter_text else None
+        keep = filters.compile_filter(filter_text, index, docs.schema, check=not state, bare=True) if filter_text else None
         rules = {m: (b["synonyms"] if isinstance(b["synonyms"], str) else "").splitlines() for m, b in self.resources["synonymMap"].items()}
         plan = bm25.Plan(index, tree, fields, rules)
 
@@ -280,13 +346,16 @@ class SearchEngine:
         coverage = request.get("minimumCoverage")
         scored = None
         if not (queries and everything):
-            scored = plan.scored(docs, coverage if coverage and mode == "any" else None).where("__match")
-            scored = scored.where(keep) if keep is not None else scored
+            scored = plan.scored(docs, coverage if coverage and mode == "any" else None, self.texts.get(index.name), keep).where("__match")
         if not queries:
             matched = scored.drop("__match")
         else:
             texts = scored.select("__key", "__score") if scored is not None else None
-            if texts is None or texts.isEmpty():
+            if texts is not None and lists:
+                texts = materialise(texts, "text-side")  # scored once, however often it is looked at
+            if texts is not None and not lists:
+                fused = texts
+            elif texts is None or texts.isEmpty():
                 fused = ranking.best([df for df, _ in lists]) if lists else docs.select("__key", F.lit(0.0).alias("__score")).where("false")
             else:
                 fused = ranking.fuse([(texts, 1.0), *lists])
@@ -305,7 +374,9 @@ class SearchEngine:
             n = min(int(request.get("captions", 1)), 3)
             result.hits = page.select(*self._shown(index, request, plan, tree), semantic.captions(index, conf["captions"], n).alias("@search.captions"), semantic.reranked(F.col("__score")).alias("@search.rerankerScore"))
         if top:
-            result.next_token = ranking.token({"skip": skip + top, "filter": filter_text, "orderby": orderby, "vectors": ranking.vector_hash(queries)})
+            last = {"skip": skip + top, "filter": filter_text, "orderby": orderby, "vectors": ranking.vector_hash(queries)}
+            result._more = lambda: (ranking.token(last), skip + top) if not matched.select("__key").offset(skip + top).limit(1).isEmpty() else None
+            result._request = request
         return result
 
     def _debug(self, index: Index, tree, fields: dict[str, float], rules: dict[str, list[str]], queries: list[dict], filter_text: str | None) -> dict:
@@ -346,7 +417,7 @@ class SearchEngine:
         index = self.resolve(name)
         docs = self.documents(name)
         if request.get("filter"):
-            docs = docs.where(filters.compile_filter(request["filter"], index, docs.schema, check=False))
+            docs = docs.where(filters.compile_filter(request["filter"], index, docs.schema, check=False, bare=True))
         return index, docs, suggest.scope(index, request.get("suggesterName") or "", _list(request.get("searchFields")))
 
     def suggest(self, name: str, request: dict) -> DataFrame:

@@ -1,13 +1,16 @@
-"""Filter expressions: text -> tree -> one boolean column that is never null.
+"""Filter expressions: text -> tree -> one boolean column.
 
-Every leaf is wrapped so that it is true or false before NOT, AND, OR see it.
+Every leaf is wrapped so that it is true or false before NOT sees it. For WHERE, which drops what is
+null as well as what is false, leaves outside NOT stay bare, and literals take their column's type, so
+that plain comparisons reach the scan.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
 from pyspark.sql import Column
@@ -124,7 +127,7 @@ class _Parser:
             return t[1:-1].replace("''", "'")
         if kind == "num":
             self.i += 1
-            return float(t)
+            return int(t) if re.fullmatch(r"[+-]?\d+", t) else float(t)
         if kind == "name" and t in ("true", "false", "null"):
             self.i += 1
             return {"true": True, "false": False, "null": None}[t]
@@ -144,7 +147,7 @@ class _Parser:
 
     def number(self) -> int:
         out = self.literal()
-        if not isinstance(out, float) or out != int(out):
+        if isinstance(out, bool) or not isinstance(out, (int, float)) or out != int(out):
             raise invalid("filter: a whole number is missing")
         return int(out)
 
@@ -353,37 +356,48 @@ def _kind(f: Field) -> str:
 
 
 def _literal_kind(v: Any) -> str:
-    return "bool" if isinstance(v, bool) else "number" if isinstance(v, float) else "instant" if isinstance(v, Instant) else "text"
+    return "bool" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "instant" if isinstance(v, Instant) else "text"
 
 
 def _op(op: str, a: Column, b: Column) -> Column:
     return {"eq": a == b, "ne": a != b, "gt": a > b, "ge": a >= b, "lt": a < b, "le": a <= b}[op]
 
 
-class Compiler:
-    """Compiles trees for an index; timestamps: paths whose column is a timestamp and not a text."""
+WHOLE = {"Int8", "SByte", "Int16", "Int32", "Int64"}
+MILLI = timedelta(milliseconds=1)
 
-    def __init__(self, index: Index, schema: T.StructType | None = None):
-        self.index = index
-        self.times = {f.name for f in schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))} if schema else set()
 
-    def column(self, node: Node) -> Column:
-        return _sure(getattr(self, f"_{node.kind}")(node))
+def _number(op: str, col: Column, f: Field, value: int | float) -> Column:
+    """col op value in the column's own type: whole numbers against whole ones, so that no column is cast."""
+    if f.type not in WHOLE:
+        return _op(op, col, F.lit(float(value)))
+    if math.isinf(value) or abs(value) >= 2**63:
+        return _op(op, F.lit(0.0), F.lit(float(value))) & col.isNotNull()
+    if value != int(value):
+        if op in ("eq", "ne"):
+            return F.lit(op == "ne") & col.isNotNull()
+        op, value = {"gt": ("ge", math.ceil(value)), "ge": ("ge", math.ceil(value)), "lt": ("le", math.floor(value)), "le": ("le", math.floor(value))}[op]
+    return _op(op, col, F.lit(int(value)))
 
-    def _and(self, n: Node) -> Column:
-        out = self.column(n.children[0])
-        for c in n.children[1:]:
-            out = out & self.column(c)
-        return out
 
-    def _or(self, n: Node) -> Column:
-        out = self.column(n.children[0])
-        for c in n.children[1:]:
-            out = out | self.column(c)
-        return out
+class Compiler:
+    """Compiles trees for an index; times: paths whose column is a timestamp and not a text."""
 
-    def _not(self, n: Node) -> Column:
-        return ~self.column(n.children[0])
+    def __init__(self, index: Index, schema: T.StructType | None = None):
+        self.index = index
+        self.times = {f.name: f.dataType for f in schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))} if schema else {}
+
+    def column(self, node: Node, bare: bool = False) -> Column:
+        """bare: where null and false are the same."""
+        if node.kind in ("and", "or"):
+            out = self.column(node.children[0], bare)
+            for c in node.children[1:]:
+                out = out & self.column(c, bare) if node.kind == "and" else out | self.column(c, bare)
+            return out
+        if node.kind == "not":
+            return ~self.column(node.children[0])
+        made = getattr(self, f"_{node.kind}")(node)
+        return made if bare else _sure(made)
 
     def at(self, path: str) -> tuple[Column, bool, Field]:
         col, many, f = steps(None, self.index.fields, path)
@@ -404,14 +418,25 @@ class Compiler:
             return _op(op, dates.normal(dates.timestamp(col)), F.lit(value.at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{value.at.microsecond // 1000:03d}Z"))
         if kind != _kind(f):
             return F.lit(False)
-        return _op(op, col.cast("double") if kind == "number" else col, F.lit(value))
+        return _number(op, col, f, value) if kind == "number" else _op(op, col, F.lit(value))
+
+    def _moment_leaf(self, path: str, op: str, value: Instant) -> Column:
+        """A timestamp column against an instant, both to the millisecond, without touching the column."""
+        at = value.at.replace(microsecond=value.at.microsecond // 1000 * 1000)
+        col, own = F.col(f"`{path}`"), self.times[path]
+        if isinstance(own, T.DateType):
+            col = col.cast("timestamp")
+        lit = lambda t: F.lit(t).cast("timestamp_ntz") if isinstance(own, T.TimestampNTZType) else F.lit(t)
+        low, high = lit(at), lit(at + MILLI)
+        inside = (col >= low) & (col < high)
+        return {"eq": inside, "ne": col.isNull() | ~inside, "gt": col >= high, "ge": col >= low, "lt": col < low, "le": col < high}[op]
 
     def compare(self, col: Column, many: bool, f: Field, op: str, value: Any) -> Column:
         if not many:
             if value is None:
                 return col.isNull() if op == "eq" else col.isNotNull() if op == "ne" else F.lit(False)
             if op == "ne":
-                return col.isNull() | _sure(self._leaf(col, f, op, value))
+                return col.isNull() | (self._leaf(col, f, op, value) if _literal_kind(value) == _kind(f) else F.lit(False))
             return self._leaf(col, f, op, value)
         if value is None:
             some = _sure(F.exists(col, lambda x: x.isNull()))
@@ -422,6 +447,9 @@ class Compiler:
 
     def _compare(self, n: Node) -> Column:
         left, op, value = n.args
+        if left.name == "path" and left.path in self.times and (value is None or isinstance(value, Instant)):
+            col = F.col(f"`{left.path}`")
+            return self.compare(col, False, self.index.at(left.path), op, None) if value is None else self._moment_leaf(left.path, op, value)
         if left.name == "path":
             return self.compare(*self.at(left.path), op, value)
         made, kind = self.value(left)
@@ -460,6 +488,10 @@ class Compiler:
 
     def _in(self, n: Node) -> Column:
         col, many, f = self.at(n.args[0])
+        plain = [v for v in n.args[1] if v is not None and _literal_kind(v) == _kind(f) != "instant"]
+        if not many and len(plain) == len([v for v in n.args[1] if v is not None]) and all(isinstance(v, (str, bool, int)) and f.type not in ("Single", "Double", "Half") for v in plain):
+            found = col.isin(plain) if plain else F.lit(False)
+            return col.isNull() | found if len(plain) < len(n.args[1]) else found
         out = F.lit(False)
         for v in n.args[1]:
             out = out | _sure(self.compare(col, many, f, "eq", v))
@@ -506,9 +538,9 @@ class Compiler:
         return self._lambda(n, F.forall)
 
 
-def compile_filter(text: str, index: Index, schema: T.StructType | None = None, check: bool = True) -> Column:
-    """A boolean column, never null, for a filter's text."""
+def compile_filter(text: str, index: Index, schema: T.StructType | None = None, check: bool = True, bare: bool = False) -> Column:
+    """A boolean column for a filter's text, never null; bare: for WHERE, null where it might as well be false."""
     node = parse(text)
     if check:
         validate(node, index)
-    return Compiler(index, schema).column(node)
+    return Compiler(index, schema).column(node, bare)

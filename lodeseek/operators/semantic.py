@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import analyzers
 from ..plans.bm25 import B, K1, text_column
 from ..schema import Index
+from ..storage import materialise
 
 SHORT, LONG, CAPTION = 20, 500, 200
 
@@ -65,23 +66,32 @@ def answers(matched: DataFrame, index: Index, paths: list[str], terms: list[str]
     spark = matched.sparkSession
     if not terms or not paths:
         return spark.createDataFrame([], schema)
-    per_field = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(p).alias("field"), _mapped(text_column(index, p), sentences).alias("s")) for i, p in enumerate(paths)])
-    rows = matched.select("__key", F.explode(per_field).alias("f")).select("__key", "f.order", "f.field", F.posexplode("f.s").alias("at", "text"))
-    held = rows.withColumn("tokens", analyzers.column(F.col("text"), None))
     distinct = list(dict.fromkeys(terms))
-    row = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("l"), *[F.sum(F.array_contains("tokens", t).cast("long")).alias(f"d{i}") for i, t in enumerate(distinct)]).first()
+
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [_sentence(x, distinct) for x in sentences(t)])
+
+    # tokenised once and written: sizes and counts of all sentences, and the texts of those that hold a term
+    of = F.pandas_udf(counted, "array<struct<size:int,times:array<int>,text:string>>")
+    per_field = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(p).alias("field"), of(text_column(index, p)).alias("s")) for i, p in enumerate(paths)])
+    rows = matched.select("__key", F.explode(per_field).alias("f")).select("__key", "f.order", "f.field", F.posexplode("f.s").alias("at", "x"))
+    held = materialise(rows.select("__key", "order", "field", "at", "x.*"), "sentences")
+    times = [F.col("times")[i] for i in range(len(distinct))]
+    row = held.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("l"), *[F.sum((x > 0).cast("long")).alias(f"d{i}") for i, x in enumerate(times)]).first()
     n, mean, score = row["n"], row["l"] or 1.0, F.lit(0.0)
     for i, t in enumerate(distinct):
         idf = F.log(F.lit(1 + (n - (row[f"d{i}"] or 0) + 0.5) / ((row[f"d{i}"] or 0) + 0.5)))
-        times = F.size(F.filter("tokens", _is(t)))
-        score = score + terms.count(t) * idf * times * (K1 + 1) / (times + K1 * (1 - B + B * F.size("tokens") / mean))
-    found = held.select("__key", "order", "field", "at", "text", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "__key", "order", "at").limit(top)
+        score = score + terms.count(t) * idf * times[i] * (K1 + 1) / (times[i] + K1 * (1 - B + B * F.col("size") / mean))
+    found = held.where("text IS NOT NULL").select("__key", "order", "field", "at", "text", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "__key", "order", "at").limit(top)
     best = F.max("score").over(Window.partitionBy())  # over top rows at most
     return found.select("__key", "field", "text", (F.col("score") / best).alias("score"))
 
 
-def _is(t: str):
-    return lambda x: x == t
+def _sentence(text: str, terms: list[str]) -> dict:
+    """Tokens of a sentence, how often each term is among them, and the text if one is."""
+    tokens = analyzers.tokens(text, None)
+    times = [tokens.count(t) for t in terms]
+    return {"size": len(tokens), "times": times, "text": text if any(times) else None}
 
 
 def shorten(text: str) -> str:

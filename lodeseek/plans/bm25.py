@@ -1,6 +1,8 @@
 """Full-text matching and BM25 as columns.
 
-One aggregate over the whole index gives the number of documents, average lengths and document
+With a text index, a query reads the postings of its terms: statistics come from the vocabulary, the
+postings are gathered by document, and matches are joined with the documents. Without one, documents
+are tokenised as they are read: one aggregate over the whole index gives the number of documents, average lengths and document
 frequencies: a single row, whatever the data's size, that enters the scores as literals. Scores
 then are arithmetic in place, without a shuffle. A filter comes after, so it never changes them.
 """
@@ -19,6 +21,8 @@ from ..schema import Index
 from .query_text import Clause, Group, synonyms
 
 K1, B = 1.2, 0.75
+#: Matches that may be broadcast to be joined with documents; more are joined by their key.
+BROADCAST_ROWS = 200_000
 
 
 def text_column(index: Index, path: str) -> Column:
@@ -48,6 +52,14 @@ def near(token: Column, word: str, distance: int) -> Column:
     return out
 
 
+def _minus(k: int):
+    return lambda x: x - k
+
+
+def _clauses(node) -> list[Clause]:
+    return [node] if isinstance(node, Clause) else [c for n in (*node.must, *node.should, *node.never) for c in _clauses(n)]
+
+
 class Plan:
     """A query over an index: adds the columns __match, __score and what they need."""
 
@@ -55,6 +67,7 @@ class Plan:
         self.index, self.query, self.fields, self.rules = index, query, fields, rules or {}
         self.names = {p: f"__tokens{i}" for i, p in enumerate(fields)}
         self.wanted: dict[tuple[str, str], int] = {}
+        self.indexed = False
         self._gather(query)
 
     def _scope(self, c: Clause) -> dict[str, float]:
@@ -81,26 +94,94 @@ class Plan:
                 self.wanted.setdefault((path, t), len(self.wanted))
 
     def _count(self, path: str, token: str) -> Column:
-        return F.col(f"__times{self.wanted[path, token]}")
+        col = F.col(f"__times{self.wanted[path, token]}")
+        return F.coalesce(col, F.lit(0)) if self.indexed else col
+
+    def _size(self, path: str) -> Column:
+        return F.coalesce(F.col(f"__size{self.sizes[path]}"), F.lit(0)) if self.indexed else F.size(self.names[path])
+
+    def _open(self, node) -> bool:
+        """Whether a document without any of the query's terms can match."""
+        if isinstance(node, Clause):
+            return node.kind == "all"
+        if node.must:
+            return all(self._open(n) for n in node.must)
+        return not node.should or any(self._open(n) for n in node.should)
+
+    def _expansions(self, node) -> list[tuple[Clause, str]]:
+        if isinstance(node, Clause):
+            return [(node, p) for p in self._scope(node)] if node.kind not in ("all", "term", "phrase") else []
+        return [x for n in (*node.must, *node.should, *node.never) for x in self._expansions(n)]
+
+    def _looked_up(self, docs: DataFrame, text, least: float | None) -> DataFrame:
+        """scored() by a text index (plans.postings.TextIndex)."""
+        from .postings import either
+
+        self.indexed = True
+        self.n, tokens = text.totals()
+        self.length = {p: tokens.get(p, 0) / max(1, self.n) for p in self.names}
+        found = text.frequencies(list(self.wanted))
+        self.frequency = {k: found.get(k, 0) for k in self.wanted}
+        self.sizes = {p: i for i, p in enumerate(self.names)}
+        self.hits = {x: i for i, x in enumerate(dict.fromkeys(self._expansions(self.query)))}
+        phrases = any(c.kind == "phrase" for c in _clauses(self.query))
+        none = F.lit(None)
+        shape = lambda df, hit: df.select(
+            "__key", "path", "term", "times", "size", (F.col("positions") if phrases else none.cast("array<int>")).alias("positions"), F.lit(hit).cast("int").alias("hit")
+        )
+        rows = shape(text.postings.read().where(either(list(self.wanted))), None)
+        for (c, p), i in self.hits.items():
+            own = text.postings.read().where(F.col("path") == p)
+            if c.kind in ("prefix", "range"):
+                own = own.where(self._test(c)(F.col("term")))
+            else:  # tested once for each word of the vocabulary
+                words = text.terms.read().where(F.col("path") == p).select("term").distinct().where(self._test(c)(F.col("term")))
+                own = own.join(words, "term", "left_semi")
+            rows = rows.unionByName(shape(own, i))
+        aggs = [F.max(F.when(F.col("path") == p, F.col("size"))).alias(f"__size{i}") for p, i in self.sizes.items()]
+        for (p, t), i in self.wanted.items():
+            mine = F.col("hit").isNull() & (F.col("path") == p) & (F.col("term") == t)
+            aggs.append(F.max(F.when(mine, F.col("times"))).alias(f"__times{i}"))
+            if phrases:
+                aggs.append(F.max(F.when(mine, F.col("positions"))).alias(f"__at{i}"))
+        aggs += [F.max(F.col("hit") == i).alias(f"__hit{i}") for i in self.hits.values()]
+        keyed = rows.groupBy("__key").agg(*aggs)
+        match, score = self._eval(self.query)
+        if least:
+            match = match & self._covered(least)
+        done = {"__match": match, "__score": F.when(match, score).otherwise(0.0)}
+        if self._open(self.query):
+            out = docs.join(keyed, "__key", "left").withColumns(done)
+            return out.select(*docs.columns, "__match", "__score")
+        few = keyed.withColumns(done).where("__match").select("__key", "__match", "__score")
+        if not self.hits and sum(self.frequency.values()) <= BROADCAST_ROWS:
+            few = F.broadcast(few)  # as many rows at most as the terms have documents
+        return docs.join(few, "__key").select(*docs.columns, "__match", "__score")
 
-    def scored(self, docs: DataFrame, least: float | None = None) -> DataFrame:
-        """docs with __match and __score; statistics cost one pass over the searched columns.
+    def scored(self, docs: DataFrame, least: float | None = None, text=None, keep: Column | None = None) -> DataFrame:
+        """docs with __match and __score, of those that pass keep; with a text index perhaps matches only.
 
-        least: the share of optional clauses that a match needs.
+        least: the share of optional clauses that a match needs. keep never changes a score: statistics come
+        from the index, or without one from a pass over the searched columns of all documents.
         """
+        passed = docs if keep is None else docs.where(keep)
         if isinstance(self.query, Clause) and self.query.kind == "all":
-            return docs.withColumns({"__match": F.lit(True), "__score": F.lit(1.0)})
+            return passed.withColumns({"__match": F.lit(True), "__score": F.lit(1.0)})
         if not self.fields and not self.names:
-            return docs.withColumns({"__match": F.lit(False), "__score": F.lit(0.0)})
+            return passed.withColumns({"__match": F.lit(False), "__score": F.lit(0.0)})
+        if text is not None:
+            return self._looked_up(passed, text, least)
         made = [F.coalesce(analyzers.column(text_column(self.index, p), self.index.at(p).analyzer), F.array().cast("array<string>")).alias(n) for p, n in self.names.items()]
         # as a row of a generator, tokens are made once; as a column they would be made anew wherever a clause or filter names them
-        held = docs.select("*", F.inline(F.array(F.struct(*made))))
+        tokenised = lambda df: df.select("*", F.inline(F.array(F.struct(*made))))
+        held = tokenised(docs)
         aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(F.size(n)).alias(f"l{i}") for i, n in enumerate(self.names.values())]
         aggs += [F.sum(F.array_contains(self.names[p], t).cast("long")).alias(f"d{i}") for (p, t), i in self.wanted.items()]
         row = held.agg(*aggs).first()
         self.n = row["n"]
         self.length = {p: row[f"l{i}"] or 0.0 for i, p in enumerate(self.names)}
         self.frequency = {k: row[f"d{i}"] or 0 for k, i in self.wanted.items()}
+        held = tokenised(passed)
         if self.wanted:  # counted once for each row, too; without a lambda, which would not be compiled
             counted = [(F.size(self.names[p]) - F.size(F.array_remove(self.names[p], t))).alias(f"__times{i}") for (p, t), i in self.wanted.items()]
             held = held.select("*", F.inline(F.array(F.struct(*counted))))
@@ -113,7 +194,7 @@ class Plan:
     def _weight(self, path: str, frequency: float, times: Column) -> Column:
         idf = math.log(1 + (self.n - frequency + 0.5) / (frequency + 0.5))
         mean = self.length[path] or 1.0
-        return F.lit(idf * (K1 + 1)) * times / (times + F.lit(K1 * (1 - B)) + F.size(self.names[path]) * F.lit(K1 * B / mean))
+        return F.lit(idf * (K1 + 1)) * times / (times + F.lit(K1 * (1 - B)) + self._size(path) * F.lit(K1 * B / mean))
 
     def _eval(self, node) -> tuple[Column, Column]:
         if isinstance(node, Clause):
@@ -137,7 +218,6 @@ class Plan:
             return F.lit(True), F.lit(1.0)
         match, score = F.lit(False), F.lit(0.0)
         for path, boost in self._scope(c).items():
-            tokens = F.col(self.names[path])
             if c.kind == "term":
                 parts = []
                 for t in self.analyzed(c, path):
@@ -146,7 +226,8 @@ class Plan:
             elif c.kind == "phrase":
                 parts = self._phrase(path, self.analyzed(c, path))
             else:
-                parts = [(hit := F.exists(tokens, self._test(c)), F.when(hit, 1.0).otherwise(0.0))]
+                hit = F.coalesce(F.col(f"__hit{self.hits[c, path]}"), F.lit(False)) if self.indexed else F.exists(F.col(self.names[path]), self._test(c))
+                parts = [(hit, F.when(hit, 1.0).otherwise(0.0))]
             for m, s in parts:
                 match, score = match | m, score + s * F.lit(boost)
         return match, score
@@ -154,13 +235,19 @@ class Plan:
     def _phrase(self, path: str, words: list[str]) -> list[tuple[Column, Column]]:
         if not words:
             return []
-        tokens = F.col(self.names[path])
-        joined = F.concat(F.lit("\x01"), F.array_join(tokens, "\x01"), F.lit("\x01"))
-        quoted = "".join(re.escape(w) + "\x01" for w in words)
-        times = F.regexp_count(joined, F.lit(f"(?=\x01{quoted})"))  # places may overlap
+        if self.indexed:
+            at = [F.coalesce(F.col(f"__at{self.wanted[path, w]}"), F.array().cast("array<int>")) for w in words]
+            places = at[0]
+            for k, p in enumerate(at[1:], 1):
+                places = F.array_intersect(places, F.transform(p, _minus(k)))
+            times = F.size(places)
+        else:
+            joined = F.concat(F.lit("\x01"), F.array_join(F.col(self.names[path]), "\x01"), F.lit("\x01"))
+            quoted = "".join(re.escape(w) + "\x01" for w in words)
+            times = F.regexp_count(joined, F.lit(f"(?=\x01{quoted})"))  # places may overlap
         idf = sum(math.log(1 + (self.n - self.frequency[path, w] + 0.5) / (self.frequency[path, w] + 0.5)) for w in words)
         mean = self.length[path] or 1.0
-        weight = F.lit(idf * (K1 + 1)) * times / (times + F.lit(K1 * (1 - B)) + F.size(tokens) * F.lit(K1 * B / mean))
+        weight = F.lit(idf * (K1 + 1)) * times / (times + F.lit(K1 * (1 - B)) + self._size(path) * F.lit(K1 * B / mean))
         return [(times > 0, F.when(times > 0, weight).otherwise(0.0))]
 
     def _test(self, c: Clause):

@@ -22,11 +22,19 @@ def _add(name: str, run: Query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
+def _engine(spark: SparkSession, sf_dir: str, index: str, request: dict):
+    """Searches for words read the session's text index."""
+    if request.get("search") in (None, "", "*"):
+        return tables.engine(spark, sf_dir, index)
+    spec, table, load = {"docs": (tables.DOCS, "documents", tables.docs), "parts": (tables.PARTS, "part", lambda s, d: tables.read(s, d, "part"))}[index]
+    return tables.text_engine(spark, sf_dir, spec, table, load)
+
+
 def _hits(index: str, request: dict, *columns: str, score: bool = False) -> Query:
     """The hits of a request: columns, and the score to six digits."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = tables.engine(spark, sf_dir, index).search(index, request).hits
+        found = _engine(spark, sf_dir, index, request).search(index, request).hits
         out = [F.col(c) for c in columns]
         return found.select(*out, *([F.round("`@search.score`", 6).alias("score")] if score else []))
 
@@ -284,7 +292,7 @@ SELECT vec_id, round(max(s), 4) AS score FROM (FROM a UNION ALL FROM b) GROUP BY
 
 def _facet(index: str, path: str, request: dict | None = None, limit: int | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = tables.engine(spark, sf_dir, index)
+        e = _engine(spark, sf_dir, index, request or {})
         return facets.counts(e.search(index, request or {}).matched, e.resolve(index), path, limit)
 
     return run
@@ -339,12 +347,12 @@ WHERE starts_with(lower(text), 'small r') GROUP BY text ORDER BY f LIMIT 20)""",
 
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = {"search": "tion with", "searchFields": "text", "queryType": "semantic", "semanticConfiguration": "default", "top": 20}
-    return tables.engine(spark, sf_dir, "docs").search("docs", request).hits.select("doc_id", "`@search.captions`", F.round("`@search.rerankerScore`", 6).alias("reranker"))
+    return _engine(spark, sf_dir, "docs", request).search("docs", request).hits.select("doc_id", "`@search.captions`", F.round("`@search.rerankerScore`", 6).alias("reranker"))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = {"search": "tion with", "searchFields": "text", "queryType": "semantic", "semanticConfiguration": "default", "top": 20}
-    return tables.engine(spark, sf_dir, "docs").search("docs", request).answers.select("__key", "field", "text", F.round("score", 6).alias("score"))
+    return _engine(spark, sf_dir, "docs", request).search("docs", request).answers.select("__key", "field", "text", F.round("score", 6).alias("score"))
 
 
 _add("h06_answers", _answers)

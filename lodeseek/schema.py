@@ -99,6 +99,13 @@ class Index:
         return self.algorithms.get(f.profile or "", {}).get("metric", "cosine")
 
 
+def known(names: set[str], given: dict) -> None:
+    """ValueError where given has a name that isn't among names."""
+    for n in given:
+        if n not in names:
+            raise ValueError(f"no field {n}")
+
+
 def _bad(message: str) -> SearchError:
     return SearchError("InvalidIndex", message)
 

@@ -1,0 +1,88 @@
+"""Tables in buckets of a key's hash, of which a change rewrites the buckets that it touches and no others.
+
+Each version is a folder with a file for each bucket that it wrote; a small list beside them says for
+every bucket which version holds it. A version can be written again after a failure, and readers of
+another version are not disturbed, until vacuum() deletes what the last version no longer names.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..storage import file_system, read_text, remove, write_text
+
+BUCKET = "__bucket"
+
+
+def bucket_of(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(n)).cast("int")
+
+
+class Buckets:
+    """A table at path; n is stored with it, and another n is refused. schema: its columns without BUCKET."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, n: int | None = None, version: int | None = None):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        made = read_text(spark, f"{self.path}/_buckets.json")
+        if made is None:
+            self.n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            write_text(spark, f"{self.path}/_buckets.json", json.dumps(self.n))
+        else:
+            self.n = int(json.loads(made))
+            if n not in (None, self.n):
+                raise ValueError(f"{self.path} has {self.n} buckets, not {n}")
+        self.open(version)
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = file_system(self.spark, path)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def versions(self) -> list[int]:
+        return sorted(int(x[6:-5]) for x in self._names(self.path) if x.startswith("_live-") and x.endswith(".json"))
+
+    def open(self, version: int | None = None) -> None:
+        """A version, or the last one."""
+        known = self.versions()
+        self.version = known[-1] if version is None and known else -1 if version is None else version
+        text = read_text(self.spark, f"{self.path}/_live-{self.version}.json") if self.version >= 0 else "{}"
+        if text is None:
+            raise ValueError(f"{self.path} has no version {self.version}")
+        self.live = {int(b): int(v) for b, v in json.loads(text).items()}
+
+    def write(self, rows: DataFrame, touched: list[int] | None = None, order: tuple[str, ...] = ()) -> None:
+        """A new version: rows, with the column BUCKET, are all that the touched buckets (or all buckets) hold from now on."""
+        version = self.version + 1
+        folder = f"{self.path}/v{version}"
+        held = rows.select(BUCKET, *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema])
+        parts = self.n if touched is None else max(1, len(touched))
+        held.repartition(parts, BUCKET).sortWithinPartitions(BUCKET, *order).write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
+        there = {int(x.partition("=")[2]) for x in self._names(folder) if x.startswith(f"{BUCKET}=")}
+        live = {} if touched is None else {b: v for b, v in self.live.items() if b not in set(touched)}
+        self.live, self.version = live | dict.fromkeys(there, version), version
+        write_text(self.spark, f"{self.path}/_live-{version}.json", json.dumps(self.live))
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets, with BUCKET."""
+        full = T.StructType([*self.schema, T.StructField(BUCKET, T.IntegerType())])
+        wanted = {b: v for b, v in self.live.items() if only is None or b in set(only)}
+        out = None
+        for version in sorted(set(wanted.values())):
+            folder, own = f"{self.path}/v{version}", [b for b, v in wanted.items() if v == version]
+            whole = len(own) == sum(x.startswith(f"{BUCKET}=") for x in self._names(folder))
+            places = [folder] if whole else [f"{folder}/{BUCKET}={b}" for b in own]
+            one = self.spark.read.schema(full).option("basePath", folder).parquet(*places)
+            out = one if out is None else out.unionByName(one)
+        return out if out is not None else self.spark.createDataFrame([], full)
+
+    def vacuum(self) -> None:
+        """Deletes versions that the open one doesn't need."""
+        used = set(self.live.values())
+        for v in self.versions():
+            if v < self.version:
+                remove(self.spark, f"{self.path}/_live-{v}.json")
+                if v not in used:
+                    remove(self.spark, f"{self.path}/v{v}")

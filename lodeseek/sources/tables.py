@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import SearchEngine
+from ..plans.postings import TextIndex
+from ..storage import file_system
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +94,28 @@ def engine(spark: SparkSession, sf_dir: str, *names: str) -> SearchEngine:
     return out
 
 
+_texts: dict[tuple, TextIndex] = {}
+
+
+def _state_of(spark: SparkSession, path: str) -> tuple:
+    """When a table's files were last written, and their sizes."""
+    fs, p = file_system(spark, path)
+    found = fs.listStatus(p) if fs.exists(p) else []
+    return tuple(sorted((s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in found))
+
+
+def text_engine(spark: SparkSession, sf_dir: str, spec: dict, table: str, load) -> SearchEngine:
+    """An engine with one index over a table, and its text index, which the session builds once for a state of the table's files."""
+    out = SearchEngine(spark)
+    index = out.create_index(spec, load(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, repr([(f.name, f.analyzer, f.searchable) for f in index.fields]), _state_of(spark, f"{sf_dir}/{table}.parquet"))
+    if key in _texts:
+        out.texts[index.name] = _texts[key]
+    else:
+        _texts[key] = out.index_text(index.name)
+    return out
+
+
 def save(engine_: SearchEngine, name: str, path: str) -> None:
     """Writes an index's documents as a Parquet snapshot."""
     engine_.data[engine_.resolve(name).name].write.mode("overwrite").parquet(path)

@@ -47,13 +47,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     fs.delete(p, True)
 
 
@@ -84,7 +84,7 @@ def clear(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -
 
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text, or null where there is none."""
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     if not fs.exists(p):
         return None
     stream = fs.open(p)
@@ -96,7 +96,7 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
     """Writes a small file under another name and moves it into place."""
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     if not overwrite and fs.exists(p):
         raise FileExistsError(path)
     own = spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}-{uuid.uuid4().hex}")
@@ -110,5 +110,5 @@ def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     return fs.exists(p)

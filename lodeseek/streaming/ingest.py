@@ -18,26 +18,18 @@ def sequenced(batch: DataFrame, order: str) -> DataFrame:
 def ingest(engine: SearchEngine, name: str, actions: DataFrame, order: str, store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Applies a stream of the index's columns, __action and an order column.
 
-    Each micro-batch writes a snapshot of the index under store and opens it, so that plans don't
-    grow with the number of batches. The snapshot's name is the batch's number: a batch that runs
-    again after a failure starts from the snapshot before and overwrites its own.
+    The index is kept in buckets under store; each micro-batch rewrites the buckets that it touches, as the
+    version with the batch's number and one. A batch that runs again after a failure starts from the version before it
+    and writes its own anew; a text index that the engine has is brought up to date with it.
     """
     index = engine.resolve(name)
     names = [f.name for f in index.fields]
-    first = engine.data[index.name]
-
-    def state(number: int) -> DataFrame:
-        path = f"{store}/{number}"
-        jvm, conf = engine.spark._jvm, engine.spark._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-        return engine.spark.read.parquet(path) if number >= 0 and p.getFileSystem(conf).exists(p) else first
+    held = engine.store(name, store)
 
     def run(batch: DataFrame, number: int) -> None:
-        engine.data[index.name] = state(number - 1)
+        held.open(number)
         keyed = sequenced(batch.withColumn("__k", F.col(f"`{index.key.name}`")), order).select(*names, "__action", "__seq")
         engine.apply_batch(name, keyed)
-        engine.data[index.name].write.mode("overwrite").parquet(f"{store}/{number}")
-        engine.data[index.name] = engine.spark.read.parquet(f"{store}/{number}")
 
     writer = actions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
