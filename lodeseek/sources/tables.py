@@ -46,6 +46,10 @@ ORDERS = {
         _f("Lines", "Collection(ComplexType)", "F", fields=[_f("linenumber", "Int32", "F"), _f("quantity", "Double", "FC"), _f("discount", "Double", "F"), _f("returnflag", "String", "FC"), _f("linestatus", "String", "FC")]),
     ],
 }
+SALES = {
+    "name": "sales",
+    "fields": [_f("o_orderkey", "Int64", "KFO"), _f("o_orderdate", "DateTimeOffset", "FO"), _f("o_orderstatus", "String", "FC"), _f("o_totalprice", "Double", "FO")],
+}
 CUSTOMERS = {
     "name": "customers",
     "fields": [
@@ -85,6 +89,7 @@ def engine(spark: SparkSession, sf_dir: str, *names: str) -> SearchEngine:
     """An engine with the named logical indexes."""
     made = {
         "docs": (DOCS, docs), "events": (EVENTS, lambda s, d: read(s, d, "events")), "parts": (PARTS, lambda s, d: read(s, d, "part")), "orders": (ORDERS, orders),
+        "sales": (SALES, lambda s, d: read(s, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice")),
         "customers": (CUSTOMERS, customers), "vecs": (VECS, lambda s, d: read(s, d, "embeddings")),
     }
     out = SearchEngine(spark)
