@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schema as schemas
+from . import semantics
 from .errors import SearchError, invalid
 from .functions import analyzers, filters, vectors
-from .operators import facets, mutate, ranking, semantic, suggest
+from .operators import ann, facets, mutate, ranking, semantic, suggest
 from .paths import project
 from .plans import bm25, query_text
 from .plans.postings import TextIndex
@@ -25,6 +26,9 @@ from .schema import Index
 from .sources.buckets import BUCKET, Buckets, bucket_of
 from .storage import materialise, new_path
 
+#: Static limits that the statistics name; 100 for the rest.
+LIMITS = {"documentCounter": 10_000_000, "storageCounter": 10_240}
+
 
 @dataclass
 class Result:
@@ -88,6 +92,7 @@ class SearchEngine:
         self.data: dict[str, DataFrame] = {}
         self.stores: dict[str, Buckets] = {}
         self.texts: dict[str, TextIndex] = {}
+        self.lists: dict[tuple[str, str], ann.Lists] = {}
         self.resources: dict[str, dict[str, dict]] = {k: {} for k in ("alias", "synonymMap", "knowledgeSource", "knowledgeBase")}
         self._version = 0
 
@@ -121,26 +126,40 @@ class SearchEngine:
 
     def delete_index(self, name: str) -> None:
         if self.indexes.pop(name, None) is None:
-            raise SearchError("IndexNotFound", name)
+            raise SearchError("ResourceNotFound", name)
         for own in (self.data, self.stores, self.texts):
             own.pop(name, None)
 
     def reset(self) -> None:
         self.__init__(self.spark)
 
-    def put_resource(self, kind: str, name: str, body: dict, if_match: str | None = None) -> dict:
-        """Stores an alias, synonym map, knowledge source or base; the etag rises with every write."""
-        if kind == "alias" and name in self.indexes:
-            raise SearchError("ResourceExists", f"{name} is an index")
+    def put_resource(self, kind: str, name: str, body: dict, if_match: str | None = None, create: bool = False) -> dict:
+        """Stores an alias, synonym map, knowledge source or base; the etag rises with every write. create: it must be new."""
         own = self.resources[kind]
+        if create and name in own or kind == "alias" and name in self.indexes:
+            raise SearchError(f"{kind[0].upper()}{kind[1:]}AlreadyExists", name)
         if if_match and own.get(name, {}).get("@odata.etag") != if_match:
             raise SearchError("PreconditionFailed", name)
+        if not isinstance(body, dict):
+            raise SearchError("InvalidRequest", f"{name} is no object")
         if kind == "synonymMap" and not isinstance(body.get("synonyms"), str):
             raise SearchError("InvalidSynonymMap", name)
+        if kind == "alias" and (not isinstance(body.get("indexes"), list) or len(body["indexes"]) != 1 or body["indexes"][0] not in self.indexes):
+            raise SearchError("InvalidAlias", f"{name} needs one index that exists")
+        if kind == "knowledgeSource" and not (body.get("searchIndexParameters") or {}).get("searchIndexName"):
+            raise SearchError("InvalidKnowledgeSource", f"{name} names no index")
+        if kind == "knowledgeBase" and (not body.get("knowledgeSources") or any(s.get("name") not in self.resources["knowledgeSource"] for s in body["knowledgeSources"])):
+            raise SearchError("InvalidKnowledgeBase", f"{name} needs sources that exist")
         self._version += 1
         own[name] = body | {"name": name, "@odata.etag": f'"0x{self._version:08X}"'}
         return own[name]
 
+    def list_resources(self, kind: str) -> list[dict]:
+        return [own for _, own in sorted(self.resources[kind].items())]
+
+    def list_indexes(self) -> list[Index]:
+        return [own for _, own in sorted(self.indexes.items())]
+
     def get_resource(self, kind: str, name: str) -> dict:
         if name not in self.resources[kind]:
             raise SearchError("ResourceNotFound", name)
@@ -154,10 +173,12 @@ class SearchEngine:
         if name in self.resources["alias"]:
             name = (self.resources["alias"][name].get("indexes") or [""])[0]
         if name not in self.indexes:
-            raise SearchError("IndexNotFound", name)
+            raise SearchError("ResourceNotFound", name)
         return self.indexes[name]
 
     def _put(self, index: Index, docs: DataFrame) -> None:
+        for k in [k for k in self.lists if k[0] == index.name]:
+            del self.lists[k]
         self.data[index.name] = docs
 
     def store(self, name: str, path: str, buckets: int | None = None) -> Buckets:
@@ -193,6 +214,29 @@ class SearchEngine:
             out = one if out is None else out.unionByName(one)
         return out if out is not None else self.spark.createDataFrame([], "name string, documents long, bytes long")
 
+    def service_statistics(self) -> dict:
+        """Counts of what there is, each with its static limit; storage in KB."""
+        row = self.statistics().agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
+        used = {"indexCounter": len(self.indexes), "documentCounter": row["n"], "storageCounter": row["b"] // 1024}
+        used |= {f"{k}Counter": len(self.resources[k]) for k in ("synonymMap", "alias", "knowledgeBase", "knowledgeSource")}
+        return {"counters": {k: {"usage": n, "limit": LIMITS.get(k, 100)} for k, n in used.items()}, "limits": {"maxVectorIndexSizePerIndexInBytes": 1 << 30}}
+
+    def index_vectors(self, name: str, path: str, folder: str | None = None) -> ann.Lists:
+        """Deals a field's vectors to lists: queries that may be approximate then read a few of them. A batch of actions drops the lists."""
+        index = self.resolve(name)
+        f = index.at(path)
+        if f is None or not f.vector:
+            raise invalid(f"{path} is no vector")
+        self.lists[index.name, path] = ann.Lists(self.documents(name), index, f, folder or new_path(self.spark, f"lists-{index.name}-{path}"))
+        return self.lists[index.name, path]
+
+    def _near(self, base: DataFrame, index: Index, path: str, query: dict, filtered: bool) -> DataFrame:
+        """The k best of a field: from the lists where the index and the query allow approximation, else from all."""
+        held, own = self.lists.get((index.name, path)), index.algorithms.get(index.at(path).profile or "") or {}
+        ef = own.get("efSearch", 500)
+        may = held and own.get("kind") == "hnsw" and own["metric"] != "dotProduct" and not filtered and not query["exhaustive"] and held.n > max(ef, query["k"])
+        return ranking.nearest(held.probed(query["vector"], max(ef, query["k"])) if may else base, index, path, query["vector"], query["k"])
+
     # documents
 
     def get_document(self, name: str, key: str) -> DataFrame:
@@ -298,7 +342,7 @@ class SearchEngine:
                 vector = q.get("vector")
                 if not isinstance(vector, list) or len(vector) not in sizes:
                     raise invalid("the vector's length doesn't suit its fields")
-            out.append({"fields": fields, "k": k, "weight": float(weight), "vector": vector})
+            out.append({"fields": fields, "k": k, "weight": float(weight), "vector": vector, "exhaustive": bool(q.get("exhaustive"))})
         return out
 
     def search(self, name: str, request: dict) -> Result:
@@ -318,13 +362,14 @@ class SearchEngine:
         top = _number(request.get("top"), "top")
         filter_text = state.get("filter", request.get("filter"))
         orderby = state.get("orderby", _list(request.get("orderby")))
-        semantic_name = request.get("semanticConfiguration")
-        is_semantic = request.get("queryType") == "semantic"
-        if is_semantic:
+        asked = semantics.wanted(request)
+        if asked:
             if queries:
                 raise invalid("semantic search and vectors don't go together")
-            if not semantic_name or semantic_name not in index.semantic:
-                raise invalid(f"no semantic configuration {semantic_name}")
+            if asked.configuration not in index.semantic:
+                if not asked.partial:
+                    raise invalid(f"no semantic configuration {asked.configuration}")
+                asked = None
         fields = self._fields(index, request)
         text = request.get("search")
         tree = query_text.full(text, mode, index.searchable()) if full else query_text.simple(text, mode)
@@ -337,7 +382,7 @@ class SearchEngine:
         lists = []
         for q in queries:
             base = docs.where(keep) if pre and keep is not None else docs
-            per_field = [ranking.nearest(base, index, p, q["vector"], q["k"]) for p in q["fields"]] if q["vector"] else []
+            per_field = [self._near(base, index, p, q, pre and keep is not None) for p in q["fields"]] if q["vector"] else []
             if per_field:
                 found = ranking.best(per_field) if len(per_field) > 1 else per_field[0]
                 if keep is not None and not pre:
@@ -367,12 +412,12 @@ class SearchEngine:
         hits = page.select(*self._shown(index, request, plan, tree))
         made = {p: facets.counts(matched, index, p, n) for p, n in facets.parse(index, _as_list(request.get("facets") or request.get("facet"))).items()}
         result = Result(hits, matched, made, debug=self._debug(index, tree, fields, rules, queries, filter_text))
-        if is_semantic:
-            conf = index.semantic[semantic_name]
-            terms = semantic.query_terms(text or "")
-            result.answers = semantic.answers(matched, index, conf["answers"], terms, min(int(request.get("answers", 3)), 5))
-            n = min(int(request.get("captions", 1)), 3)
-            result.hits = page.select(*self._shown(index, request, plan, tree), semantic.captions(index, conf["captions"], n).alias("@search.captions"), semantic.reranked(F.col("__score")).alias("@search.rerankerScore"))
+        if asked:
+            conf = index.semantic[asked.configuration]
+            if asked.answers is not None:
+                result.answers = semantic.answers(matched, index, conf["answers"], semantic.query_terms(text or "", list(asked.questions)), asked.answers)
+            more = [semantic.captions(index, conf["captions"], asked.captions).alias("@search.captions")] if asked.captions is not None else []
+            result.hits = page.select(*self._shown(index, request, plan, tree), *more, semantic.reranked(F.col("__score")).alias("@search.rerankerScore"))
         if top:
             last = {"skip": skip + top, "filter": filter_text, "orderby": orderby, "vectors": ranking.vector_hash(queries)}
             result._more = lambda: (ranking.token(last), skip + top) if not matched.select("__key").offset(skip + top).limit(1).isEmpty() else None

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+# The codes that clients know.
 STATUS = {
     "InvalidIndex": 400,
-    "InvalidDocument": 400,
+    "InvalidIndexName": 400,
+    "InvalidRequest": 400,
+    "InvalidDocuments": 400,
     "InvalidQuery": 400,
-    "UnsupportedQuery": 400,
+    "InvalidAlias": 400,
     "InvalidSynonymMap": 400,
-    "InvalidName": 400,
-    "InvalidContinuation": 400,
-    "IndexNotFound": 404,
-    "DocumentNotFound": 404,
+    "InvalidKnowledgeSource": 400,
+    "InvalidKnowledgeBase": 400,
+    "UnsupportedQuery": 400,
+    "UnsupportedAction": 400,
+    "ApiVersionMissing": 400,
+    "ApiVersionUnsupported": 400,
+    "AuthenticationFailed": 403,
     "ResourceNotFound": 404,
     "IndexAlreadyExists": 409,
-    "ResourceExists": 409,
+    "SynonymMapAlreadyExists": 409,
+    "AliasAlreadyExists": 409,
+    "KnowledgeSourceAlreadyExists": 409,
+    "KnowledgeBaseAlreadyExists": 409,
     "PreconditionFailed": 412,
+    "InternalError": 500,
 }
 
 

@@ -22,12 +22,14 @@ _RULES = {
 
 def parse_action(item: dict) -> tuple[str, dict]:
     """("upload", document) from {"@search.action": ..., fields} or {"action": ..., "document": ...}."""
+    if not isinstance(item, dict):
+        raise SearchError("InvalidRequest", "an action is no object")
     if isinstance(item.get("document"), dict):
         action, doc = item.get("action", "upload"), item["document"]
     else:
         action, doc = item.get("@search.action", "upload"), {k: v for k, v in item.items() if k != "@search.action"}
     if action not in ACTIONS:
-        raise SearchError("InvalidDocument", f"action {action!r}")
+        raise SearchError("UnsupportedAction", f"action {action!r}")
     return action, doc
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import SearchError, invalid
+from ..errors import invalid
 from ..functions.vectors import METRICS
 from ..paths import resolve
 from ..schema import Index
@@ -96,7 +96,7 @@ def read_token(text: str, queries: list[dict]) -> dict:
         state = json.loads(base64.urlsafe_b64decode(text.encode()))
         assert isinstance(state, dict) and isinstance(state.get("skip"), int)
     except Exception:
-        raise SearchError("InvalidContinuation", "the token can't be read") from None
+        raise invalid("the token can't be read") from None
     if state.get("vectors") != vector_hash(queries):
-        raise SearchError("InvalidContinuation", "the token belongs to other vectors")
+        raise invalid("the token belongs to other vectors")
     return state

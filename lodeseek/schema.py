@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
+from . import semantics
 from .errors import SearchError
 
 SCALARS = {
@@ -160,7 +161,7 @@ def _unique(names) -> None:
 def parse(spec: dict) -> Index:
     """An index from its JSON form; InvalidIndex where it breaks a rule."""
     if not re.fullmatch(r"[a-z0-9](?:[a-z0-9-]{0,126}[a-z0-9])?", spec.get("name") or ""):
-        raise SearchError("InvalidName", f"index name {spec.get('name')!r}")
+        raise SearchError("InvalidIndexName", f"index name {spec.get('name')!r}")
     fields = tuple(_field(s, True) for s in spec.get("fields") or ())
     _unique(f.name for f in fields)
     if sum(f.key for f in fields) != 1:
@@ -199,16 +200,7 @@ def parse(spec: dict) -> Index:
             if f is None or not f.searchable or f.vector:
                 raise _bad(f"suggester field {p} isn't searchable")
         out.suggesters[s["name"]] = paths
-    for c in (spec.get("semantic") or spec.get("semanticSearch") or {}).get("configurations") or []:
-        own = c.get("prioritizedFields") or {}
-        names = lambda k: [x["fieldName"] for x in own.get(k) or []]
-        title = [own["titleField"]["fieldName"]] if own.get("titleField") else []
-        content = names("prioritizedContentFields") or names("contentFields")
-        keywords = names("prioritizedKeywordsFields") or names("keywordsFields")
-        for p in [*title, *content, *keywords]:
-            if (f := out.at(p)) is None or not f.searchable:
-                raise _bad(f"semantic field {p} isn't searchable")
-        out.semantic[c["name"]] = {"answers": title + content + keywords, "captions": title + content}
+    out.semantic.update(semantics.configurations(out, spec.get("semantic") or spec.get("semanticSearch")))
     return out
 
 

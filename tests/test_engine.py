@@ -289,6 +289,72 @@ def test_semantic_search(spark):
         e.search("sem", {"search": "x", "queryType": "semantic"})
 
 
+def test_semantic_requests(spark):
+    e = SearchEngine(spark)
+    own = {"name": "roles", "priorities": {"answers": ["content", "title"], "captions": ["title"]}, "sources": [{"name": "s", "field": "content"}], "reranker": {"name": "standard"}, "rescorers": []}
+    spec = {"name": "sem", "fields": [f("id", "Edm.String", "K"), f("title", "Edm.String", "S"), f("content", "Edm.String", "S"), f("hidden", "Edm.String", "S", retrievable=False)]}
+    index = e.create_index(spec | {"semantic": {"configurations": [own]}})
+    assert index.semantic == {"roles": {"answers": ["content", "title"], "captions": ["title"]}}
+    e.index_documents("sem", [{"id": "a", "title": "Herons by the weir", "content": "A heron waits at the weir all day. It eats small fish and frogs."}, {"id": "b", "title": "Kettles made of copper", "content": "Copper kettles boil water quickly. They need polish every month."}])
+    nested = {"semanticConfiguration": "roles", "queryContext": {"questions": ["what do herons eat"]}, "answers": {"count": 1}, "captions": {"count": 2, "type": "extractive"}}
+    got = e.search("sem", {"search": "weir", "semantic": nested})
+    assert [r["__key"] for r in got.answers.collect()] == ["a"] and got.hits.first()["@search.captions"] == ["Herons by the weir"]
+    assert e.search("sem", {"search": "weir", "semantic": {"semanticConfiguration": "roles"}}).answers is None
+    for change in ({"answers": {"count": 6}}, {"answers": {"count": 0}}, {"answers": 3}, {"captions": {"count": 4}}, {"captions": {"type": "abstract"}}, {"semanticConfiguration": ""}, {"semanticConfiguration": "none"}, {"queryContext": {"questions": "x"}}, {"semanticErrorHandling": "shrug"}):
+        with pytest.raises(SearchError):
+            e.search("sem", {"search": "weir", "semantic": nested | change})
+    assert e.search("sem", {"search": "weir", "semantic": nested | {"semanticConfiguration": "none", "semanticErrorHandling": "partial"}}).answers is None
+    flat = {"search": "copper", "queryType": "semantic", "semanticConfiguration": "roles", "answers": 99, "captions": 99}
+    assert e.search("sem", flat).answers.count() <= 5
+    for bad in ([own, own], [own | {"rescorers": [1]}], [own | {"reranker": {"name": "x"}}], [own | {"priorities": {}}], [own | {"priorities": {"answers": []}}], [own | {"priorities": {"answers": ["hidden"]}}], [own | {"sources": [{"name": "s", "field": "id"}]}], [own | {"sources": [{"name": "s", "type": "audio", "field": "title"}]}], [{"priorities": {"answers": ["title"]}}]):
+        with pytest.raises(SearchError):
+            schema.parse(spec | {"semantic": {"configurations": bad}})
+
+
+def test_resources_and_statistics(spark):
+    e = SearchEngine(spark)
+    e.create_index(ITEMS)
+    e.index_documents("items", [{"id": "a", "title": "x"}])
+    for kind, bad in (("alias", {"indexes": ["none"]}), ("synonymMap", {}), ("knowledgeSource", {}), ("knowledgeBase", {"knowledgeSources": [{"name": "none"}]})):
+        with pytest.raises(SearchError) as caught:
+            e.put_resource(kind, "r", bad)
+        assert caught.value.code == f"Invalid{kind[0].upper()}{kind[1:]}"
+    e.put_resource("alias", "al", {"indexes": ["items"]})
+    with pytest.raises(SearchError) as caught:
+        e.put_resource("alias", "al", {"indexes": ["items"]}, create=True)
+    assert caught.value.code == "AliasAlreadyExists" and [x["name"] for x in e.list_resources("alias")] == ["al"] and [x.name for x in e.list_indexes()] == ["items"]
+    got = e.service_statistics()["counters"]
+    assert got["documentCounter"] == {"usage": 1, "limit": 10_000_000} and got["aliasCounter"]["usage"] == 1 and got["indexCounter"] == {"usage": 1, "limit": 100}
+
+
+def test_lists_of_vectors(spark, sf_dir):
+    from lodeseek.sources import tables
+
+    spec = tables.VECS | {"vectorSearch": {"algorithms": [{"name": "a", "kind": "hnsw", "hnswParameters": {"efSearch": 40}}], "profiles": [{"name": "p", "algorithm": "a"}]}}
+    e = SearchEngine(spark)
+    e.create_index(spec, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    rows = e.data["vecs"].orderBy("vec_id").limit(10).collect()
+    ask = lambda v, **more: {r["vec_id"] for r in e.search("vecs", {"vectorQueries": [{"fields": "embedding", "vector": list(v), "k": 10, **more}]}).hits.collect()}
+    exact = [ask(r["embedding"]) for r in rows]
+    lists = e.index_vectors("vecs", "embedding")
+    assert sum(lists.sizes) == e.data["vecs"].count() == lists.n
+    found = [ask(r["embedding"]) for r in rows]
+    assert sum(len(a & b) for a, b in zip(exact, found)) >= 0.9 * sum(map(len, exact))
+    assert [ask(r["embedding"], exhaustive=True) for r in rows[:2]] == exact[:2]
+
+
+def test_clustered_vectors_need_few_lists():
+    import numpy as np
+
+    from lodeseek.operators import ann
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] * 5 + rng.normal(size=(3000, 16))
+    for metric in ("cosine", "euclidean"):
+        made = ann.centroids(x, 55, metric)
+        assert ann.probes(x, made, metric) <= 12
+
+
 def test_other_stemmers():
     from lodeseek.functions import stems
 
