@@ -75,10 +75,12 @@ def whole(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 1
         yield t, start, np.r_[start[1:], t.num_rows]
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links (i, j) among n members."""
-    root = np.arange(n)
+def spanning(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links (i, j) among n members; root: components so far, which it brings up to date."""
+    root = np.arange(n) if root is None else root
     out: list[tuple[np.ndarray, np.ndarray]] = []
+    open_ = root[i] != root[j]
+    i, j = i[open_], j[open_]
     while len(i):
         hi, lo = np.maximum(root[i], root[j]), np.minimum(root[i], root[j])
         order = np.lexsort((lo, hi))
@@ -87,7 +89,7 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarr
         root[hi[first]] = lo[first]  # each root hooks on a smaller one
         out.append((hi[first], lo[first]))
         while (root[root] != root).any():
-            root = root[root]
+            root[:] = root[root]
         open_ = root[i] != root[j]
         i, j = i[open_], j[open_]
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
@@ -96,20 +98,17 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def forest(n: int, near: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Edges (member, root) of a spanning forest of the links among n members; near(rows): links of these members with all.
 
-    Members that the first one links are one component already, so only the others are compared with all: links
-    within the first one's star can't join anything else. A tight group costs little more than a row of its pairs.
+    Links within the largest component so far can't join anything, so only members outside it are compared with
+    all, some at a time, and what they join needn't be any more. A tight group costs a few rows of its pairs.
     """
-    star = near(np.zeros(1, dtype=np.int64))[0].copy()
-    star[0] = True
-    linked = np.flatnonzero(star)
-    edges = [(linked, np.zeros(len(linked), dtype=np.int64))]
-    rest = np.flatnonzero(~star)
-    step = max(1, (1 << 21) // n)
-    for at in range(0, len(rest), step):
-        i, j = np.nonzero(near(rest[at : at + step]))
-        i = rest[at + i]
-        other = i != j
-        edges.append(spanning(n, i[other], j[other]))
-    i, j = (np.concatenate(x) for x in zip(*edges))
-    other = i != j
-    return spanning(n, i[other], j[other])
+    root, done, many, edges = np.arange(n), np.zeros(n, dtype=bool), 1, []
+    while True:
+        rest = np.flatnonzero((root != np.bincount(root).argmax()) & ~done)
+        if not len(rest):
+            break
+        rows = rest[np.unique(np.linspace(0, len(rest) - 1, min(many, len(rest))).astype(np.int64))]
+        i, j = np.nonzero(near(rows))
+        edges.append(spanning(n, rows[i], j, root))
+        done[rows] = True
+        many = min(2 * many, max(1, (1 << 21) // n))
+    return tuple(np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
