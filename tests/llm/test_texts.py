@@ -73,6 +73,32 @@ def test_edit_embedding(odd, none):
     assert ee.edited(none).collect() == []
 
 
+def test_likeness_follows_edit_distance():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(21)
+    steps = []
+    for _ in range(25):
+        text = "".join(rng.choice("etaoin shrdlu") for _ in range(400))
+        found = []
+        for edits in (2, 15, 60):
+            t = list(text)
+            for _ in range(edits):
+                at = rng.randrange(len(t))
+                kind = rng.randrange(3)
+                t[at : at + (kind != 0)] = [] if kind == 1 else [rng.choice("etaoin shrdlu")]
+            found.append((distance(text, "".join(t)), ee.likeness(ee.fingerprint(text), ee.fingerprint("".join(t)))))
+        assert [d for d, _ in found] == sorted(d for d, _ in found)
+        steps += [(a[1] >= b[1]) for a, b in zip(found, found[1:])]
+    assert sum(steps) >= 0.9 * len(steps)
+
+
 def test_edited_rows_follow_descending_ids(spark):
     rng = random.Random(6)
     rows = [(i, None if i % 11 == 0 else "".join(rng.choice("abc déf") for _ in range(rng.randrange(0, 60)))) for i in range(200)]
@@ -212,6 +238,72 @@ def test_suffix_tree_counts_pairs_exactly(spark):
         assert seen[gram] == n
 
 
+def plain_tree(rows, depth, discount):
+    """Counts, retained contexts and a scorer by the rules of the module's text, over tuples of words."""
+    texts = [[*suffix_tree.words(t or ""), b""] for _, t in rows]
+    word = {}
+    for ws in texts:
+        for w in ws:
+            word[w] = word.get(w, 0) + 1
+    n, v = sum(word.values()), len(word)
+    d = (sum(c == 1 for c in word.values()) + 0.5) / (v + 1)
+    root = lambda w: math.log10((word[w] - d if w in word else d * v) / n)
+    grams = {}
+    for ws in texts:
+        for k in range(2, depth + 2):
+            for i in range(len(ws) - k + 1):
+                g = tuple(ws[i : i + k])
+                grams[g] = grams.get(g, 0) + 1
+    contexts = [{(w,): c for w, c in word.items() if c >= 2 and w != b""}]
+    own = []
+    for k in range(1, depth + 1):
+        own.append({c: {g[-1]: m for g, m in grams.items() if len(g) == k + 1 and m >= 2 and g[:-1] == c} for c in contexts[-1]})
+        contexts.append({c + (x,): m for c, nexts in own[-1].items() for x, m in nexts.items() if x != b""})
+    chance, backoff, kept = {}, {}, set()
+    for k in range(depth):
+        for c, nexts in own[k].items():
+            p = {x: (m - discount) / contexts[k][c] for x, m in nexts.items()}
+            q = {x: 10 ** root(x) if k == 0 else chance[c[1:]][x] for x in nexts}
+            rest_p, rest_q = max(1 - sum(p.values()), 1e-12), max(1 - sum(q.values()), 1e-12)
+            gain = sum(p[x] * math.log(p[x] / q[x]) for x in p) + rest_p * math.log(rest_p / rest_q)
+            chance[c], backoff[c] = p, math.log10(rest_p / rest_q)
+            if nexts and contexts[k][c] * gain >= 0.5 * len(nexts) * math.log(n):
+                kept |= {c[i:] for i in range(len(c))}
+
+    def score(ws):
+        total = 0.0
+        for i, w in enumerate(ws):
+            for k in range(min(depth, i), 0, -1):
+                c = tuple(ws[i - k : i])
+                if c in kept:
+                    if w in chance[c]:
+                        total += math.log10(chance[c][w])
+                        break
+                    total += backoff[c]
+            else:
+                total += root(w)
+        return total
+
+    return kept, score
+
+
+def test_suffix_tree_against_plain_python(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [(i, t) for i, t in rows if i % 2]
+    tree, counts = suffix_tree.learn(docs.where("doc_id % 2 = 1").select("text"))
+    kept, score = plain_tree(train, suffix_tree.DEPTH, suffix_tree.DISCOUNT)
+    name, mask = {i: w for w, i in tree.ids.items()}, (1 << suffix_tree.WORD_BITS) - 1
+    grams, got = [[(name[k],) for k in tree.levels[0].keys.tolist()]], set()
+    for level in tree.levels[1:]:
+        grams.append([grams[-1][k >> suffix_tree.WORD_BITS] + (name[k & mask],) for k in level.keys.tolist()])
+    for level, own in zip(tree.levels, grams):
+        got |= {g for g, k in zip(own, level.kept.tolist()) if k}
+    assert got == kept and {len(g) for g in kept} == {1, 2, 3}
+    for r in suffix_tree.score(docs, tree, counts).collect():
+        assert abs(r["score"] - score([*suffix_tree.words(dict(rows)[r["doc_id"]] or ""), b""])) < 1e-6
+
+
 def test_suffix_tree_takes_odd_rows(odd, clashing, none):
     for docs in (odd, clashing):
         tree, counts = suffix_tree.learn(docs.select("text").na.fill(""))
