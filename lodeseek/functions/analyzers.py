@@ -22,6 +22,7 @@ ENGLISH_STOPWORDS = frozenset(
 )
 LONGEST = 40  # bytes; longer tokens are dropped
 GRAMS = 15
+GAP = "\x00"  # stands where a stopword stood, so that the words around it aren't neighbours
 _alnum, _cjk = re.compile(r"[^\W_]+"), re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]+")
 
 #: Language codes, before the dot of an analyzer's name, that are split without stems, or by pairs of characters.
@@ -87,15 +88,27 @@ def tokens(text: str, name: str | None) -> list[str]:
     return [t for w in _words(text) if (t := _stem(k, w.lower())) is not None]
 
 
+def placed(text: str, name: str | None) -> list[str]:
+    """tokens() of a document's text, with GAP for each stopword."""
+    if not gapped(name):
+        return tokens(text, name)
+    return [GAP if (t := _stem(kind(name), w.lower())) is None else t for w in _words(text)]
+
+
+def gapped(name: str | None) -> bool:
+    """Whether column() can hold GAP."""
+    return kind(name) == "en" or kind(name) in LANGUAGES
+
+
 def _udf(name: str | None) -> Callable:
     def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else tokens(t, name))
+        return texts.map(lambda t: None if t is None else placed(t, name))
 
     return F.pandas_udf(of, "array<string>")
 
 
 def column(col: Column, name: str | None) -> Column:
-    """Tokens of a text column, in order; null for null."""
+    """Tokens of a text column, in order, with GAP for stopwords; null for null."""
     k = kind(name)
     alnum = F.regexp_extract_all(col, F.lit(r"[\p{IsAlphabetic}\p{N}]++"), F.lit(0))
     if k == "keyword":

@@ -98,7 +98,12 @@ class Plan:
         return F.coalesce(col, F.lit(0)) if self.indexed else col
 
     def _size(self, path: str) -> Column:
-        return F.coalesce(F.col(f"__size{self.sizes[path]}"), F.lit(0)) if self.indexed else F.size(self.names[path])
+        return F.coalesce(F.col(f"__size{self.sizes[path]}"), F.lit(0)) if self.indexed else self._length(path)
+
+    def _length(self, path: str) -> Column:
+        """Tokens of a field, without the gaps."""
+        tokens = F.col(self.names[path])
+        return F.size(F.array_remove(tokens, analyzers.GAP) if analyzers.gapped(self.index.at(path).analyzer) else tokens)
 
     def _open(self, node) -> bool:
         """Whether a document without any of the query's terms can match."""
@@ -175,7 +180,7 @@ class Plan:
         # as a row of a generator, tokens are made once; as a column they would be made anew wherever a clause or filter names them
         tokenised = lambda df: df.select("*", F.inline(F.array(F.struct(*made))))
         held = tokenised(docs)
-        aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(F.size(n)).alias(f"l{i}") for i, n in enumerate(self.names.values())]
+        aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(self._length(p)).alias(f"l{i}") for i, p in enumerate(self.names)]
         aggs += [F.sum(F.array_contains(self.names[p], t).cast("long")).alias(f"d{i}") for (p, t), i in self.wanted.items()]
         row = held.agg(*aggs).first()
         self.n = row["n"]
@@ -226,7 +231,7 @@ class Plan:
             elif c.kind == "phrase":
                 parts = self._phrase(path, self.analyzed(c, path))
             else:
-                hit = F.coalesce(F.col(f"__hit{self.hits[c, path]}"), F.lit(False)) if self.indexed else F.exists(F.col(self.names[path]), self._test(c))
+                hit = F.coalesce(F.col(f"__hit{self.hits[c, path]}"), F.lit(False)) if self.indexed else F.exists(F.col(self.names[path]), self._word_test(c))
                 parts = [(hit, F.when(hit, 1.0).otherwise(0.0))]
             for m, s in parts:
                 match, score = match | m, score + s * F.lit(boost)
@@ -250,6 +255,10 @@ class Plan:
         weight = F.lit(idf * (K1 + 1)) * times / (times + F.lit(K1 * (1 - B)) + self._size(path) * F.lit(K1 * B / mean))
         return [(times > 0, F.when(times > 0, weight).otherwise(0.0))]
 
+    def _word_test(self, c: Clause):
+        test = self._test(c)
+        return lambda t: (t != analyzers.GAP) & test(t)
+
     def _test(self, c: Clause):
         word = c.text.lower()
         if c.kind == "fuzzy":

@@ -47,7 +47,8 @@ class TextIndex:
         # dealt before it is tokenised, so that all that follows is grouped within the buckets
         dealt = held.select(BUCKET, "__key", *texts).repartition(self.buckets if touched is None else max(1, len(touched)), BUCKET)
         made = F.array(*[F.struct(F.lit(p).alias("path"), analyzers.column(F.col(f"t{i}"), self.index.at(p).analyzer).alias("tokens")) for i, p in enumerate(paths)]) if paths else F.array().cast("array<struct<path:string,tokens:array<string>>>")
-        rows = dealt.select(BUCKET, "__key", F.inline(made)).select(BUCKET, "__key", "path", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "term"))
+        size = F.size(F.array_remove("tokens", analyzers.GAP))
+        rows = dealt.select(BUCKET, "__key", F.inline(made)).select(BUCKET, "__key", "path", size.alias("size"), F.posexplode("tokens").alias("at", "term")).where(F.col("term") != analyzers.GAP)
         grouped = rows.groupBy(BUCKET, "path", "term", "__key").agg(F.count("*").cast("int").alias("times"), F.first("size").alias("size"), F.sort_array(F.collect_list("at")).alias("positions"))
         self.postings.write(grouped, touched, ("path", "term", "__key"))
         only = self.postings.read(touched)

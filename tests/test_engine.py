@@ -62,7 +62,7 @@ def ids(engine, request, index="items"):
         ({"search": '"copper kettle"'}, "1"), ({"search": "HERON~1"}, "3"), ({"search": "hern~1"}, "3"), ({"search": "hreon~1"}, "3"), ({"search": "grez~"}, "3"), ({"search": "grxz~1"}, ""), ({"search": "grai~2"}, "3"), ({"search": "*"}, "12345"), ({"search": ""}, "12345"),
         ({"search": "title:whistle", "queryType": "full"}, "2"), ({"search": "whist*", "queryType": "full"}, "2"), ({"search": "copper AND NOT boil", "queryType": "full"}, "2"), ({"search": "(heron OR ferries) -grey", "queryType": "full"}, "4"),
         ({"search": "/gr.y/", "queryType": "full"}, "3"), ({"search": "title:[co TO fa]", "queryType": "full"}, "125"), ({"search": "+copper boil", "queryType": "full"}, "125"), ({"search": "copper pan heron", "minimumCoverage": 0.5}, "5"),
-        ({"search": "copper", "filter": "price gt 10"}, "25"), ({"filter": "price ge 15", "orderby": "price desc", "top": 2}, "45"), ({"search": "copper whistle -kettle"}, "25"), ({"search": '"kettle boils" heron'}, "13"), ({"search": '"copper boils"'}, ""),
+        ({"search": "copper", "filter": "price gt 10"}, "25"), ({"filter": "price ge 15", "orderby": "price desc", "top": 2}, "45"), ({"search": "copper whistle -kettle"}, "25"), ({"search": '"kettle boils" heron'}, "13"), ({"search": '"copper boils"'}, ""), ({"search": '"ferries Lisbon"'}, ""), ({"search": '"slow grey"'}, "3"), ({"search": '"boiling copper"'}, ""),
     ],
 )
 @pytest.mark.parametrize("indexed", [False, True])
