@@ -219,9 +219,10 @@ def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
     linked = parted(cells, ["cell", "level"], "fingerprint", CELL_ROWS).mapInArrow(edges, "fa string, fb string").distinct()
     # fingerprints stand for themselves under a 64-bit name; equal names would only join two groups
     roots = components(linked.select(F.xxhash64("fa").alias("a"), F.xxhash64("fb").alias("b")), "edit-groups")
-    named = classes.withColumn("node", F.xxhash64("fingerprint")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    keyed = materialise(named.join(lowest, "root").join(members.groupBy("fingerprint").agg(F.count("*").alias("n")), "fingerprint").select("fingerprint", "class_id", "group_id", "n"), "edit-named")
+    counted = members.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).withColumn("node", F.xxhash64("fingerprint"))
+    named = materialise(counted.join(roots, "node", "left").select("fingerprint", "class_id", "n", F.coalesce("root", "node").alias("root")), "edit-roots")
+    lowest = materialise(named.groupBy("root").agg(F.min("class_id").alias("group_id"), F.count("*").alias("classes")), "edit-lowest")
+    keyed = materialise(lookup(named, lowest, "root", "classes").select("fingerprint", "class_id", "group_id", "n"), "edit-named")
     return lookup(members, keyed, "fingerprint", "n").select("doc_id", "fingerprint", "class_id", "group_id")
 
 
