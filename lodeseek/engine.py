@@ -184,7 +184,8 @@ class SearchEngine:
     def store(self, name: str, path: str, buckets: int | None = None) -> Buckets:
         """Keeps the index's documents under path from now on, in buckets of the key: a batch rewrites those that it touches."""
         index = self.resolve(name)
-        held = Buckets(self.spark, path, index.schema(), buckets)
+        own = self.data[index.name].schema  # as they are: dates may be timestamps
+        held = Buckets(self.spark, path, T.StructType([own[f.name] for f in index.fields]), buckets)
         if held.version < 0:
             held.write(self.data[index.name].withColumn(BUCKET, bucket_of(F.col(f"`{index.key.name}`"), held.n)))
         self.stores[index.name] = held
@@ -366,6 +367,8 @@ class SearchEngine:
         if asked:
             if queries:
                 raise invalid("semantic search and vectors don't go together")
+            if full:
+                raise invalid("semantic search and the full syntax don't go together")
             if asked.configuration not in index.semantic:
                 if not asked.partial:
                     raise invalid(f"no semantic configuration {asked.configuration}")

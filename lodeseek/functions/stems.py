@@ -1,9 +1,11 @@
-"""Stemmers. English follows the published Porter2 algorithm; German, Spanish, Swedish, Norwegian and Danish the published Snowball algorithms; others are lower-cased only."""
+"""Stemmers. English follows the published Porter2 algorithm; German, Spanish, Swedish, Norwegian and Danish here and five more in stems_more the published Snowball algorithms; others are lower-cased only."""
 
 from __future__ import annotations
 
 import re
 
+from .stems_more import dutch, french, italian, portuguese, russian
+
 VOWELS = "aeiouy"
 # Fixed values of the published algorithm.
 SPECIAL = {
@@ -285,3 +287,4 @@ def spanish(word: str) -> str:
 #: Stopwords and stemmer of each language.
 LANGUAGES = {code: (frozenset(), _same) for code in "ar da de el es fi fr hu it nl no pt ro ru sv tr".split()}
 LANGUAGES |= {code: (frozenset(), stem) for code, stem in (("de", german), ("sv", swedish), ("no", norwegian), ("da", danish), ("es", spanish))}
+LANGUAGES |= {code: (frozenset(), stem) for code, stem in (("fr", french), ("it", italian), ("pt", portuguese), ("nl", dutch), ("ru", russian))}

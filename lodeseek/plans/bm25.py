@@ -28,9 +28,24 @@ BROADCAST_ROWS = 200_000
 def text_column(index: Index, path: str) -> Column:
     """Text of a field: texts as they are, numbers and booleans as texts, collections joined by breaks."""
     col, many, f = resolve(index, path)
+    as_text = number_text if f.type in ("Single", "Double", "Half") else lambda x: x.cast("string")
     if many:
-        return F.array_join(F.transform(col, lambda x: x.cast("string")), "\n")
-    return col if f.type == "String" else col.cast("string")
+        return F.array_join(F.transform(col, as_text), "\n")
+    return col if f.type == "String" else as_text(col)
+
+
+def number_text(col: Column) -> Column:
+    """The shortest form of a floating number: plain from 0.00001 up to below 10 ** 16, else with an exponent as in 1.5e-7 and 1e21."""
+    plain = col.cast("double").cast("string")
+    sign = F.when(plain.startswith("-"), "-").otherwise("")
+    head, power = F.regexp_extract(plain, r"^-?([^E]+)E", 1), F.regexp_extract(plain, r"E(-?\d+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.regexp_replace(head, r"\.", ""), r"(?<=.)0+$", "")
+    whole = F.rpad(F.substr(digits, F.lit(1), power + 1), power + 1, F.lit("0"))
+    rest = F.substr(digits, power + 2)
+    large = F.concat(sign, whole, F.lit("."), F.when(rest == "", "0").otherwise(rest))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    powered = F.concat(sign, F.regexp_replace(head, r"\.0$", ""), F.lit("e"), power.cast("string"))
+    return F.when(power.isNull(), plain).when((power >= 7) & (power < 16), large).when((power < 0) & (power >= -5), small).otherwise(powered)
 
 
 def _swaps(word: str) -> list[str]:

@@ -23,16 +23,17 @@ def bucket_of(key: Column, n: int) -> Column:
 
 
 class Buckets:
-    """A table at path; n is stored with it, and another n is refused. schema: its columns without BUCKET."""
+    """A table at path; n and the columns without BUCKET are stored with it. Another n is refused, schema is for a new table."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, n: int | None = None, version: int | None = None):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         made = read_text(spark, f"{self.path}/_buckets.json")
         if made is None:
             self.n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
-            write_text(spark, f"{self.path}/_buckets.json", json.dumps(self.n))
+            write_text(spark, f"{self.path}/_buckets.json", json.dumps({"buckets": self.n, "schema": schema.jsonValue()}))
         else:
-            self.n = int(json.loads(made))
+            held = json.loads(made)
+            self.n, self.schema = int(held["buckets"]), T.StructType.fromJson(held["schema"])
             if n not in (None, self.n):
                 raise ValueError(f"{self.path} has {self.n} buckets, not {n}")
         self.open(version)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..engine import SearchEngine
 from ..plans.postings import TextIndex
-from ..storage import file_system
+from ..storage import file_system, materialise
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,10 +95,23 @@ def engine(spark: SparkSession, sf_dir: str, *names: str) -> SearchEngine:
     out = SearchEngine(spark)
     for n in names:
         spec, load = made[n]
-        out.create_index(spec, load(spark, sf_dir))
+        out.create_index(spec, _taken(spark, sf_dir, n, load) if n in JOINED else load(spark, sf_dir))
     return out
 
 
+#: Indexes whose documents are put together from several tables: taken once a session, as an index takes its documents.
+JOINED = {"orders": ("orders", "lineitem"), "customers": ("customer", "nation", "region")}
+_snapshots: dict[tuple, DataFrame] = {}
+
+
+def _taken(spark: SparkSession, sf_dir: str, name: str, load) -> DataFrame:
+    """The written documents of a joined index, for the state that its tables' files are in."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, *(_state_of(spark, f"{sf_dir}/{t}.parquet") for t in JOINED[name]))
+    if key not in _snapshots:
+        _snapshots[key] = materialise(load(spark, sf_dir), f"index-{name}")
+    return _snapshots[key]
+
+
 _texts: dict[tuple, TextIndex] = {}
 
 

@@ -62,7 +62,7 @@ def ids(engine, request, index="items"):
         ({"search": '"copper kettle"'}, "1"), ({"search": "HERON~1"}, "3"), ({"search": "hern~1"}, "3"), ({"search": "hreon~1"}, "3"), ({"search": "grez~"}, "3"), ({"search": "grxz~1"}, ""), ({"search": "grai~2"}, "3"), ({"search": "*"}, "12345"), ({"search": ""}, "12345"),
         ({"search": "title:whistle", "queryType": "full"}, "2"), ({"search": "whist*", "queryType": "full"}, "2"), ({"search": "copper AND NOT boil", "queryType": "full"}, "2"), ({"search": "(heron OR ferries) -grey", "queryType": "full"}, "4"),
         ({"search": "/gr.y/", "queryType": "full"}, "3"), ({"search": "title:[co TO fa]", "queryType": "full"}, "125"), ({"search": "+copper boil", "queryType": "full"}, "125"), ({"search": "copper pan heron", "minimumCoverage": 0.5}, "5"),
-        ({"search": "copper", "filter": "price gt 10"}, "25"), ({"filter": "price ge 15", "orderby": "price desc", "top": 2}, "45"), ({"search": "copper whistle -kettle"}, "25"), ({"search": '"kettle boils" heron'}, "13"), ({"search": '"copper boils"'}, ""), ({"search": '"ferries Lisbon"'}, ""), ({"search": '"slow grey"'}, "3"), ({"search": '"boiling copper"'}, ""),
+        ({"search": "copper", "filter": "price gt 10"}, "25"), ({"filter": "price ge 15", "orderby": "price desc", "top": 2}, "45"), ({"search": "copper whistle -kettle"}, "25"), ({"search": '"kettle boils" heron'}, "13"), ({"search": '"copper boils"'}, ""), ({"search": '"ferries Lisbon"'}, ""), ({"search": '"slow grey"'}, "3"), ({"search": "grey-kettle", "searchMode": "all"}, "13"), ({"search": "the heron", "searchMode": "all"}, ""), ({"search": '"boiling copper"'}, ""),
     ],
 )
 @pytest.mark.parametrize("indexed", [False, True])
@@ -124,6 +124,7 @@ def test_vectors(engine):
     q = {"fields": "v", "vector": [1.0, 0.2, 0.0], "k": 2}
     assert ids(engine, {"vectorQueries": [q]}, "vecs") == ["east", "ne"]
     assert ids(engine, {"search": "copper", "vectorQueries": [q]}, "vecs") == ["east", "ne"]
+    assert ids(engine, {"search": "*", "vectorQueries": [q]}, "vecs") == ["east", "ne"]  # no text side
     both = [r["id"] for r in engine.search("vecs", {"search": "coast", "vectorQueries": [q]}).hits.collect()]
     assert both[0] == "east" and set(both) == {"east", "ne", "north"}
     one = q | {"k": 1}
@@ -300,6 +301,8 @@ def test_semantic_requests(spark):
     got = e.search("sem", {"search": "weir", "semantic": nested})
     assert [r["__key"] for r in got.answers.collect()] == ["a"] and got.hits.first()["@search.captions"] == ["Herons by the weir"]
     assert e.search("sem", {"search": "weir", "semantic": {"semanticConfiguration": "roles"}}).answers is None
+    with pytest.raises(SearchError):
+        e.search("sem", {"search": "weir", "queryType": "full", "semantic": nested})
     for change in ({"answers": {"count": 6}}, {"answers": {"count": 0}}, {"answers": 3}, {"captions": {"count": 4}}, {"captions": {"type": "abstract"}}, {"semanticConfiguration": ""}, {"semanticConfiguration": "none"}, {"queryContext": {"questions": "x"}}, {"semanticErrorHandling": "shrug"}):
         with pytest.raises(SearchError):
             e.search("sem", {"search": "weir", "semantic": nested | change})
@@ -355,11 +358,41 @@ def test_clustered_vectors_need_few_lists():
         assert ann.probes(x, made, metric) <= 12
 
 
+def test_number_texts(spark):
+    from pyspark.sql import functions as F
+
+    from lodeseek.plans.bm25 import number_text
+
+    want = {10.0: "10.0", 0.5: "0.5", 12345678.5: "12345678.5", 1e7: "10000000.0", 9.5e15: "9500000000000000.0", 1e16: "1e16", 1.5e21: "1.5e21", 0.0005: "0.0005", 0.000012: "0.000012", 1.5e-7: "1.5e-7", -2e8: "-200000000.0", -3e-4: "-0.0003", 1e-9: "1e-9"}
+    rows = spark.createDataFrame([(x,) for x in want], "x double").select("x", number_text(F.col("x")).alias("t")).collect()
+    assert {r["x"]: r["t"] for r in rows} == want
+
+
+def test_what_has_no_text_and_what_is_replaced(spark):
+    e = SearchEngine(spark)
+    e.create_index({"name": "bare", "fields": [f("id", "Edm.String", "KF"), f("n", "Edm.Int32", "F")]})
+    e.index_documents("bare", [{"id": "a", "n": 1}])
+    assert e.search("bare", {"search": "a"}).total() == 0 and e.search("bare", {"search": "*"}).total() == 1
+    e.create_index(VECS)
+    e.index_documents("vecs", [{"id": "a", "title": "x", "v": [1.0, 0.0, 0.0]}])
+    e.index_documents("vecs", [{"id": "a", "title": "y"}])  # an upload replaces all, the vector too
+    assert e.search("vecs", {"vectorQueries": [{"fields": "v", "vector": [1.0, 0.0, 0.0], "k": 1}]}).total() == 0
+    e.reset()
+    assert e.list_indexes() == []
+    with pytest.raises(SearchError) as caught:
+        e.count("bare")
+    assert caught.value.code == "ResourceNotFound" and caught.value.status == 404
+
+
 def test_other_stemmers():
     from lodeseek.functions import stems
 
     cases = {
         stems.german: "aufeinander aufeinand kategorien kategori häuser haus freundlichkeit freundlich bedeutung bedeut", stems.spanish: "chicas chic torneados torn cheques chequ rápidamente rapid",
+        stems.french: "continuellement continuel contradictoirement contradictoir majestueusement majestu principaux principal chevaux cheval maîtresses maîtress fréquemment fréquent",
+        stems.italian: "abbandoneranno abbandon abbassamento abbass abbassarla abbass pronunciò pronunc proporzione proporzion proprietà propriet",
+        stems.portuguese: "bobalhões bobalhõ bocadinho bocadinh quilométricas quilométr químico químic quinhentos quinhent quintessência quintessent",
+        stems.dutch: "lichamelijkheden licham lichamen licham lichtgevoelige lichtgevoel opglimpingen opglimp opgroeiende opgroei", stems.russian: "важнейшими важн важности важност падение паден поднялся подня вагонов вагон",
         stems.swedish: "jakten jakt", stems.norwegian: "havnedistriktene havnedistrikt", stems.danish: "undersøgelse undersøg indtage indtag",
     }
     for stem, words in cases.items():
