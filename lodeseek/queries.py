@@ -274,7 +274,8 @@ _add(
 SELECT p_partkey, list_concat(list_concat([p_type], CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) END), ['end']) AS tok
 FROM (SELECT p_partkey, p_type, translate(p_partkey::VARCHAR, '0123456789', '{_CJK}') AS r FROM part))""",
 )
-_add("a09_language", _analyzed("p_name", "fr"), _token_sql("regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')"))
+_add("a09_french", _analyzed("p_name", "fr"))  # stems have no SQL
+_add("a09_language", _analyzed("p_name", "fi"), _token_sql("regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')"))
 
 _add(
     "a10_analyze", lambda s, d: tables.read(s, d, "part").select("p_partkey", F.inline(analyzers.analyzed(F.col("p_name"), "whitespace"))),
