@@ -152,6 +152,6 @@ def typed(spark, tmp_path_factory):
 def test_filters_reach_the_scan(typed, text, pushed, want):
     found = typed.where(filters.compile_filter(text, TYPED, typed.schema, bare=True))
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert pushed in plan[plan.index("PushedFilters") :]
+    assert pushed in plan.partition("PushedFilters")[2]  # a filter that nothing passes has no scan
     assert "".join(sorted(r["id"] for r in found.collect())) == want
     assert "".join(sorted(r["id"] for r in typed.where(filters.compile_filter(text, TYPED, typed.schema)).collect())) == want
