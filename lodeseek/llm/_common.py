@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..storage import clear, discard, exists, mark, materialise, new_path, read_text, remove, shared_dir, write_text  # noqa: F401
 
@@ -49,3 +50,33 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int
     hot = rows.join(heavy, key)
     rest = rows.join(heavy.select(key), key, "left_anti").join(keyed.hint("merge"), key)
     return hot.unionByName(rest)
+
+
+#: Rows that a step of a running sum brings together.
+FAN = 4096
+
+
+def before(rows: DataFrame, keys: list[str], place: str, value: str, places: int, out: str, fan: int = FAN) -> DataFrame:
+    """rows with out: the sum of value over the rows of the same keys at smaller places.
+
+    place: whole numbers below places, a row each. No task gets more than fan rows of a key: sums of
+    cells of fan places are summed first. rows is read once a level and should be a written table.
+    """
+    sums = lambda df, keys, at: df.withColumn(out, F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if places <= fan:
+        return sums(rows, keys or [F.lit(0)], place)
+    cell, upper = free(rows.columns, "__cell"), free(rows.columns, "__upper")
+    celled = rows.withColumn(cell, F.expr(f"`{place}` div {fan}"))
+    cells = materialise(celled.groupBy(*keys, cell).agg(F.sum(value).alias(value)), "cells")
+    above = before(cells, keys, cell, value, -(-places // fan), upper, fan).drop(value)
+    return sums(celled, [*keys, cell], place).join(above, [*keys, cell]).withColumn(out, F.col(out) + F.col(upper)).select(*rows.columns, out)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with name: their place in the order, from 0 on, without one task for all of them."""
+    part, n, first = (free(rows.columns, x) for x in ("__part", "__n", "__first"))
+    dealt = materialise(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = materialise(dealt.groupBy(part).agg(F.count("*").alias(n)), "range-counts")
+    most = (counts.agg(F.max(part)).first()[0] or 0) + 1
+    local = dealt.withColumn(name, F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1)
+    return local.join(before(counts, [], part, n, most, first).drop(n), part).withColumn(name, (F.col(name) + F.col(first)).cast("long")).drop(part, first)

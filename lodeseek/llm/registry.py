@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, edit_embedding, exact_dedup, nbsvm, packing, simhash, substring_dedup, suffix_tree, training_order
+from . import byte_bpe, chat, edit_embedding, exact_dedup, nbsvm, packing, simhash, source_mix, substring_dedup, suffix_tree, training_order
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,8 @@ QUERIES = {
         byte_bpe.op8_byte_bpe,
         nbsvm.op9_quality,
         simhash.op10_simhash,
+        source_mix.op11_source_mix,
     )
 }
 
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op3_chat": chat.ORACLE_SQL}
+ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op3_chat": chat.ORACLE_SQL, "op11_source_mix": source_mix.ORACLE_SQL}
