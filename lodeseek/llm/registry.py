@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, divergence, edit_embedding, exact_dedup, nbsvm, packing, simhash, source_mix, substring_dedup, suffix_tree, training_order
+from . import byte_bpe, chat, divergence, edit_embedding, exact_dedup, filter_audit, nbsvm, packing, simhash, source_mix, substring_dedup, suffix_tree, training_order
 
 QUERIES = {
     f.__name__: f
@@ -19,7 +19,8 @@ QUERIES = {
         simhash.op10_simhash,
         source_mix.op11_source_mix,
         divergence.op12_source_divergence,
+        filter_audit.op13_filter_audit,
     )
 }
 
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op3_chat": chat.ORACLE_SQL, "op11_source_mix": source_mix.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
+ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op3_chat": chat.ORACLE_SQL, "op11_source_mix": source_mix.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
