@@ -90,12 +90,12 @@ def counters(masked: DataFrame, labels: DataFrame) -> DataFrame:
 
 def orders(counted: DataFrame) -> DataFrame:
     """part, filter_order, step and the counts, for each order of the filters and each step of it."""
-    steps = []
-    for order in permutations(range(len(FILTERS))):
-        for k, f in enumerate(order):
-            steps.append((sum(1 << x for x in order[:k]), 1 << f, "".join(FILTERS[x] for x in order), k + 1))
-    plan = F.array(*[F.struct(F.lit(b).alias("before"), F.lit(o).alias("own"), F.lit(name).alias("filter_order"), F.lit(k).alias("step")) for b, o, name, k in steps])
-    each = counted.groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")]).select("*", F.inline(plan))
+    names = ",".join("".join(o) for o in permutations(FILTERS))
+    bit = lambda k: F.expr(f"shiftleft(1, locate(substr(filter_order, {k}, 1), '{FILTERS}') - 1)")
+    each = counted.groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")])
+    each = each.select("*", F.explode(F.split(F.lit(names), ",")).alias("filter_order")).select("*", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))).alias("step"))
+    earlier = sum((F.when(F.col("step") > k, bit(k)).otherwise(0) for k in range(1, len(FILTERS))), F.lit(0))
+    each = each.withColumns({"own": bit("step"), "before": earlier})
     fails, gone = F.col("mask").bitwiseAND(F.col("own")) != 0, F.col("mask").bitwiseAND(F.col("before")) != 0
     of = lambda test, c="n": F.sum(F.when(test, F.col(c)).otherwise(0)).cast("long")
     # of the 120 orders, a filter is the first that the document fails in 120 / (number of filters that it fails)
