@@ -65,7 +65,7 @@ def before(rows: DataFrame, keys: list[str], place: str, value: str, places: int
     sums = lambda df, keys, at: df.withColumn(out, F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if places <= fan:
         return sums(rows, keys or [F.lit(0)], place)
-    cell, upper = free(rows.columns, "__cell"), free(rows.columns, "__upper")
+    cell, upper = free(rows.columns, "__cell"), free([*rows.columns, out], "__upper")
     celled = rows.withColumn(cell, F.expr(f"`{place}` div {fan}"))
     cells = materialise(celled.groupBy(*keys, cell).agg(F.sum(value).alias(value)), "cells")
     above = before(cells, keys, cell, value, -(-places // fan), upper, fan).drop(value)

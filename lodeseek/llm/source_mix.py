@@ -44,7 +44,7 @@ class Mix:
 
     def rows(self) -> DataFrame:
         """The mix: slot, offset (words in the slot before), row_id, doc_id, start (words of the document before), words."""
-        met = self.slots.join(self.pieces, ["src", "block"])
+        met = self.slots.hint("merge").join(self.pieces, ["src", "block"])  # what a Generate brings is planned by its input's size, which says nothing
         words = F.least(F.col("words"), F.col("limit") - F.col("offset"))
         return met.select("slot", "offset", "row_id", "doc_id", "start", words.alias("words")).where("words > 0")
 
