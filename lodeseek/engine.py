@@ -23,11 +23,13 @@ from .paths import project
 from .plans import bm25, query_text
 from .plans.postings import TextIndex
 from .schema import Index
-from .sources.buckets import BUCKET, Buckets, bucket_of
+from .sources.segments import Segments, Table
 from .storage import materialise, new_path
 
 #: Static limits that the statistics name; 100 for the rest.
 LIMITS = {"documentCounter": 10_000_000, "storageCounter": 10_240}
+#: Keys of a batch that are named in a filter; documents of more are found by a join. Rows of a log that is never laid over its base.
+NAMED, FOLDED = 256, 100_000
 
 
 @dataclass
@@ -90,7 +92,7 @@ class SearchEngine:
         self.spark = spark
         self.indexes: dict[str, Index] = {}
         self.data: dict[str, DataFrame] = {}
-        self.stores: dict[str, Buckets] = {}
+        self.stores: dict[str, Segments] = {}
         self.texts: dict[str, TextIndex] = {}
         self.lists: dict[tuple[str, str], ann.Lists] = {}
         self.resources: dict[str, dict[str, dict]] = {k: {} for k in ("alias", "synonymMap", "knowledgeSource", "knowledgeBase")}
@@ -181,22 +183,41 @@ class SearchEngine:
             del self.lists[k]
         self.data[index.name] = docs
 
-    def store(self, name: str, path: str, buckets: int | None = None) -> Buckets:
-        """Keeps the index's documents under path from now on, in buckets of the key: a batch rewrites those that it touches."""
-        index = self.resolve(name)
+    def _hashed(self, index: Index, docs: DataFrame) -> DataFrame:
+        """docs with __key and __hash, the order of stored documents."""
+        key = F.col(f"`{index.key.name}`").cast("string")
+        return docs.withColumns({"__key": key, "__hash": F.xxhash64(key)})
+
+    def _segments(self, index: Index, path: str, base: DataFrame | None) -> Segments:
         own = self.data[index.name].schema  # as they are: dates may be timestamps
-        held = Buckets(self.spark, path, T.StructType([own[f.name] for f in index.fields]), buckets)
+        schema = T.StructType([*[own[f.name] for f in index.fields], T.StructField("__key", T.StringType()), T.StructField("__hash", T.LongType())])
+        return Segments(self.spark, path, {"documents": Table(schema, ("__hash", "__key"))}, base)
+
+    def store(self, name: str, path: str) -> Segments:
+        """Keeps the index's documents under path from now on, in segments that batches add; opens those that path holds."""
+        index = self.resolve(name)
+        held = self._segments(index, path, None)
         if held.version < 0:
-            held.write(self.data[index.name].withColumn(BUCKET, bucket_of(F.col(f"`{index.key.name}`"), held.n)))
+            docs = self._hashed(index, self.data[index.name])
+            held.append({"documents": docs}, None, docs.count(), 0)
         self.stores[index.name] = held
-        self._put(index, held.read().drop(BUCKET))
+        self._put(index, self._read(index, held))
         return held
 
-    def index_text(self, name: str, path: str | None = None, buckets: int | None = None) -> TextIndex:
+    def _read(self, index: Index, held: Segments) -> DataFrame:
+        return held.read("documents").select(*[F.col(f"`{f.name}`") for f in index.fields])
+
+    def _log(self, index: Index) -> Segments:
+        """The store, or a log over the DataFrame that the index was made of."""
+        if index.name not in self.stores:
+            self.stores[index.name] = self._segments(index, new_path(self.spark, f"log-{index.name}"), self._hashed(index, self.data[index.name]))
+        return self.stores[index.name]
+
+    def index_text(self, name: str, path: str | None = None) -> TextIndex:
         """Builds the text index, or opens one that path holds; searches then read postings, and batches keep them up to date."""
         index = self.resolve(name)
-        text = TextIndex(self.spark, index, path or new_path(self.spark, f"text-{index.name}"), buckets)
-        if text.counts.version < 0:
+        text = TextIndex(self.spark, index, path or new_path(self.spark, f"text-{index.name}"))
+        if text.held.version < 0:
             text.build(self.documents(name))
         self.texts[index.name] = text
         return text
@@ -261,36 +282,39 @@ class SearchEngine:
         full = shape.add("__action", T.StringType()).add("__seq", T.LongType()).add("__given", T.ArrayType(T.StringType())).add("__why", T.StringType())
         return self.apply_batch(name, self.spark.createDataFrame(mutate.rows(index, actions), full))
 
-    def apply_batch(self, name: str, batch: DataFrame) -> DataFrame:
+    def apply_batch(self, name: str, batch: DataFrame, number: int | None = None) -> DataFrame:
         """The same for a DataFrame of the index's columns, __action and __seq; with __given, fields that a merge lays.
 
-        With a store or a text index the batch is written first, and of the documents only the buckets that it touches
-        are read and written. Without them the new state is lazy.
+        The batch is written, and so is what it makes of the documents that it names: a segment of the store, or of a log
+        over the DataFrame that the index was made of, and one of the text index and vector lists. Other documents are neither read nor
+        written. number: of the batch, where batches are numbered (see Segments.before).
         """
         index = self.resolve(name)
-        made, store, text = self._vectorize(index, batch), self.stores.get(index.name), self.texts.get(index.name)
-        if store is None and text is None:
-            new, results = mutate.apply(self.data[index.name], made, index)
-            self._put(index, new)
-            return results
-        made = materialise(made, "batch")
+        made, held = materialise(self._vectorize(index, batch), "batch"), self._log(index)
+        folded = materialise(mutate.fold(self._named(held, made, index), made, index), "folded")
+        row = folded.agg(F.count("doc").alias("n"), F.count("old").alias("gone")).first()
+        new, old = mutate.documents(folded, "doc", index), mutate.documents(folded, "old", index)
+        if row["n"] or row["gone"]:
+            if index.name in self.texts:
+                self.texts[index.name].update(new, old, row["n"], row["gone"], number)
+            for (of, _), lists in self.lists.items():
+                if of == index.name:
+                    lists.update(new, old, row["n"], row["gone"], number)
+        held.append({"documents": self._hashed(index, new)}, old, row["n"], row["gone"], batch=number)
+        held.tidy()
+        if held.base is not None and held.rows() > FOLDED and held.rows() > (n := held.base.count()) // 4:
+            held.merge(base_rows=n)
+        self.data[index.name] = self._read(index, held)
+        return mutate.results(folded, made, index)
+
+    def _named(self, held: Segments, batch: DataFrame, index: Index) -> DataFrame:
+        """Stored documents with the keys of a batch."""
         key = F.col(f"`{index.key.name}`")
-
-        def touched(n: int) -> list[int]:
-            return [r[0] for r in made.where(key.isNotNull()).select(bucket_of(key, n)).distinct().collect()]  # n numbers at most
-
-        if store is None:
-            new, results = mutate.apply(self.data[index.name], made, index)
-            self._put(index, new)
-        else:
-            own = touched(store.n)
-            new, results = mutate.apply(store.read(own).drop(BUCKET), made, index)
-            results = materialise(results, "batch-results")
-            store.write(new.withColumn(BUCKET, bucket_of(key, store.n)), own)
-            self._put(index, store.read().drop(BUCKET))
-        if text is not None:
-            text.build(self.documents(name), touched(text.buckets))
-        return results
+        keys = batch.where(key.isNotNull()).select(key.alias("k"), F.xxhash64(key.cast("string")).alias("h")).distinct()
+        found, docs = keys.limit(NAMED + 1).collect(), held.read("documents")
+        if len(found) > NAMED:
+            return docs.join(keys.select(F.col("h").alias("__hash"), F.col("k").cast("string").alias("__key")), ["__hash", "__key"], "left_semi")
+        return docs.where(_any([F.col("__hash") == r["h"] for r in found]) & key.isin([r["k"] for r in found]))  # both reach scans: of segments, and of a base
 
     def _vectorize(self, index: Index, batch: DataFrame) -> DataFrame:
         """Vectors of fields with a vectorizer, where a row brings none: from its source texts."""
@@ -409,12 +433,18 @@ class SearchEngine:
                 fused = ranking.fuse([(texts, 1.0), *lists])
             matched = docs.join(fused, "__key")
         sort = ranking.order(index, orderby)
-        page = matched.orderBy(*sort)
+        found, pruned = matched, None
+        if top and not queries and not orderby and not coverage and index.name in self.texts:
+            pruned = bm25.Plan(index, tree, fields, rules).best(docs, self.texts[index.name], skip + top, keep)
+            if pruned:  # the page's documents alone
+                few = pruned[0].orderBy(F.desc("__score"), "__key").limit(skip + top)
+                found = docs.join(F.broadcast(few), "__key")
+        page = found.orderBy(*sort)
         page = page.offset(skip) if skip else page
         page = page.limit(top) if top is not None else page
         hits = page.select(*self._shown(index, request, plan, tree))
         made = {p: facets.counts(matched, index, p, n) for p, n in facets.parse(index, _as_list(request.get("facets") or request.get("facet"))).items()}
-        result = Result(hits, matched, made, debug=self._debug(index, tree, fields, rules, queries, filter_text))
+        result = Result(hits, matched, made, debug=self._debug(index, tree, fields, rules, queries, filter_text) | ({"blocks": pruned[1]} if pruned else {}))
         if asked:
             conf = index.semantic[asked.configuration]
             if asked.answers is not None:
@@ -501,5 +531,12 @@ class SearchEngine:
         return out if out is not None else self.spark.createDataFrame([], "source string, key string, score double, document string")
 
 
+def _any(tests: list[Column]) -> Column:
+    """One of tests, as a balanced tree."""
+    if len(tests) < 2:
+        return tests[0] if tests else F.lit(False)
+    return _any(tests[: len(tests) // 2]) | _any(tests[len(tests) // 2 :])
+
+
 def _as_list(value: Any) -> list[str]:
     return [] if value is None else [value] if isinstance(value, str) else list(value)

@@ -100,6 +100,11 @@ def gapped(name: str | None) -> bool:
     return kind(name) == "en" or kind(name) in LANGUAGES
 
 
+def lowered(name: str | None) -> bool:
+    """Whether all tokens are lower-cased."""
+    return kind(name) not in ("keyword", "whitespace", "alphanum", "cjk")
+
+
 def _udf(name: str | None) -> Callable:
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else placed(t, name))

@@ -118,26 +118,25 @@ def violation(index: Index) -> Column:
     return F.coalesce(*checks)
 
 
-def apply(state: DataFrame, batch: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
-    """(new state, results) of a batch: the index's columns, __action, __seq (unique, rising) and, where known, __given and __why.
-
-    Actions of a key are applied one after the other. A merge lays the fields that it has over the
-    document: those that __given names, null ones too, or without that column those that aren't null; after a delete in the same batch it is laid over the stored one. Rows that break a
-    rule change nothing (400); a merge or delete without a document is 404. Results have __seq,
-    key, status.
+def fold(stored: DataFrame, batch: DataFrame, index: Index) -> DataFrame:
+    """What a batch makes of the documents that it names: __key, old (as stored, or null), doc (from now on, or null) and log (seq, status) for each key.
+
+    stored: the index's documents, or any part that holds those that the batch names. batch: the index's columns,
+    __action, __seq (unique, rising) and, where known, __given and __why. Actions of a key are applied one
+    after the other. A merge lays the fields that it has over the document: those that __given names, null ones too, or
+    without that column those that aren't null; after a delete in the same batch it is laid over the stored one. A merge
+    or delete without a document is 404; rows that break a rule are left out, see refused().
     """
-    key, names = index.key.name, [f.name for f in index.fields]
-    why = F.coalesce(F.col("__why"), violation(index)) if "__why" in batch.columns else violation(index)
-    given = F.col("__given") if "__given" in batch.columns else F.array_compact(F.array(*[F.when(F.col(f"`{n}`").isNotNull(), F.lit(n)) for n in names]))
-    checked = batch.withColumns({"__why": why, "__given": given}).withColumn("__key", F.col(f"`{key}`").cast("string"))
+    names = [f.name for f in index.fields]
+    checked = _checked(batch, index)
     good = checked.where("__why IS NULL")
     row = F.struct("__seq", "__action", F.struct(*names).alias("doc"), "__given")
     earlier = lambda a, b: F.when(a["__seq"] < b["__seq"], -1).otherwise(1)
     per_key = good.groupBy("__key").agg(F.array_sort(F.collect_list(row), earlier).alias("steps"))
-    old = state.select(F.col(f"`{key}`").cast("string").alias("__key"), F.struct(*names).alias("old"))
+    old = stored.select(F.col(f"`{index.key.name}`").cast("string").alias("__key"), F.struct(*names).alias("old"))
     both = per_key.join(old, "__key", "left")
     laid = lambda base, x: F.struct(*[F.when(F.array_contains(x["__given"], n), x["doc"][n]).otherwise(base[n]).alias(n) for n in names])
-    fresh = F.struct(F.col("old").alias("doc"), F.col("old").isNotNull().alias("stored"), F.lit(False).alias("touched"), F.array().cast("array<struct<seq:bigint,status:int>>").alias("log"))
+    fresh = F.struct(F.col("old").alias("doc"), F.array().cast("array<struct<seq:bigint,status:int>>").alias("log"))
 
     def step(acc: Column, x: Column) -> Column:
         act, base = x["__action"], F.coalesce(acc["doc"], F.col("old"))
@@ -149,14 +148,32 @@ def apply(state: DataFrame, batch: DataFrame, index: Index) -> tuple[DataFrame,
         )
         status = F.when(act == "upload", 201).when(merges & exists, 200).when(act == "mergeOrUpload", 201).when(act == "merge", 404).when(exists, 200).otherwise(404)
         log = F.concat(acc["log"], F.array(F.struct(x["__seq"].cast("long").alias("seq"), status.cast("int").alias("status"))))
-        return F.struct(doc.alias("doc"), acc["stored"].alias("stored"), F.lit(True).alias("touched"), log.alias("log"))
-
-    done = both.withColumn("end", F.aggregate("steps", fresh, step)).select("__key", "end")
-    kept = state.withColumn("__key", F.col(f"`{key}`").cast("string")).join(done.select("__key"), "__key", "left_anti").select(*[F.col(f"`{n}`") for n in names])
-    new = kept.unionByName(done.where("end.doc IS NOT NULL").select(*[F.col(f"end.doc.`{n}`").alias(n) for n in names]))
-    results = done.select("__key", F.explode("end.log").alias("r")).select(F.col("r.seq").alias("__seq"), F.col("__key").alias("key"), F.col("r.status").alias("status"))
-    bad = checked.where("__why IS NOT NULL").select(F.col("__seq").cast("long").alias("__seq"), F.col("__key").alias("key"), F.lit(400).alias("status"))
-    return new, results.unionByName(bad)
+        return F.struct(doc.alias("doc"), log.alias("log"))
+
+    return both.withColumn("end", F.aggregate("steps", fresh, step)).select("__key", "old", F.col("end.doc").alias("doc"), F.col("end.log").alias("log"))
+
+
+def documents(folded: DataFrame, which: str, index: Index) -> DataFrame:
+    """The index's columns and __key of the documents that fold() names old or doc."""
+    return folded.where(F.col(which).isNotNull()).select(*[F.col(f"`{which}`.`{f.name}`").alias(f.name) for f in index.fields], "__key")
+
+
+def results(folded: DataFrame, batch: DataFrame, index: Index) -> DataFrame:
+    """__seq, key, status of each action."""
+    done = folded.select("__key", F.explode("log").alias("r")).select(F.col("r.seq").alias("__seq"), F.col("__key").alias("key"), F.col("r.status").alias("status"))
+    return done.unionByName(refused(batch, index))
+
+
+def refused(batch: DataFrame, index: Index) -> DataFrame:
+    """The rows that break a rule, with status 400."""
+    return _checked(batch, index).where("__why IS NOT NULL").select(F.col("__seq").cast("long").alias("__seq"), F.col("__key").alias("key"), F.lit(400).alias("status"))
+
+
+def _checked(batch: DataFrame, index: Index) -> DataFrame:
+    why = F.coalesce(F.col("__why"), violation(index)) if "__why" in batch.columns else violation(index)
+    names = [f.name for f in index.fields]
+    given = F.col("__given") if "__given" in batch.columns else F.array_compact(F.array(*[F.when(F.col(f"`{n}`").isNotNull(), F.lit(n)) for n in names]))
+    return batch.withColumns({"__why": why, "__given": given}).withColumn("__key", F.col(f"`{index.key.name}`").cast("string"))
 
 
 def reasons(batch: DataFrame, index: Index) -> DataFrame:

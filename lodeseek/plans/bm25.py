@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +19,14 @@ from pyspark.sql import functions as F
 from ..functions import analyzers
 from ..paths import resolve
 from ..schema import Index
+from ..storage import materialise
 from .query_text import Clause, Group, synonyms
 
 K1, B = 1.2, 0.75
 #: Matches that may be broadcast to be joined with documents; more are joined by their key.
 BROADCAST_ROWS = 200_000
+#: Blocks that may be named in a filter, and the largest page that is looked for block by block; postings from which that is done.
+FIRST, PRUNED_FROM = 4096, 1_000_000
 
 
 def text_column(index: Index, path: str) -> Column:
@@ -67,6 +71,35 @@ def near(token: Column, word: str, distance: int) -> Column:
     return out
 
 
+def literals(c: Clause, size: int = 3) -> list[list[str]] | None:
+    """Sets of three characters of which a term that the clause hits holds at least one whole; null where nothing is known.
+
+    A fuzzy word is cut in pieces: an edit spoils one, a swap two at most, so that one of 2 * distance + 1 stays whole.
+    Of a regular expression, runs of plain letters that stand in no group or alternative are in every hit.
+    """
+    runs: list[str] = []
+    if c.kind == "fuzzy":
+        word, n = c.text.lower(), 2 * c.distance + 1
+        if len(word) < size * n:
+            return None
+        cuts = [len(word) * i // n for i in range(n + 1)]
+        return [[word[i : i + size] for i in range(a, b - size + 1)] for a, b in zip(cuts, cuts[1:])]
+    if c.kind == "regex":
+        try:
+            parsed = list(re._parser.parse(c.text))
+        except (re.error, OverflowError):
+            return None
+        run = ""
+        for op, value in [*parsed, (None, None)]:
+            plain = str(op) == "LITERAL" and chr(value).isascii() and chr(value).isalnum()
+            if plain:
+                run += chr(value).lower()
+            else:
+                runs, run = [*runs, run], ""
+    found = [g for r in runs for g in (r[i : i + size] for i in range(len(r) - size + 1))]
+    return [found] if found else None
+
+
 def _minus(k: int):
     return lambda x: x - k
 
@@ -82,7 +115,7 @@ class Plan:
         self.index, self.query, self.fields, self.rules = index, query, fields, rules or {}
         self.names = {p: f"__tokens{i}" for i, p in enumerate(fields)}
         self.wanted: dict[tuple[str, str], int] = {}
-        self.indexed = False
+        self.indexed = self.bounding = False
         self._gather(query)
 
     def _scope(self, c: Clause) -> dict[str, float]:
@@ -133,39 +166,56 @@ class Plan:
             return [(node, p) for p in self._scope(node)] if node.kind not in ("all", "term", "phrase") else []
         return [x for n in (*node.must, *node.should, *node.never) for x in self._expansions(n)]
 
-    def _looked_up(self, docs: DataFrame, text, least: float | None) -> DataFrame:
-        """scored() by a text index (plans.postings.TextIndex)."""
-        from .postings import either
-
+    def _expand(self, text) -> dict[tuple[Clause, str], Any]:
+        """Terms of the vocabulary that each clause hits which isn't a term itself."""
+        out = {}
+        for c, p in dict.fromkeys(self._expansions(self.query)):
+            low = analyzers.lowered(self.index.at(p).analyzer)
+            start = c.text.lower() if c.kind == "prefix" and low else None
+            grams = literals(c) if low else None
+            out[c, p] = text.expand(p, self._test(c), grams, start)
+        return out
+
+    def _open_index(self, text) -> None:
+        """Statistics of the terms asked for, from the vocabulary."""
         self.indexed = True
         self.n, tokens = text.totals()
         self.length = {p: tokens.get(p, 0) / max(1, self.n) for p in self.names}
         found = text.frequencies(list(self.wanted))
         self.frequency = {k: found.get(k, 0) for k in self.wanted}
         self.sizes = {p: i for i, p in enumerate(self.names)}
-        self.hits = {x: i for i, x in enumerate(dict.fromkeys(self._expansions(self.query)))}
-        phrases = any(c.kind == "phrase" for c in _clauses(self.query))
-        none = F.lit(None)
-        shape = lambda df, hit: df.select(
-            "__key", "path", "term", "times", "size", (F.col("positions") if phrases else none.cast("array<int>")).alias("positions"), F.lit(hit).cast("int").alias("hit")
-        )
-        rows = shape(text.postings.read().where(either(list(self.wanted))), None)
-        for (c, p), i in self.hits.items():
-            own = text.postings.read().where(F.col("path") == p)
-            if c.kind in ("prefix", "range"):
-                own = own.where(self._test(c)(F.col("term")))
-            else:  # tested once for each word of the vocabulary
-                words = text.terms.read().where(F.col("path") == p).select("term").distinct().where(self._test(c)(F.col("term")))
-                own = own.join(words, "term", "left_semi")
-            rows = rows.unionByName(shape(own, i))
+
+    def _keyed(self, rows: DataFrame, hits: list[Column], phrases: bool) -> DataFrame:
+        """A row for each document of postings: what _eval asks for."""
         aggs = [F.max(F.when(F.col("path") == p, F.col("size"))).alias(f"__size{i}") for p, i in self.sizes.items()]
         for (p, t), i in self.wanted.items():
-            mine = F.col("hit").isNull() & (F.col("path") == p) & (F.col("term") == t)
+            mine = (F.col("path") == p) & (F.col("term") == t)
             aggs.append(F.max(F.when(mine, F.col("times"))).alias(f"__times{i}"))
             if phrases:
                 aggs.append(F.max(F.when(mine, F.col("positions"))).alias(f"__at{i}"))
-        aggs += [F.max(F.col("hit") == i).alias(f"__hit{i}") for i in self.hits.values()]
-        keyed = rows.groupBy("__key").agg(*aggs)
+        aggs += [F.max(hit).alias(f"__hit{i}") for i, hit in enumerate(hits)]
+        return rows.groupBy("__key").agg(*aggs)
+
+    def _looked_up(self, docs: DataFrame, text, least: float | None) -> DataFrame:
+        """scored() by a text index (plans.postings.TextIndex)."""
+        from .postings import either
+
+        self._open_index(text)
+        expanded = self._expand(text)
+        self.hits = {x: i for i, x in enumerate(expanded)}
+        phrases = any(c.kind == "phrase" for c in _clauses(self.query))
+        columns = ["__key", "path", "term", "times", "size", *(["positions"] if phrases else [])]
+        named = [(x.path, t) for x in expanded.values() if x.terms is not None for t in x.terms]
+        rows = text.postings().where(either([*self.wanted, *named])).select(*columns, F.lit(None).cast("int").alias("hit"))
+        hits = []
+        for i, x in enumerate(expanded.values()):
+            if x.terms is None:  # more than can be named: their postings by a join
+                more = text.postings().where(F.col("path") == x.path).join(x.rows, "term", "left_semi")
+                rows = rows.unionByName(more.select(*columns, F.lit(i).alias("hit")))
+                hits.append(F.coalesce(F.col("hit") == i, F.lit(False)))
+            else:
+                hits.append((F.col("path") == x.path) & F.col("term").isin(x.terms) if x.terms else F.lit(False))
+        keyed = self._keyed(rows, hits, phrases)
         match, score = self._eval(self.query)
         if least:
             match = match & self._covered(least)
@@ -178,6 +228,48 @@ class Plan:
             few = F.broadcast(few)  # as many rows at most as the terms have documents
         return docs.join(few, "__key").select(*docs.columns, "__match", "__score")
 
+    def best(self, docs: DataFrame, text, k: int, keep: Column | None = None) -> tuple[DataFrame, dict] | None:
+        """__key and __score of documents that hold the k best by score and key, and how many blocks were read; null where the query can't be pruned.
+
+        A block's bound is its score with each term's largest count and smallest size in it. The blocks with the best
+        bounds are scored first; of the others only those are read whose bound reaches the k-th best score.
+        """
+        from .postings import either
+
+        if not 0 < k <= FIRST or self._open(self.query) or any(c.kind != "term" or c.boost < 0 for c in _clauses(self.query)) or not self.wanted:
+            return None
+        self._open_index(text)
+        self.hits = {}
+        if sum(self.frequency.values()) < PRUNED_FROM:
+            return None
+        aggs = []
+        for (p, t), i in self.wanted.items():
+            mine = (F.col("path") == p) & (F.col("term") == t)
+            aggs += [F.max(F.when(mine, F.col("most"))).alias(f"__times{i}"), F.min(F.when(mine, F.col("least"))).alias(f"__least{i}")]
+        self.bounding = True
+        match, bound = self._eval(self.query)
+        self.bounding = False
+        blocks = text.held.read("blocks").where(either(list(self.wanted))).groupBy("block").agg(*aggs).where(match).select("block", bound.alias("bound"))
+        blocks = materialise(blocks, "block-bounds")
+        all_, first = blocks.count(), [r["block"] for r in blocks.orderBy(F.desc("bound"), "block").limit(max(FIRST // 16, k // 4)).collect()]
+        match, score = self._eval(self.query)
+
+        def scored(rows: DataFrame) -> DataFrame:
+            found = self._keyed(rows, [], False).where(match).select("__key", score.alias("__score"))
+            return found if keep is None else found.join(docs.where(keep).select("__key"), "__key", "left_semi")
+
+        postings = text.postings().where(either(list(self.wanted)))
+        top = scored(postings.where(F.col("block").isin(first))).orderBy(F.desc("__score"), "__key").limit(k).collect()
+        least = top[-1]["__score"] * (1 - 1e-9) if len(top) == k else -1.0
+        left = [r["block"] for r in blocks.where(F.col("bound") >= least).limit(FIRST + 1).collect()]
+        read = len(set(first) | set(left)) if len(left) <= FIRST else blocks.where(F.col("bound") >= least).count()
+        info = {"blocks": all_, "read": read}
+        if set(left) <= set(first):
+            return blocks.sparkSession.createDataFrame([tuple(r) for r in top], "__key string, __score double"), info
+        if len(left) <= FIRST:
+            return scored(postings.where(F.col("block").isin(left))), info
+        return scored(postings.join(blocks.where(F.col("bound") >= least).select("block"), "block", "left_semi")), info
+
     def scored(self, docs: DataFrame, least: float | None = None, text=None, keep: Column | None = None) -> DataFrame:
         """docs with __match and __score, of those that pass keep; with a text index perhaps matches only.
 
@@ -211,10 +303,12 @@ class Plan:
         out = held.withColumns({"__match": match, "__score": F.when(match, score).otherwise(0.0)})
         return out.drop(*self.names.values(), *[f"__times{i}" for i in self.wanted.values()])
 
-    def _weight(self, path: str, frequency: float, times: Column) -> Column:
+    def _weight(self, path: str, token: str, times: Column) -> Column:
+        frequency = self.frequency[path, token]
         idf = math.log(1 + (self.n - frequency + 0.5) / (frequency + 0.5))
         mean = self.length[path] or 1.0
-        return F.lit(idf * (K1 + 1)) * times / (times + F.lit(K1 * (1 - B)) + self._size(path) * F.lit(K1 * B / mean))
+        size = F.col(f"__least{self.wanted[path, token]}") if self.bounding else self._size(path)
+        return F.lit(idf * (K1 + 1)) * times / (times + F.lit(K1 * (1 - B)) + size * F.lit(K1 * B / mean))
 
     def _eval(self, node) -> tuple[Column, Column]:
         if isinstance(node, Clause):
@@ -229,7 +323,7 @@ class Plan:
             some, score = some | m, score + F.when(m, s).otherwise(0.0)
         if made["should"] and not made["must"]:
             match = match & some
-        for m, _ in made["never"]:
+        for m, _ in made["never"] if not self.bounding else ():  # a block may hold others
             match = match & ~m
         return match, score * F.lit(node.boost)
 
@@ -242,7 +336,7 @@ class Plan:
                 parts = []
                 for t in self.analyzed(c, path):
                     times = self._count(path, t)
-                    parts.append((times > 0, F.when(times > 0, self._weight(path, self.frequency[path, t], times)).otherwise(0.0)))
+                    parts.append((times > 0, F.when(times > 0, self._weight(path, t, times)).otherwise(0.0)))
             elif c.kind == "phrase":
                 parts = self._phrase(path, self.analyzed(c, path))
             else:

@@ -1,76 +1,187 @@
-"""The persisted text index: postings, vocabulary and document counts, made when documents are taken.
+"""The persisted text index: postings, vocabulary and block bounds, in segments that batches of documents add.
 
-Documents are dealt to buckets by their key, tokenised once, and each bucket's postings are grouped
-without a further shuffle: for each path, term and document how often and where the term stands, sorted
-by path and term, so that a term's postings are a few row groups of each bucket's file. The vocabulary
-has a row for each bucket, path and term. A change of documents rewrites the buckets that it touches.
+A document's postings are made where it is tokenised, many documents at a time and without a shuffle: for
+each path and term how often and where it stands. Documents of like size are put in blocks, and postings are sorted by path, term and block, so that
+a term's postings are a range of pages and a block of it a part of them. The vocabulary has a
+row for each path and term with sums over the documents (a batch adds what is new and takes off what it replaces, so
+the sums are those of a rebuild), and says for three characters in which terms they stand. A batch writes what its
+own documents hold and reads no others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import analyzers
 from ..schema import Index
-from ..sources.buckets import BUCKET, Buckets, bucket_of
+from ..sources.segments import SEGMENT, Segments, Table
+from ..storage import materialise
 from .bm25 import text_column
 
 _text, _int, _long = T.StringType(), T.IntegerType(), T.LongType()
-POSTINGS = T.StructType().add("path", _text).add("term", _text).add("__key", _text).add("times", _int).add("size", _int).add("positions", T.ArrayType(_int))
-TERMS = T.StructType().add("path", _text).add("term", _text).add("documents", _long).add("times", _long)
-COUNTS = T.StructType().add("documents", _long)
+#: Documents of a block.
+BLOCK = 64
+GRAM = 3
+TABLES = {
+    "postings": Table(T.StructType().add("path", _text).add("term", _text).add("block", _long).add("__key", _text).add("times", _int).add("size", _int).add("positions", T.ArrayType(_int)), ("path", "term", "block", "__key")),
+    "terms": Table(T.StructType().add("path", _text).add("term", _text).add("documents", _long).add("times", _long), ("path", "term"), ("documents", "times")),
+    "grams": Table(T.StructType().add("path", _text).add("gram", _text).add("term", _text).add("n", _long), ("path", "gram", "term"), ("n",)),
+    "blocks": Table(T.StructType().add("path", _text).add("term", _text).add("block", _long).add("most", _int).add("least", _int), ("path", "term", "block")),
+}
+
+
+def tokenised(docs: DataFrame, index: Index, paths: list[str]) -> DataFrame:
+    """__key and a column of tokens, t0, t1 …, for each of paths."""
+    return docs.select("__key", *[analyzers.column(text_column(index, p), index.at(p).analyzer).alias(f"t{i}") for i, p in enumerate(paths)])
+
+
+def grouped(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the token column at: tokens of each row, and for each row and term, in this order, row, term, start in positions, times; all positions; terms by number."""
+    lists = batch.column(at).combine_chunks() if isinstance(batch.column(at), pa.ChunkedArray) else batch.column(at)
+    values, offsets = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(offsets)), offsets)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(offsets) - offsets, offsets)
+    coded = values.dictionary_encode()
+    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    gap = words.index(analyzers.GAP) if analyzers.GAP in words else -1
+    real = code != gap
+    size = np.bincount(row[real], minlength=len(offsets))
+    row, place, code = row[real], place[real], code[real]
+    order = np.lexsort((place, code, row))
+    row, place, code = row[order], place[order], code[order]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, np.int64)
+    return size, row[first], words, code[first], first, np.diff(np.r_[first, len(row)]), place
+
+
+def postings(tokens: DataFrame, paths: list[str], segment: int = 0) -> DataFrame:
+    """The rows of the table of postings, in blocks. Blocks of other segments have other numbers (or may share them, which only loosens their bounds)."""
+    n, base = len(paths), (segment % (1 << 15)) << 48
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = [grouped(b, i + 1) for i in range(n)]
+            rank = np.argsort(np.argsort(sum(x[0] for x in own), kind="stable"), kind="stable")  # of a row by all its tokens
+            block = base + (part << 28) + made + rank // BLOCK
+            made += -(-b.num_rows // BLOCK)
+            keys = b.column(0)
+            for p, (size, row, words, code, first, times, place) in zip(paths, own):
+                if len(row):
+                    take = pa.array(row)
+                    positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(place)], pa.int32()), pa.array(place, pa.int32()))
+                    term = pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), pa.array(words, pa.string())).cast(pa.string())
+                    yield pa.record_batch(
+                        [pa.array([p] * len(row), pa.string()), term, pa.array(block[row], pa.int64()), keys.take(take), pa.array(times, pa.int32()), pa.array(size[row], pa.int32()), positions],
+                        names=TABLES["postings"].schema.names,
+                    )
+
+    return tokens.mapInArrow(make, TABLES["postings"].schema) if n else tokens.sparkSession.createDataFrame([], TABLES["postings"].schema)
+
+
+def _grams(terms: DataFrame) -> DataFrame:
+    """path, gram, term, n for the terms of rows of the vocabulary whose sum isn't null: n counts as many as the row did."""
+    long = F.char_length("term") >= GRAM
+    each = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("term") - (GRAM - 1)), lambda i: F.substring("term", i, F.lit(GRAM)))))
+    return terms.where(long).select("path", "term", each.alias("gram"), F.col("documents").alias("n")).select("path", "gram", "term", "n")
+
+
+@dataclass
+class Expansion:
+    """Terms of a path that a test hits: all of them, or null where they are more than may be named in a filter."""
+
+    path: str
+    terms: list[str] | None
+    rows: DataFrame
 
 
 class TextIndex:
     """Postings of an index's searchable fields under path."""
 
-    def __init__(self, spark: SparkSession, index: Index, path: str, buckets: int | None = None):
-        self.index = index
-        self.postings = Buckets(spark, f"{path}/postings", POSTINGS, buckets)
-        self.terms = Buckets(spark, f"{path}/terms", TERMS, self.postings.n)
-        self.counts = Buckets(spark, f"{path}/counts", COUNTS, self.postings.n)
-        self._totals: tuple[int, dict[str, int]] | None = None
-
-    @property
-    def buckets(self) -> int:
-        return self.postings.n
-
-    def build(self, docs: DataFrame, touched: list[int] | None = None) -> None:
-        """Indexes docs (with __key): all of them, or the documents of the touched buckets."""
-        paths = self.index.searchable()
-        held = docs.withColumn(BUCKET, bucket_of(F.col("__key"), self.buckets))
-        if touched is not None:
-            held = held.where(F.col(BUCKET).isin(touched))
-        texts = [text_column(self.index, p).alias(f"t{i}") for i, p in enumerate(paths)]
-        # dealt before it is tokenised, so that all that follows is grouped within the buckets
-        dealt = held.select(BUCKET, "__key", *texts).repartition(self.buckets if touched is None else max(1, len(touched)), BUCKET)
-        made = F.array(*[F.struct(F.lit(p).alias("path"), analyzers.column(F.col(f"t{i}"), self.index.at(p).analyzer).alias("tokens")) for i, p in enumerate(paths)]) if paths else F.array().cast("array<struct<path:string,tokens:array<string>>>")
-        size = F.size(F.array_remove("tokens", analyzers.GAP))
-        rows = dealt.select(BUCKET, "__key", F.inline(made)).select(BUCKET, "__key", "path", size.alias("size"), F.posexplode("tokens").alias("at", "term")).where(F.col("term") != analyzers.GAP)
-        grouped = rows.groupBy(BUCKET, "path", "term", "__key").agg(F.count("*").cast("int").alias("times"), F.first("size").alias("size"), F.sort_array(F.collect_list("at")).alias("positions"))
-        self.postings.write(grouped, touched, ("path", "term", "__key"))
-        only = self.postings.read(touched)
-        self.terms.write(only.groupBy(BUCKET, "path", "term").agg(F.count("*").alias("documents"), F.sum("times").alias("times")), touched, ("path", "term"))
-        self.counts.write(held.groupBy(BUCKET).agg(F.count("*").alias("documents")), touched)
-        self._totals = None
+    #: Terms that may be named in a filter; more are joined.
+    NAMED = 4096
+
+    def __init__(self, spark: SparkSession, index: Index, path: str):
+        self.spark, self.index = spark, index
+        self.paths = index.searchable()
+        self.held = Segments(spark, path, TABLES)
+
+    # building
+
+    def build(self, docs: DataFrame) -> None:
+        """Indexes docs (with __key), as the first segment."""
+        self.update(docs, None)
+
+    def update(self, new: DataFrame, old: DataFrame | None, n: int | None = None, gone: int = 0, batch: int | None = None) -> None:
+        """A segment of new documents (with __key) that replace old ones (with __key, as they were); n, gone: how many, where that is known."""
+        rows = materialise(postings(tokenised(new, self.index, self.paths), self.paths, self.held.last + 1), "postings")
+        less = None
+        if old is not None and gone:
+            less = materialise(postings(tokenised(old, self.index, self.paths), self.paths), "postings-replaced")
+        sums = {}
+        for df, sign in ((rows, 1), (less, -1)):
+            for r in df.groupBy("path").agg(F.sum("times").alias("n")).collect() if df is not None else ():  # a row a path
+                sums[f"tokens:{r['path']}"] = sums.get(f"tokens:{r['path']}", 0) + sign * r["n"]
+        n = new.count() if n is None else n
+        sums["documents"] = n - gone
+        count = lambda df, sign: df.groupBy("path", "term").agg((F.count("*") * sign).alias("documents"), (F.sum("times") * sign).alias("times"))
+        terms = count(rows, 1) if less is None else count(rows, 1).unionByName(count(less, -1)).groupBy("path", "term").agg(F.sum("documents").alias("documents"), F.sum("times").alias("times"))
+        terms = materialise(terms, "terms")
+        bounds = rows.groupBy("path", "term", "block").agg(F.max("times").alias("most"), F.min("size").alias("least"))
+        keys = old.select("__key") if old is not None and gone else None
+        self.held.append({"postings": rows, "terms": terms, "grams": _grams(terms), "blocks": bounds}, keys, n, gone, sums, batch)
+        self.held.tidy()
+
+    # reading
 
     def totals(self) -> tuple[int, dict[str, int]]:
         """Documents, and tokens of each path."""
-        if self._totals is None:
-            n = self.counts.read().agg(F.sum("documents")).first()[0] or 0
-            by = {r["path"]: r["n"] for r in self.terms.read().groupBy("path").agg(F.sum("times").alias("n")).collect()}  # a row a path
-            self._totals = n, by
-        return self._totals
+        sums = self.held.sums()
+        return int(sums.get("documents", 0)), {p: int(sums.get(f"tokens:{p}", 0)) for p in self.paths}
+
+    def postings(self) -> DataFrame:
+        return self.held.read("postings")
+
+    def terms(self) -> DataFrame:
+        """path, term, documents, times of the vocabulary."""
+        return self.held.read("terms").groupBy("path", "term").agg(F.sum("documents").alias("documents"), F.sum("times").alias("times")).where("documents > 0")
 
     def frequencies(self, wanted: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
         """Documents that hold a term in a path."""
         if not wanted:
             return {}
-        found = self.terms.read().where(either(wanted)).groupBy("path", "term").agg(F.sum("documents").alias("n")).collect()  # a row a wanted term
+        found = self.held.read("terms").where(either(wanted)).groupBy("path", "term").agg(F.sum("documents").alias("n")).collect()  # a row a wanted term
         return {(r["path"], r["term"]): r["n"] for r in found}
 
+    def expand(self, path: str, test, grams: list[list[str]] | None = None, start: str | None = None) -> Expansion:
+        """Terms of path that pass test (a function of the term's column).
+
+        start: what they begin with, which bounds the scan; grams: sets of which a term holds at least one whole, which are looked up instead of the vocabulary.
+        """
+        own = self.held.read("terms").where(F.col("path") == path)
+        if start:
+            own = own.where(F.col("term").startswith(start))
+        if grams:
+            named = sorted({g for some in grams for g in some})
+            hits = self.held.read("grams").where((F.col("path") == path) & F.col("gram").isin(named)).groupBy("term").agg(F.collect_set("gram").alias("held"))
+            whole = F.lit(False)
+            for some in grams:
+                whole = whole | (F.size(F.array_intersect("held", F.array(*map(F.lit, sorted(set(some)))))) == len(set(some)))
+            rows = hits.where(whole & test(F.col("term"))).select("term")
+        else:
+            rows = own.where(test(F.col("term"))).groupBy("term").agg(F.sum("documents").alias("n")).where("n > 0").select("term")
+        found = [r["term"] for r in rows.limit(self.NAMED + 1).collect()]
+        return Expansion(path, sorted(found) if len(found) <= self.NAMED else None, rows)
+
 
 def either(wanted: list[tuple[str, str]]) -> Column:
     """Rows of one of the paths and terms; reaches the scan."""
@@ -81,3 +192,6 @@ def either(wanted: list[tuple[str, str]]) -> Column:
     for p, ts in by.items():
         out = out | ((F.col("path") == p) & F.col("term").isin(ts))
     return out
+
+
+__all__ = ["SEGMENT", "Expansion", "TextIndex", "either"]

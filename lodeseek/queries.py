@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import analyzers, vectors
-from .operators import facets, mutate, ranking, suggest
+from .operators import facets
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,12 +217,12 @@ _add(
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = tables.text_engine(spark, sf_dir, tables.DOCS, "documents", tables.docs).texts["docs"]
-    return text.terms.read().where("path = 'text'").groupBy("term").agg(F.sum("documents").alias("documents"), F.sum("times").alias("times"))
+    return text.terms().where("path = 'text'").select("term", "documents", "times")
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = tables.text_engine(spark, sf_dir, tables.DOCS, "documents", tables.docs).texts["docs"]
-    rows = text.postings.read().where("path = 'text'")
+    rows = text.postings().where("path = 'text'")
     return rows.select(F.col("__key").cast("long").alias("doc_id"), "term", F.col("size").cast("long").alias("size"), F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
@@ -454,8 +454,10 @@ def _batch(events: DataFrame) -> DataFrame:
 def _mutated(which: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         state = tables.read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "user_id", "event_type", "value", "props")
-        out = mutate.apply(state, _batch(state), tables.engine(spark, sf_dir, "events").resolve("events"))
-        return out[0].select("event_id", "ts", "event_type", "value") if which == 0 else out[1].select("key", "status")
+        e = tables.engine(spark, sf_dir)
+        e.create_index(tables.EVENTS, state)
+        found = e.apply_batch("events", _batch(state))
+        return e.documents("events").select("event_id", "ts", "event_type", "value") if which == 0 else found.select("key", "status")
 
     return run
 

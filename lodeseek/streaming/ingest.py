@@ -18,18 +18,19 @@ def sequenced(batch: DataFrame, order: str) -> DataFrame:
 def ingest(engine: SearchEngine, name: str, actions: DataFrame, order: str, store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Applies a stream of the index's columns, __action and an order column.
 
-    The index is kept in buckets under store; each micro-batch rewrites the buckets that it touches, as the
-    version with the batch's number and one. A batch that runs again after a failure starts from the version before it
-    and writes its own anew; a text index that the engine has is brought up to date with it.
+    The index is kept in segments under store, and each micro-batch adds one with its number. A batch that runs
+    again after a failure starts from the version before it and writes its own anew; so does a text index that the engine has.
     """
     index = engine.resolve(name)
     names = [f.name for f in index.fields]
     held = engine.store(name, store)
 
     def run(batch: DataFrame, number: int) -> None:
-        held.open(number)
+        held.before(number)
+        if index.name in engine.texts:
+            engine.texts[index.name].held.before(number)
         keyed = sequenced(batch.withColumn("__k", F.col(f"`{index.key.name}`")), order).select(*names, "__action", "__seq")
-        engine.apply_batch(name, keyed)
+        engine.apply_batch(name, keyed, number)
 
     writer = actions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
