@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions import analyzers
 from ..schema import Index
-from ..sources.segments import SEGMENT, Segments, Table
+from ..sources.segments import SEGMENT, SMALL, Segments, Table
 from ..storage import materialise
 from .bm25 import text_column
 
@@ -30,6 +30,8 @@ _text, _int, _long = T.StringType(), T.IntegerType(), T.LongType()
 #: Documents of a block.
 BLOCK = 64
 GRAM = 3
+#: Documents that are dealt out before they are tokenised, as they may come in one file; more come in as many parts as there is work for.
+FEW = 1 << 20
 TABLES = {
     "postings": Table(T.StructType().add("path", _text).add("term", _text).add("block", _long).add("__key", _text).add("times", _int).add("size", _int).add("positions", T.ArrayType(_int)), ("path", "term", "block", "__key")),
     "terms": Table(T.StructType().add("path", _text).add("term", _text).add("documents", _long).add("times", _long), ("path", "term"), ("documents", "times")),
@@ -123,19 +125,17 @@ class TextIndex:
 
     def update(self, new: DataFrame, old: DataFrame | None, n: int | None = None, gone: int = 0, batch: int | None = None) -> None:
         """A segment of new documents (with __key) that replace old ones (with __key, as they were); n, gone: how many, where that is known."""
-        rows = materialise(postings(tokenised(new, self.index, self.paths), self.paths, self.held.last + 1), "postings")
-        less = None
-        if old is not None and gone:
-            less = materialise(postings(tokenised(old, self.index, self.paths), self.paths), "postings-replaced")
-        sums = {}
-        for df, sign in ((rows, 1), (less, -1)):
-            for r in df.groupBy("path").agg(F.sum("times").alias("n")).collect() if df is not None else ():  # a row a path
-                sums[f"tokens:{r['path']}"] = sums.get(f"tokens:{r['path']}", 0) + sign * r["n"]
         n = new.count() if n is None else n
-        sums["documents"] = n - gone
+        dealt = new.repartition(self.spark.sparkContext.defaultParallelism) if SMALL < n <= FEW else new
+        rows = materialise(postings(tokenised(dealt, self.index, self.paths), self.paths, self.held.last + 1), "postings")
         count = lambda df, sign: df.groupBy("path", "term").agg((F.count("*") * sign).alias("documents"), (F.sum("times") * sign).alias("times"))
-        terms = count(rows, 1) if less is None else count(rows, 1).unionByName(count(less, -1)).groupBy("path", "term").agg(F.sum("documents").alias("documents"), F.sum("times").alias("times"))
+        terms = count(rows, 1)
+        if old is not None and gone:
+            less = count(postings(tokenised(old, self.index, self.paths), self.paths), -1)
+            terms = terms.unionByName(less).groupBy("path", "term").agg(F.sum("documents").alias("documents"), F.sum("times").alias("times"))
         terms = materialise(terms, "terms")
+        sums = {f"tokens:{r['path']}": r["n"] for r in terms.groupBy("path").agg(F.sum("times").alias("n")).collect()}  # a row a path
+        sums["documents"] = n - gone
         bounds = rows.groupBy("path", "term", "block").agg(F.max("times").alias("most"), F.min("size").alias("least"))
         keys = old.select("__key") if old is not None and gone else None
         self.held.append({"postings": rows, "terms": terms, "grams": _grams(terms), "blocks": bounds}, keys, n, gone, sums, batch)

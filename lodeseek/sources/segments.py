@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -167,12 +168,15 @@ class Segments:
         """A segment of n keys' rows in each table, and of dead tombstones (gone: __key) for what earlier segments hold of these keys."""
         id_ = self.last + 1
         small = n + dead <= SMALL
+        files, due = 1 if small else None, []
         for t, df in rows.items():
             spec = self.tables[t]
             if n or spec.summed:
-                self._write(t, df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in spec.schema]), id_, spec.order, 1 if small else None)
+                due.append((t, df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in spec.schema]), id_, spec.order, files))
         if dead:
-            self._write(DEAD, gone.select("__key"), id_, ("__key",), 1 if small else None)
+            due.append((DEAD, gone.select("__key"), id_, ("__key",), files))
+        with ThreadPoolExecutor(max(1, len(due))) as side_by_side:
+            list(side_by_side.map(lambda x: self._write(*x), due))
         self._commit([*self.segments, Segment(id_, n, dead, sums or {})], self.batch if batch is None else batch)
 
     def due(self) -> int:
