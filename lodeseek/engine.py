@@ -19,6 +19,7 @@ from . import semantics
 from .errors import SearchError, invalid
 from .functions import analyzers, filters, vectors
 from .operators import ann, facets, mutate, ranking, semantic, suggest
+from .operators.sentences import SentenceIndex
 from .paths import project
 from .plans import bm25, query_text
 from .plans.postings import TextIndex
@@ -94,6 +95,7 @@ class SearchEngine:
         self.data: dict[str, DataFrame] = {}
         self.stores: dict[str, Segments] = {}
         self.texts: dict[str, TextIndex] = {}
+        self.sentences: dict[str, SentenceIndex] = {}
         self.lists: dict[tuple[str, str], ann.Lists] = {}
         self.resources: dict[str, dict[str, dict]] = {k: {} for k in ("alias", "synonymMap", "knowledgeSource", "knowledgeBase")}
         self._version = 0
@@ -119,6 +121,7 @@ class SearchEngine:
         self.indexes[new.name] = new
         self.stores.pop(new.name, None)
         self.texts.pop(new.name, None)
+        self.sentences.pop(new.name, None)
         if keep:
             have = set(docs.columns)
             self._put(new, docs.select(*[F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.spark_type()).alias(f.name) for f in new.fields]))
@@ -129,7 +132,7 @@ class SearchEngine:
     def delete_index(self, name: str) -> None:
         if self.indexes.pop(name, None) is None:
             raise SearchError("ResourceNotFound", name)
-        for own in (self.data, self.stores, self.texts):
+        for own in (self.data, self.stores, self.texts, self.sentences):
             own.pop(name, None)
 
     def reset(self) -> None:
@@ -201,7 +204,7 @@ class SearchEngine:
             docs = self._hashed(index, self.data[index.name])
             held.append({"documents": docs}, None, docs.count(), 0)
         self.stores[index.name] = held
-        self._put(index, self._read(index, held))
+        self.data[index.name] = self._read(index, held)
         return held
 
     def _read(self, index: Index, held: Segments) -> DataFrame:
@@ -243,15 +246,32 @@ class SearchEngine:
         used |= {f"{k}Counter": len(self.resources[k]) for k in ("synonymMap", "alias", "knowledgeBase", "knowledgeSource")}
         return {"counters": {k: {"usage": n, "limit": LIMITS.get(k, 100)} for k, n in used.items()}, "limits": {"maxVectorIndexSizePerIndexInBytes": 1 << 30}}
 
+    def index_sentences(self, name: str, path: str | None = None) -> SentenceIndex:
+        """Builds the sentence index of the fields that answers come from, or opens one that path holds; batches keep it up to date."""
+        index = self.resolve(name)
+        held = SentenceIndex(self.spark, index, path or new_path(self.spark, f"sentences-{index.name}"))
+        if held.held.version < 0:
+            held.build(self.documents(name))
+        self.sentences[index.name] = held
+        return held
+
     def index_vectors(self, name: str, path: str, folder: str | None = None) -> ann.Lists:
-        """Deals a field's vectors to lists: queries that may be approximate then read a few of them. A batch of actions drops the lists."""
+        """Deals a field's vectors to lists, or opens those that folder holds: queries that may be approximate read a few of them. Batches keep them up to date."""
         index = self.resolve(name)
         f = index.at(path)
         if f is None or not f.vector:
             raise invalid(f"{path} is no vector")
-        self.lists[index.name, path] = ann.Lists(self.documents(name), index, f, folder or new_path(self.spark, f"lists-{index.name}-{path}"))
+        self.lists[index.name, path] = ann.Lists(self.spark, index, f, folder or new_path(self.spark, f"lists-{index.name}-{path}"), self.documents(name))
         return self.lists[index.name, path]
 
+    def kept(self, name: str) -> list[Segments]:
+        """What batches keep up to date beside the documents."""
+        return [x.held for x in self._beside(self.resolve(name))]
+
+    def _beside(self, index: Index) -> list:
+        own = [self.texts.get(index.name), self.sentences.get(index.name), *(x for (of, _), x in self.lists.items() if of == index.name)]
+        return [x for x in own if x is not None]
+
     def _near(self, base: DataFrame, index: Index, path: str, query: dict, filtered: bool) -> DataFrame:
         """The k best of a field: from the lists where the index and the query allow approximation, else from all."""
         held, own = self.lists.get((index.name, path)), index.algorithms.get(index.at(path).profile or "") or {}
@@ -295,11 +315,8 @@ class SearchEngine:
         row = folded.agg(F.count("doc").alias("n"), F.count("old").alias("gone")).first()
         new, old = mutate.documents(folded, "doc", index), mutate.documents(folded, "old", index)
         if row["n"] or row["gone"]:
-            if index.name in self.texts:
-                self.texts[index.name].update(new, old, row["n"], row["gone"], number)
-            for (of, _), lists in self.lists.items():
-                if of == index.name:
-                    lists.update(new, old, row["n"], row["gone"], number)
+            for own in self._beside(index):
+                own.update(new, old, row["n"], row["gone"], number)
         held.append({"documents": self._hashed(index, new)}, old, row["n"], row["gone"], batch=number)
         held.tidy()
         if held.base is not None and held.rows() > FOLDED and held.rows() > (n := held.base.count()) // 4:
@@ -372,7 +389,7 @@ class SearchEngine:
 
     def search(self, name: str, request: dict) -> Result:
         """search, queryType, searchMode, searchFields, filter, facets, orderby, select, top, skip, count,
-        highlight, minimumCoverage, vectorQueries, vectorFilterMode, semanticConfiguration, answers, captions, token."""
+        highlight, minimumCoverage, vectorQueries, vectorFilterMode, semanticConfiguration, answers, captions, token, debug."""
         index = self.resolve(name)
         for k in ("scoringProfile", "scoringParameters", "scoringStatistics"):
             if request.get(k):
@@ -445,10 +462,12 @@ class SearchEngine:
         hits = page.select(*self._shown(index, request, plan, tree))
         made = {p: facets.counts(matched, index, p, n) for p, n in facets.parse(index, _as_list(request.get("facets") or request.get("facet"))).items()}
         result = Result(hits, matched, made, debug=self._debug(index, tree, fields, rules, queries, filter_text) | ({"blocks": pruned[1]} if pruned else {}))
+        if request.get("debug") not in (None, False, "disabled"):  # counts are jobs, and so come only where they are asked for
+            result.debug["execution"] = {"totalCandidates": docs.count(), "matchedDocuments": result.total(), "filterApplied": keep is not None, "vectorQueries": len(queries)}
         if asked:
             conf = index.semantic[asked.configuration]
             if asked.answers is not None:
-                result.answers = semantic.answers(matched, index, conf["answers"], semantic.query_terms(text or "", list(asked.questions)), asked.answers)
+                result.answers = semantic.answers(matched, index, conf["answers"], semantic.query_terms(text or "", list(asked.questions)), asked.answers, self.sentences.get(index.name))
             more = [semantic.captions(index, conf["captions"], asked.captions).alias("@search.captions")] if asked.captions is not None else []
             result.hits = page.select(*self._shown(index, request, plan, tree), *more, semantic.reranked(F.col("__score")).alias("@search.rerankerScore"))
         if top:
@@ -458,7 +477,7 @@ class SearchEngine:
         return result
 
     def _debug(self, index: Index, tree, fields: dict[str, float], rules: dict[str, list[str]], queries: list[dict], filter_text: str | None) -> dict:
-        """What was made of a request: the query tree, boosts, synonyms, vector queries and the filter's tree. Counts are the result's own."""
+        """What was made of a request: the query tree, boosts, synonyms, vector queries and the filter's tree."""
         maps = {m for p in fields for m in index.at(p).synonyms}
         words = {c.text: [w for m in sorted(maps) for w in query_text.synonyms(rules.get(m, []), c.text)] for c in query_text.terms(tree) if c.kind == "term"}
         return {

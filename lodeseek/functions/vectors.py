@@ -10,28 +10,35 @@ from pyspark.sql import functions as F
 from .analyzers import tokens
 
 
-def _query(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+Query = list[float] | Column
+
+
+def _query(values: Query) -> Column:
+    return _doubles(values) if isinstance(values, Column) else F.array(*[F.lit(float(v)) for v in values])
 
 
 def _doubles(col: Column) -> Column:
     return col.cast("array<double>")
 
 
-def dot(col: Column, query: list[float]) -> Column:
+def dot(col: Column, query: Query) -> Column:
     return F.aggregate(F.zip_with(_doubles(col), _query(query), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(col: Column, query: list[float]) -> Column:
+def cosine(col: Column, query: Query) -> Column:
     """In [-1, 1]; 0 with a zero vector."""
-    own = F.sqrt(F.aggregate(_doubles(col), F.lit(0.0), lambda s, x: s + x * x))
+    size = lambda c: F.sqrt(F.aggregate(_doubles(c), F.lit(0.0), lambda s, x: s + x * x))
+    own = size(col)
+    if isinstance(query, Column):
+        both = own * size(query)
+        return F.when(both == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(col, query) / both)))
     length = float(np.sqrt(np.square(np.asarray(query, dtype=float)).sum()))
     if not length:
         return F.when(col.isNotNull(), 0.0)
     return F.when(own == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(col, query) / (own * F.lit(length)))))
 
 
-def euclidean(col: Column, query: list[float]) -> Column:
+def euclidean(col: Column, query: Query) -> Column:
     """1 / (1 + distance)."""
     squares = F.aggregate(F.zip_with(_doubles(col), _query(query), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     return F.lit(1.0) / (F.lit(1.0) + F.sqrt(squares))

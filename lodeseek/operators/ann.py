@@ -1,35 +1,50 @@
 """Approximate nearest neighbours: vectors in lists around centroids, of which a query reads the nearest.
 
-Centroids come from k-means on at most SAMPLE rows; every row is then put in the list of its nearest
-centroid and lists are folders, so a query prunes its scan to the lists that it probes. There are about
-sqrt(n) lists, LISTS at most. A query probes lists by falling likeness of their centroids until they hold
-efSearch rows, and as many as gave RECALL of the nearest of QUERIES sampled rows among the sample, which is
-measured when the lists are made: vectors without clusters so end as a scan of most lists. Ranks within
-the lists are exact.
+Centroids come from k-means on at most SAMPLE rows; every row is then put in the list of its nearest centroid. There
+are about sqrt(n) lists, LISTS at most; a list with over HOT times its share is split around centroids of its own rows. Rows are
+sorted by list, so that a query reads the pages of the lists that it probes. A query probes lists by falling likeness of
+their centroids until they hold efSearch rows, and as many as gave RECALL of the nearest of QUERIES sampled rows among
+the sample, which is measured when the lists are made: vectors without clusters so end as a scan of most lists. Ranks
+within the lists are exact.
+
+Lists are kept under a path and opened again with their centroids. A batch adds its vectors to the lists as they are, and
+tombstones for those that it replaces (see sources.segments); once the vectors brought since are as many as there were at first, the
+lists are made anew.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from ..functions.vectors import METRICS
 from ..schema import Field, Index
+from ..sources.segments import Segments, Table
+from ..storage import materialise, read_text, write_text
 
-SAMPLE, LISTS, QUERIES, RECALL = 20_000, 4096, 100, 0.97
+SAMPLE, LISTS, QUERIES, RECALL, HOT = 20_000, 4096, 100, 0.97, 8
+LIST = "__list"
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _far(queries: np.ndarray, made: np.ndarray, metric: str) -> np.ndarray:
+    """For each query how far each of made lies, in some measure."""
+    return -(_unit(queries) @ _unit(made).T) if metric == "cosine" else (made**2).sum(axis=1) - 2 * (queries @ made.T)
+
+
 def _nearest(x: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        return (_unit(x) @ centroids.T).argmax(axis=1)
-    return ((centroids**2).sum(axis=1) - 2 * (x @ centroids.T)).argmin(axis=1)
+    return _far(x, centroids, metric).argmin(axis=1)
 
 
 def centroids(x: np.ndarray, k: int, metric: str, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -47,11 +62,6 @@ def centroids(x: np.ndarray, k: int, metric: str, rounds: int = 12, seed: int =
     return out
 
 
-def _far(queries: np.ndarray, made: np.ndarray, metric: str) -> np.ndarray:
-    """For each query how far each of made lies, in some measure."""
-    return -(_unit(queries) @ _unit(made).T) if metric == "cosine" else (made**2).sum(axis=1) - 2 * (queries @ made.T)
-
-
 def probes(x: np.ndarray, made: np.ndarray, metric: str, k: int = 10) -> int:
     """The fewest lists that hold RECALL of the k nearest of sampled rows."""
     queries = x[:: max(1, len(x) // QUERIES)]
@@ -61,32 +71,121 @@ def probes(x: np.ndarray, made: np.ndarray, metric: str, k: int = 10) -> int:
     return int(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) + 1
 
 
+def _array(rows: list, d: int) -> np.ndarray:
+    return np.array([r[0] for r in rows], dtype=np.float64).reshape(-1, d)
+
+
 class Lists:
-    """The lists of a vector field: a folder for each, with __key and the vector."""
-
-    def __init__(self, docs: DataFrame, index: Index, f: Field, path: str):
-        self.path, self.field, self.metric = path, f.name, index.metric(f)
-        rows = docs.where(F.col(f"`{f.name}`").isNotNull()).select("__key", F.col(f"`{f.name}`"))
-        self.n = rows.count()
-        k = max(1, min(LISTS, round(self.n**0.5)))
-        some = rows if self.n <= SAMPLE else rows.orderBy(F.xxhash64("__key")).limit(SAMPLE)
-        x = np.array([r[0] for r in some.select(F.col(f"`{f.name}`")).collect()], dtype=np.float64).reshape(-1, f.dimensions)
-        self.centroids = centroids(x, min(k, len(x)), self.metric) if len(x) else np.zeros((0, f.dimensions))
-        self.probes = probes(x, self.centroids, self.metric) if len(x) else 0
-        made, metric = self.centroids, self.metric
+    """The lists of a vector field, under path: opened where path holds some, else made of docs."""
+
+    def __init__(self, spark: SparkSession, index: Index, f: Field, path: str, docs: DataFrame | None = None):
+        self.spark, self.path, self.field, self.metric, self.d = spark, path.rstrip("/"), f.name, index.metric(f), f.dimensions
+        vector = T.ArrayType(T.FloatType())
+        self.held = Segments(spark, path, {"vectors": Table(T.StructType().add("__key", T.StringType()).add(LIST, T.IntegerType()).add(f.name, vector), (LIST, "__key"))})
+        if self.held.version < 0:
+            self._make(docs)
+        else:
+            self._open()
+
+    # centroids, a file for each version of them: segments say which they were put by
+
+    def _open(self) -> None:
+        self.generation = int(max((s.sums.get("generation", 0) for s in self.held.segments), default=0))
+        made = json.loads(read_text(self.spark, f"{self.path}/_centroids-{self.generation}.json"))
+        self.probes, self.first = made["probes"], made["rows"]
+        self.centroids = np.frombuffer(base64.b64decode(made["centroids"]), dtype="<f4").astype(np.float64).reshape(-1, self.d)
+        self._count()
+
+    def _count(self) -> None:
+        sums = self.held.sums()
+        self.sizes = np.array([sums.get(f"list:{i}", 0) for i in range(len(self.centroids))])
+        self.n = int(sums.get("rows", 0))
+
+    def _vectors(self, docs: DataFrame) -> DataFrame:
+        return docs.where(F.col(f"`{self.field}`").isNotNull()).select("__key", F.col(f"`{self.field}`").cast(T.ArrayType(T.FloatType())).alias(self.field))
+
+    def _assigned(self, rows: DataFrame, made: np.ndarray) -> DataFrame:
+        metric = self.metric
 
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
                 yield pd.Series(_nearest(np.array(s.tolist(), dtype=np.float64), made, metric)) if len(s) else pd.Series([], dtype="int64")
 
-        held = rows.withColumn("__list", F.pandas_udf(of, "int")(F.col(f"`{f.name}`")))
-        held.repartition("__list").write.mode("overwrite").partitionBy("__list").parquet(path)
-        self.table = docs.sparkSession.read.parquet(path)
-        counted = {r["__list"]: r["n"] for r in self.table.groupBy("__list").agg(F.count("*").alias("n")).collect()} if len(x) else {}  # LISTS rows at most
-        self.sizes = np.array([counted.get(i, 0) for i in range(len(self.centroids))])
+        return rows.withColumn(LIST, F.pandas_udf(of, "int")(F.col(f"`{self.field}`")))
+
+    def _make(self, docs: DataFrame) -> None:
+        rows = self._vectors(docs)
+        n = rows.count()
+        some = rows if n <= SAMPLE else rows.orderBy(F.xxhash64("__key")).limit(SAMPLE)
+        x = _array(some.select(F.col(f"`{self.field}`")).collect(), self.d)
+        k = max(1, min(LISTS, round(n**0.5), len(x)))
+        made = centroids(x, k, self.metric) if len(x) else np.zeros((0, self.d))
+        for _ in range(3):  # hot lists are split until none is left or can be
+            held = materialise(self._assigned(rows, made), "lists") if len(x) else rows.withColumn(LIST, F.lit(0))
+            counted = {r[LIST]: r["n"] for r in held.groupBy(LIST).agg(F.count("*").alias("n")).collect()}  # a row a list
+            share = max(1, n // max(1, len(made)))
+            hot = sorted((i for i, m in counted.items() if m > HOT * share), key=lambda i: -counted[i])[: max(0, LISTS - len(made))]
+            more = []
+            for i in hot:
+                y = np.unique(_array(held.where(F.col(LIST) == i).orderBy(F.xxhash64("__key")).select(F.col(f"`{self.field}`")).limit(SAMPLE // 10).collect(), self.d), axis=0)
+                parts = min(len(y), counted[i] // share, LISTS - len(made) - len(more))
+                more += list(centroids(y, parts, self.metric)) if parts > 1 else []
+            if not more:
+                break
+            made = np.concatenate([made, np.array(more)])
+        self.generation = getattr(self, "generation", -1) + 1
+        self.probes, self.first = probes(x, made, self.metric) if len(x) else 0, n
+        body = {"probes": self.probes, "rows": n, "centroids": base64.b64encode(made.astype("<f4").tobytes()).decode()}
+        write_text(self.spark, f"{self.path}/_centroids-{self.generation}.json", json.dumps(body))
+        self.centroids = made.astype("<f4").astype(np.float64)  # as they are read again
+        self.held.segments = []  # what was there is in docs
+        self.held.append({"vectors": held}, None, n, 0, {"rows": n, "generation": self.generation} | {f"list:{i}": m for i, m in counted.items()})
+        self._count()
+
+    def update(self, new: DataFrame, old: DataFrame, n: int, gone: int, batch: int | None = None) -> None:
+        """A batch's documents (with __key) and those that they replace, as they were."""
+        rows, less = materialise(self._assigned(self._vectors(new), self.centroids), "lists") if len(self.centroids) else self._vectors(new).withColumn(LIST, F.lit(0)), self._vectors(old)
+        put = {r[LIST]: r["n"] for r in rows.groupBy(LIST).agg(F.count("*").alias("n")).collect()}  # a row a list
+        m = less.count() if gone else 0
+        sums = {"rows": sum(put.values()) - m} | {f"list:{i}": x for i, x in put.items()}  # sizes count replaced rows until the lists are made anew
+        self.held.append({"vectors": rows}, old.select("__key"), sum(put.values()), gone, sums, batch)
+        self.held.tidy()
+        self._count()
+        if self.held.rows() > 2 * max(self.first, 1000):
+            self._make(materialise(self.held.read("vectors").select("__key", F.col(f"`{self.field}`")), "vectors"))
+
+    # queries
 
     def probed(self, vector: list[float], least: int) -> DataFrame:
-        """__key and vector of the lists to look at, which hold least rows or more, or all."""
-        order = np.argsort(_far(np.array([vector], dtype=np.float64), self.centroids, self.metric)[0], kind="stable")
-        full = int(np.searchsorted(np.cumsum(self.sizes[order]), least)) + 1
-        return self.table.where(F.col("__list").isin(order[: max(full, self.probes)].tolist()))
+        """__key and vector of the lists that a query looks at."""
+        lists = _lists_of(np.array([vector], dtype=np.float64), self.centroids, self.sizes, self.metric, least, self.probes)[0] if len(self.centroids) else []
+        return self.held.read("vectors").where(F.col(LIST).isin(lists)).select("__key", F.col(f"`{self.field}`"))
+
+    def nearest(self, queries: DataFrame, k: int, least: int) -> DataFrame:
+        """query, __key, __score of the k nearest of each query (query, vector): queries meet the lists that they probe.
+
+        A list's rows are joined by list and a part of it, so that a large one isn't one task; partial heaps go before the last one.
+        """
+        sizes, made, d, metric, fewest = self.sizes, self.centroids, self.d, self.metric, self.probes
+        if not len(made):
+            return self.spark.createDataFrame([], "query long, __key string, __score double")
+        parts = int(max(1, sizes.max() // 4096))
+
+        def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in batches:
+                yield pd.Series(_lists_of(np.array(s.tolist(), dtype=np.float64).reshape(-1, d), made, sizes, metric, least, fewest))
+
+        asked = queries.select("query", "vector", F.explode(F.pandas_udf(of, "array<int>")("vector")).alias(LIST))
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        rows = self.held.read("vectors").withColumn("part", F.pmod(F.xxhash64("__key"), F.lit(parts)).cast("int")).select(LIST, "part", "__key", F.col(f"`{self.field}`").alias("own"))
+        found = asked.join(rows.hint("merge"), [LIST, "part"]).select("query", LIST, "part", "__key", METRICS[self.metric](F.col("own"), F.col("vector")).cast("float").cast("double").alias("__score"))
+        best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("__score"), F.asc("__key"))) <= k
+        some = found.withColumn("in", best(LIST, "part", "query")).where("in").drop("in")
+        return some.withColumn("in", best("query")).where("in").select("query", "__key", "__score")
+
+
+def _lists_of(x: np.ndarray, made: np.ndarray, sizes: np.ndarray, metric: str, least: int, fewest: int) -> list[list[int]]:
+    """For each of x the lists by falling likeness, fewest at least, until they hold least rows."""
+    order = np.argsort(_far(x, made, metric), axis=1, kind="stable")
+    full = (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1
+    return [o[: max(n, fewest)].tolist() for o, n in zip(order, full.tolist())]

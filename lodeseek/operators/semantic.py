@@ -60,12 +60,28 @@ def query_terms(search: str, questions: list[str] = ()) -> list[str]:
     return [t for s in (search or "", *questions) for t in analyzers.tokens(s, None)]
 
 
-def answers(matched: DataFrame, index: Index, paths: list[str], terms: list[str], top: int = 3) -> DataFrame:
-    """__key, field, text, score of the best sentences over all matches; scores are divided by the best one."""
+def sentence_at(text: Column, at: Column) -> Column:
+    """The sentence of that number."""
+
+    def of(texts: pd.Series, ats: pd.Series) -> pd.Series:
+        return pd.Series([sentences(t)[k] for t, k in zip(texts, ats)], dtype=object)
+
+    return F.pandas_udf(of, "string")(text, at)
+
+
+def answers(matched: DataFrame, index: Index, paths: list[str], terms: list[str], top: int = 3, held=None) -> DataFrame:
+    """__key, field, text, score of the best sentences over all matches; scores are divided by the best one.
+
+    held: a sentence index (operators.sentences.SentenceIndex), in which the terms are looked up; without one all matches are read.
+    """
     schema = "__key string, field string, text string, score double"
     spark = matched.sparkSession
     if not terms or not paths:
         return spark.createDataFrame([], schema)
+    if held is not None:
+        found = held.answers(matched, paths, terms, top).withColumnRenamed("path", "field")
+        best = F.max("score").over(Window.partitionBy())  # over top rows at most
+        return found.orderBy(F.desc("score"), "__key", "order", "at").select("__key", "field", "text", (F.col("score") / best).alias("score"))
     distinct = list(dict.fromkeys(terms))
 
     def counted(texts: pd.Series) -> pd.Series:

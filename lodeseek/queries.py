@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import analyzers, vectors
 from .operators import facets
 from .sources import tables
+from .storage import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +28,7 @@ def _engine(spark: SparkSession, sf_dir: str, index: str, request: dict):
     if request.get("search") in (None, "", "*"):
         return tables.engine(spark, sf_dir, index)
     spec, table, load = {"docs": (tables.DOCS, "documents", tables.docs), "parts": (tables.PARTS, "part", lambda s, d: tables.read(s, d, "part"))}[index]
-    return tables.text_engine(spark, sf_dir, spec, table, load)
+    return tables.text_engine(spark, sf_dir, spec, table, load, request.get("queryType") == "semantic")
 
 
 def _hits(index: str, request: dict, *columns: str, score: bool = False) -> Query:
@@ -314,6 +315,27 @@ _add("v10_pre_filter", _knn("cosine", 20, filter="label eq 3", vectorFilterMode=
 _add("v08_text_vector", lambda s, d: tables.read(s, d, "part").select("p_partkey", vectors.embed(F.col("p_name"), 64).alias("v")))
 
 
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every twentieth vector its ten nearest, by looking at all lists, and whether looking at few finds nine in ten of all these."""
+    spec = tables.VECS | {"vectorSearch": {"algorithms": [{"name": "a", "kind": "hnsw"}], "profiles": [{"name": "p", "algorithm": "a"}]}}
+    e = tables.engine(spark, sf_dir)
+    e.create_index(spec, tables.read(spark, sf_dir, "embeddings"))
+    lists = e.index_vectors("vecs", "embedding")
+    asked = e.data["vecs"].where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    exact, some = (materialise(lists.nearest(asked, 10, n), "nearest") for n in (lists.n, 40))
+    both = exact.join(some, ["query", "__key"], "left_semi").count()
+    rows = exact.groupBy(F.col("query").alias("vec_id")).agg(F.array_join(F.sort_array(F.collect_list("__key")), " ").alias("nearest"))
+    return rows.withColumn("recall_reached", F.lit(both >= 0.9 * exact.count()))
+
+
+_add(
+    "v05_lists", _lists,
+    f"""WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 20 = 0),
+r AS (SELECT q.vec_id, e.vec_id AS other, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity({_E}, x)::FLOAT DESC, e.vec_id::VARCHAR) AS k FROM q, embeddings e)
+SELECT vec_id, string_agg(other::VARCHAR, ' ' ORDER BY other::VARCHAR) AS nearest, true AS recall_reached FROM r WHERE k <= 10 GROUP BY vec_id""",
+)
+
+
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import schema
 
@@ -412,15 +434,21 @@ WHERE starts_with(lower(text), 'small r') GROUP BY text ORDER BY f LIMIT 20)""",
 
 
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    request = {"search": "tion with", "searchFields": "text", "queryType": "semantic", "semanticConfiguration": "default", "top": 20}
+    request = {"search": "tion with", "searchFields": "text", "queryType": "semantic", "semanticConfiguration": "default", "answers": "extractive|count-3", "captions": "extractive", "top": 20}
     return _engine(spark, sf_dir, "docs", request).search("docs", request).hits.select("doc_id", "`@search.captions`", F.round("`@search.rerankerScore`", 6).alias("reranker"))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    request = {"search": "tion with", "searchFields": "text", "queryType": "semantic", "semanticConfiguration": "default", "top": 20}
+    request = {"search": "tion with", "searchFields": "text", "queryType": "semantic", "semanticConfiguration": "default", "answers": "extractive|count-3", "captions": "extractive", "top": 20}
     return _engine(spark, sf_dir, "docs", request).search("docs", request).answers.select("__key", "field", "text", F.round("score", 6).alias("score"))
 
 
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = tables.text_engine(spark, sf_dir, tables.DOCS, "documents", tables.docs, True).sentences["docs"].held
+    return held.read("sizes").select(F.col("__key").cast("long").alias("doc_id"), "sentences", "tokens")
+
+
+_add("h04_sentences", _sentences)
 _add("h06_answers", _answers)
 _add("h08_captions", _semantic)
 _add("h13_highlights", lambda s, d: tables.engine(s, d, "docs").search("docs", {"search": "tion", "searchFields": "text", "highlight": "text", "top": 10}).hits.select("doc_id", "`@search.highlights`"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Any
 
@@ -100,11 +101,7 @@ def wanted(request: dict) -> Wanted | None:
     """The nested form, whose counts must be in range, or the flat one, whose counts are drawn into it; null without either."""
     nested = request.get("semantic")
     if nested is None:
-        if request.get("queryType") != "semantic":
-            return None
-        count = lambda key, rule: min(max(1, int(request.get(key) or rule[0])), rule[1])
-        asked = request.get("semanticQuery")
-        return Wanted(request.get("semanticConfiguration"), count("answers", ANSWERS), count("captions", CAPTIONS), (asked,) if asked else (), _partial(request.get("semanticErrorHandling")))
+        return _flat(request)
     if not isinstance(nested, dict):
         raise invalid("semantic is no object")
     name = nested.get("semanticConfiguration")
@@ -122,6 +119,38 @@ def wanted(request: dict) -> Wanted | None:
     return Wanted(name, answers if answers is not None else inner, captions, tuple(questions or ()), _partial(nested.get("semanticErrorHandling")))
 
 
+def _first(request: dict, *keys: str) -> Any:
+    """The value of the first of keys that isn't null."""
+    return next((request[k] for k in keys if request.get(k) is not None), None)
+
+
+def _flat(request: dict) -> Wanted | None:
+    """The options of client libraries: a configuration by name, answers and captions as texts such as "extractive|count-3"."""
+    name = _first(request, "semanticConfiguration", "semanticConfigurationName")
+    if name is None and request.get("queryType") != "semantic":
+        return None
+    if name is not None and (not isinstance(name, str) or not name):
+        raise invalid("semanticConfiguration is no name")
+    handling = _partial(_first(request, "semanticErrorHandling", "semanticErrorMode"))
+    return Wanted(name, _option(request, "answers", "queryAnswer", ANSWERS), _option(request, "captions", "queryCaption", None), partial=handling)
+
+
+def _option(request: dict, key: str, older: str, rule: tuple[int, int] | None) -> int | None:
+    """How many extractive answers or captions: by the text under key, or without one by the older pair of properties. rule null: there is no count."""
+    text = request.get(key)
+    if isinstance(text, str):
+        kind, *rest = re.split("[|,]", text)
+        counts = [m[1] for x in rest if (m := re.fullmatch(r"count-\s*\+?(\d+)", x.strip()))]
+        count = int(counts[-1]) if counts else None
+    else:
+        kind, count = request.get(older), request.get(f"{older}Count")
+    if not isinstance(kind, str) or kind.strip() != "extractive":
+        return None
+    if rule is None:
+        return CAPTIONS[0]
+    return rule[0] if isinstance(count, bool) or not isinstance(count, int) or count < 0 else min(max(1, count), rule[1])
+
+
 def _block(given: Any, label: str, rule: tuple[int, int]) -> int | None:
     if given is None:
         return None

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import SearchEngine
+from ..operators.sentences import SentenceIndex
 from ..plans.postings import TextIndex
 from ..storage import file_system, materialise
 
@@ -113,6 +114,7 @@ def _taken(spark: SparkSession, sf_dir: str, name: str, load) -> DataFrame:
 
 
 _texts: dict[tuple, TextIndex] = {}
+_sentences: dict[tuple, SentenceIndex] = {}
 
 
 def _state_of(spark: SparkSession, path: str) -> tuple:
@@ -122,8 +124,8 @@ def _state_of(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in found))
 
 
-def text_engine(spark: SparkSession, sf_dir: str, spec: dict, table: str, load) -> SearchEngine:
-    """An engine with one index over a table, and its text index, which the session builds once for a state of the table's files."""
+def text_engine(spark: SparkSession, sf_dir: str, spec: dict, table: str, load, sentences: bool = False) -> SearchEngine:
+    """An engine with one index over a table, and its text index (and sentence index), which the session builds once for a state of the table's files."""
     out = SearchEngine(spark)
     index = out.create_index(spec, load(spark, sf_dir))
     key = (spark.sparkContext.applicationId, sf_dir, repr([(f.name, f.analyzer, f.searchable) for f in index.fields]), _state_of(spark, f"{sf_dir}/{table}.parquet"))
@@ -131,6 +133,10 @@ def text_engine(spark: SparkSession, sf_dir: str, spec: dict, table: str, load)
         out.texts[index.name] = _texts[key]
     else:
         _texts[key] = out.index_text(index.name)
+    if sentences and key in _sentences:
+        out.sentences[index.name] = _sentences[key]
+    elif sentences:
+        _sentences[key] = out.index_sentences(index.name)
     return out
 
 

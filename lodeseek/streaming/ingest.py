@@ -19,7 +19,7 @@ def ingest(engine: SearchEngine, name: str, actions: DataFrame, order: str, stor
     """Applies a stream of the index's columns, __action and an order column.
 
     The index is kept in segments under store, and each micro-batch adds one with its number. A batch that runs
-    again after a failure starts from the version before it and writes its own anew; so does a text index that the engine has.
+    again after a failure starts from the version before it and writes its own anew; so do text and sentence indexes and vector lists that the engine has.
     """
     index = engine.resolve(name)
     names = [f.name for f in index.fields]
@@ -27,8 +27,8 @@ def ingest(engine: SearchEngine, name: str, actions: DataFrame, order: str, stor
 
     def run(batch: DataFrame, number: int) -> None:
         held.before(number)
-        if index.name in engine.texts:
-            engine.texts[index.name].held.before(number)
+        for own in engine.kept(name):
+            own.before(number)
         keyed = sequenced(batch.withColumn("__k", F.col(f"`{index.key.name}`")), order).select(*names, "__action", "__seq")
         engine.apply_batch(name, keyed, number)
 
