@@ -76,3 +76,27 @@ def test_names_of_indexes_go(spark, odd):
     marked, kept = ed.mark(odd), ed.dedup(odd)
     assert {t.name for t in spark.catalog.listTables()} == before
     assert marked.count() == len(ROWS) and kept.count() == 8
+
+
+def test_a_named_batch_runs_again(spark, odd):
+    """A job that fails between the index and its rows finds the same rows on its retry, and so does a batch before a later one."""
+    index = ed.DigestIndex(spark, buckets=3)
+    rows = lambda df: sorted(r["doc_id"] for r in df.collect())
+    first, rest = odd.where("doc_id <= 5"), odd.where("doc_id > 3")
+    with pytest.raises(ZeroDivisionError):
+        ed.dedup(first, index, "2024-05-01")
+        1 / 0  # noqa: B018
+    kept = rows(ed.dedup(first, index, "2024-05-01"))
+    assert kept == [2, 4, 5] and rows(ed.dedup(first, index, "2024-05-01")) == kept
+    later = rows(ed.dedup(rest, index, "2024-05-02"))
+    assert later == [6, 7, 8, 9, 10] and rows(ed.dedup(first, index, "2024-05-01")) == kept and rows(ed.dedup(rest, index, "2024-05-02")) == later
+    marked = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in ed.mark(rest, index, "2024-05-02").collect()}
+    assert marked[4] == (4, False) and marked[7] == (7, True)
+    assert index.read().count() == len(kept + later) == index.read().select("digest").distinct().count()
+    # other rows under the same name take the place of the first ones
+    assert rows(ed.dedup(odd.where("doc_id = 7"), index, "2024-05-02")) == [7] and index.read().count() == len(kept) + 1
+    assert rows(ed.dedup(odd.where("doc_id = 9"), index)) == [9]
+    again = ed.DigestIndex(spark, index.path)
+    assert rows(ed.dedup(first, again, "2024-05-01")) == kept and again.read().where("batch LIKE '2024-05-01@%'").count() == 3
+    with pytest.raises(ValueError):
+        ed.dedup(first, index, "a/b")
