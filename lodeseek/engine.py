@@ -449,15 +449,21 @@ class SearchEngine:
             else:
                 fused = ranking.fuse([(texts, 1.0), *lists])
             matched = docs.join(fused, "__key")
-        sort = ranking.order(index, orderby)
-        found, pruned = matched, None
-        if top and not queries and not orderby and not coverage and index.name in self.texts:
+        by, found, pruned = ranking.keys(index, orderby), matched, None
+        past = state.get("after")  # the last row of the page before: where it is known, nothing before it is sorted again
+        offset = 0 if past else skip
+        if past:
+            try:
+                found = matched.where(ranking.after(matched, by, past))
+            except ValueError:
+                raise invalid("the token can't be read") from None
+        elif top and not queries and not orderby and not coverage and index.name in self.texts:
             pruned = bm25.Plan(index, tree, fields, rules).best(docs, self.texts[index.name], skip + top, keep)
             if pruned:  # the page's documents alone
                 few = pruned[0].orderBy(F.desc("__score"), "__key").limit(skip + top)
                 found = docs.join(F.broadcast(few), "__key")
-        page = found.orderBy(*sort)
-        page = page.offset(skip) if skip else page
+        page = found.orderBy(*ranking.order(index, orderby))
+        page = page.offset(offset) if offset else page
         page = page.limit(top) if top is not None else page
         hits = page.select(*self._shown(index, request, plan, tree))
         made = {p: facets.counts(matched, index, p, n) for p, n in facets.parse(index, _as_list(request.get("facets") or request.get("facet"))).items()}
@@ -471,11 +477,20 @@ class SearchEngine:
             more = [semantic.captions(index, conf["captions"], asked.captions).alias("@search.captions")] if asked.captions is not None else []
             result.hits = page.select(*self._shown(index, request, plan, tree), *more, semantic.reranked(F.col("__score")).alias("@search.rerankerScore"))
         if top:
-            last = {"skip": skip + top, "filter": filter_text, "orderby": orderby, "vectors": ranking.vector_hash(queries)}
-            result._more = lambda: (ranking.token(last), skip + top) if not matched.select("__key").offset(skip + top).limit(1).isEmpty() else None
+            result._more = lambda: self._cursor(matched if pruned else found, by, offset, top, {"skip": skip + top, "filter": filter_text, "orderby": orderby, "vectors": ranking.vector_hash(queries)})
             result._request = request
         return result
 
+    def _cursor(self, found: DataFrame, by: list, offset: int, top: int, state: dict) -> tuple[str, int] | None:
+        """The token of the next page and what it skips, or null where there is none."""
+        rows = found.select(*ranking.numbers(by), *[c.alias(f"s{i}") for i, (c, _) in enumerate(by)])
+        rows = rows.orderBy(*[F.asc_nulls_first(f"s{i}") if rising else F.desc_nulls_last(f"s{i}") for i, (_, rising) in enumerate(by)])
+        last = rows.offset(offset + top - 1).limit(2).select(*[f"k{i}" for i in range(len(by))]).collect()  # the page's last row and the one after it
+        if len(last) < 2:
+            return None
+        # ranks that are fused are summed in no fixed order, so that such pages go by their number
+        return ranking.token(state if state["vectors"] else state | {"after": list(last[0])}), state["skip"]
+
     def _debug(self, index: Index, tree, fields: dict[str, float], rules: dict[str, list[str]], queries: list[dict], filter_text: str | None) -> dict:
         """What was made of a request: the query tree, boosts, synonyms, vector queries and the filter's tree."""
         maps = {m for p in fields for m in index.at(p).synonyms}

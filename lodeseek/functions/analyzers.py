@@ -134,6 +134,18 @@ def column(col: Column, name: str | None) -> Column:
     return _udf(name)(col)
 
 
+def words(col: Column) -> Column:
+    """Runs of letters and digits of a text, as they are."""
+    return F.regexp_extract_all(col, F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
+
+
+def stemmed(distinct: list[str], name: str | None) -> list[str | None]:
+    """What becomes of each of words(): its stem, GAP for a stopword, null for one that is too long."""
+    code = kind(name)
+    made = ((w, _stem(code, w.lower())) if len(w.encode()) < LONGEST else (w, "") for w in distinct)
+    return [GAP if t is None else t or None for _, t in made]
+
+
 def analyze(text: str, name: str | None) -> list[dict]:
     """token, startOffset, endOffset (UTF-8 bytes) and position of each token."""
     k = kind(name)

@@ -19,8 +19,8 @@ from ..storage import materialise
 RRF = 60
 
 
-def order(index: Index, clauses: list[str], score: bool = True) -> list[Column]:
-    """Sort columns: nulls first when rising, last when falling; the key settles ties. Without clauses, the score."""
+def keys(index: Index, clauses: list[str], score: bool = True) -> list[tuple[Column, bool]]:
+    """What is sorted by, and whether it rises; the key settles ties. Without clauses, the score."""
     out = []
     for c in clauses or (["search.score() desc"] if score else []):
         name, _, way = c.strip().partition(" ")
@@ -37,8 +37,35 @@ def order(index: Index, clauses: list[str], score: bool = True) -> list[Column]:
                 raise invalid(f"{name} isn't sortable")
             col, many, _ = resolve(index, name)
             col = F.get(col, F.lit(0)) if many else col
-        out.append(col.asc_nulls_first() if way == "asc" else col.desc_nulls_last())
-    return [*out, F.col("__key").asc()]
+        out.append((col, way == "asc"))
+    return [*out, (F.col("__key"), True)]
+
+
+def order(index: Index, clauses: list[str], score: bool = True) -> list[Column]:
+    """Sort columns: nulls first when rising, last when falling."""
+    return [col.asc_nulls_first() if rising else col.desc_nulls_last() for col, rising in keys(index, clauses, score)]
+
+
+def after(matched: DataFrame, sorted_by: list[tuple[Column, bool]], last: list[str | None]) -> Column:
+    """Rows that come after the one with the values last (as texts) in the order; the bound of the first column reaches the scan by itself."""
+    kinds = [f.dataType for f in matched.select(*[c for c, _ in sorted_by]).schema]
+    test, bound = F.lit(False), None
+    for (col, rising), kind, text in reversed(list(zip(sorted_by, kinds, last, strict=True))):
+        if text is None:
+            beyond = col.isNotNull() if rising else F.lit(False)
+            bound = None if rising else col.isNull()
+        else:
+            value = F.lit(text).cast(kind)
+            beyond = col > value if rising else (col < value) | col.isNull()
+            bound = col >= value if rising else (col <= value) | col.isNull()
+        same = col.isNull() if text is None else col == value
+        test = F.coalesce(beyond, F.lit(False)) | (F.coalesce(same, F.lit(False)) & test)
+    return test if bound is None else bound & test
+
+
+def numbers(sorted_by: list[tuple[Column, bool]]) -> list[Column]:
+    """The values that after() takes, as texts."""
+    return [c.cast("string").alias(f"k{i}") for i, (c, _) in enumerate(sorted_by)]
 
 
 def nearest(docs: DataFrame, index: Index, path: str, vector: list[float], k: int) -> DataFrame:
@@ -94,7 +121,7 @@ def token(state: dict) -> str:
 def read_token(text: str, queries: list[dict]) -> dict:
     try:
         state = json.loads(base64.urlsafe_b64decode(text.encode()))
-        assert isinstance(state, dict) and isinstance(state.get("skip"), int)
+        assert isinstance(state, dict) and isinstance(state.get("skip"), int) and isinstance(state.get("after", []), list)
     except Exception:
         raise invalid("the token can't be read") from None
     if state.get("vectors") != vector_hash(queries):

@@ -41,18 +41,29 @@ TABLES = {
 
 
 def tokenised(docs: DataFrame, index: Index, paths: list[str]) -> DataFrame:
-    """__key and a column of tokens, t0, t1 …, for each of paths."""
-    return docs.select("__key", *[analyzers.column(text_column(index, p), index.at(p).analyzer).alias(f"t{i}") for i, p in enumerate(paths)])
+    """__key and a column of tokens, t0, t1 …, for each of paths; words that are yet to be stemmed where the analyzer stems."""
+    made = [(analyzers.words(text_column(index, p)) if analyzers.gapped(index.at(p).analyzer) else analyzers.column(text_column(index, p), index.at(p).analyzer)).alias(f"t{i}") for i, p in enumerate(paths)]
+    return docs.select("__key", *made)
 
 
-def grouped(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the token column at: tokens of each row, and for each row and term, in this order, row, term, start in positions, times; all positions; terms by number."""
+def grouped(batch: pa.RecordBatch, at: int, analyzer: str | None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the token column at: tokens of each row, and for each row and term, in this order, row, term, start in positions, times; all positions; terms by number.
+
+    Words are stemmed here, each distinct one of a batch once.
+    """
     lists = batch.column(at).combine_chunks() if isinstance(batch.column(at), pa.ChunkedArray) else batch.column(at)
     values, offsets = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(offsets)), offsets)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(offsets) - offsets, offsets)
     coded = values.dictionary_encode()
     words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if analyzers.gapped(analyzer):
+        made = analyzers.stemmed(words, analyzer)
+        words = list(dict.fromkeys(t for t in made if t is not None))
+        number = {t: i for i, t in enumerate(words)}
+        code = np.array([number.get(t, -1) for t in made], dtype=np.int64)[code] if len(code) else code
+        row, code = row[code >= 0], code[code >= 0]
+    start = np.r_[0, np.cumsum(np.bincount(row, minlength=len(offsets)))]
+    place = np.arange(len(row)) - start[row]
     gap = words.index(analyzers.GAP) if analyzers.GAP in words else -1
     real = code != gap
     size = np.bincount(row[real], minlength=len(offsets))
@@ -63,16 +74,17 @@ def grouped(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, lis
     return size, row[first], words, code[first], first, np.diff(np.r_[first, len(row)]), place
 
 
-def postings(tokens: DataFrame, paths: list[str], segment: int = 0) -> DataFrame:
+def postings(docs: DataFrame, index: Index, paths: list[str], segment: int = 0) -> DataFrame:
     """The rows of the table of postings, in blocks. Blocks of other segments have other numbers (or may share them, which only loosens their bounds)."""
-    n, base = len(paths), (segment % (1 << 15)) << 48
+    tokens, base = tokenised(docs, index, paths), (segment % (1 << 15)) << 48
+    named = [index.at(p).analyzer for p in paths]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         for b in batches:
             if not b.num_rows:
                 continue
-            own = [grouped(b, i + 1) for i in range(n)]
+            own = [grouped(b, i + 1, a) for i, a in enumerate(named)]
             rank = np.argsort(np.argsort(sum(x[0] for x in own), kind="stable"), kind="stable")  # of a row by all its tokens
             block = base + (part << 28) + made + rank // BLOCK
             made += -(-b.num_rows // BLOCK)
@@ -87,7 +99,7 @@ def postings(tokens: DataFrame, paths: list[str], segment: int = 0) -> DataFrame
                         names=TABLES["postings"].schema.names,
                     )
 
-    return tokens.mapInArrow(make, TABLES["postings"].schema) if n else tokens.sparkSession.createDataFrame([], TABLES["postings"].schema)
+    return tokens.mapInArrow(make, TABLES["postings"].schema) if paths else tokens.sparkSession.createDataFrame([], TABLES["postings"].schema)
 
 
 def _grams(terms: DataFrame) -> DataFrame:
@@ -127,11 +139,11 @@ class TextIndex:
         """A segment of new documents (with __key) that replace old ones (with __key, as they were); n, gone: how many, where that is known."""
         n = new.count() if n is None else n
         dealt = new.repartition(self.spark.sparkContext.defaultParallelism) if SMALL < n <= FEW else new
-        rows = materialise(postings(tokenised(dealt, self.index, self.paths), self.paths, self.held.last + 1), "postings")
+        rows = materialise(postings(dealt, self.index, self.paths, self.held.last + 1), "postings")
         count = lambda df, sign: df.groupBy("path", "term").agg((F.count("*") * sign).alias("documents"), (F.sum("times") * sign).alias("times"))
         terms = count(rows, 1)
         if old is not None and gone:
-            less = count(postings(tokenised(old, self.index, self.paths), self.paths), -1)
+            less = count(postings(old, self.index, self.paths), -1)
             terms = terms.unionByName(less).groupBy("path", "term").agg(F.sum("documents").alias("documents"), F.sum("times").alias("times"))
         terms = materialise(terms, "terms")
         sums = {f"tokens:{r['path']}": r["n"] for r in terms.groupBy("path").agg(F.sum("times").alias("n")).collect()}  # a row a path

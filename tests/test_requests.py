@@ -205,3 +205,29 @@ def test_completions(engine):
     for bad in ({"suggesterName": "none", "search": "x"}, {"suggesterName": "names", "search": " "}, {"suggesterName": "names", "search": "x", "searchFields": "report"}):
         with pytest.raises(SearchError):
             engine.suggest("walks", bad)
+
+
+@pytest.mark.parametrize("clauses", ["grade asc", "grade desc", "region/land desc,grade asc", "km desc", "walk desc", "", "grade asc,km desc,region/land asc"])
+def test_every_page_goes_on_where_the_last_one_ended(engine, clauses):
+    """Pages of each size, over nulls and ties, make up the whole order, and no page but the first skips rows."""
+    base = {"orderby": clauses} if clauses else {"search": "rain path rock tarn weir"}
+    whole = found(engine, base)
+    for size in (2, 5):
+        request, seen, plans = base | {"top": size}, [], []
+        while request:
+            page = engine.search("walks", request)
+            seen += [r["walk"] for r in page.hits.collect()]
+            plans.append(page.hits._jdf.queryExecution().optimizedPlan().toString())
+            request = page.next_page
+        assert seen == whole and not any("Offset" in p for p in plans)
+
+
+def test_a_page_starts_in_the_scan(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS no", "cast(id % 10 AS double) AS v").write.parquet(str(tmp_path / "t"))
+    e = SearchEngine(spark)
+    e.create_index({"name": "t", "fields": [f("no", "Edm.Int64", "KFO"), f("v", "Edm.Double", "FO")]}, spark.read.parquet(str(tmp_path / "t")))
+    page = e.search("t", {"orderby": "v desc", "top": 250})
+    second = e.search("t", page.next_page)
+    rows = [(r["no"], r["v"]) for r in page.hits.collect() + second.hits.collect()]
+    assert rows == sorted(((i, float(i % 10)) for i in range(1000)), key=lambda r: (-r[1], str(r[0])))[:500]
+    assert "LessThanOrEqual(v,7.0)" in second.hits._jdf.queryExecution().executedPlan().toString()
