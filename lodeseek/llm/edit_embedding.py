@@ -32,6 +32,8 @@ from ._graph import components
 SAMPLES, PERIOD, CLASSES = 256, 4096, 64
 #: Bytes of text that a task of edited() gets.
 TASK_BYTES = 64_000_000
+#: Ranges of doc_id at most: a row each comes to the driver, whatever the input's size; beyond 4 TB partitions grow instead.
+RANGES = 1 << 19
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -240,11 +242,11 @@ def edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     size = F.octet_length(text_of()) + 64
     total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-total // TASK_BYTES), RANGES // 8))
     n = ranges or 8 * tasks
     base = docs.select(doc_id.alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
-    shares = [i / n for i in range(1, n)]
-    found = docs.agg(F.percentile_approx(doc_id, shares, 5 * n)).first()[0] if shares else None
+    shares = F.split(F.lit(",".join(f"{i / n:.9f}" for i in range(1, n))), ",").cast("array<double>")  # one literal, however many there are
+    found = docs.agg(F.percentile_approx(doc_id, shares, 5 * n)).first()[0] if n > 1 else None
     cuts = np.array(sorted(set(found or [])), dtype=np.int64)
 
     def number(ids: pd.Series, none: pd.Series, hashes: pd.Series) -> pd.Series:

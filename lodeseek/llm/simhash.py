@@ -14,7 +14,9 @@ number of fingerprints, so that cells stay small.
 WIDE is for near copies by the usual measure: five-word shingles, similarity 0.8 or more. A
 fingerprint has 256 bits, as 64 can't tell such pairs from others, and the radius is RADIUS_WIDE. Its
 cells are projections on segments chosen by hash; their number and that of projections follow
-the number of fingerprints, for a chance of WIDE_RECALL or more to meet at a similarity of 0.8.
+the number of fingerprints, for a chance of WIDE_RECALL or more to meet at a similarity of 0.8. Its links are
+candidates: near_copies() compares the texts of each group that they make by their sets of shingles, every two of
+them that aren't joined yet, and groups are what links of LEAST or more join.
 
 Only distinct fingerprints are joined, and a cell yields the edges of a spanning forest
 instead of its pairs. A cell of over CELL_ROWS fingerprints is split in blocks by hash, and
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._cells import forest, parted, spanning, whole
+from ._cells import forest, groups, parted, spanning, whole
 from ._common import free, lookup, materialise, table, text_of
 from ._graph import components
 
@@ -43,7 +45,9 @@ CELL_ROWS = 4096
 #: Groups of at most so many rows are compared shift by shift, many groups at once.
 SMALL = 64
 LOW = 0x5555555555555555
-RADIUS_WIDE, WIDE_RECALL, WIDE_CELL = 44, 0.97, 32
+RADIUS_WIDE, WIDE_RECALL, WIDE_CELL = 50, 0.98, 32
+#: Similarity of near copies, and texts of a group that are compared in one task.
+LEAST, GROUP_ROWS = 0.8, 1024
 
 
 @dataclass(frozen=True)
@@ -68,18 +72,26 @@ def _lanes(h: np.ndarray, lanes: int) -> Iterator[np.ndarray]:
             yield x ^ (x >> np.uint64(32))
 
 
-def lanes_of(text: str, kind: Kind = NARROW) -> np.ndarray:
-    """A bit is 1 if it is set in over half of the shingles' hashes, repeats included; 0 without words."""
+def shingles(text: str, kind: Kind = NARROW) -> np.ndarray:
+    """Hashes of the shingles, repeats included; of a text of fewer words that of the whole, none without words."""
     words = text.encode("utf-8", "replace").lower().split()  # ASCII letters and white space only, as bytes have no others
     if not words:
-        return np.zeros(kind.lanes, dtype="<u8")
+        return np.zeros(0, dtype="<u8")
     if len(words) <= kind.shingle:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     else:
         shifted = zip(*(words[i:] for i in range(kind.shingle)))
         hashes = [xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in shifted]
+    return np.array(hashes, dtype="<u8")
+
+
+def lanes_of(text: str, kind: Kind = NARROW) -> np.ndarray:
+    """A bit is 1 if it is set in over half of the shingles' hashes, repeats included; 0 without words."""
+    hashes = shingles(text, kind)
+    if not len(hashes):
+        return np.zeros(kind.lanes, dtype="<u8")
     out = []
-    for h in _lanes(np.array(hashes, dtype="<u8"), kind.lanes):
+    for h in _lanes(hashes, kind.lanes):
         ones = np.zeros(64, dtype=np.int64)
         for i in range(0, len(h), 1 << 16):
             ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -98,16 +110,16 @@ def row_key():
 
 
 def fingerprints(docs: DataFrame, kind: Kind = NARROW) -> DataFrame:
-    """doc_id, row_key and fp (a signed long, or bytes of more lanes than one) for each row; null texts count as empty."""
+    """doc_id, row_key, text_key and fp (a signed long, or bytes of more lanes than one) for each row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [lanes_of(t.as_py(), kind) for t in b.column("text")]
             fp = pa.array(np.array(found, dtype="<u8").reshape(-1).view("<i8")) if kind.lanes == 1 else pa.array([x.tobytes() for x in found], pa.binary())
-            yield pa.record_batch([b.column("doc_id"), b.column("row_key"), fp], names=["doc_id", "row_key", "fp"])
+            yield pa.record_batch([b.column("doc_id"), b.column("row_key"), b.column("text_key"), fp], names=["doc_id", "row_key", "text_key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text_of().alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, row_key long, fp {'long' if kind.lanes == 1 else 'binary'}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, row_key long, text_key long, fp {'long' if kind.lanes == 1 else 'binary'}")
 
 
 def _counts(fp):
@@ -234,31 +246,100 @@ def links(distinct: DataFrame, kind: Kind = NARROW, n: int | None = None) -> Dat
     return found.select(F.xxhash64("fa").alias("a"), F.xxhash64("fb").alias("b")).distinct()
 
 
+def _candidates(rows: DataFrame, kind: Kind) -> DataFrame:
+    """fp, low (the first row of it), n, root for each fingerprint of rows: a written table."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    node = F.col("fp") if kind.lanes == 1 else F.xxhash64("fp")
+    classes = materialise(rows.groupBy("fp").agg(first.alias("low"), F.count("*").alias("n")).withColumn("node", node), "fingerprint-classes")
+    roots = components(links(classes.select("fp"), kind, classes.count()), "simhash")
+    return materialise(classes.join(roots, "node", "left").select("fp", "low", "n", F.coalesce("root", "node").alias("root")), "fingerprint-roots")
+
+
 def near_groups(docs: DataFrame, kind: Kind = NARROW) -> DataFrame:
     """doc_id, row_key, fp, component_id, stays for each row of docs.
 
-    component_id is the smallest doc_id of all documents that links reach. Null doc_ids take part
+    component_id is the smallest doc_id of all documents that links of fingerprints reach. Null doc_ids take part
     and are never the smallest; a group of nothing else has a null component_id. stays marks the row
     with that doc_id (rows with the same doc_id and text alike). Repeated rows come out as often as
     they go in; no rows give none.
     """
     rows = materialise(fingerprints(docs, kind), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    node = F.col("fp") if kind.lanes == 1 else F.xxhash64("fp")
-    classes = materialise(rows.groupBy("fp").agg(first.alias("low"), F.count("*").alias("n")).withColumn("node", node), "fingerprint-classes")
-    roots = components(links(classes.select("fp"), kind, classes.count()), "simhash")
-    named = materialise(classes.join(roots, "node", "left").select("fp", "low", "n", F.coalesce("root", "node").alias("root")), "fingerprint-roots")
+    return _named(rows, _candidates(rows, kind), "fp")
+
+
+def _named(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """rows with component_id and stays. named: key, low, n, root."""
     lowest = materialise(named.groupBy("root").agg(F.min("low").alias("low"), F.count("*").alias("classes")), "fingerprint-lowest")
-    keyed = materialise(lookup(named.drop("low"), lowest, "root", "classes").select("fp", "n", "low"), "fingerprint-components")
+    keyed = materialise(lookup(named.drop("low"), lowest, "root", "classes").select(key, "n", "low"), "fingerprint-components")
     stays = F.col("row_key") == F.col("low.row_key")
-    return lookup(rows, keyed, "fp", "n").select("doc_id", "row_key", "fp", F.col("low.doc_id").alias("component_id"), stays.alias("stays"))
+    return lookup(rows, keyed, key, "n").select("doc_id", "row_key", key, F.col("low.doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def _alike(sets: list[np.ndarray], least: float):
+    """For forest(): which of all sets have a similarity (shared to all elements) of least or more to each of some rows."""
+    size = np.array([len(x) for x in sets])
+    all_, ends = np.concatenate(sets), np.cumsum(size)
+
+    def near(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), len(sets)), dtype=bool)
+        for k, i in enumerate(rows.tolist()):
+            own = sets[i]
+            if not len(own):
+                out[k] = size == 0
+                continue
+            at = np.minimum(np.searchsorted(own, all_), len(own) - 1)
+            upto = np.r_[0, np.cumsum(own[at] == all_)]
+            both = upto[ends] - upto[ends - size]
+            out[k] = both >= least * (len(own) + size - both)
+        return out
+
+    return near
+
+
+def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, row_key, text_key, component_id, stays for each row of docs, as near_groups() has them: of groups that links of texts join.
+
+    Texts are linked if the similarity of their sets of five-word shingles is least or more; a text of fewer words is one
+    shingle, texts without words are linked. Candidates are groups of WIDE fingerprints. Within a group every two texts are compared
+    but those that are joined already; a large group is split in blocks, and each pair of blocks is a unit of its own.
+    """
+    rows = materialise(fingerprints(docs, WIDE), "fingerprints")
+    named = _candidates(rows, WIDE)
+    placed = lookup(rows, named.select("fp", "n", "root"), "fp", "n").select("doc_id", "row_key", "text_key", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    texts = materialise(placed.groupBy("root", "text_key").agg(first.alias("low"), F.count("*").alias("n")), "near-texts")
+    several = texts.groupBy("root").agg(F.count("*").alias("texts")).where("texts > 1")
+    chosen = texts.join(several, "root").select(F.col("low.row_key").alias("row_key"), "root", "text_key")
+    key = free(docs.columns, "__key")
+    met = docs.select(row_key().alias(key), text_of().alias("text")).join(chosen.withColumnRenamed("row_key", key).hint("merge"), key)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingles(t.as_py(), WIDE)).tobytes() for t in b.column("text")]
+            yield pa.record_batch([b.column("root"), b.column("text_key"), pa.array(found, pa.binary())], names=["root", "text_key", "set"])
+
+    sets = materialise(met.select("root", "text_key", "text").mapInArrow(hashed, "root long, text_key long, set binary").dropDuplicates(["root", "text_key"]), "shingle-sets")
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["root", "part"]):
+            found = [np.frombuffer(x, dtype="<u8") for x in t.column("set").to_pylist()]
+            keys = t.column("text_key").to_numpy()
+            away, root = forest(len(found), _alike(found, least))
+            if len(away):
+                yield pa.record_batch([pa.array(keys[away]), pa.array(keys[root])], names=["a", "b"])
+
+    linked = parted(sets, ["root"], "text_key", GROUP_ROWS).select("root", "part", "text_key", "set").mapInArrow(edges, "a long, b long").distinct()
+    roots = components(linked, "near-copies").withColumnRenamed("root", "own")
+    final = texts.join(roots, texts["text_key"] == roots["node"], "left").select("text_key", "low", "n", F.coalesce("own", "text_key").alias("root"))
+    return _named(rows, materialise(final, "near-roots"), "text_key")
 
 
 def keep_one(docs: DataFrame, kind: Kind = NARROW) -> DataFrame:
-    """The row with the smallest doc_id of each group, with all its columns; of repeated rows one."""
+    """The row with the smallest doc_id of each group, with all its columns; of repeated rows one. Groups of WIDE are near_copies()."""
     names = [F.col(f"`{c}`") for c in docs.columns]
     key = free(docs.columns, "__key")
-    stay = near_groups(docs, kind).where("stays").select(F.col("row_key").alias(key)).distinct()
+    found = near_copies(docs) if kind == WIDE else near_groups(docs, kind)
+    stay = found.where("stays").select(F.col("row_key").alias(key)).distinct()
     return docs.withColumn(key, row_key()).join(stay.hint("merge"), key).dropDuplicates([key]).select(*names)
 
 
