@@ -20,6 +20,7 @@ from .errors import SearchError, invalid
 from .functions import analyzers, filters, vectors
 from .operators import ann, facets, mutate, ranking, semantic, suggest
 from .operators.sentences import SentenceIndex
+from .operators.word_index import WordIndex
 from .paths import project
 from .plans import bm25, query_text
 from .plans.postings import TextIndex
@@ -96,6 +97,7 @@ class SearchEngine:
         self.stores: dict[str, Segments] = {}
         self.texts: dict[str, TextIndex] = {}
         self.sentences: dict[str, SentenceIndex] = {}
+        self.words: dict[str, WordIndex] = {}
         self.lists: dict[tuple[str, str], ann.Lists] = {}
         self.resources: dict[str, dict[str, dict]] = {k: {} for k in ("alias", "synonymMap", "knowledgeSource", "knowledgeBase")}
         self._version = 0
@@ -122,6 +124,7 @@ class SearchEngine:
         self.stores.pop(new.name, None)
         self.texts.pop(new.name, None)
         self.sentences.pop(new.name, None)
+        self.words.pop(new.name, None)
         if keep:
             have = set(docs.columns)
             self._put(new, docs.select(*[F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.spark_type()).alias(f.name) for f in new.fields]))
@@ -132,7 +135,7 @@ class SearchEngine:
     def delete_index(self, name: str) -> None:
         if self.indexes.pop(name, None) is None:
             raise SearchError("ResourceNotFound", name)
-        for own in (self.data, self.stores, self.texts, self.sentences):
+        for own in (self.data, self.stores, self.texts, self.sentences, self.words):
             own.pop(name, None)
 
     def reset(self) -> None:
@@ -255,6 +258,15 @@ class SearchEngine:
         self.sentences[index.name] = held
         return held
 
+    def index_words(self, name: str, path: str | None = None) -> WordIndex:
+        """Builds the word index of the suggesters' fields, or opens one that path holds; suggestions then read words, and batches keep them up to date."""
+        index = self.resolve(name)
+        held = WordIndex(self.spark, index, path or new_path(self.spark, f"words-{index.name}"))
+        if held.held.version < 0:
+            held.build(self.documents(name))
+        self.words[index.name] = held
+        return held
+
     def index_vectors(self, name: str, path: str, folder: str | None = None) -> ann.Lists:
         """Deals a field's vectors to lists, or opens those that folder holds: queries that may be approximate read a few of them. Batches keep them up to date."""
         index = self.resolve(name)
@@ -269,7 +281,7 @@ class SearchEngine:
         return [x.held for x in self._beside(self.resolve(name))]
 
     def _beside(self, index: Index) -> list:
-        own = [self.texts.get(index.name), self.sentences.get(index.name), *(x for (of, _), x in self.lists.items() if of == index.name)]
+        own = [self.texts.get(index.name), self.sentences.get(index.name), self.words.get(index.name), *(x for (of, _), x in self.lists.items() if of == index.name)]
         return [x for x in own if x is not None]
 
     def _near(self, base: DataFrame, index: Index, path: str, query: dict, filtered: bool) -> DataFrame:
@@ -537,14 +549,14 @@ class SearchEngine:
         pre, post = request.get("highlightPreTag"), request.get("highlightPostTag")
         found = suggest.suggest(
             docs, index, paths, request.get("search") or "", ranking.order(index, _list(request.get("orderby")), score=False),
-            _number(request.get("top"), "top") or 5, bool(request.get("fuzzy")), (pre, post) if pre and post else None,
+            _number(request.get("top"), "top") or 5, bool(request.get("fuzzy")), (pre, post) if pre and post else None, self.words.get(index.name),
         )
         select = _list(request.get("select"))
         return found.select(F.col("__text").alias("@search.text"), *project(index.fields, list(dict.fromkeys([index.key.name, *select]))))
 
     def autocomplete(self, name: str, request: dict) -> DataFrame:
         index, docs, paths = self._candidates(name, request)
-        return suggest.complete(docs, index, paths, request.get("search") or "", request.get("autocompleteMode", "oneTerm"), _number(request.get("top"), "top") or 5, bool(request.get("fuzzy")))
+        return suggest.complete(docs, index, paths, request.get("search") or "", request.get("autocompleteMode", "oneTerm"), _number(request.get("top"), "top") or 5, bool(request.get("fuzzy")), self.words.get(index.name))
 
     def analyze(self, text: str, analyzer: str | None = None) -> list[dict]:
         return analyzers.analyze(text, analyzer)

@@ -102,8 +102,8 @@ def postings(docs: DataFrame, index: Index, paths: list[str], segment: int = 0)
     return tokens.mapInArrow(make, TABLES["postings"].schema) if paths else tokens.sparkSession.createDataFrame([], TABLES["postings"].schema)
 
 
-def _grams(terms: DataFrame) -> DataFrame:
-    """path, gram, term, n for the terms of rows of the vocabulary whose sum isn't null: n counts as many as the row did."""
+def grams_of(terms: DataFrame) -> DataFrame:
+    """path, gram, term, n for the terms of rows of the vocabulary: n counts as many documents as the row does."""
     long = F.char_length("term") >= GRAM
     each = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("term") - (GRAM - 1)), lambda i: F.substring("term", i, F.lit(GRAM)))))
     return terms.where(long).select("path", "term", each.alias("gram"), F.col("documents").alias("n")).select("path", "gram", "term", "n")
@@ -119,9 +119,8 @@ class Expansion:
 
 
 class TextIndex:
-    """Postings of an index's searchable fields under path."""
+    """Postings of an index's searchable fields under path. NAMED: see expand()."""
 
-    #: Terms that may be named in a filter; more are joined.
     NAMED = 4096
 
     def __init__(self, spark: SparkSession, index: Index, path: str):
@@ -150,7 +149,7 @@ class TextIndex:
         sums["documents"] = n - gone
         bounds = rows.groupBy("path", "term", "block").agg(F.max("times").alias("most"), F.min("size").alias("least"))
         keys = old.select("__key") if old is not None and gone else None
-        self.held.append({"postings": rows, "terms": terms, "grams": _grams(terms), "blocks": bounds}, keys, n, gone, sums, batch)
+        self.held.append({"postings": rows, "terms": terms, "grams": grams_of(terms), "blocks": bounds}, keys, n, gone, sums, batch)
         self.held.tidy()
 
     # reading
@@ -175,24 +174,27 @@ class TextIndex:
         return {(r["path"], r["term"]): r["n"] for r in found}
 
     def expand(self, path: str, test, grams: list[list[str]] | None = None, start: str | None = None) -> Expansion:
-        """Terms of path that pass test (a function of the term's column).
-
-        start: what they begin with, which bounds the scan; grams: sets of which a term holds at least one whole, which are looked up instead of the vocabulary.
-        """
-        own = self.held.read("terms").where(F.col("path") == path)
-        if start:
-            own = own.where(F.col("term").startswith(start))
-        if grams:
-            named = sorted({g for some in grams for g in some})
-            hits = self.held.read("grams").where((F.col("path") == path) & F.col("gram").isin(named)).groupBy("term").agg(F.collect_set("gram").alias("held"))
-            whole = F.lit(False)
-            for some in grams:
-                whole = whole | (F.size(F.array_intersect("held", F.array(*map(F.lit, sorted(set(some)))))) == len(set(some)))
-            rows = hits.where(whole & test(F.col("term"))).select("term")
-        else:
-            rows = own.where(test(F.col("term"))).groupBy("term").agg(F.sum("documents").alias("n")).where("n > 0").select("term")
-        found = [r["term"] for r in rows.limit(self.NAMED + 1).collect()]
-        return Expansion(path, sorted(found) if len(found) <= self.NAMED else None, rows)
+        return expand(self.held, path, test, grams, start, self.NAMED)
+
+
+def expand(held: Segments, path: str, test, grams: list[list[str]] | None = None, start: str | None = None, named: int = 4096) -> Expansion:
+    """Terms of path in the tables terms and grams of held that pass test (a function of the term's column).
+
+    start: what they begin with, which bounds the scan; grams: sets of which a term holds at least one whole, which are looked up instead of the vocabulary.
+    """
+    if grams:
+        wanted = sorted({g for some in grams for g in some})
+        hits = held.read("grams").where((F.col("path") == path) & F.col("gram").isin(wanted)).groupBy("term").agg(F.collect_set("gram").alias("held"))
+        whole = F.lit(False)
+        for some in grams:
+            whole = whole | (F.size(F.array_intersect("held", F.array(*map(F.lit, sorted(set(some)))))) == len(set(some)))
+        rows = hits.where(whole & test(F.col("term"))).select("term")
+    else:
+        own = held.read("terms").where(F.col("path") == path)
+        own = own.where(F.col("term").startswith(start)) if start else own
+        rows = own.where(test(F.col("term"))).groupBy("term").agg(F.sum("documents").alias("n")).where("n > 0").select("term")
+    found = [r["term"] for r in rows.limit(named + 1).collect()]
+    return Expansion(path, sorted(found) if len(found) <= named else None, rows)
 
 
 def either(wanted: list[tuple[str, str]]) -> Column:

@@ -400,7 +400,7 @@ _WORDS = "regexp_extract_all(p_name, '\\S+')"
 
 def _suggested(search: str, fuzzy: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = tables.engine(spark, sf_dir, "parts").suggest("parts", {"suggesterName": "sg", "search": search, "fuzzy": fuzzy, "top": 40})
+        found = tables.word_engine(spark, sf_dir).suggest("parts", {"suggesterName": "sg", "search": search, "fuzzy": fuzzy, "top": 40})
         return found.select("p_partkey", F.col("`@search.text`").alias("text"))
 
     return run
@@ -415,7 +415,7 @@ _add("c02_suggest_fuzzy", _suggested("reed", True), f"SELECT p_partkey, ({_fz})[
 
 
 def _completed(search: str, mode: str) -> Query:
-    return lambda s, d: tables.engine(s, d, "parts").autocomplete("parts", {"suggesterName": "sg", "search": search, "autocompleteMode": mode, "top": 20})
+    return lambda s, d: tables.word_engine(s, d).autocomplete("parts", {"suggesterName": "sg", "search": search, "autocompleteMode": mode, "top": 20})
 
 
 _add(
@@ -423,6 +423,11 @@ _add(
     f"""SELECT text, 'bl ' || text AS "queryPlusText" FROM (SELECT text, min(row(k, pos)) AS f FROM (SELECT p_partkey::VARCHAR AS k, unnest(range(len({_WORDS}))) AS pos, unnest({_WORDS}) AS text FROM part)
 WHERE contains(lower(text), 'bl') GROUP BY text ORDER BY f LIMIT 20)""",
 )
+_add(
+    "c05_autocomplete_many", _completed("l", "oneTerm"),
+    f"""SELECT text, 'l ' || text AS "queryPlusText" FROM (SELECT text, min(row(k, pos)) AS f FROM (SELECT p_partkey::VARCHAR AS k, unnest(range(len({_WORDS}))) AS pos, unnest({_WORDS}) AS text FROM part)
+WHERE contains(lower(text), 'l') GROUP BY text ORDER BY f LIMIT 20)""",
+)
 _add(
     "c06_two_terms", _completed("small r", "twoTerms"),
     f"""SELECT text, text AS "queryPlusText" FROM (SELECT text, min(row(k, pos)) AS f FROM (SELECT p_partkey::VARCHAR AS k, unnest(range(1, len({_WORDS}))) AS pos,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..engine import SearchEngine
 from ..operators.sentences import SentenceIndex
+from ..operators.word_index import WordIndex
 from ..plans.postings import TextIndex
 from ..storage import file_system, materialise
 
@@ -115,6 +116,7 @@ def _taken(spark: SparkSession, sf_dir: str, name: str, load) -> DataFrame:
 
 _texts: dict[tuple, TextIndex] = {}
 _sentences: dict[tuple, SentenceIndex] = {}
+_words: dict[tuple, WordIndex] = {}
 
 
 def _state_of(spark: SparkSession, path: str) -> tuple:
@@ -140,6 +142,17 @@ def text_engine(spark: SparkSession, sf_dir: str, spec: dict, table: str, load,
     return out
 
 
+def word_engine(spark: SparkSession, sf_dir: str) -> SearchEngine:
+    """An engine with the index of parts, and its word index, which the session builds once for a state of the table's files."""
+    out = engine(spark, sf_dir, "parts")
+    key = (spark.sparkContext.applicationId, sf_dir, _state_of(spark, f"{sf_dir}/part.parquet"))
+    if key in _words:
+        out.words["parts"] = _words[key]
+    else:
+        _words[key] = out.index_words("parts")
+    return out
+
+
 def save(engine_: SearchEngine, name: str, path: str) -> None:
     """Writes an index's documents as a Parquet snapshot."""
     engine_.data[engine_.resolve(name).name].write.mode("overwrite").parquet(path)

@@ -187,7 +187,19 @@ def spoken(w):
     return [x for t in (w["route"], *[s["place"] for s in w["stops"]]) for x in (t or "").split()]
 
 
-def test_suggestions(engine):
+@pytest.fixture(params=["read", "looked up"])
+def suggesting(engine, request, made=[]):  # noqa: B006
+    """With a word index and without."""
+    engine.words.pop("walks", None)
+    if request.param == "looked up":
+        made = made or [engine.index_words("walks")]
+        engine.words["walks"] = made[0]
+    yield engine
+    engine.words.pop("walks", None)
+
+
+def test_suggestions(suggesting):
+    engine = suggesting
     ask = lambda **more: [(r["walk"], r["@search.text"]) for r in engine.suggest("walks", {"suggesterName": "names", "top": 20} | more).collect()]
     want = lambda part: [(n, next(x for x in spoken(w) if part in x.lower())) for n, w in BY.items() if any(part in x.lower() for x in spoken(w))]
     assert ask(search="TAR") == want("tar") and ask(search="eir") == want("eir") and ask(search="path") == want("path")
@@ -196,11 +208,13 @@ def test_suggestions(engine):
     assert ask(search="brack ridge") == [(11, "Brackenrigg")] and ask(search="path", filter="km gt 20") == [(14, "path")]
 
 
-def test_completions(engine):
+def test_completions(suggesting):
+    engine = suggesting
     ask = lambda search, mode: [(r["text"], r["queryPlusText"]) for r in engine.autocomplete("walks", {"suggesterName": "names", "search": search, "autocompleteMode": mode, "top": 20}).collect()]
     each = list(dict.fromkeys(x for w in WALKS for x in spoken(w) if "ro" in x.lower()))
     assert [t for t, _ in ask("ro", "oneTerm")] == each
     assert ask("weir h", "twoTerms") == [("Weir House", "Weir House")] and ask("ho", "twoTerms") == ask("ho", "oneTerm")
+    assert ask("tarn br", "twoTerms") == [("tarn Brackenrigg", "tarn Brackenrigg")]  # from one field to the next
     assert ask("herons ree", "oneTermWithContext") == [("Reed", "herons Reed")]
     for bad in ({"suggesterName": "none", "search": "x"}, {"suggesterName": "names", "search": " "}, {"suggesterName": "names", "search": "x", "searchFields": "report"}):
         with pytest.raises(SearchError):
@@ -231,3 +245,22 @@ def test_a_page_starts_in_the_scan(spark, tmp_path):
     rows = [(r["no"], r["v"]) for r in page.hits.collect() + second.hits.collect()]
     assert rows == sorted(((i, float(i % 10)) for i in range(1000)), key=lambda r: (-r[1], str(r[0])))[:500]
     assert "LessThanOrEqual(v,7.0)" in second.hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_word_index_takes_batches(spark):
+    e = SearchEngine(spark)
+    e.create_index(SPEC)
+    e.index_documents("walks", WALKS)
+    own = e.index_words("walks")
+    e.index_documents("walks", [{"@search.action": "delete", "walk": 12}, {"@search.action": "merge", "walk": 14, "route": "Tarnished rails"}, walk(99, "Reservoir road", None, 1.0, 1, stops=[("Rail Bridge", None)])])
+    plain = SearchEngine(spark)
+    plain.create_index(SPEC, e.data["walks"])
+    for search in ("tarn", "reserv", "rail", "path", "rai bri", "zzz", "e"):
+        asked = [{"search": search, "suggesterName": "names", "top": 30, "fuzzy": fuzzy} for fuzzy in (False, True)]
+        assert [[(r["walk"], r["@search.text"]) for r in e.suggest("walks", q).collect()] for q in asked] == [[(r["walk"], r["@search.text"]) for r in plain.suggest("walks", q).collect()] for q in asked], search
+        for mode in ("oneTerm", "twoTerms"):
+            q = asked[0] | {"autocompleteMode": mode}
+            assert list(map(tuple, e.autocomplete("walks", q).collect())) == list(map(tuple, plain.autocomplete("walks", q).collect()))
+    assert sorted(map(tuple, own.held.read("terms").groupBy("path", "term").sum("documents").where("`sum(documents)` > 0").collect())) == sorted(map(tuple, plain.index_words("walks").held.read("terms").select("path", "term", "documents").collect()))
+    plan = e.suggest("walks", {"search": "tarn", "suggesterName": "names"})._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(low,tarn)" in plan or "In(low, [tarn" in plan
