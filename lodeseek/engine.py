@@ -452,14 +452,13 @@ class SearchEngine:
             matched = scored.drop("__match")
         else:
             texts = scored.select("__key", "__score") if scored is not None else None
-            if texts is not None and lists:
-                texts = materialise(texts, "text-side")  # scored once, however often it is looked at
+            ranges = ranking.dealt(texts) if texts is not None and lists else None  # scored once, however often it is looked at
             if texts is not None and not lists:
                 fused = texts
-            elif texts is None or texts.isEmpty():
+            elif texts is None or ranges.isEmpty():
                 fused = ranking.best([df for df, _ in lists]) if lists else docs.select("__key", F.lit(0.0).alias("__score")).where("false")
             else:
-                fused = ranking.fuse([(texts, 1.0), *lists])
+                fused = ranking.fuse([(ranking.numbered(ranges), 1.0), *((ranking.numbered_few(df), w) for df, w in lists)])
             matched = docs.join(fused, "__key")
         by, found, pruned = ranking.keys(index, orderby), matched, None
         past = state.get("after")  # the last row of the page before: where it is known, nothing before it is sorted again

@@ -88,25 +88,30 @@ def best(lists: list[DataFrame]) -> DataFrame:
     return out.groupBy("__key").agg(F.max("__score").alias("__score"))
 
 
-def numbered(scored: DataFrame) -> DataFrame:
-    """__key and rank, from 1 on, by falling score and rising key, without one task for all rows.
-
-    Scores are made once and written with the number of their range, so ranges stay as they are however
-    often they are read; how many rows the ranges before hold comes from a count by range.
-    """
-    dealt = materialise(scored.repartitionByRange(F.desc("__score"), F.asc("__key")).withColumn("part", F.spark_partition_id()), "ranks")
-    local = dealt.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("__score"), F.asc("__key"))))
-    sizes = local.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a range
+def dealt(scored: DataFrame) -> DataFrame:
+    """scored (__key, __score) in ranges of falling score and rising key, written once with each range's number, part: ranges so stay as they are however often they are read."""
+    return materialise(scored.select("__key", "__score").repartitionByRange(F.desc("__score"), F.asc("__key")).withColumn("part", F.spark_partition_id()), "ranks")
+
+
+def numbered(ranges: DataFrame) -> DataFrame:
+    """__key and rank, from 1 on, of dealt() rows, without one task for all of them: how many rows the ranges before hold comes from a count by range."""
+    local = ranges.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("__score"), F.asc("__key"))))
+    sizes = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a range
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return local.join(F.broadcast(before), "part").select("__key", (F.col("local") + F.col("before")).alias("rank"))
 
 
-def fuse(lists: list[tuple[DataFrame, float]]) -> DataFrame:
-    """Reciprocal-rank fusion: the sum of weight / (60 + rank) over lists of __key, __score."""
-    parts = [numbered(df).select("__key", (F.lit(w) / (F.lit(RRF) + F.col("rank"))).alias("__score")) for df, w in lists]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def numbered_few(scored: DataFrame) -> DataFrame:
+    """The same for the rows of a nearest-neighbour list, which are no more than its k."""
+    return scored.select("__key", F.row_number().over(Window.orderBy(F.desc("__score"), F.asc("__key"))).alias("rank"))
+
+
+def fuse(ranked: list[tuple[DataFrame, float]]) -> DataFrame:
+    """Reciprocal-rank fusion: the sum of weight / (60 + rank) over lists of __key, rank."""
+    out = None
+    for df, w in ranked:
+        one = df.select("__key", (F.lit(w) / (F.lit(RRF) + F.col("rank"))).alias("__score"))
+        out = one if out is None else out.unionByName(one)
     return out.groupBy("__key").agg(F.sum("__score").alias("__score"))
 
 

@@ -168,6 +168,7 @@ _add("t01_term", _hits("docs", {"search": "avec", "searchFields": "text"}, "doc_
 _add("t02_any", _hits("docs", {"search": "tion eres von", "searchFields": "text"}, "doc_id", score=True), _bm25(["tion", "eres", "von"]))
 _add("t02_all", _hits("docs", {"search": "tion with", "searchMode": "all", "searchFields": "text"}, "doc_id", score=True), _bm25(["tion", "with"], "all"))
 _add("t02_excluded", _hits("docs", {"search": "tion -with", "searchFields": "text"}, "doc_id", score=True), _bm25(["tion"], never="with"))
+_add("t03_several_tokens", _hits("docs", {"search": "tion-with", "searchFields": "text"}, "doc_id", score=True), _bm25(["tion", "with"]))
 _add("t04_boost", _hits("docs", {"search": "der und", "searchFields": "text^2.5"}, "doc_id", score=True), _bm25(["der", "und"], boost=2.5))
 _add(
     "t05_phrase", _hits("docs", {"search": '"of the"', "searchFields": "text"}, "doc_id", score=True),
@@ -368,12 +369,23 @@ def _max_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.search("vecs", {"vectorQueries": two}).hits.select("vec_id", F.round("`@search.score`", 4).alias("score"))
 
 
-_add(
-    "u01_vector_union", _max_union,
-    f"""WITH a AS (SELECT vec_id, {_COS} AS s FROM embeddings ORDER BY s DESC, vec_id::VARCHAR LIMIT 8),
+_UNION = f"""WITH a AS (SELECT vec_id, {_COS} AS s FROM embeddings ORDER BY s DESC, vec_id::VARCHAR LIMIT 8),
 b AS (SELECT vec_id, list_cosine_similarity({_E}, list_reverse({_LIST})) AS s FROM embeddings ORDER BY s DESC, vec_id::VARCHAR LIMIT 8)
-SELECT vec_id, round(max(s), 4) AS score FROM (FROM a UNION ALL FROM b) GROUP BY vec_id""",
-)
+SELECT vec_id, round(max(s), 4) AS score FROM (FROM a UNION ALL FROM b) GROUP BY vec_id"""
+_add("u01_vector_union", _max_union, _UNION)
+
+
+def _two_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query over two fields, the second one the first in reverse."""
+    e = tables.engine(spark, sf_dir)
+    fields = [*tables.VECS["fields"], next(f for f in tables.VECS["fields"] if f["name"] == "embedding") | {"name": "mirrored"}]
+    e.create_index(tables.VECS | {"fields": fields}, tables.read(spark, sf_dir, "embeddings").withColumn("mirrored", F.reverse("embedding")))
+    found = e.search("vecs", {"vectorQueries": [{"fields": "embedding,mirrored", "vector": QUERY, "k": 8}]}).hits
+    return found.select("vec_id", F.round("`@search.score`", 4).alias("score"))
+
+
+_add("v07_two_fields", _two_fields, _UNION)
+
 
 # facets and aggregates
 
@@ -512,15 +524,16 @@ SELECT i::VARCHAR AS key, s AS status FROM r""",
 )
 
 
-def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _retrieved(spark: SparkSession, sf_dir: str, search: str = "*") -> DataFrame:
     e = tables.engine(spark, sf_dir, "docs", "parts")
     for n in ("docs", "parts"):
         e.put_resource("knowledgeSource", f"k-{n}", {"searchIndexParameters": {"searchIndexName": n}})
     e.put_resource("knowledgeBase", "kb", {"knowledgeSources": [{"name": "k-docs"}, {"name": "k-parts"}]})
-    return e.retrieve("kb", "*", 4).select("source", "key")
+    return e.retrieve("kb", search, 4).select("source", "key")
 
 
 _add(
     "u02_retrieve", _retrieved,
     "(SELECT 'k-docs' AS source, doc_id::VARCHAR AS key FROM documents ORDER BY key LIMIT 4) UNION ALL (SELECT 'k-parts', p_partkey::VARCHAR AS key FROM part ORDER BY key LIMIT 4)",
 )
+_add("u02_retrieve_words", lambda s, d: _retrieved(s, d, "avec"), f"SELECT 'k-docs' AS source, doc_id::VARCHAR AS key FROM ({_bm25(['avec'])}) ORDER BY score DESC, key LIMIT 4")

@@ -7,11 +7,14 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+#: Intermediates of this process, and the run that each belongs to.
+_written: dict[str, str] = {}
+_run: ContextVar[str] = ContextVar("run", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +43,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, so a lost
     executor costs a reread and not the work before it."""
     path = new_path(df.sparkSession, label)
-    _written.append(path)
+    _written[path] = _run.get()
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodeseek_path = path
@@ -60,25 +63,25 @@ def remove(spark: SparkSession, path: str) -> None:
 def discard(df: DataFrame) -> None:
     """Deletes what materialise() wrote for df; df must not be read afterwards."""
     remove(df.sparkSession, df._lodeseek_path)
-    if df._lodeseek_path in _written:
-        _written.remove(df._lodeseek_path)
+    _written.pop(df._lodeseek_path, None)
 
 
-def mark() -> int:
-    """A place in the list of intermediates, for clear()."""
-    return len(_written)
+def mark() -> str:
+    """Begins a run: what this thread writes from now on belongs to it, for clear()."""
+    _run.set(uuid.uuid4().hex)
+    return _run.get()
 
 
-def clear(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> int:
-    """Deletes the intermediates that this process wrote after mark(), but for those of keep; returns how many went.
+def clear(spark: SparkSession, run: str | None = None, keep: Iterable[DataFrame] = ()) -> int:
+    """Deletes the intermediates of a run, or all of this process, but for those of keep; returns how many went. Other runs' stay.
 
     Results are lazy: what hasn't been written or counted yet must be in keep, or can't be read any more.
     """
     stay = {d._lodeseek_path for d in keep}
-    gone = [p for p in _written[since:] if p not in stay]
+    gone = [p for p, own in list(_written.items()) if run in (None, own) and p not in stay]
     for p in gone:
         remove(spark, p)
-        _written.remove(p)
+        _written.pop(p, None)
     return len(gone)
 
 

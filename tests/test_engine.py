@@ -254,7 +254,7 @@ def test_ranks_are_dense_and_ordered(spark):
     from lodeseek.operators import ranking
 
     rows = [(str(i), float((i * 7) % 50) / 7) for i in range(500)]
-    got = {r["__key"]: r["rank"] for r in ranking.numbered(spark.createDataFrame(rows, "__key string, __score double").repartition(7)).collect()}
+    got = {r["__key"]: r["rank"] for r in ranking.numbered(ranking.dealt(spark.createDataFrame(rows, "__key string, __score double").repartition(7))).collect()}
     assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == [k for k, _ in sorted(rows, key=lambda x: (-x[1], x[0]))]
     assert sorted(got.values()) == list(range(1, 501))
 
@@ -292,3 +292,26 @@ def test_retrieve(spark):
     assert [r["key"] for r in e.retrieve("b", "fox", 2).collect()] == ["0", "1"]
     with pytest.raises(SearchError):
         e.retrieve("b", "fox", 0)
+
+
+def test_runs_clear_their_own_intermediates(spark):
+    import threading
+
+    from lodeseek import storage
+
+    made = {}
+
+    def work(name):
+        run = storage.mark()
+        first = storage.materialise(spark.range(3), name)
+        storage.discard(first)
+        made[name] = (run, storage.materialise(spark.range(5), name), storage.materialise(spark.range(7), name))
+
+    for name in ("a", "b"):
+        t = threading.Thread(target=work, args=(name,))
+        t.start()
+        t.join()
+    (a, a1, a2), (_, b1, b2) = made["a"], made["b"]
+    assert storage.clear(spark, a, keep=[a2]) == 1 and (a2.count(), b1.count(), b2.count()) == (7, 5, 7)
+    with pytest.raises(Exception):
+        a1.count()
