@@ -329,8 +329,9 @@ class SearchEngine:
         if row["n"] or row["gone"]:
             for own in self._beside(index):
                 own.update(new, old, row["n"], row["gone"], number)
-        held.append({"documents": self._hashed(index, new)}, old, row["n"], row["gone"], batch=number)
-        held.tidy()
+        if row["n"] or row["gone"] or number is not None:
+            held.append({"documents": self._hashed(index, new)}, old, row["n"], row["gone"], batch=number)
+            held.tidy()
         if held.base is not None and held.rows() > FOLDED and held.rows() > (n := held.base.count()) // 4:
             held.merge(base_rows=n)
         self.data[index.name] = self._read(index, held)

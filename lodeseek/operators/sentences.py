@@ -15,7 +15,7 @@ from ..plans.bm25 import B, K1, text_column
 from ..plans.postings import FEW
 from ..schema import Index
 from ..sources.segments import SMALL, Segments, Table
-from ..storage import materialise
+from ..storage import discard, materialise
 from .semantic import sentence_at, sentences
 
 _text, _int = T.StringType(), T.IntegerType()
@@ -66,6 +66,7 @@ class SentenceIndex:
         made = materialise(texts.mapInArrow(make, TABLES["postings"].schema), "sentences")
         sizes = made.where("term IS NULL").select("path", "__key", F.col("at").alias("sentences"), F.col("times").alias("tokens"))
         self.held.append({"postings": made.where("term IS NOT NULL"), "sizes": sizes}, old and old.select("__key"), n, gone, batch=batch)
+        discard(made)
         self.held.tidy()
 
     def answers(self, matched: DataFrame, paths: list[str], terms: list[str], top: int) -> DataFrame:

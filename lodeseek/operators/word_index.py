@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..plans.postings import GRAM, expand, grams_of
 from ..schema import Index
 from ..sources.segments import Segments, Table
-from ..storage import materialise
+from ..storage import discard, materialise
 from .suggest import like, words
 
 _text, _long = T.StringType(), T.LongType()
@@ -48,6 +48,8 @@ class WordIndex:
             terms = terms.unionByName(count(self._rows(old), -1)).groupBy("path", "term").agg(F.sum("documents").alias("documents"))
         terms = materialise(terms, "word-terms")
         self.held.append({"words": rows, "terms": terms, "grams": grams_of(terms)}, old and old.select("__key"), n, gone, batch=batch)
+        discard(rows)
+        discard(terms)
         self.held.tidy()
 
     def matching(self, paths: list[str], term: str, fuzzy: bool) -> Column | None:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ..functions import analyzers
 from ..schema import Index
 from ..sources.segments import SEGMENT, SMALL, Segments, Table
-from ..storage import materialise
+from ..storage import discard, materialise
 from .bm25 import text_column
 
 _text, _int, _long = T.StringType(), T.IntegerType(), T.LongType()
@@ -150,6 +150,8 @@ class TextIndex:
         bounds = rows.groupBy("path", "term", "block").agg(F.max("times").alias("most"), F.min("size").alias("least"))
         keys = old.select("__key") if old is not None and gone else None
         self.held.append({"postings": rows, "terms": terms, "grams": grams_of(terms), "blocks": bounds}, keys, n, gone, sums, batch)
+        discard(rows)
+        discard(terms)
         self.held.tidy()
 
     # reading

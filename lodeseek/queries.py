@@ -410,6 +410,13 @@ _add("g04_total", lambda s, d: tables.engine(s, d, "events").search("events", {"
 _WORDS = "regexp_extract_all(p_name, '\\S+')"
 
 
+def _word_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.word_engine(spark, sf_dir).words["parts"].held.read("terms").groupBy("term").agg(F.sum("documents").alias("times"))
+
+
+_add("c01_words", _word_terms, f"SELECT lower(w) AS term, count(*) AS times FROM (SELECT unnest({_WORDS}) AS w FROM part) GROUP BY ALL")
+
+
 def _suggested(search: str, fuzzy: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = tables.word_engine(spark, sf_dir).suggest("parts", {"suggesterName": "sg", "search": search, "fuzzy": fuzzy, "top": 40})
