@@ -89,14 +89,16 @@ class Segments:
         held = self._list(self.version) if self.version >= 0 else {"segments": [], "batch": None}
         self.segments, self.batch = [Segment(**s) for s in held["segments"]], held["batch"]
 
+    def _earlier(self, batch: int) -> int | None:
+        """The last version that no batch from this number on has made."""
+        return next((v for v in reversed(self.versions()) if (made := self._list(v)["batch"]) is None or made < batch), None)
+
     def before(self, batch: int) -> None:
-        """Opens the last version that no batch from this number on has made."""
-        for v in reversed(self.versions()):
-            made = self._list(v)["batch"]
-            if made is None or made < batch:
-                return self.open(v)
-        self.open(None)
-        self.version, self.segments, self.batch = -1, [], None
+        """Opens the version that a batch of this number starts from."""
+        found = self._earlier(batch)
+        if found is None and self.versions():
+            raise ValueError(f"{self.path} has no version from before batch {batch}")
+        self.open(found)
 
     def _commit(self, segments: list[Segment], batch: int | None) -> None:
         version = self.last + 1
@@ -104,10 +106,12 @@ class Segments:
         self.segments, self.version, self.last, self.batch = segments, version, version, batch
 
     def vacuum(self) -> None:
-        """Deletes versions but the open one, and segments that it doesn't name."""
-        used = {s.id for s in self.segments}
+        """Deletes versions but the open one and the one before its batch, which may have to run again, and segments that neither names."""
+        earlier = None if self.batch is None else self._earlier(self.batch)
+        keep = {self.version} | ({earlier} if earlier is not None else set())
+        used = {s["id"] for v in keep if v >= 0 for s in self._list(v)["segments"]}
         for v in self.versions():
-            if v != self.version:
+            if v not in keep:
                 remove(self.spark, f"{self.path}/_live-{v}.json")
         for t in (*self.tables, DEAD):
             for x in self._names(f"{self.path}/{t}"):
