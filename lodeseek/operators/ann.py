@@ -20,17 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.vectors import METRICS
 from ..schema import Field, Index
 from ..sources.segments import Segments, Table
 from ..storage import materialise, read_text, write_text
 
 SAMPLE, LISTS, QUERIES, RECALL, HOT = 20_000, 4096, 100, 0.97, 8
+#: Rows and queries of a cell that nearest() compares at once, products in memory at a time, and parts that cells are dealt to at most.
+GROUP, ASKED, CHUNK, CELLS = 8192, 4096, 1 << 22, 4096
 LIST = "__list"
 
 
@@ -164,24 +167,140 @@ class Lists:
     def nearest(self, queries: DataFrame, k: int, least: int) -> DataFrame:
         """query, __key, __score of the k nearest of each query (query, vector): queries meet the lists that they probe.
 
-        A list's rows are joined by list and a part of it, so that a large one isn't one task; partial heaps go before the last one.
+        Lists are put together in groups of up to GROUP rows, a larger one is dealt to several; a group's rows and a block of about ASKED
+        of the queries that probe it are a cell, compared by matrix products in chunks. Each cell gives the k best of its own for a query.
         """
-        sizes, made, d, metric, fewest = self.sizes, self.centroids, self.d, self.metric, self.probes
+        sizes, made, d, metric, fewest, field = self.sizes, self.centroids, self.d, self.metric, self.probes, self.field
+        kind = queries.schema["query"].dataType
+        schema = T.StructType().add("query", kind).add("__key", T.StringType()).add("__score", T.DoubleType())
         if not len(made):
-            return self.spark.createDataFrame([], "query long, __key string, __score double")
-        parts = int(max(1, sizes.max() // 4096))
+            return self.spark.createDataFrame([], schema)
+        first, parts = _groups(sizes)
+        groups, blocks = int((first + parts).max()), -(-queries.count() // ASKED) or 1
 
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
-                yield pd.Series(_lists_of(np.array(s.tolist(), dtype=np.float64).reshape(-1, d), made, sizes, metric, least, fewest))
-
-        asked = queries.select("query", "vector", F.explode(F.pandas_udf(of, "array<int>")("vector")).alias(LIST))
-        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        rows = self.held.read("vectors").withColumn("part", F.pmod(F.xxhash64("__key"), F.lit(parts)).cast("int")).select(LIST, "part", "__key", F.col(f"`{self.field}`").alias("own"))
-        found = asked.join(rows.hint("merge"), [LIST, "part"]).select("query", LIST, "part", "__key", METRICS[self.metric](F.col("own"), F.col("vector")).cast("float").cast("double").alias("__score"))
-        best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("__score"), F.asc("__key"))) <= k
-        some = found.withColumn("in", best(LIST, "part", "query")).where("in").drop("in")
-        return some.withColumn("in", best("query")).where("in").select("query", "__key", "__score")
+                found = _lists_of(np.array(s.tolist(), dtype=np.float64).reshape(-1, d), made, sizes, metric, least, fewest)
+                yield pd.Series([_by_group(x, first, parts) for x in found], dtype=object)
+
+        def at(lists: pd.Series, dealt: pd.Series) -> pd.Series:
+            own = lists.to_numpy()
+            return pd.Series(first[own] + dealt.to_numpy() % parts[own])
+
+        def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
+            rows = rows.take(pc.sort_indices(rows["__key"]))
+            vectors = lambda c: np.array(c.to_pylist(), dtype=np.float32).reshape(-1, d)
+            i, j, score = _best(vectors(asked["vector"]), vectors(rows["own"]), asked["lists"].to_pylist(), rows[LIST].to_numpy(), k, metric)
+            return pa.table([asked["query"].take(pa.array(i)), rows["__key"].take(pa.array(j)), pa.array(score)], names=["query", "__key", "__score"])
+
+        by = F.explode(F.pandas_udf(of, "array<struct<at:int,lists:array<int>>>")("vector")).alias("x")
+        block = F.pmod(F.xxhash64("query"), F.lit(blocks))
+        asked = queries.select("query", F.col("vector").cast("array<float>").alias("vector"), by).select((block * groups + F.col("x.at")).alias("cell"), "query", "vector", "x.lists")
+        dealt = F.pandas_udf(at, "long")(F.col(LIST), F.pmod(F.xxhash64("__key"), F.lit(1 << 20)))
+        rows = self.held.read("vectors").select(LIST, "__key", F.col(f"`{field}`").alias("own"), dealt.alias("at"))
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        rows = rows.select((F.col("block").cast("long") * groups + F.col("at")).alias("cell"), LIST, "__key", "own")
+        n = min(CELLS, 2 * groups * blocks)  # a number of their own: cells are small and take long, so that they aren't put together
+        met = rows.repartition(n, "cell").groupBy("cell").cogroup(asked.repartition(n, "cell").groupBy("cell"))
+        some = met.applyInArrow(cell, schema)
+        return some.withColumn("in", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("__score"), F.asc("__key"))) <= k).where("in").drop("in")
+
+
+def _groups(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first group of each list, and how many it is dealt to."""
+    parts = np.maximum(1, -(-sizes.astype(np.int64) // GROUP))
+    first, at, held = np.zeros(len(sizes), np.int64), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > GROUP:
+            at, held = at + 1, 0
+        first[i] = at
+        if parts[i] > 1:
+            at, held = at + int(parts[i]), 0
+        else:
+            held += n
+    return first, parts
+
+
+def _by_group(lists: list[int], first: np.ndarray, parts: np.ndarray) -> list[dict]:
+    out: dict[int, list[int]] = {}
+    for x in lists:
+        for g in range(int(first[x]), int(first[x] + parts[x])):
+            out.setdefault(g, []).append(x)
+    return [{"at": g, "lists": held} for g, held in out.items()]
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of each two rows, added in order, as functions.vectors does."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """METRICS of each two rows, as the float that they are ranked by."""
+    if metric == "euclidean":
+        out = 1 / (1 + np.sqrt(_summed(q - x, q - x)))
+    else:
+        out = _summed(q, x)
+    if metric == "cosine":
+        both = np.sqrt(_summed(x, x)) * np.sqrt(_summed(q, q))
+        out = np.where(both == 0, 0.0, np.clip(out / np.where(both == 0, 1.0, both), -1.0, 1.0))
+    return out.astype(np.float32).astype(np.float64)
+
+
+def _best(q: np.ndarray, x: np.ndarray, lists: list[list[int]], own: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and score of the k best rows of each query, by score and then by row; lists: those that each query looks at, own: each row's.
+
+    Products find all rows that may be among the best, up to what rounding may change, and these are scored one by one. Of
+    equal rows of a list the first k stay, as the others can't be among the best.
+    """
+    if not len(x) or not len(q):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    _, same = np.unique(np.hstack([np.ascontiguousarray(x).view(np.int32), own.astype(np.int32)[:, None]]), axis=0, return_inverse=True)
+    order = np.argsort(same.ravel(), kind="stable")
+    n = np.bincount(same.ravel())
+    rank = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+    row = np.sort(order[rank < k])
+    x, own, q = x[row].astype(np.float64), own[row], q.astype(np.float64)
+    names, place = np.unique(own, return_inverse=True)
+    number = {int(l): i for i, l in enumerate(names)}
+    looks = np.zeros((len(q), len(names)), bool)
+    for i, ls in enumerate(lists):
+        looks[i, [number[l] for l in ls if l in number]] = True
+    sets, which = np.unique(looks, axis=1, return_inverse=True)  # lists that the same queries look at go together
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for c in range(sets.shape[1]):
+        rows, asks = np.flatnonzero(which.ravel()[place] == c), np.flatnonzero(sets[:, c])
+        y = x[rows]
+        step = max(1, CHUNK // len(rows))
+        for a in range(0, len(asks), step):
+            some = asks[a : a + step]
+            z = q[some]
+            like = z @ y.T if metric == "dotProduct" else -_far(z, y, metric)
+            kth = np.partition(like, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(z), -np.inf)
+            i, j = np.nonzero(like >= (kth - _slack(kth, z, y, metric))[:, None])
+            found.append(_first(some[i], rows[j], _exact(z[i], y[j], metric), k))
+    i, j, score = _first(*(np.concatenate(z) for z in zip(*found)), k) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return i, row[j], score
+
+
+def _slack(kth: np.ndarray, q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """By how much less likeness than kth a row may have that scores as high once scores are floats."""
+    if metric == "cosine":
+        return np.full(len(kth), 1e-6)
+    qq, xx = (q**2).sum(axis=1), (x**2).sum(axis=1).max()
+    far = np.sqrt(np.maximum(0, qq - np.where(np.isfinite(kth), kth, 0)))
+    return (1e-6 * (1 + far) ** 2 if metric == "euclidean" else 1e-6 * np.sqrt(qq * xx)) + 1e-11 * (qq + xx)
+
+
+def _first(i: np.ndarray, j: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each i, by score and then by j."""
+    order = np.lexsort((j, -score, i))
+    i, j, score = i[order], j[order], score[order]
+    n = np.unique(i, return_counts=True)[1]
+    keep = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) < k
+    return i[keep], j[keep], score[keep]
 
 
 def _lists_of(x: np.ndarray, made: np.ndarray, sizes: np.ndarray, metric: str, least: int, fewest: int) -> list[list[int]]:

@@ -151,3 +151,34 @@ def test_what_flat_options_refuse_and_count(spark):
     got = e.search("talks", {"search": "tide", "filter": "no ge 0", "debug": "all"} if e.resolve("talks").at("no").filterable else {"search": "tide", "debug": "all"}).debug["execution"]
     assert got["totalCandidates"] == 40 and got["matchedDocuments"] == e.search("talks", {"search": "tide"}).total() and got["vectorQueries"] == 0
     assert "execution" not in e.search("talks", {"search": "tide"}).debug
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dotProduct", "euclidean"])
+def test_cells_of_many_queries_give_what_a_plain_scan_gives(metric, monkeypatch):
+    """Copies, multiples and zero vectors tie; scores are those of functions.vectors to the last bit."""
+    monkeypatch.setattr(ann, "CHUNK", 50)
+    rng = np.random.default_rng(3)
+    x = np.float32(rng.normal(size=(120, DIM)))
+    x[20:60], x[60:70], x[70:74] = x[0], x[1] * 3, 0
+    q, own = np.vstack([x[:3], x[70:71], np.float32(rng.normal(size=(5, DIM)))]), rng.integers(0, 4, 120)
+    own[20:60] = own[0]
+    lists = [sorted(set(rng.integers(0, 4, 3).tolist())) for _ in q[:-1]] + [[0, 1, 2, 3]]
+    got: dict = {}
+    for i, j, s in zip(*ann._best(q, x, lists, own, 6, metric)):
+        got.setdefault(int(i), []).append((int(j), float(s)))
+    for i, ls in enumerate(lists):
+        rows = np.flatnonzero(np.isin(own, ls))
+        score = ann._exact(np.repeat(q[i : i + 1].astype(float), len(rows), axis=0), x[rows].astype(float), metric)
+        assert got[i] == [(int(j), float(s)) for s, j in sorted(zip(-score, rows)) for s in [-s]][:6]
+
+
+def test_nearest_gives_no_row_for_each_query_and_list(spark, monkeypatch):
+    """Pairs are compared in cells: no plan joins queries with rows one by one; cells of several groups and blocks give the same."""
+    lists = engine(spark).index_vectors("vecs", "v")
+    asked = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(POINTS[::30])], "query long, vector array<float>")
+    whole = sorted(map(tuple, lists.nearest(asked, 5, lists.n).collect()))
+    for name, n in (("GROUP", 64), ("ASKED", 7)):
+        monkeypatch.setattr(ann, name, n)
+    cut = lists.nearest(asked, 5, lists.n)
+    assert sorted(map(tuple, cut.collect())) == whole and len(whole) == 5 * 30
+    assert "FlatMapCoGroups" in (plan := cut._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
