@@ -51,6 +51,11 @@ def _words(text: str) -> list[str]:
     return [w for w in _alnum.findall(text) if len(w.encode()) < LONGEST]
 
 
+def split(text: str) -> list[str]:
+    """Words of a text as they are, long ones too: those of raw() for an analyzer with stems."""
+    return _alnum.findall(text)
+
+
 @lru_cache(maxsize=500_000)
 def _stem(code: str, word: str) -> str | None:
     stop, stem = (ENGLISH_STOPWORDS, english) if code == "en" else LANGUAGES[code]
@@ -139,6 +144,20 @@ def words(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
 
 
+def raw(col: Column, name: str | None) -> Column:
+    """Tokens of which finished() makes those of column(), each distinct one once."""
+    if gapped(name):
+        return words(col)
+    return F.regexp_extract_all(F.lower(col), F.lit(r"[\p{IsAlphabetic}\p{N}]++"), F.lit(0)) if kind(name) == "latin" else column(col, name)
+
+
+def finished(distinct: list[str], name: str | None) -> list[str | None] | None:
+    """What becomes of each of raw() (see stemmed()); null where they are tokens as they are."""
+    if gapped(name):
+        return stemmed(distinct, name)
+    return [w if len(w.encode()) < LONGEST else None for w in distinct] if kind(name) == "latin" else None
+
+
 def stemmed(distinct: list[str], name: str | None) -> list[str | None]:
     """What becomes of each of words(): its stem, GAP for a stopword, null for one that is too long."""
     code = kind(name)

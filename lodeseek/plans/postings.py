@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,17 +24,17 @@ from pyspark.sql import types as T
 from ..functions import analyzers
 from ..schema import Index
 from ..sources.segments import SEGMENT, SMALL, Segments, Table
-from ..storage import discard, materialise
 from .bm25 import text_column
 
 _text, _int, _long = T.StringType(), T.IntegerType(), T.LongType()
 #: Documents of a block.
 BLOCK = 64
 GRAM = 3
-#: Documents that are dealt out before they are tokenised, as they may come in one file; more come in as many parts as there is work for.
-FEW = 1 << 20
+#: Documents that are dealt out before they are tokenised, as they may come in one file; more come in as many parts as there is work for; documents of a part.
+FEW, PART = 1 << 20, 8192
+#: Of postings, most and least are the block's bounds for the term, on its first row.
 TABLES = {
-    "postings": Table(T.StructType().add("path", _text).add("term", _text).add("block", _long).add("__key", _text).add("times", _int).add("size", _int).add("positions", T.ArrayType(_int)), ("path", "term", "block", "__key")),
+    "postings": Table(T.StructType().add("path", _text).add("term", _text).add("block", _long).add("__key", _text).add("times", _int).add("size", _int).add("positions", T.ArrayType(_int)).add("most", _int).add("least", _int), ("path", "term", "block", "__key")),
     "terms": Table(T.StructType().add("path", _text).add("term", _text).add("documents", _long).add("times", _long), ("path", "term"), ("documents", "times")),
     "grams": Table(T.StructType().add("path", _text).add("gram", _text).add("term", _text).add("n", _long), ("path", "gram", "term"), ("n",)),
     "blocks": Table(T.StructType().add("path", _text).add("term", _text).add("block", _long).add("most", _int).add("least", _int), ("path", "term", "block")),
@@ -41,23 +42,22 @@ TABLES = {
 
 
 def tokenised(docs: DataFrame, index: Index, paths: list[str]) -> DataFrame:
-    """__key and a column of tokens, t0, t1 …, for each of paths; words that are yet to be stemmed where the analyzer stems."""
-    made = [(analyzers.words(text_column(index, p)) if analyzers.gapped(index.at(p).analyzer) else analyzers.column(text_column(index, p), index.at(p).analyzer)).alias(f"t{i}") for i, p in enumerate(paths)]
+    """__key and a column of tokens, t0, t1 …, for each of paths; words that are yet to be stemmed, or rid of long ones, where the analyzer does so."""
+    made = [analyzers.raw(text_column(index, p), index.at(p).analyzer).alias(f"t{i}") for i, p in enumerate(paths)]
     return docs.select("__key", *made)
 
 
-def grouped(batch: pa.RecordBatch, at: int, analyzer: str | None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the token column at: tokens of each row, and for each row and term, in this order, row, term, start in positions, times; all positions; terms by number.
+def coded(lists: pa.Array, analyzer: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Of lists of raw tokens: tokens of each, and for each token, in order, its list, number and place; terms by number.
 
     Words are stemmed here, each distinct one of a batch once.
     """
-    lists = batch.column(at).combine_chunks() if isinstance(batch.column(at), pa.ChunkedArray) else batch.column(at)
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     values, offsets = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(offsets)), offsets)
-    coded = values.dictionary_encode()
-    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    if analyzers.gapped(analyzer):
-        made = analyzers.stemmed(words, analyzer)
+    row, dictionary = np.repeat(np.arange(len(offsets)), offsets), values.dictionary_encode()
+    words, code = dictionary.dictionary.to_pylist(), dictionary.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    made = analyzers.finished(words, analyzer)
+    if made is not None:
         words = list(dict.fromkeys(t for t in made if t is not None))
         number = {t: i for i, t in enumerate(words)}
         code = np.array([number.get(t, -1) for t in made], dtype=np.int64)[code] if len(code) else code
@@ -67,15 +67,27 @@ def grouped(batch: pa.RecordBatch, at: int, analyzer: str | None) -> tuple[np.nd
     gap = words.index(analyzers.GAP) if analyzers.GAP in words else -1
     real = code != gap
     size = np.bincount(row[real], minlength=len(offsets))
-    row, place, code = row[real], place[real], code[real]
-    order = np.lexsort((place, code, row))
-    row, place, code = row[order], place[order], code[order]
-    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, np.int64)
-    return size, row[first], words, code[first], first, np.diff(np.r_[first, len(row)]), place
+    return size, row[real], code[real], place[real], words
+
+
+def ranks(values: pa.Array) -> np.ndarray:
+    """Of each value its rank, by bytes."""
+    order = pc.sort_indices(values).to_numpy()
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
+def runs(row: np.ndarray, code: np.ndarray, words: list[str], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of tokens by term and then by rank, a number for each row; where each term and row starts in it. Tokens of a term and row stay as they are."""
+    by = ranks(pa.array(words, pa.string()))[code] * max(1, len(rank)) + rank[row]
+    order = np.argsort(by, kind="stable")
+    by = by[order]
+    return order, np.flatnonzero(np.r_[True, by[1:] != by[:-1]]) if len(by) else np.zeros(0, np.int64)
 
 
 def postings(docs: DataFrame, index: Index, paths: list[str], segment: int = 0) -> DataFrame:
-    """The rows of the table of postings, in blocks. Blocks of other segments have other numbers (or may share them, which only loosens their bounds)."""
+    """The rows of the table of postings, in blocks, each batch sorted. Blocks of other segments have other numbers (or may share them, which only loosens their bounds)."""
     tokens, base = tokenised(docs, index, paths), (segment % (1 << 15)) << 48
     named = [index.at(p).analyzer for p in paths]
 
@@ -84,24 +96,39 @@ def postings(docs: DataFrame, index: Index, paths: list[str], segment: int = 0)
         for b in batches:
             if not b.num_rows:
                 continue
-            own = [grouped(b, i + 1, a) for i, a in enumerate(named)]
-            rank = np.argsort(np.argsort(sum(x[0] for x in own), kind="stable"), kind="stable")  # of a row by all its tokens
-            block = base + (part << 28) + made + rank // BLOCK
+            own = [coded(b.column(i + 1), a) for i, a in enumerate(named)]
+            by_size = np.argsort(np.argsort(sum(x[0] for x in own), kind="stable"), kind="stable")  # of a row by all its tokens
+            block = base + (part << 28) + made + by_size // BLOCK
             made += -(-b.num_rows // BLOCK)
             keys = b.column(0)
-            for p, (size, row, words, code, first, times, place) in zip(paths, own):
-                if len(row):
-                    take = pa.array(row)
-                    positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(place)], pa.int32()), pa.array(place, pa.int32()))
-                    term = pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), pa.array(words, pa.string())).cast(pa.string())
-                    yield pa.record_batch(
-                        [pa.array([p] * len(row), pa.string()), term, pa.array(block[row], pa.int64()), keys.take(take), pa.array(times, pa.int32()), pa.array(size[row], pa.int32()), positions],
-                        names=TABLES["postings"].schema.names,
-                    )
+            rank = np.empty(b.num_rows, np.int64)
+            rank[np.lexsort((ranks(keys), block))] = np.arange(b.num_rows)
+            for p, (size, row, code, place, words) in zip(paths, own):
+                if not len(row):
+                    continue
+                order, first = runs(row, code, words, rank)
+                row, code, times = row[order][first], code[order][first], np.diff(np.r_[first, len(order)])
+                positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)], pa.int32()), pa.array(place[order], pa.int32()))
+                term = pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), pa.array(words, pa.string())).cast(pa.string())
+                starts = np.r_[True, (code[1:] != code[:-1]) | (block[row[1:]] != block[row[:-1]])]
+                at, most, least = np.flatnonzero(starts), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+                most[at], least[at] = np.maximum.reduceat(times, at), np.minimum.reduceat(size[row], at)
+                yield pa.record_batch(
+                    [
+                        pa.array([p] * len(row), pa.string()), term, pa.array(block[row], pa.int64()), keys.take(pa.array(row)), pa.array(times, pa.int32()), pa.array(size[row], pa.int32()), positions,
+                        pa.array(most, pa.int32(), mask=~starts), pa.array(least, pa.int32(), mask=~starts),
+                    ],
+                    names=TABLES["postings"].schema.names,
+                )
 
     return tokens.mapInArrow(make, TABLES["postings"].schema) if paths else tokens.sparkSession.createDataFrame([], TABLES["postings"].schema)
 
 
+def dealt(docs: DataFrame, n: int) -> DataFrame:
+    """n documents in as many parts as there is work for, as they may come in one file."""
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, n // PART)) if SMALL < n <= FEW else docs
+
+
 def grams_of(terms: DataFrame) -> DataFrame:
     """path, gram, term, n for the terms of rows of the vocabulary: n counts as many documents as the row does."""
     long = F.char_length("term") >= GRAM
@@ -137,21 +164,18 @@ class TextIndex:
     def update(self, new: DataFrame, old: DataFrame | None, n: int | None = None, gone: int = 0, batch: int | None = None) -> None:
         """A segment of new documents (with __key) that replace old ones (with __key, as they were); n, gone: how many, where that is known."""
         n = new.count() if n is None else n
-        dealt = new.repartition(self.spark.sparkContext.defaultParallelism) if SMALL < n <= FEW else new
-        rows = materialise(postings(dealt, self.index, self.paths, self.held.last + 1), "postings")
+        rows = self.held.ahead("postings", postings(dealt(new, n), self.index, self.paths, self.held.last + 1), n, gone)
         count = lambda df, sign: df.groupBy("path", "term").agg((F.count("*") * sign).alias("documents"), (F.sum("times") * sign).alias("times"))
         terms = count(rows, 1)
         if old is not None and gone:
             less = count(postings(old, self.index, self.paths), -1)
             terms = terms.unionByName(less).groupBy("path", "term").agg(F.sum("documents").alias("documents"), F.sum("times").alias("times"))
-        terms = materialise(terms, "terms")
+        terms = self.held.ahead("terms", terms, n, gone)
         sums = {f"tokens:{r['path']}": r["n"] for r in terms.groupBy("path").agg(F.sum("times").alias("n")).collect()}  # a row a path
         sums["documents"] = n - gone
-        bounds = rows.groupBy("path", "term", "block").agg(F.max("times").alias("most"), F.min("size").alias("least"))
+        bounds = rows.where("most IS NOT NULL").select("path", "term", "block", "most", "least")
         keys = old.select("__key") if old is not None and gone else None
-        self.held.append({"postings": rows, "terms": terms, "grams": grams_of(terms), "blocks": bounds}, keys, n, gone, sums, batch)
-        discard(rows)
-        discard(terms)
+        self.held.append({"grams": grams_of(terms.repartition(self.spark.sparkContext.defaultParallelism)), "blocks": bounds}, keys, n, gone, sums, batch, dealt=("grams", "blocks"))
         self.held.tidy()
 
     # reading

@@ -164,19 +164,33 @@ class Segments:
     # changes
 
     def _write(self, table: str, rows: DataFrame, id_: int, order: tuple[str, ...], files: int | None) -> None:
-        """files: how many, or null for ranges of the order, as many as the size asks for."""
-        held = rows.coalesce(files) if files else rows.repartitionByRange(*order)
+        """files: how many, 0 for a sorted one of each part as it is dealt, or null for ranges of the order, as many as the size asks for."""
+        held = rows.coalesce(files) if files else rows.repartitionByRange(*order) if files is None else rows
         held.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{table}/{SEGMENT}={id_}")
 
-    def append(self, rows: dict[str, DataFrame], gone: DataFrame | None, n: int, dead: int, sums: dict[str, float] | None = None, batch: int | None = None) -> None:
-        """A segment of n keys' rows in each table, and of dead tombstones (gone: __key) for what earlier segments hold of these keys."""
+    def _typed(self, table: str, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.tables[table].schema])
+
+    def ahead(self, table: str, rows: DataFrame, n: int, dead: int) -> DataFrame:
+        """Writes a table's rows of the segment that append() makes next, with its n and dead, each part sorted as it is dealt; the rows, read back."""
+        spec, own = self.tables[table], Segment(self.last + 1, n, dead)
+        if not n and not spec.summed:
+            return self.spark.createDataFrame([], spec.schema)
+        self._write(table, self._typed(table, rows), own.id, spec.order, 1 if n + dead <= SMALL else 0)
+        return self._scan(table, spec.schema, [own]).drop(SEGMENT)
+
+    def append(self, rows: dict[str, DataFrame], gone: DataFrame | None, n: int, dead: int, sums: dict[str, float] | None = None, batch: int | None = None, dealt: tuple[str, ...] = ()) -> None:
+        """A segment of n keys' rows in each table, and of dead tombstones (gone: __key) for what earlier segments hold of these keys.
+
+        Rows of the tables dealt are sorted in each part alone; others go by ranges.
+        """
         id_ = self.last + 1
         small = n + dead <= SMALL
         files, due = 1 if small else None, []
         for t, df in rows.items():
             spec = self.tables[t]
             if n or spec.summed:
-                due.append((t, df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in spec.schema]), id_, spec.order, files))
+                due.append((t, self._typed(t, df), id_, spec.order, 0 if t in dealt and not small else files))
         if dead:
             due.append((DEAD, gone.select("__key"), id_, ("__key",), files))
         with ThreadPoolExecutor(max(1, len(due))) as side_by_side:

@@ -208,3 +208,24 @@ def test_an_index_without_texts(spark):
     assert isinstance(e.index_text("bare"), TextIndex)
     e.index_documents("bare", [{"no": 1}])
     assert e.search("bare", {"search": "x"}).total() == 0 and e.search("bare", {}).total() == 1
+
+
+def test_first_segments_are_sorted_runs_with_blocks_of_their_own(spark, monkeypatch):
+    """Postings, grams and blocks are written where they are made: each file is sorted, and no range shuffle deals them."""
+    monkeypatch.setattr(segments, "SMALL", 10)
+    ranged = []
+    plain = type(spark.range(1)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda self, *a: ranged.append(a) or plain(self, *a))
+    e = SearchEngine(spark)
+    e.create_index(NOTES, spark.createDataFrame([(i, note(i)["body"], note(i)["tags"], float(i)) for i in range(300)], "no long, body string, tags array<string>, stars double"))
+    text = e.index_text("notes")
+    assert not ranged and len(text.held.segments) == 1
+    for t in ("postings", "terms", "grams", "blocks"):
+        rows, order = text.held.read(t), text.held.tables[t].order
+        files: dict = {}
+        for r in rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), *order).orderBy("at").collect():
+            files.setdefault(r["file"], []).append(tuple(r[c].encode() if isinstance(r[c], str) else r[c] for c in order))
+        assert files and all(x == sorted(x) for x in files.values()), t
+    rows = text.postings()
+    want = rows.groupBy("path", "term", "block").agg(F.max("times").alias("most"), F.min("size").alias("least"))
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, text.held.read("blocks").select("path", "term", "block", "most", "least").collect()))
