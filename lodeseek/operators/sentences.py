@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 
 from ..functions import analyzers
 from ..plans.bm25 import B, K1, text_column
-from ..plans.postings import FEW
+from ..plans.postings import coded, dealt, ranks, runs
 from ..schema import Index
-from ..sources.segments import SMALL, Segments, Table
-from ..storage import discard, materialise
+from ..sources.segments import Segments, Table
+from ..storage import materialise
 from .semantic import sentence_at, sentences
 
 _text, _int = T.StringType(), T.IntegerType()
@@ -25,6 +25,35 @@ TABLES = {
 }
 
 
+#: Documents that are split at once.
+SLICE = 1024
+
+
+def counted(path: str, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """Rows of the table of postings, sorted: of each text one without a term, with its numbers of sentences and tokens, then of each term and sentence."""
+    doc, at, words, ends = [], [], [], [0]
+    for i, t in enumerate(texts.to_pylist()):
+        for k, s in enumerate(sentences(t)):
+            doc.append(i)
+            at.append(k)
+            words += analyzers.split(s)
+            ends.append(len(words))
+    size, row, code, _, terms = coded(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string())), None)
+    doc, at, by_key = np.array(doc, dtype=np.int64), np.array(at, dtype=np.int64), ranks(keys)
+    rank = np.empty(len(doc), np.int64)
+    rank[np.lexsort((at, by_key[doc]))] = np.arange(len(doc))
+    order, first = runs(row, code, terms, rank)
+    row, code, times = row[order][first], code[order][first], np.diff(np.r_[first, len(order)])
+    heads = np.argsort(by_key)
+    numbers = np.bincount(doc, minlength=len(keys))[heads], np.bincount(doc, weights=size, minlength=len(keys)).astype(np.int64)[heads]
+    term = pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), pa.array(terms, pa.string())).cast(pa.string())
+    columns = [
+        pa.array([path] * (len(heads) + len(row)), pa.string()), pa.concat_arrays([pa.nulls(len(heads), pa.string()), term]), keys.take(pa.array(np.r_[heads, doc[row]])),
+        *[pa.array(np.r_[a, b], pa.int32()) for a, b in zip((*numbers, np.zeros(len(heads), np.int64)), (at[row], times, size[row]))],
+    ]
+    return pa.record_batch(columns, names=TABLES["postings"].schema.names)
+
+
 class SentenceIndex:
     """Sentences of the fields that an index's semantic configurations name for answers, under path."""
 
@@ -38,35 +67,18 @@ class SentenceIndex:
     def update(self, new: DataFrame, old: DataFrame | None, n: int, gone: int, batch: int | None = None) -> None:
         """New documents (with __key), and those that they replace, of which the keys alone are looked at."""
         paths = self.paths
-        dealt = new.repartition(self.spark.sparkContext.defaultParallelism) if SMALL < n <= FEW else new
-        texts = dealt.select("__key", *[text_column(self.index, p).alias(f"t{i}") for i, p in enumerate(paths)])
+        texts = dealt(new, n).select("__key", *[text_column(self.index, p).alias(f"t{i}") for i, p in enumerate(paths)])
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """term null: the size of a field."""
             for b in batches:
-                rows: list[tuple] = []
-                for i, p in enumerate(paths):
-                    for key, t in zip(b.column(0).to_pylist(), b.column(i + 1)):
-                        k, total = -1, 0
-                        for k, s in enumerate(sentences(t.as_py())):
-                            words = analyzers.tokens(s, None)
-                            total += len(words)
-                            rows += [(p, w, key, k, m, len(words)) for w, m in Counter(words).items()]
-                        rows.append((p, None, key, k + 1, total, 0))
-                        if len(rows) > 200_000:
-                            yield batch_of(rows)
-                            rows = []
-                if rows:
-                    yield batch_of(rows)
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=TABLES["postings"].schema.names)
-
-        made = materialise(texts.mapInArrow(make, TABLES["postings"].schema), "sentences")
-        sizes = made.where("term IS NULL").select("path", "__key", F.col("at").alias("sentences"), F.col("times").alias("tokens"))
-        self.held.append({"postings": made.where("term IS NOT NULL"), "sizes": sizes}, old and old.select("__key"), n, gone, batch=batch)
-        discard(made)
+                for at in range(0, b.num_rows, SLICE):
+                    part = b.slice(at, SLICE)
+                    for i, p in enumerate(paths):
+                        yield counted(p, part.column(0), part.column(i + 1))
+
+        rows = self.held.ahead("postings", texts.mapInArrow(make, TABLES["postings"].schema), n, gone)
+        sizes = rows.where("term IS NULL").select("path", "__key", F.col("at").alias("sentences"), F.col("times").alias("tokens"))
+        self.held.append({"sizes": sizes}, old and old.select("__key"), n, gone, batch=batch)
         self.held.tidy()
 
     def answers(self, matched: DataFrame, paths: list[str], terms: list[str], top: int) -> DataFrame:

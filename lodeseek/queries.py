@@ -475,7 +475,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = tables.text_engine(spark, sf_dir, tables.DOCS, "documents", tables.docs, True).sentences["docs"].held
+    held = tables.text_engine(spark, sf_dir, tables.DOCS, "documents", tables.docs, True, texts=False).sentences["docs"].held
     return held.read("sizes").select(F.col("__key").cast("long").alias("doc_id"), "sentences", "tokens")
 
 

@@ -126,14 +126,14 @@ def _state_of(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in found))
 
 
-def text_engine(spark: SparkSession, sf_dir: str, spec: dict, table: str, load, sentences: bool = False) -> SearchEngine:
+def text_engine(spark: SparkSession, sf_dir: str, spec: dict, table: str, load, sentences: bool = False, texts: bool = True) -> SearchEngine:
     """An engine with one index over a table, and its text index (and sentence index), which the session builds once for a state of the table's files."""
     out = SearchEngine(spark)
     index = out.create_index(spec, load(spark, sf_dir))
     key = (spark.sparkContext.applicationId, sf_dir, repr([(f.name, f.analyzer, f.searchable) for f in index.fields]), _state_of(spark, f"{sf_dir}/{table}.parquet"))
-    if key in _texts:
+    if texts and key in _texts:
         out.texts[index.name] = _texts[key]
-    else:
+    elif texts:
         _texts[key] = out.index_text(index.name)
     if sentences and key in _sentences:
         out.sentences[index.name] = _sentences[key]
