@@ -9,7 +9,7 @@ import pytest
 from lodeseek import semantics
 from lodeseek.engine import SearchEngine
 from lodeseek.errors import SearchError
-from lodeseek.functions import analyzers
+from lodeseek.functions import analyzers, stems
 from lodeseek.operators import ann
 from lodeseek.operators.semantic import sentences
 
@@ -182,3 +182,13 @@ def test_nearest_gives_no_row_for_each_query_and_list(spark, monkeypatch):
     cut = lists.nearest(asked, 5, lists.n)
     assert sorted(map(tuple, cut.collect())) == whole and len(whole) == 5 * 30
     assert "FlatMapCoGroups" in (plan := cut._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+
+
+def test_words_that_no_rule_changes_are_left_at_once(monkeypatch):
+    parts = ["", "y", "tr", "ay", "bo", "'k", "ss", "99", "é"]
+    ends = [*stems.CHANGED, "ator", "ll", "l", "nt", "k", "qu", "x9", "ü", "bb", "er", "ism", "u", "sses", "eedly"]
+    made = [a + b + e for a in parts for b in ("", "at", "gly", "ner") for e in ends]
+    fast = [stems.english(w) for w in made]
+    assert stems.english("zqxv") == "zqxv" and not "zqxv".endswith(stems.CHANGED)
+    monkeypatch.setattr(stems, "CHANGED", ("",))  # all words go through all rules
+    assert fast == [stems.english(w) for w in made]
