@@ -101,14 +101,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: np.ndarray, passes: int = 12, seed: int = 7) -> np.ndarray:
-    """Dual coordinate descent for the hinge loss: a dual variable a row, within 0 and its cost; rows: (feature numbers, values)."""
-    w, a = np.zeros(size), np.zeros(len(rows))
+def descend(rows: list[np.ndarray], ratio: np.ndarray, length: np.ndarray, y: np.ndarray, cost: np.ndarray, passes: int = 12, seed: int = 7) -> np.ndarray:
+    """Dual coordinate descent for the hinge loss: a dual variable a row, within 0 and its cost. A row's values are ratio / length, made anew when it comes up."""
+    w, a = np.zeros(len(ratio)), np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(passes):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            f, v = rows[i]
+            f = rows[i]
+            v = ratio[f] / length[i]
             g, norm = y[i] * (w[f] @ v) - 1, v @ v
             if norm == 0 or a[i] == 0 and g >= 0 or a[i] == cost[i] and g <= 0:
                 continue
@@ -142,20 +143,20 @@ def fit(rows: list[np.ndarray], y: np.ndarray, size: int = 1 << BITS) -> Model:
     up, down = int((y > 0).sum()), int((y <= 0).sum())
     if not up or not down:
         return Model(np.zeros(size), np.zeros(size), 1.0, float(np.log((up + 1) / (down + 1))))
-    p, q = (np.bincount(np.concatenate([f for f, c in zip(rows, y) if c * s > 0]), minlength=size) + 1.0 for s in (1, -1))
+    p, q = np.ones(size), np.ones(size)
+    for n, of in ((p, np.flatnonzero(y > 0)), (q, np.flatnonzero(y <= 0))):
+        for k in range(0, len(of), 256):
+            n += np.bincount(np.concatenate([rows[i] for i in of[k : k + 256]]), minlength=size)
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    scaled = []
-    for f in rows:
-        r = ratio[f]
-        scaled.append((f, r / max(np.sqrt((r * r).sum()), 1e-12)))
+    length = np.array([max(np.sqrt((ratio[f] * ratio[f]).sum()), 1e-12) for f in rows])
     cost = np.where(y > 0, 1.0, up / down)
     held = np.arange(len(rows)) % 4 == 3
     if not {1, -1} <= set(y[held].tolist()) or not {1, -1} <= set(y[~held].tolist()):
         held[:] = False
     part = [i for i in range(len(rows)) if not held[i]]
-    w = descend([scaled[i] for i in part], y[part], size, cost[part])
+    w = descend([rows[i] for i in part], ratio, length[part], y[part], cost[part])
     test = np.flatnonzero(held) if held.any() else np.arange(len(rows))
-    slope, shift = logistic(np.array([w[scaled[i][0]] @ scaled[i][1] for i in test]), y[test])
+    slope, shift = logistic(np.array([w[rows[i]] @ (ratio[rows[i]] / length[i]) for i in test]), y[test])
     return Model(ratio, w, slope, shift)
 
 
@@ -213,9 +214,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if len(sizes) and filled[-1] > SAMPLE_BYTES:
         h, i, _ = sizes[max(0, int(np.searchsorted(filled, SAMPLE_BYTES, side="right")) - 1)]
         once = once.where((F.col("h") < h) | ((F.col("h") == h) & (F.col("id") <= i)))
-    got = sorted(once.collect(), key=lambda r: (r["h"], r["id"]))
-    y = np.array([1 if r["quality"] == 1 else -1 for r in got])
-    return fit([np.frombuffer(r["found"], dtype="<i4") for r in got], y)
+    # by partitions: the sample is in the driver's memory once, in Python, and never whole in its JVM
+    got = sorted(((r["h"], r["id"], r["quality"], np.frombuffer(r["found"], dtype="<i4")) for r in once.toLocalIterator()), key=lambda r: r[:2])
+    y = np.array([1 if r[2] == 1 else -1 for r in got])
+    return fit([r[3] for r in got], y)
 
 
 def score(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
