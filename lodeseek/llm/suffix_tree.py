@@ -1,9 +1,8 @@
 """LM scoring by a probabilistic suffix tree over words.
 
 Words are what lies between white space after lower-casing A-Z; each text ends in one end symbol.
-Contexts of up to DEPTH words that make up at least P_CONTEXT of the training tokens are
-candidates: there are at most 1 / P_CONTEXT of a length. Next symbols that follow a context in at
-least P_JOINT of all tokens get a probability of their own, at most 1 / P_JOINT for a length.
+Contexts of up to DEPTH words (the model's order) that occur twice are candidates, whatever the
+input's size, and next symbols that follow one twice get a probability of their own.
 A context is retained if its next-symbol distribution diverges from the one of its suffix (the
 context without its oldest word): count times Kullback-Leibler divergence over 0.5 * ln N for each
 own probability. Suffixes of retained contexts are retained as well.
@@ -13,26 +12,33 @@ to the root: every word of the corpus, and one symbol for all other words, which
 words that were seen once. So each state's probabilities sum to 1 over the V known words and the
 unknown one, as the base score's do. A text's score uses the longest retained suffix at each token.
 
-Every training text is read whole and every count is exact. The tree is bounded by the two
-probabilities, whatever the input's size, so it is broadcast; the word counts grow with the input
-and stay distributed: words outside the HEAD most frequent ones are looked up by a join.
+Every training text is read whole and every count is exact. The tree of up to WHOLE training tokens
+is broadcast. A larger one is a table, as are the word counts: see _table(). Words outside the HEAD
+most frequent ones are looked up by a join, and told apart in sequences by 62 bits of a hash, as
+sequences are by 64.
 """
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, table, text_of
+from ._common import HEAVY_KEYS, discard, materialise, table, text_of
 
-DEPTH, P_CONTEXT, P_JOINT, DISCOUNT = 3, 3e-6, 1e-6, 0.5
+DEPTH, DISCOUNT = 3, 0.5
+#: Training tokens of the largest tree that is broadcast.
+WHOLE = 600_000
+#: Sequences that occur more often, and in over 1/HEAVY_KEYS of the tokens, are dealt to several tasks; tokens of a task's group.
+HEAVY, HOME = 500_000, 2_000_000
 WORD_BITS = 18
 #: Words with an id of their own on every executor.
 HEAD = 1 << WORD_BITS
@@ -73,6 +79,15 @@ class Ids(dict):
         return -1
 
 
+@dataclass
+class Heavy:
+    """Sequences with more than `least` occurrences, by id: sorted ids and counts. They are a few thousand of a length at most."""
+
+    least: int
+    ids: np.ndarray
+    count: np.ndarray
+
+
 @dataclass
 class Tree:
     ids: Ids
@@ -81,6 +96,13 @@ class Tree:
     v: int  # distinct ones
     once: int  # seen once
     levels: list[Level] = field(default_factory=list)
+    values: DataFrame | None = None  # of a tree that is a table, see _table()
+    heavy: Heavy | None = None
+    heavy_values: tuple[np.ndarray, np.ndarray] | None = None
+
+    @property
+    def whole(self) -> bool:
+        return self.n <= WHOLE and self.v <= HEAD
 
     @property
     def discount(self) -> float:
@@ -193,8 +215,8 @@ def _head(train: DataFrame) -> tuple[Tree, DataFrame]:
 
 
 def _encode(docs: DataFrame, tree: Tree, training: Column) -> DataFrame:
-    """A written table with a row for each of docs: uid, doc_id, training, ids (32-bit, -1 outside the head), tail (those words and how often)."""
-    sent = docs.sparkSession.sparkContext.broadcast(tree.ids)
+    """A written table with a row for each of docs: uid, doc_id, training, ids (32-bit, -1 outside the head), tail (those words and how often), away (64-bit, their codes in the text's order, if the tree isn't whole)."""
+    sent, whole = docs.sparkSession.sparkContext.broadcast(tree.ids), tree.whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = sent.value.__getitem__
@@ -202,23 +224,25 @@ def _encode(docs: DataFrame, tree: Tree, training: Column) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids, words_, times, offsets = [], [], [], [0]
+                ids, aways, words_, times, offsets = [], [], [], [], [0]
                 for t in part.column("text"):
                     ws = words(t.as_py())
                     ws.append(END)
                     own = np.array(list(map(get, ws)), dtype="<i4")
                     ids.append(own.tobytes())
-                    away = Counter(ws[k] for k in np.flatnonzero(own < 0).tolist())
+                    far = [ws[k] for k in np.flatnonzero(own < 0).tolist()]
+                    aways.append(b"" if whole or not far else code_of(far).tobytes())
+                    away = Counter(far)
                     words_ += away.keys()
                     times += away.values()
                     offsets.append(len(words_))
                 tail = pa.StructArray.from_arrays([pa.array(words_, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
-                cols = [pa.array(np.arange(uid, uid + part.num_rows)), part.column("doc_id"), part.column("training"), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)]
+                cols = [pa.array(np.arange(uid, uid + part.num_rows)), part.column("doc_id"), part.column("training"), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail), pa.array(aways, pa.binary())]
                 uid += part.num_rows
-                yield pa.record_batch(cols, names=["uid", "doc_id", "training", "ids", "tail"])
+                yield pa.record_batch(cols, names=["uid", "doc_id", "training", "ids", "tail", "away"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), training.alias("training"), text_of().alias("text"))
-    return materialise(kept.mapInArrow(run, "uid long, doc_id long, training boolean, ids binary, tail array<struct<word:binary,n:bigint>>"), "suffix-ids")
+    return materialise(kept.mapInArrow(run, "uid long, doc_id long, training boolean, ids binary, tail array<struct<word:binary,n:bigint>>, away binary"), "suffix-ids")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -228,10 +252,19 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(tree: Tree, encoded: DataFrame) -> None:
-    """Adds the contexts of each length, from exact counts, and sets the tree's probabilities."""
+    """Adds the contexts of each length, from exact counts, and sets the tree's probabilities; those of a larger tree as a table."""
+    found = _frequent(tree, encoded, 2 if tree.whole else max(HEAVY, tree.n // HEAVY_KEYS) + 1)
+    if tree.whole:
+        grow(tree, found)
+    else:
+        _table(tree, encoded, found)
+
+
+def _frequent(tree: Tree, encoded: DataFrame, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By length, the contexts (set as the tree's levels) and, returned, their next words that occur at least so often."""
     spark, n = encoded.sparkSession, tree.n
     end = tree.ids.get(END, -1)
-    keys = np.flatnonzero(tree.counts >= max(2, n * P_CONTEXT)).astype(np.int64)
+    keys = np.flatnonzero(tree.counts >= least).astype(np.int64)
     keys = keys[keys != end]
     counted = tree.counts[keys]
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -242,15 +275,249 @@ def _contexts(tree: Tree, encoded: DataFrame) -> None:
             break
         tree.levels.append(Level(keys, counted))
         sent = spark.sparkContext.broadcast(Tree(Ids(), tree.counts, tree.n, tree.v, tree.once, tree.levels))
-        got = _pairs(rows, sent, max(2, n * P_JOINT)).groupBy("pair").agg(F.sum("n").alias("n"))
-        got = got.where(F.col("n") >= max(2.0, n * P_JOINT)).toPandas()  # 1 / P_JOINT rows at most
+        got = _pairs(rows, sent, least).groupBy("pair").agg(F.sum("n").alias("n"))
+        got = got.where(F.col("n") >= least).toPandas()  # half of WHOLE, or HEAVY_KEYS, at most
         pair, times = got["pair"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
         order = np.argsort(pair)
         pair, times = pair[order], times[order]
         pairs.append((pair, times))
-        longer = (times >= n * P_CONTEXT) & ((pair & (HEAD - 1)) != end)
+        longer = (pair & (HEAD - 1)) != end
         keys, counted = pair[longer], times[longer]
-    grow(tree, pairs)
+    return pairs
+
+
+NONE = -2  # in place of a word before a text's first one
+
+
+def code_of(far: list[bytes]) -> np.ndarray:
+    """Codes of words outside the head, 2^62 and above."""
+    return ((pd.util.hash_array(np.array(far, dtype=object), categorize=False) >> np.uint64(2)) | np.uint64(1 << 62)).astype("<i8")
+
+
+def longer_id(gram: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Id of a sequence with one more word before it."""
+    z = gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (word + 3).view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(29))).view(np.int64)
+
+
+def chain(rows: np.ndarray) -> list[np.ndarray]:
+    """Ids of the sequences of one, two and more words that end in rows[0]; rows[k]: the words k places before it."""
+    out = [np.zeros(rows.shape[1], np.int64)]
+    for w in rows:
+        out.append(longer_id(out[-1], w))
+    return out[1:]
+
+
+def _blocks(encoded: DataFrame, heavy: Heavy, homes: int, scored: bool) -> DataFrame:
+    """home, base, m, far, data: m tokens with the DEPTH words before them and how often they occur, or (scored) the text's uid less base.
+
+    Tokens lie by the shortest sequence ending there that isn't heavy: all of such a one's occurrences share a home.
+    """
+    sent = encoded.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, size = sent.value, [], 0
+
+        def out() -> pa.RecordBatch:
+            rows, uid = np.concatenate([x for x, _ in held], axis=1), np.concatenate([u for _, u in held])
+            base = int(uid.min())
+            key, going = np.zeros(rows.shape[1], np.int64), np.arange(rows.shape[1])
+            for k, h in enumerate(chain(rows)):
+                going = going[rows[k][going] != NONE]
+                key[going] = h[going]
+                going = going[find(known.ids, h[going]) >= 0]
+                if scored:  # if no longer one is rarer, any home will do
+                    key[going] = longer_id(h[going], uid[going])
+            home = ((key.view(np.uint64) >> np.uint64(8)) % np.uint64(homes)).astype(np.int64)
+            order = np.arange(len(home))  # uids rise
+            if not scored:
+                low = (1 << 22) - 1
+                order = np.lexsort(((rows[2] & low) << 22 | (rows[-1] & low), (rows[0] & low) << 22 | (rows[1] & low)))
+            order = order[np.argsort(home[order].astype(np.uint16 if homes < 1 << 16 else np.int64), kind="stable")]
+            rows, home = rows[:, order], home[order]
+            if scored:
+                last = (uid[order] - base).astype("<i4")
+            else:
+                new = np.flatnonzero(np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)])
+                last = np.diff(np.r_[new, len(order)]).astype("<i4")
+                rows, home = rows[:, new], home[new]
+            cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1], True])
+            far, data = [], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                flat = rows[:, a:b].ravel()
+                away = flat[flat >= HEAD]
+                small = np.append(np.where(flat >= HEAD, -1, flat), last[a:b]).astype("<i4")
+                far.append(len(away))
+                data.append(pa.compress(small.view(np.uint8).reshape(-1, 4).T.tobytes() + away.astype("<i8").tobytes(), codec="zstd", asbytes=True))
+            cols = [pa.array(home[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(data), base)), pa.array(np.diff(cuts)), pa.array(far, pa.int64()), pa.array(data, pa.binary())]
+            return pa.record_batch(cols, names=["home", "base", "m", "far", "data"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                ids, first = _flat(part.column("ids"))
+                ids[ids < 0] = np.frombuffer(b"".join(x.as_py() for x in part.column("away")), dtype="<i8")
+                long = np.diff(np.r_[first, len(ids)])
+                place = np.arange(len(ids)) - np.repeat(first, long)
+                rows = np.full((DEPTH + 1, len(ids)), NONE, np.int64)
+                for k in range(DEPTH + 1):
+                    rows[k, k:] = np.where(place[k:] >= k, ids[: len(ids) - k], NONE)
+                uid = np.repeat(part.column("uid").to_numpy(), long)
+                for k in range(0, len(ids), CHUNK // 4):
+                    held.append((rows[:, k : k + CHUNK // 4], uid[k : k + CHUNK // 4]))
+                    size += held[-1][0].shape[1]
+                    if size >= CHUNK // 4:
+                        yield out()
+                        held, size = [], 0
+        if size:
+            yield out()
+
+    rows = encoded if scored else encoded.where("training")
+    return rows.select("uid", "ids", "away").mapInArrow(run, "home int, base long, m long, far long, data binary")
+
+
+def _unpacked(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Words by place, and the last column of _blocks(), with base added."""
+    rows, last = [], []
+    for base, m, far, data in zip(*(blocks.column(c).to_pylist() for c in ("base", "m", "far", "data"))):
+        raw = np.frombuffer(pa.decompress(data, decompressed_size=m * 4 * (DEPTH + 2) + far * 8, codec="zstd"), np.uint8)
+        cut = m * 4 * (DEPTH + 2)
+        small = np.ascontiguousarray(raw[:cut].reshape(4, -1).T).view("<i4").ravel()
+        own = small[: m * (DEPTH + 1)].astype(np.int64)
+        own[own == -1] = raw[cut:].view("<i8")
+        rows.append(own.reshape(DEPTH + 1, m))
+        last.append(small[m * (DEPTH + 1) :].astype(np.int64) + base)
+    return np.concatenate(rows, axis=1), np.concatenate(last)
+
+
+GRAM = "home int, gid long, size int, n long, below long, cid long, sid long"
+
+
+def _grams(encoded: DataFrame, heavy: Heavy, homes: int) -> DataFrame:
+    """Sequences of up to DEPTH + 1 words that occur twice and aren't heavy: n; below and sid: count and id without the first word; cid: id without the last."""
+    sent = encoded.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(blocks: pa.Table) -> pa.Table:
+        known, home = sent.value, blocks.column("home")[0].as_py()
+        rows, n = _unpacked(blocks.set_column(blocks.schema.get_field_index("base"), "base", pa.array(np.zeros(len(blocks), np.int64))))
+        ids, context = chain(rows), [np.zeros(rows.shape[1], np.int64), *chain(rows[1:])]
+        going, below, out = np.arange(rows.shape[1]), np.zeros(rows.shape[1], np.int64), []
+        for k, h in enumerate(ids):
+            going = going[rows[k][going] != NONE]
+            gid, first, back = np.unique(h[going], return_index=True, return_inverse=True)
+            times = np.rint(np.bincount(back, weights=n[going], minlength=len(gid))).astype(np.int64)
+            at = find(known.ids, gid)
+            times[at >= 0] = known.count[at[at >= 0]]
+            mine = np.flatnonzero((times >= 2) & (at < 0))
+            where = going[first[mine]]
+            under = ids[k - 1][where] if 0 < k < DEPTH else np.zeros(len(mine), np.int64)  # of contexts only
+            out.append([gid[mine], np.full(len(mine), k + 1, np.int32), times[mine], below[where], context[k][where], under])
+            below[going] = times[back]
+            going = going[times[back] >= 2]
+        cols = [np.concatenate(c) for c in zip(*out)]
+        return pa.table([pa.array(np.full(len(cols[0]), home, np.int32)), *map(pa.array, cols)], names=[c.split()[0] for c in GRAM.split(", ")])
+
+    return _blocks(encoded, heavy, homes, False).groupBy("home").applyInArrow(run, GRAM)
+
+
+def _heavy(tree: Tree, pairs: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[Heavy, pd.DataFrame]:
+    """Heavy sequences, and their rows as _grams() would give them, at home -1."""
+    word = np.flatnonzero(tree.counts >= least).astype(np.int64)
+    found = [(word[None, :], tree.counts[word])]  # words by place, newest first
+    older = tree.levels[0].keys[None, :] if tree.levels else word[None, :0]
+    for k, (pair, times) in enumerate(pairs):
+        rows = np.concatenate([(pair & (HEAD - 1))[None, :], older[:, pair >> WORD_BITS]])
+        found.append((rows, times))
+        if k + 1 < len(tree.levels):
+            older = rows[:, np.isin(pair, tree.levels[k + 1].keys)]
+    out, lower, n = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k, (rows, times) in enumerate(found):
+        ids = chain(rows)
+        zero = np.zeros(len(times), np.int64)
+        under = ids[k - 1] if k else zero
+        out.append(pd.DataFrame({"home": -1, "gid": ids[k], "size": k + 1, "n": times, "below": n[find(lower, under)] if k and len(times) else zero, "cid": chain(rows[1:])[-1] if k else zero, "sid": under}))
+        order = np.argsort(ids[k])
+        lower, n = ids[k][order], times[order]
+    rows = pd.concat(out).astype({"home": np.int32, "size": np.int32})
+    rows = rows.sort_values("gid")
+    return Heavy(least, rows["gid"].to_numpy(), rows["n"].to_numpy()), rows
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """df, written; the shuffle files behind it, several times the table, go at once and not when the driver happens to collect its garbage."""
+    spark, out = df.sparkSession, materialise(df, label)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
+def _table(tree: Tree, encoded: DataFrame, pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """The tree as a table of home, gid, value: a text's score is the sum of its words' at the root and of the values of all its sequences.
+
+    The sequence c x is worth what it changes: the log of x's probability after c over the one after
+    c's suffix, if c is retained and c x has its own; and as a context, if retained, its factor for all
+    next words but its own, less which these have it (own and factor don't meet in a score).
+    """
+    spark = encoded.sparkSession
+    heavy, rows = _heavy(tree, pairs, max(HEAVY, tree.n // HEAVY_KEYS) + 1)
+    tree.levels, homes = [], max(1, -(-tree.n // HOME))
+    grams = _grams(encoded, heavy, homes)
+    if len(rows):
+        grams = grams.unionByName(spark.createDataFrame(rows, GRAM))
+    grams = _written(grams, "suffix-grams")
+    n, d = float(tree.n), tree.discount
+    p = (F.col("n") - DISCOUNT) / F.col("nc")
+    q = F.when(F.col("size") == 2, (F.col("below") - d) / n).otherwise((F.col("below") - DISCOUNT) / F.col("ncs"))
+    entries = grams.where("size > 1").select("home", "gid", "size", "n", "below", "cid")
+    above = grams.where(f"size <= {DEPTH}").select(F.col("gid").alias("cid"), F.col("home").alias("chome"), "sid", F.col("n").alias("nc"), F.col("below").alias("ncs"))
+    shares = entries.join(above, "cid").withColumns({"p": p, "q": q})
+    sums = shares.groupBy("cid", "chome", "sid", "nc", "ncs", (F.col("size") - 1).alias("length")).agg(
+        F.count("*").alias("own"), F.sum("p").alias("sp"), F.sum("q").alias("sq"), F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("gain")
+    )
+    rp, rq = F.greatest(1 - F.col("sp"), F.lit(1e-12)), F.greatest(1 - F.col("sq"), F.lit(1e-12))
+    passes = F.col("nc") * (F.col("gain") + rp * F.log(rp / rq)) >= 0.5 * F.col("own") * float(np.log(max(tree.n, 2)))
+    contexts = _written(sums.select("cid", "chome", "sid", "nc", "ncs", "length", F.log10(rp / rq).alias("backoff"), passes.alias("kept")), "suffix-contexts")
+    kept = contexts.where((F.col("length") == DEPTH) & F.col("kept"))
+    retained = kept
+    for length in range(DEPTH - 1, 0, -1):
+        below = kept.select(F.col("sid").alias("cid")).distinct().withColumn("needed", F.lit(True))
+        kept = contexts.where(F.col("length") == length).join(below, "cid", "left").where(F.col("kept") | F.col("needed")).drop("needed")
+        retained = retained.unionByName(kept)
+    retained = _written(retained, "suffix-retained")
+    discard(contexts)
+    own = entries.join(retained.select("cid", "nc", "ncs", "backoff"), "cid").select("home", "gid", (F.log10(p / q) - F.col("backoff")).alias("value"))
+    values = own.unionByName(retained.select(F.col("chome").alias("home"), F.col("cid").alias("gid"), F.col("backoff").alias("value")))
+    tree.values, tree.heavy = _written(values, "suffix-values"), heavy
+    discard(grams)
+    discard(retained)
+    rare = tree.values.where("home < 0").groupBy("gid").agg(F.sum("value").alias("value")).toPandas().sort_values("gid")  # heavy ones
+    tree.heavy_values = rare["gid"].to_numpy(np.int64), rare["value"].to_numpy(float)
+
+
+def _added(encoded: DataFrame, tree: Tree) -> DataFrame:
+    """uid, added: sums of the values of a text's sequences."""
+    sent = encoded.sparkSession.sparkContext.broadcast(tree.heavy_values)
+
+    def run(blocks: pa.Table, values: pa.Table) -> pa.Table:
+        names = ["uid", "added"]
+        if not len(blocks):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        rows, uid = _unpacked(blocks)
+        gid, back = np.unique(np.concatenate([values.column("gid").to_numpy(), sent.value[0]]), return_inverse=True)
+        worth = np.bincount(back, weights=np.concatenate([values.column("value").to_numpy(), sent.value[1]]), minlength=len(gid))
+        total, going = np.zeros(len(uid)), np.arange(len(uid))
+        for k, h in enumerate(chain(rows)):
+            going = going[rows[k][going] != NONE]
+            at = find(gid, h[going])
+            total[going[at >= 0]] += worth[at[at >= 0]]
+            going = going[at >= 0] if k else going  # a longer one has a value only if this one has
+        text, back = np.unique(uid, return_inverse=True)
+        return pa.table([pa.array(text), pa.array(np.bincount(back, weights=total, minlength=len(text)))], names=names)
+
+    blocks = _blocks(encoded, tree.heavy, max(1, -(-tree.n // HOME)), True).groupBy("home")
+    return blocks.cogroup(tree.values.where("home >= 0").groupBy("home")).applyInArrow(run, "uid long, added double").groupBy("uid").agg(F.sum("added").alias("added"))
 
 
 def _pairs(rows: DataFrame, sent, least: float) -> DataFrame:
@@ -309,6 +576,8 @@ def _score(encoded: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known2"), F.sum(F.col("times") * F.log10((c + 1) / (n + v + 1))).alias("base2"), F.sum(F.col("times") * root).alias("total2")
     )
     joined = rows.join(sums, "uid", "left")
+    if tree.values is not None:
+        joined = joined.join(_added(encoded, tree), "uid", "left").withColumn("total", F.col("total") + F.coalesce("added", F.lit(0.0)))
     return joined.select(
         "doc_id", "training", "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("score"),
