@@ -32,6 +32,8 @@ BLOCK = 64
 GRAM = 3
 #: Documents that are dealt out before they are tokenised, as they may come in one file; more come in as many parts as there is work for; documents of a part.
 FEW, PART = 1 << 20, 8192
+#: Tokens that are counted and sorted at once (more only if one document has them), which bounds a worker's memory.
+SLICE = 1 << 18
 #: Of postings, most and least are the block's bounds for the term, on its first row.
 TABLES = {
     "postings": Table(T.StructType().add("path", _text).add("term", _text).add("block", _long).add("__key", _text).add("times", _int).add("size", _int).add("positions", T.ArrayType(_int)).add("most", _int).add("least", _int), ("path", "term", "block", "__key")),
@@ -86,40 +88,53 @@ def runs(row: np.ndarray, code: np.ndarray, words: list[str], rank: np.ndarray)
     return order, np.flatnonzero(np.r_[True, by[1:] != by[:-1]]) if len(by) else np.zeros(0, np.int64)
 
 
+def cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, in order, whose sizes add up to most at most, or of one row that is larger alone."""
+    total, lo = np.cumsum(sizes), 0
+    while lo < len(total):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def counted(rows: pa.RecordBatch, paths: list[str], analyzers_: list[str | None], first_block: int) -> Iterator[pa.RecordBatch]:
+    """Sorted postings of each path of tokenised rows, which lie in blocks as they follow each other."""
+    block, keys = first_block + np.arange(rows.num_rows) // BLOCK, rows.column(0)
+    rank = np.empty(rows.num_rows, np.int64)
+    rank[np.lexsort((ranks(keys), block))] = np.arange(rows.num_rows)
+    for i, (p, a) in enumerate(zip(paths, analyzers_)):
+        size, row, code, place, words = coded(rows.column(i + 1), a)
+        if not len(row):
+            continue
+        order, first = runs(row, code, words, rank)
+        row, code, times = row[order][first], code[order][first], np.diff(np.r_[first, len(order)])
+        positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)], pa.int32()), pa.array(place[order], pa.int32()))
+        term = pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), pa.array(words, pa.string())).cast(pa.string())
+        starts = np.r_[True, (code[1:] != code[:-1]) | (block[row[1:]] != block[row[:-1]])]
+        at, most, least = np.flatnonzero(starts), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        most[at], least[at] = np.maximum.reduceat(times, at), np.minimum.reduceat(size[row], at)
+        yield pa.record_batch(
+            [
+                pa.array([p] * len(row), pa.string()), term, pa.array(block[row], pa.int64()), keys.take(pa.array(row)), pa.array(times, pa.int32()), pa.array(size[row], pa.int32()), positions,
+                pa.array(most, pa.int32(), mask=~starts), pa.array(least, pa.int32(), mask=~starts),
+            ],
+            names=TABLES["postings"].schema.names,
+        )
+
+
 def postings(docs: DataFrame, index: Index, paths: list[str], segment: int = 0) -> DataFrame:
-    """The rows of the table of postings, in blocks, each batch sorted. Blocks of other segments have other numbers (or may share them, which only loosens their bounds)."""
+    """The rows of the table of postings, in blocks, each slice of a batch sorted. Blocks of other segments have other numbers (or may share them, which only loosens their bounds)."""
     tokens, base = tokenised(docs, index, paths), (segment % (1 << 15)) << 48
     named = [index.at(p).analyzer for p in paths]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
+        at = base + (TaskContext.get().partitionId() << 28)
         for b in batches:
-            if not b.num_rows:
-                continue
-            own = [coded(b.column(i + 1), a) for i, a in enumerate(named)]
-            by_size = np.argsort(np.argsort(sum(x[0] for x in own), kind="stable"), kind="stable")  # of a row by all its tokens
-            block = base + (part << 28) + made + by_size // BLOCK
-            made += -(-b.num_rows // BLOCK)
-            keys = b.column(0)
-            rank = np.empty(b.num_rows, np.int64)
-            rank[np.lexsort((ranks(keys), block))] = np.arange(b.num_rows)
-            for p, (size, row, code, place, words) in zip(paths, own):
-                if not len(row):
-                    continue
-                order, first = runs(row, code, words, rank)
-                row, code, times = row[order][first], code[order][first], np.diff(np.r_[first, len(order)])
-                positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)], pa.int32()), pa.array(place[order], pa.int32()))
-                term = pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), pa.array(words, pa.string())).cast(pa.string())
-                starts = np.r_[True, (code[1:] != code[:-1]) | (block[row[1:]] != block[row[:-1]])]
-                at, most, least = np.flatnonzero(starts), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-                most[at], least[at] = np.maximum.reduceat(times, at), np.minimum.reduceat(size[row], at)
-                yield pa.record_batch(
-                    [
-                        pa.array([p] * len(row), pa.string()), term, pa.array(block[row], pa.int64()), keys.take(pa.array(row)), pa.array(times, pa.int32()), pa.array(size[row], pa.int32()), positions,
-                        pa.array(most, pa.int32(), mask=~starts), pa.array(least, pa.int32(), mask=~starts),
-                    ],
-                    names=TABLES["postings"].schema.names,
-                )
+            sizes = sum((b.column(i + 1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(paths))), np.zeros(b.num_rows, np.int64))
+            by_size = np.argsort(sizes, kind="stable")  # of a row by all its tokens
+            for lo, hi in cuts(sizes[by_size], SLICE):
+                yield from counted(b.take(pa.array(by_size[lo:hi])), paths, named, at)
+                at += -(-(hi - lo) // BLOCK)
 
     return tokens.mapInArrow(make, TABLES["postings"].schema) if paths else tokens.sparkSession.createDataFrame([], TABLES["postings"].schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import file_system, read_text, remove, write_text
+from ..storage import file_system, read_text, remove, small_batches, write_text
 
 SEGMENT, DEAD = "__segment", "__dead"
 #: Segments of like size that are merged; tombstones that may be broadcast; keys whose rows are one file.
@@ -176,7 +176,8 @@ class Segments:
         spec, own = self.tables[table], Segment(self.last + 1, n, dead)
         if not n and not spec.summed:
             return self.spark.createDataFrame([], spec.schema)
-        self._write(table, self._typed(table, rows), own.id, spec.order, 1 if n + dead <= SMALL else 0)
+        with small_batches(self.spark):
+            self._write(table, self._typed(table, rows), own.id, spec.order, 1 if n + dead <= SMALL else 0)
         return self._scan(table, spec.schema, [own]).drop(SEGMENT)
 
     def append(self, rows: dict[str, DataFrame], gone: DataFrame | None, n: int, dead: int, sums: dict[str, float] | None = None, batch: int | None = None, dealt: tuple[str, ...] = ()) -> None:

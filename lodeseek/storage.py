@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import lru_cache
 
@@ -15,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Intermediates of this process, and the run that each belongs to.
 _written: dict[str, str] = {}
 _run: ContextVar[str] = ContextVar("run", default="")
+#: Bytes of the batches that index builds send to Python, and how Spark calls that; who is at it, by session, and what held before.
+BATCH_BYTES, BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+_lock, _at_it = threading.Lock(), {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +55,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile the session's jobs send Python batches of few bytes: each task holds one several times over, in the JVM's buffers and in its worker."""
+    with _lock:
+        n, before = _at_it.get(id(spark), (0, None))
+        if not n:
+            before = spark.conf.get(BATCH_CONF, None)
+            spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
+        _at_it[id(spark)] = n + 1, before
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _at_it.pop(id(spark))
+            if n > 1:
+                _at_it[id(spark)] = n - 1, before
+            elif before is None:
+                spark.conf.unset(BATCH_CONF)
+            else:
+                spark.conf.set(BATCH_CONF, before)
+
+
 def file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
