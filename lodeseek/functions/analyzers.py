@@ -56,7 +56,7 @@ def split(text: str) -> list[str]:
     return _alnum.findall(text)
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=1 << 16)
 def _stem(code: str, word: str) -> str | None:
     stop, stem = (ENGLISH_STOPWORDS, english) if code == "en" else LANGUAGES[code]
     return None if word in stop else stem(word)

@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import analyzers
 from ..plans.bm25 import B, K1, text_column
-from ..plans.postings import coded, dealt, ranks, runs
+from ..plans.postings import coded, cuts, dealt, ranks, runs
 from ..schema import Index
 from ..sources.segments import Segments, Table
 from ..storage import materialise
@@ -25,8 +26,8 @@ TABLES = {
 }
 
 
-#: Documents that are split at once.
-SLICE = 1024
+#: Bytes of text that are split and counted at once (more only if one document has them), which bounds a worker's memory.
+SLICE = 1 << 20
 
 
 def counted(path: str, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
@@ -71,8 +72,9 @@ class SentenceIndex:
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, SLICE):
-                    part = b.slice(at, SLICE)
+                sizes = sum((pc.binary_length(b.column(i + 1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(paths))), np.zeros(b.num_rows, np.int64))
+                for lo, hi in cuts(sizes, SLICE):
+                    part = b.slice(lo, hi - lo)
                     for i, p in enumerate(paths):
                         yield counted(p, part.column(0), part.column(i + 1))
 

@@ -8,6 +8,8 @@ import pyarrow as pa
 import pytest
 
 from lodeseek.engine import SearchEngine
+from lodeseek.functions import analyzers
+from lodeseek.operators import sentences
 from lodeseek.plans import postings
 from lodeseek.sources.segments import Segments
 from lodeseek.storage import BATCH_CONF, small_batches
@@ -77,6 +79,50 @@ def test_slices_give_every_posting_once(index, monkeypatch):
         assert max(Counter(b for b, _ in {(r["block"], r["__key"]) for r in rows}).values()) <= postings.BLOCK
 
 
+def sentence_maker(spark, index, monkeypatch):
+    rows = Rows()
+
+    class Stop(Exception):
+        pass
+
+    def ahead(*_):
+        raise Stop
+
+    monkeypatch.setattr(sentences, "dealt", lambda *_: rows)
+    made = sentences.SentenceIndex(spark, index, "file:///tmp/none")
+    monkeypatch.setattr(made.held, "ahead", ahead)
+    with pytest.raises(Stop):
+        made.update(rows, None, 1, 0)
+    return rows.make
+
+
+def test_large_texts_are_split_in_slices_of_bytes(spark, index, monkeypatch):
+    make, n = sentence_maker(spark, index, monkeypatch), 700
+    words = np.array([f"wort{i}" for i in range(3000)])
+    texts = [" ".join(words[RNG.integers(0, 3000, 1200)]) + "." for _ in range(n)]  # 7 MB in fewer documents than one slice was
+    rows, most = peak(make, pa.record_batch([pa.array([str(i) for i in range(n)]), pa.array(texts)], names=["__key", "t0"]))
+    assert rows > 100 * n and most < 50e6
+
+
+def test_slices_of_texts_give_every_sentence_once(spark, index, monkeypatch):
+    make = sentence_maker(spark, index, monkeypatch)
+    texts = [None, "", *[". ".join(f"Wort{w} und noch ein wort{w} am ende" for w in RNG.integers(0, 30, k)) for k in RNG.integers(0, 6, 60)]]
+    keys = [str(i) for i in range(len(texts))]
+    batch = pa.record_batch([pa.array(keys), pa.array(texts, pa.string())], names=["__key", "t0"])
+    found = []
+    for slice_ in (200, 1 << 20):
+        monkeypatch.setattr(sentences, "SLICE", slice_)
+        made = list(make(iter([batch])))
+        found.append(sorted(map(repr, (r for b in made for r in b.to_pylist()))))
+    assert found[0] == found[1] and sum("'term': None" in r for r in found[0]) == len(texts)
+    monkeypatch.setattr(sentences, "SLICE", 200)
+    assert len(list(make(iter([batch])))) > 10
+
+
+def test_stems_that_are_remembered_are_few():
+    assert analyzers._stem.cache_info().maxsize <= 1 << 16
+
+
 def test_builds_send_python_small_batches(spark, monkeypatch):
     before, seen, write = spark.conf.get(BATCH_CONF), {}, Segments._write
 
